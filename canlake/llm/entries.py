@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, urlfilter
+from . import mixing, spiece, urlfilter
 
 
 def queries():
     return {
         "op2_mix_sources": mixing.op2_mix_sources,
+        "op10_sentencepiece": spiece.op10_sentencepiece,
         "op9_url_filters": urlfilter.op9_url_filters,
     }
 
