@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, spiece, urlfilter
+from . import langid, mixing, spiece, toxicity, urlfilter
 
 
 def queries():
     return {
+        "op1_language_id": langid.op1_language_id,
         "op2_mix_sources": mixing.op2_mix_sources,
         "op10_sentencepiece": spiece.op10_sentencepiece,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op9_url_filters": urlfilter.op9_url_filters,
     }
 

@@ -18,9 +18,9 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: A batch given to the encoder holds at most so many characters, however many rows Spark hands over at a time.
-BATCH_CHARS = 4_000_000
-#: So many words with their ids are kept by a worker at most, about 60 MB.
-CACHED_WORDS = 250_000
+BATCH_CHARS = 500_000
+#: So many words with their ids are kept by a worker, about 30 MB, and so many new ones go through the library at a time.
+CACHED_WORDS, NEW_WORDS = 120_000, 8_192
 
 
 def _fields(buf: bytes):
@@ -137,11 +137,12 @@ class Codec:
             self.lossy.clear()
         known = self.known
         new = list({w for words in parts for w in words if w not in known})
-        if new:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            known.update((w, array("i", x).tobytes()) for w, x in zip(new, ids, strict=True))
+        for start in range(0, len(new), NEW_WORDS):
+            some = new[start : start + NEW_WORDS]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            known.update((w, array("i", x).tobytes()) for w, x in zip(some, ids, strict=True))
             back = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-            self.lossy.update(w for w, b in zip(new, back, strict=True) if b != w.replace(MARK, " "))
+            self.lossy.update(w for w, b in zip(some, back, strict=True) if b != w.replace(MARK, " "))
         packed = [b"".join([known[w] for w in words]) for words in parts]
         exact = [not self.lossy or self.lossy.isdisjoint(words) for words in parts]
         if not self.closed:
