@@ -17,13 +17,15 @@ FIT_TOXIC, FIT_ORDINARY = 1_500, 3_000
 #: Both dictionaries share this many bytes of frequent ordinary words; the toxic one has up to TOXIC_BYTES more.
 SHARED_BYTES, TOXIC_BYTES = 8192, 2048
 #: Windows of so many bytes overlap by OVERLAP; those that the toxic dictionary shortens by SUSPECT bytes are looked at in runs of WORDS words.
-WINDOW, OVERLAP, SUSPECT, WORDS = 64, 8, 2, 4
+WINDOW, OVERLAP, SUSPECT, WORDS = 64, 8, 2, 3
 FAST, THOROUGH = 9, 19
-GRAMS = (4, 5, 6)
-N_FEATURES = 5
+#: Lengths of the n-grams, the space before a word included, that are looked for in toxic words.
+GRAMS = (4, 5, 6, 7)
+N_FEATURES = 7
 
 
 def _grams(word: str):
+    word = " " + word
     return (word[i : i + n] for n in GRAMS for i in range(len(word) - n + 1))
 
 
@@ -49,22 +51,27 @@ class Compressors:
         return len(a(self.pad + window)) - len(b(self.pad + window))
 
     def features(self, text: str) -> list[float]:
-        """Over all windows of the text: the largest gain; then over the runs of words of suspect windows the largest
-        gains at both levels, the largest of their smaller ones, and how many runs gain at both."""
-        data = text.lower().encode("utf-8", "replace")
-        most, seen, runs = 0, set(), [(0, 0)]
-        for i in range(0, max(1, len(data) - OVERLAP), WINDOW - OVERLAP):
+        """Over all windows of the text: the largest gain and the share of suspect ones; over the runs of words of
+        suspect windows, each run once: the largest gain that both levels agree on, and how many runs gain 2 or 4."""
+        data = b" " + b" ".join(text.lower().encode("utf-8", "replace").split())
+        step = WINDOW - OVERLAP
+        most = suspect = windows = 0
+        runs: dict[bytes, int] = {}
+        for i in range(0, max(1, len(data) - OVERLAP), step):
             gain = self.gain(data[i : i + WINDOW], FAST)
+            windows += 1
             most = max(most, gain)
             if gain >= SUSPECT:
-                words = data[max(0, i - 16) : i + WINDOW + 16].split()
-                for k in range(0, len(words), WORDS - 1):
-                    run = b" ".join(words[k : k + WORDS])
-                    if (i // (WINDOW - OVERLAP) // 2, run) not in seen:
-                        seen.add((i // (WINDOW - OVERLAP) // 2, run))
-                        runs.append((self.gain(run, FAST), self.gain(run, THOROUGH)))
-        both = [min(r) for r in runs]
-        return [min(most, 12), min(max(r[0] for r in runs), 12), min(max(r[1] for r in runs), 12), min(max(both), 12), math.log1p(sum(b >= 2 for b in both))]
+                suspect += 1
+                start = max(data.rfind(b" ", 0, i + 1), i - 24, 0)
+                end = data.find(b" ", i + WINDOW)
+                words = data[start : min(end if end >= 0 else len(data), i + WINDOW + 24)].split()
+                for k in range(0, len(words), WORDS):
+                    run = b" " + b" ".join(words[k : k + WORDS])
+                    if run not in runs:
+                        runs[run] = min(self.gain(run, FAST), self.gain(run, THOROUGH))
+        two, four = sum(b >= 2 for b in runs.values()), sum(b >= 4 for b in runs.values())
+        return [min(most, 12), min(max(runs.values(), default=0), 12), math.log1p(two), math.log1p(four), min(1, 10 * two / windows), min(1, 10 * four / windows), min(1, 3 * suspect / windows)]
 
 
 class Model:
@@ -106,8 +113,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     Rows with a NULL id, text or label are left out; a document with several labels is toxic if one says so. From a
     bounded sample (FIT_TOXIC, FIT_ORDINARY) come: how many toxic and ordinary documents have each character n-gram
-    (counted in Spark); from those much more usual in toxic documents, the stretches of toxic words they cover, which
-    make the toxic dictionary; the most frequent ordinary words, which both dictionaries share; and the weights of the
+    (counted in Spark); from those much more usual in toxic documents, the stretches of toxic words they cover and two
+    characters more, which make the toxic dictionary; the most frequent ordinary words, which both dictionaries share; and the weights of the
     windows' compression gains, by logistic regression with each label weighted back to its share. Without any toxic
     or any ordinary document the score is constant.
     """
@@ -135,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         sums = sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(counts, "g string, o long, t long").groupBy("g").agg(F.sum("o").alias("o"), F.sum("t").alias("t"))
         rate_t, rate_o = F.col("t") / n_t, (F.col("o") + 0.5) / n_o
         z = F.log(rate_t / rate_o) / F.sqrt(1 / F.col("t") + 1 / (F.col("o") + 0.5))
-        telling = {r["g"] for r in sums.where((F.col("t") >= 4) & (rate_t > 20 * rate_o) & (z > 2.6)).orderBy(F.desc(z), "g").limit(5_000).collect()}
+        telling = {r["g"] for r in sums.where((F.col("t") >= 4) & (((rate_t > 20 * rate_o) & (z > 3.0)) | (F.col("g").rlike("^ .{4}") & (rate_t > 4 * rate_o) & (z > 4)))).orderBy(F.desc(z), "g").limit(5_000).collect()}
         words = sample.select("toxic", F.explode(F.split(F.lower("text"), r"\s+")).alias("w")).where("w <> '' and length(w) <= 200").groupBy("toxic", "w").agg(F.count("*").alias("n"))
         usual = words.where("toxic = 0").orderBy(F.desc("n"), "w").limit(3_000).collect()
         ordinary = b" ".join(r["w"].encode() for r in usual)[:SHARED_BYTES] or b" "
@@ -144,17 +151,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             for batch in batches:
                 out = Counter()
                 for w, k in zip(batch.column(0), batch.column(1), strict=True):
-                    w = w.as_py()
+                    w = " " + w.as_py()
                     covered = [False] * len(w)
                     for n in GRAMS:
                         for i in range(len(w) - n + 1):
                             if w[i : i + n] in telling:
                                 covered[i : i + n] = [True] * n
+                    covered = [x or any(covered[max(0, i - 2) : i]) for i, x in enumerate(covered)]
                     out.update({s: k.as_py() for s in "".join(c if x else "\0" for c, x in zip(w, covered, strict=True)).split("\0") if s})
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], names=["s", "n"])
 
         spans = words.where("toxic = 1").select("w", "n").mapInArrow(stretches, "s string, n long").groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(600).collect()
-        toxic = b" ".join(r["s"].encode() for r in reversed(spans))[-TOXIC_BYTES:]
+        toxic = b"".join(r["s"].encode() for r in reversed(spans))[-TOXIC_BYTES:]
         if not toxic:  # nothing tells them apart: toxic text as it is
             rest = words.where("toxic = 1").orderBy(F.desc("n"), "w").limit(600).collect()
             toxic = b" ".join(r["w"].encode() for r in reversed(rest))[-TOXIC_BYTES:]
