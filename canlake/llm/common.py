@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
+import types
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,3 +40,9 @@ def cut(df: DataFrame) -> DataFrame:
 def tokenizer_path(name: str) -> str:
     """A vocabulary file of a public tokenizer; the folder is CANLAKE_TOKENIZERS or /opt/tokenizers."""
     return os.path.join(os.environ.get("CANLAKE_TOKENIZERS", "/opt/tokenizers"), name)
+
+
+def worker_store() -> dict:
+    """A dict that lives as long as the Python process, so that a reused worker builds costly objects once."""
+    module = sys.modules.setdefault("canlake_worker_store", types.ModuleType("canlake_worker_store"))
+    return module.__dict__

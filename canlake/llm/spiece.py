@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import tokenizer_path
+from .common import tokenizer_path, worker_store
 
 #: The marker that stands for a space, and the numbers of the format's piece types and model types.
 MARK = "▁"
@@ -166,6 +166,14 @@ class Codec:
         return (plain[:-1] if self.model["suffix"] else plain[1:]) if self.model["prefix"] and plain else plain
 
 
+def _codec(blob: bytes) -> Codec:
+    """The worker's codec, built once in each process."""
+    store, key = worker_store(), hashlib.sha256(blob).hexdigest()
+    if store.get("spiece_key") != key:
+        store["spiece"], store["spiece_key"] = Codec(blob), key
+    return store["spiece"]
+
+
 def verify_parity(blob: bytes, texts: list[str]) -> None:
     """Raise unless the model's own library gives the same ids and the same decoded texts."""
     import sentencepiece
@@ -209,7 +217,7 @@ def encode(docs: DataFrame, model_file: str | None = None, column: str = "text",
 
         import sentencepiece
 
-        codec, own = Codec(shared.value), sentencepiece.SentencePieceProcessor(model_proto=shared.value)
+        codec, own = _codec(shared.value), sentencepiece.SentencePieceProcessor(model_proto=shared.value)
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1)
             start = 0
@@ -244,7 +252,7 @@ def decode(tokens: DataFrame, model_file: str | None = None) -> DataFrame:
         shared = tokens.sparkSession.sparkContext.broadcast(f.read())
 
     def work(batches):
-        codec = Codec(shared.value)
+        codec = _codec(shared.value)
         for batch in batches:
             texts = codec.decode_batch([x or [] for x in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
