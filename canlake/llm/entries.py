@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, simhash, spiece, toxicity, urlfilter
+from . import htmlmain, langid, mixing, simhash, spiece, toxicity, urlfilter
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op2_mix_sources": mixing.op2_mix_sources,
         "op10_sentencepiece": spiece.op10_sentencepiece,
         "op5_toxicity": toxicity.op5_toxicity,
+        "op6_html_extraction": htmlmain.op6_html_extraction,
         "op7_simhash": simhash.op7_simhash,
         "op9_url_filters": urlfilter.op9_url_filters,
     }
