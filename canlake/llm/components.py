@@ -31,3 +31,20 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         if new.where("root <> was").limit(1).count() == 0:
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def stars(n: int, pairs) -> list[tuple[int, int]]:
+    """(member, first member) for each component of n nodes under the pairs; single nodes are left out."""
+    root = list(range(n))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    return [(i, r) for i in range(n) if (r := find(i)) != i]
