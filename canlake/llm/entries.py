@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import htmlmain, langid, mixing, simhash, spiece, suffix, toxicity, urlfilter
+from . import embdedup, htmlmain, langid, mixing, ngramjoin, simhash, spiece, suffix, toxicity, urlfilter
 
 
 def queries():
@@ -10,10 +10,12 @@ def queries():
         "op1_language_id": langid.op1_language_id,
         "op2_mix_sources": mixing.op2_mix_sources,
         "op10_sentencepiece": spiece.op10_sentencepiece,
+        "op3_embedding_near_dedup": embdedup.op3_embedding_near_dedup,
         "op4_suffix_array_dedup": suffix.op4_suffix_array_dedup,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_html_extraction": htmlmain.op6_html_extraction,
         "op7_simhash": simhash.op7_simhash,
+        "op8_ngram_jaccard": ngramjoin.op8_ngram_jaccard,
         "op9_url_filters": urlfilter.op9_url_filters,
     }
 
