@@ -14,7 +14,7 @@ from .units import by_unit, in_blocks
 #: Vectors of a label are dealt into shards of about this many; a shard has one graph.
 SHARD = 4096
 #: Links of a node in the upper layers and in the lowest one; the beam while building, and the first one while searching.
-LINKS, LINKS_0, BUILD_BEAM, BEAM = 12, 24, 32, 48
+LINKS, LINKS_0, BUILD_BEAM, BEAM = 12, 24, 48, 64
 #: A search is audited by brute force on so many of its queries, and repeated with twice the beam below this recall.
 AUDITED, RECALL = 64, 0.99
 THRESHOLD = 0.98
@@ -126,9 +126,9 @@ class Graph:
 def find_links(unit: np.ndarray, queries: np.ndarray, threshold: float = THRESHOLD, beam: int = BEAM, graph: Graph | None = None) -> tuple[np.ndarray, float]:
     """((query, node) pairs with a similarity of the threshold or more, audited recall) of unit vectors in double precision.
 
-    A query whose whole beam passes the threshold is searched again with twice the beam, so that no number of links
+    A query whose whole beam passes the threshold is searched again with a wider beam, so that no number of links
     is too many. An evenly spread sample of queries is checked by brute force; below RECALL all are searched again
-    with twice the beam, at most until the beam holds every node.
+    with twice the beam, at most until the beam holds a quarter of the nodes and all are compared.
     """
     graph = graph or Graph(unit)
     slack = threshold - 1e-4  # single precision finds, double precision decides
@@ -140,16 +140,20 @@ def find_links(unit: np.ndarray, queries: np.ndarray, threshold: float = THRESHO
         for start in range(0, len(queries), BATCH):
             todo, width = np.arange(start, min(start + BATCH, len(queries))), beam
             while len(todo):
+                if width * 4 >= len(unit):  # a beam that holds the graph is cheaper as one product, of bounded size
+                    i, j = np.nonzero(queries[todo] @ unit.T >= slack)
+                    pairs.append(np.column_stack([todo[i], j]))
+                    break
                 ids, sims = graph.search(q32[todo], width)
                 full = (sims.min(axis=1) >= slack) & (ids.shape[1] >= width) & (width < len(unit))
                 i, j = np.nonzero((sims >= slack) & ~full[:, None])
                 pairs.append(np.column_stack([todo[i], ids[i, j]]))
-                todo, width = todo[full], width * 2
+                todo, width = todo[full], width * 4
         got = np.concatenate(pairs) if pairs else np.empty((0, 2), int)
         got = got[np.einsum("kd,kd->k", queries[got[:, 0]], unit[got[:, 1]]) >= threshold]
         hit = {(int(a), int(b)) for a, b in got[np.isin(got[:, 0], sample)]}
         recall = len(hit & truth) / len(truth) if truth else 1.0
-        if recall >= RECALL or beam >= len(unit):
+        if recall >= RECALL or beam * 4 >= len(unit):
             return got, recall
         beam *= 2
 
