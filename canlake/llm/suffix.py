@@ -314,8 +314,9 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFram
     return plain.unionByName(partial).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # one text's own places
 
 
-def remove_repeats(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Each row of docs with columns (all of them unless given), n_bytes, n_removed, n_spans, kept (bytes) and kept_sha256.
+def remove_repeats(docs: DataFrame, columns: list[str] | None = None, texts: bool = True) -> DataFrame:
+    """Each row of docs with columns (all of them unless given), n_bytes, n_removed, n_spans, kept_sha256 and, if asked for,
+    kept_text: the remaining bytes as text, without pieces of characters that were cut.
 
     Every byte covered by a string of 200 bytes that starts anywhere else as well, in the same text or another, is
     removed; overlaps count, and all strings are judged on the input. NULL texts are empty, texts under 200 bytes lose
@@ -329,7 +330,7 @@ def remove_repeats(docs: DataFrame, columns: list[str] | None = None) -> DataFra
 
     def work(batches):
         for batch in batches:
-            out = [[] for _ in range(5)]
+            out = [[] for _ in added]
             for text, spans in zip(batch.column(len(names)), batch.column(len(names) + 1), strict=True):
                 data = text.as_py().encode("utf-8")
                 merged = _merge([(x["lo"], min(x["hi"], len(data))) for x in spans.as_py() or []])
@@ -338,16 +339,16 @@ def remove_repeats(docs: DataFrame, columns: list[str] | None = None) -> DataFra
                     parts.append(data[at:a])
                     at = b
                 kept = b"".join([*parts, data[at:]])
-                for col, v in zip(out, (len(data), len(data) - len(kept), len(merged), kept, hashlib.sha256(kept).hexdigest()), strict=True):
+                for col, v in zip(out, (len(data), len(data) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if texts else None), strict=False):
                     col.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names=[*names, *added])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *(pa.array(x, k) for x, k in zip(out, kinds, strict=False))], names=[*names, *added])
 
-    added = ["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]
+    added = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * texts
     kinds = dict(schema.dtypes)
-    made = schema.mapInArrow(work, ", ".join(f"{x} {kinds[x]}" for x in names) + ", n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    made = schema.mapInArrow(work, ", ".join(f"{x} {kinds[x]}" for x in names) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * texts)
     return made.select(*(F.col(x).alias(c) for x, c in zip(names, columns, strict=True)), *added)
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), ["doc_id"]).drop("kept")
+    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), ["doc_id"], texts=False)
