@@ -2,10 +2,413 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from canlake.functions import codec
+from canlake.operators import aggregate, encode, export, rates, series, topology, views
+from canlake.plans import fixtures as fx
+from canlake.plans.sql import SQL
+from canlake.schema import KEY, TRACE_LIMIT, VIEW_LIMIT
+from canlake.sources import asc, catalogue
+
+QUERIES: dict = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _frames(spark: SparkSession, d: str) -> DataFrame:
+    return fx.frames_from_events(spark, d)
+
+
+def _hexed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("data", F.hex("data")).drop("run_id")
+
+
+def _picked(spark: SparkSession, view: str = "curves") -> DataFrame:
+    return fx.selection(spark).where(F.col("view") == view)
+
+
+def _kept(spark: SparkSession, d: str) -> DataFrame:
+    return series.samples(_frames(spark, d), fx.signals(spark))
+
+
+# Logs
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    """Each frame's ASC line; every seventh line is broken in one of six ways."""
+    f = asc.render(_frames(spark, d), "line")
+    broken = [
+        F.regexp_replace("line", r"^\S+", "1d"), F.regexp_replace("line", r"(Rx|Tx)", "RX"), F.regexp_replace("line", r"^(\S+\s+\d+\s+)\S+", "$11G"),
+        F.regexp_replace("line", r"\S+$", "ZZ"), F.lit("   "), F.regexp_replace("line", r"^(\S+)\s+\d+", "$1 bus"),
+    ]
+    bad = F.lit(None).cast("string")
+    for k, b in enumerate(broken):
+        bad = F.when(F.col("seq") % 42 == 7 * k, b).otherwise(bad)
+    return f.select("seq", F.coalesce(bad, "line").alias("value"))
+
+
+@query
+def asc_scan(spark, d):
+    return asc.parse_lines(_lines(spark, d)).where("valid").select("seq", "t_us", "channel", "id", "extended", "dlc", F.hex("data").alias("data"), "dir")
+
+
+@query
+def asc_rejects(spark, d):
+    return asc.parse_lines(_lines(spark, d)).where("not valid").select("seq", "value")
+
+
+@query
+def asc_render(spark, d):
+    return asc.render(_frames(spark, d), "line").select("seq", "line")
+
+
+@query
+def replay_until(spark, d):
+    return export.replay_until(_frames(spark, d), 10_000_000).select("seq", "t_us", "channel", "id")
+
+
+@query
+def trace_export(spark, d):
+    return export.trace_rows(_frames(spark, d), fx.messages(spark), fx.VIEWS["text"])
+
+
+@query
+def stats_export(spark, d):
+    return export.stats_rows(_frames(spark, d), fx.messages(spark), fx.buses(spark))
+
+
+@query
+def messages_export(spark, d):
+    return export.messages_rows(_frames(spark, d), fx.messages(spark), fx.buses(spark))
+
+
+@query
+def history_export(spark, d):
+    rows = export.history_rows(_frames(spark, d), fx.signals(spark), _picked(spark), fx.buses(spark))
+    return rows.withColumn("value", F.round("value", 6))
+
+
+@query
+def latest_export(spark, d):
+    rows = export.latest_rows(_frames(spark, d), fx.signals(spark), _picked(spark, "panel"), fx.buses(spark))
+    return rows.withColumn("value", F.round("value", 6))
+
+
+# Catalogues
+
+
+def _catalogue_lines(spark: SparkSession, d: str) -> DataFrame:
+    """A catalogue per bus as text lines, from the table part: a message for each part with two signals."""
+    p = spark.read.parquet(f"{d}/part.parquet")
+    ident = lambda c: F.regexp_replace(c, "[^A-Za-z0-9]", "_")
+    head = F.format_string("BO_ %d %s: 8 %s", F.when(F.col("p_partkey") % 7 == 0, F.col("p_partkey") + (1 << 31)).otherwise(F.col("p_partkey")), ident("p_name"), F.when(F.col("p_size") % 10 == 0, "Vector__XXX").otherwise(ident("p_brand")))
+    size = F.format_string(' SG_ Size : 0|%d@1+ (0.5,-1) [0|%d] "cm" Panel,%s', F.col("p_size") % 16 + 1, F.col("p_size"), ident("p_brand"))
+    kind = F.format_string(' SG_ %s : 23|%d@0- (2,0) [0|0] "" Vector__XXX', ident("p_type"), F.col("p_size") % 8 + 2)
+    rows = F.array(head, size, kind, F.lit("CM_ a line of no interest"))
+    return p.select(F.concat(F.lit("bus"), (F.col("p_partkey") % 2).cast("string"), F.lit(".dbc")).alias("path"), "p_partkey", F.posexplode(rows).alias("k", "value")).select("path", (F.col("p_partkey") * 4 + F.col("k")).alias("line"), "value")
+
+
+def _part_catalogue(spark, d):
+    messages, signals, _ = catalogue.parse(_catalogue_lines(spark, d))
+    bus = F.substring("path", 4, 1).cast("int").alias("channel")
+    return messages.select(bus, "id", "extended", "name", "dlc", "transmitter"), signals.select(bus, *signals.columns[1:])
+
+
+@query
+def catalogue_scan(spark, d):
+    messages, signals, _ = catalogue.parse(_catalogue_lines(spark, d))
+    rows = signals.join(messages, ["path", "id"])
+    return rows.select("path", "id", "extended", "name", "transmitter", "ord", "signal", "start_bit", "size", "big_endian", "signed", "factor", "offset", F.array_join("receivers", ",").alias("receivers"))
+
+
+@query
+def bus_catalogue(spark, d):
+    buses = spark.createDataFrame([(0, "A", "bus0.dbc"), (1, "B", "bus1.dbc"), (2, "C", "none.dbc")], "channel int, bus_name string, dbc_path string")
+    bound = catalogue.bind(buses, catalogue.parse(_catalogue_lines(spark, d))[0])
+    return bound.groupBy("channel", "bus_name").agg(F.count("id").alias("messages"), F.coalesce(F.sum("id"), F.lit(0)).alias("ids"))
+
+
+@query
+def catalogue_search(spark, d):
+    return views.find_messages(*_part_catalogue(spark, d), "1a").select("channel", "id", "name")
+
+
+@query
+def select_matching(spark, d):
+    return views.find_messages(*_part_catalogue(spark, d), "1a", in_signals=False).select("channel", "id")
+
+
+@query
+def signal_search(spark, d):
+    return views.find_signals(*_part_catalogue(spark, d), "e1").select("channel", "id", "name", "signal")
+
+
+@query
+def signal_ranges(spark, d):
+    low, high = codec.value_range()
+    return _part_catalogue(spark, d)[1].select("channel", "id", "signal", low.alias("low"), high.alias("high"))
+
+
+@query
+def node_rx(spark, d):
+    messages, signals = _part_catalogue(spark, d)
+    nodes = messages.select("channel", F.col("transmitter").alias("node")).where("node <> ''").distinct()
+    return topology.node_rx(nodes, messages, signals)
+
+
+@query
+def selection_counts(spark, d):
+    _, signals = _part_catalogue(spark, d)
+    picked = signals.where("size % 3 = 0")
+    return aggregate.selection_counts(signals, picked).select("channel", F.coalesce("id", F.lit(-1)).alias("id"), "selected", "total")
+
+
+def _selections(spark, d):
+    _, signals = _part_catalogue(spark, d)
+    return signals.select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("view"), "channel", "id", "signal", "size").where("(view = 'a' and size % 3 = 0) or (view = 'b' and size % 2 = 0)")
+
+
+@query
+def active_signals(spark, d):
+    return topology.active_signals(_selections(spark, d))
+
+
+@query
+def selection_update(spark, d):
+    s = _selections(spark, d)
+    return topology.selection_update(s.where("view = 'a'").select("channel", "id"), s.where("view = 'b'"), s.where("size > 9"))
+
+
+# Codec
+
+
+@query
+def extract_raw(spark, d):
+    rows = series.decode(_frames(spark, d), fx.signals(spark))
+    return rows.select("seq", "signal", "raw")
+
+
+@query
+def to_physical(spark, d):
+    """Per signal: how many values, their sum and ends, after the field and its scaling."""
+    rows = series.decode(_frames(spark, d), fx.signals(spark))
+    return rows.groupBy("channel", "id", "signal").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"), F.round(F.min("value"), 6).alias("low"), F.round(F.max("value"), 6).alias("high"))
+
+
+def _writes(spark, d):
+    return series.decode(_frames(spark, d), fx.signals(spark)).select(F.col("seq").alias("frame"), "channel", "id", "ord", "signal", F.col("value").alias("phys"))
+
+
+@query
+def from_physical(spark, d):
+    """Values scaled by 3 so that some leave their field's range, as raw bits again."""
+    rows = _writes(spark, d).join(fx.signals(spark).drop("ord"), ["channel", "id", "signal"]).withColumn("phys", F.col("phys") * 3)
+    return rows.select("frame", "signal", codec.from_physical().alias("raw"))
+
+
+@query
+def pack_raw(spark, d):
+    """Each frame's fields packed one by one into empty payloads."""
+    rows = _writes(spark, d).join(fx.signals(spark).drop("ord"), ["channel", "id", "signal"]).withColumn("raw", codec.from_physical())
+    return rows.select("frame", "signal", F.hex(codec.word_to_data(codec.field_bits()[1])).alias("data"))
+
+
+@query
+def encode_batch(spark, d):
+    return encode.encode_batch(_writes(spark, d), fx.signals(spark), fx.messages(spark)).withColumn("data", F.hex("data"))
+
+
+# Filters and joins
+
+
+@query
+def scope_bus(spark, d):
+    return _hexed(views.in_scope(_frames(spark, d), 1))
+
+
+@query
+def scope_manual(spark, d):
+    return _hexed(views.in_scope(_frames(spark, d), ((0, 816), (1, 200))))
+
+
+@query
+def trace_filter(spark, d):
+    return views.trace(_frames(spark, d), fx.messages(spark), fx.VIEWS["text"]).select("seq", "channel", "id", "name", "dir")
+
+
+@query
+def messages_filter(spark, d):
+    agg = aggregate.message_agg(_frames(spark, d))
+    return views.message_rows(agg, fx.messages(spark), fx.VIEWS["dash"]).select("channel", "id", "name", "count")
+
+
+@query
+def drop_bus(spark, d):
+    return views.drop_bus(_frames(spark, d), 0).select("seq", "channel", "id")
+
+
+@query
+def trace_named(spark, d):
+    rows = views.with_names(_frames(spark, d), fx.messages(spark))
+    return rows.select("seq", codec.render_id(F.col("id"), F.col("extended")).alias("id_text"), F.coalesce("name", F.lit("-")).alias("name"), codec.render_data(F.col("data"), F.col("dlc")).alias("data"))
+
+
+@query
+def decode_signals(spark, d):
+    return series.decode(_frames(spark, d), fx.signals(spark)).select("seq", "channel", "id", "signal", F.round("value", 6).alias("value"), "unit")
+
+
+@query
+def decode_subscribed(spark, d):
+    return series.decode(_frames(spark, d), fx.signals(spark), _picked(spark)).select("seq", "channel", "id", "signal", F.round("value", 6).alias("value"))
+
+
+@query
+def unknown_ids(spark, d):
+    return topology.unknown_ids(aggregate.message_agg(_frames(spark, d)), fx.messages(spark)).select("channel", "id", "count")
+
+
+@query
+def node_tx(spark, d):
+    return topology.node_tx(fx.nodes(spark), fx.messages(spark), aggregate.message_agg(_frames(spark, d)))
+
+
+@query
+def node_activity(spark, d):
+    return topology.node_activity(fx.nodes(spark), fx.messages(spark), aggregate.message_agg(_frames(spark, d)))
+
+
+@query
+def node_summary(spark, d):
+    return topology.node_summary(fx.nodes(spark), fx.messages(spark), fx.signals(spark), aggregate.message_agg(_frames(spark, d)))
+
+
+# Aggregates
+
+
+@query
+def message_agg(spark, d):
+    return _hexed(aggregate.message_agg(_frames(spark, d)))
+
+
+@query
+def cycle_stats(spark, d):
+    return aggregate.cycle_stats(_frames(spark, d)).drop("run_id")
+
+
+@query
+def bus_share(spark, d):
+    return aggregate.bus_share(_frames(spark, d)).drop("run_id")
+
+
+@query
+def statistics(spark, d):
+    rows = aggregate.statistics(_frames(spark, d), fx.messages(spark)).drop("run_id")
+    return rows.withColumn("name", F.coalesce("name", F.lit("-"))).orderBy("channel", "id")
+
+
+@query
+def messages_decoded(spark, d):
+    last = aggregate.message_agg(_frames(spark, d))
+    return series.decode(last, fx.signals(spark)).select("channel", "id", "ord", "signal", F.round("value", 6).alias("value"), "unit")
+
+
+@query
+def run_summary(spark, d):
+    return aggregate.run_summary(_frames(spark, d), fx.signals(spark)).drop("run_id")
+
+
+@query
+def cycle_delta(spark, d):
+    return aggregate.cycle_delta(_frames(spark, d)).select("seq", "channel", "id", "count", F.coalesce("dt", F.lit(-1)).alias("dt"))
+
+
+@query
+def cycle_running(spark, d):
+    none = lambda c: F.coalesce(c, F.lit(-1)).alias(c)
+    return aggregate.cycle_running(_frames(spark, d)).select("seq", "count", F.round(F.coalesce("ewma_us", F.lit(-1.0)), 3).alias("ewma_us"), none("min_us"), none("max_us"))
+
+
+@query
+def frame_rate(spark, d):
+    return rates.frame_rate(_frames(spark, d)).drop("run_id")
+
+
+@query
+def bus_load(spark, d):
+    return rates.bus_load(_frames(spark, d)).drop("run_id")
+
+
+# Newest rows
+
+
+@query
+def trace_newest(spark, d):
+    return _hexed(views.newest(views.trace(_frames(spark, d), fx.messages(spark), fx.VIEWS["bus1"]), VIEW_LIMIT).drop("name"))
+
+
+@query
+def trace_ring(spark, d):
+    return views.newest(_frames(spark, d), TRACE_LIMIT).select("seq", "t_us", "channel", "id")
+
+
+# Series
+
+
+@query
+def signal_samples(spark, d):
+    return _kept(spark, d).select("channel", "id", "signal", "seq", "t_us", F.round("value", 6).alias("value"))
+
+
+@query
+def history_ring(spark, d):
+    return series.history(_kept(spark, d), 50).select("channel", "id", "signal", "seq", "t_us", F.round("value", 6).alias("value"))
+
+
+@query
+def signal_minmax(spark, d):
+    return series.minmax(_kept(spark, d)).select("channel", "id", "signal", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+@query
+def latest_values(spark, d):
+    return series.latest(_frames(spark, d), fx.signals(spark)).select("channel", "id", "signal", "t_us", F.round("value", 6).alias("value"), "unit", F.round("gauge", 6).alias("gauge"))
+
+
+@query
+def viewport(spark, d):
+    return series.viewport(_kept(spark, d), 10_000_000, shared=False).select("channel", "id", "signal", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+
+
+@query
+def viewport_points(spark, d):
+    rows = series.viewport_points(_kept(spark, d), 10_000_000, 10_000_000, shared=False)
+    return rows.select("channel", "id", "signal", "seq", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query
+def cursor_values(spark, d):
+    """Each series at -1, 0 and every second up to 30 s."""
+    kept = _kept(spark, d)
+    times = F.concat(F.array(F.lit(-1).cast("long")), F.transform(F.sequence(F.lit(0), F.lit(30)), lambda k: k.cast("long") * 1_000_000))
+    probes = kept.select(*KEY, "signal").distinct().withColumn("t_us", F.explode(times))
+    rows = series.as_of(kept, probes, bucket_us=4_000_000)
+    return rows.select("channel", "id", "signal", "t_us", F.coalesce(codec.format_value(F.round("value", 6)), F.lit("-")).alias("text"))
+
+
+@query
+def history_extent(spark, d):
+    return series.extent(_kept(spark, d), 30_000_000).drop("run_id")
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return {k: v for k, v in SQL.items() if k in QUERIES}
