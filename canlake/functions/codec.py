@@ -120,7 +120,8 @@ def frame_bits(extended: Column, dlc: Column) -> Column:
 
 
 def format_value(v: Column) -> Column:
-    """Fewer decimals for larger magnitudes: none from 1,000, one from 10, else two; NULL stays."""
+    """Fewer decimals for larger magnitudes: none from 1,000, one from 10, else two, rounded half up as the
+    shortest decimal form reads; NULL stays."""
     a = F.abs(v)
     return F.when(a >= 1000, F.format_string("%.0f", v)).when(a >= 10, F.format_string("%.1f", v)).when(v.isNotNull(), F.format_string("%.2f", v))
 

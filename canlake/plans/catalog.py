@@ -388,7 +388,7 @@ def viewport(spark, d):
 @query
 def viewport_points(spark, d):
     rows = series.viewport_points(_kept(spark, d), 10_000_000, 10_000_000, shared=False)
-    return rows.select("channel", "id", "signal", "seq", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    return rows.select("channel", "id", "signal", "seq", F.round("x", 7).alias("x"), F.round("y", 6).alias("y"))
 
 
 @query

@@ -118,11 +118,11 @@ SQL = {
     "latest_values": _f("SELECT channel, id, signal, max(t_us) AS t_us, round(arg_max(value, seq), 6) AS value, any_value(unit) AS unit, round(CASE WHEN any_value(hi) > any_value(lo) THEN greatest(least((arg_max(value, seq) - any_value(lo)) / (any_value(hi) - any_value(lo)), 1), 0) ELSE 0 END, 6)::DOUBLE AS gauge FROM dec GROUP BY 1, 2, 3"),
     "viewport": _f("SELECT channel, id, signal, round(min(value), 6) AS lo, round(CASE WHEN min(value) = max(value) THEN max(value) + 1 ELSE max(value) END, 6) AS hi FROM k WHERE t_us >= 10000000 GROUP BY 1, 2, 3", thin=True),
     "viewport_points": _f(
-        "SELECT channel, id, signal, seq, round(least((t_us - 10000000) / 10000000.0::DOUBLE, 1), 6) AS x, round((value - vlo) / (CASE WHEN vlo = vhi THEN 1 ELSE vhi - vlo END), 6) AS y FROM (SELECT *, min(value) OVER w AS vlo, max(value) OVER w AS vhi, count(*) OVER w AS n FROM k WHERE t_us >= 10000000 WINDOW w AS (PARTITION BY channel, id, signal)) WHERE n >= 2",
+        "SELECT channel, id, signal, seq, round(least((t_us - 10000000) / 10000000.0::DOUBLE, 1), 7) AS x, round((value - vlo) / (CASE WHEN vlo = vhi THEN 1 ELSE vhi - vlo END), 6) AS y FROM (SELECT *, min(value) OVER w AS vlo, max(value) OVER w AS vhi, count(*) OVER w AS n FROM k WHERE t_us >= 10000000 WINDOW w AS (PARTITION BY channel, id, signal)) WHERE n >= 2",
         thin=True,
     ),
     "cursor_values": _f(
-        ", pr AS (SELECT DISTINCT channel, id, signal, t FROM k, (SELECT -1 AS t UNION ALL SELECT unnest(range(0, 31)) * 1000000)), v AS (SELECT pr.channel, pr.id, pr.signal, t, (SELECT round(arg_max(value, seq), 6) FROM k WHERE k.channel = pr.channel AND k.id = pr.id AND k.signal = pr.signal AND k.t_us <= t) AS x FROM pr) SELECT channel, id, signal, t AS t_us, CASE WHEN t < 0 OR x IS NULL THEN '-' WHEN abs(x) >= 1000 THEN printf('%.0f', x) WHEN abs(x) >= 10 THEN printf('%.1f', x) ELSE printf('%.2f', x) END AS text FROM v",
+        ", pr AS (SELECT DISTINCT channel, id, signal, t FROM k, (SELECT -1 AS t UNION ALL SELECT unnest(range(0, 31)) * 1000000)), v AS (SELECT pr.channel, pr.id, pr.signal, t, (SELECT round(arg_max(value, seq), 6) FROM k WHERE k.channel = pr.channel AND k.id = pr.id AND k.signal = pr.signal AND k.t_us <= t) AS x FROM pr) SELECT channel, id, signal, t AS t_us, CASE WHEN t < 0 OR x IS NULL THEN '-' WHEN abs(x) >= 1000 THEN printf('%.0f', round(x, 0)) WHEN abs(x) >= 10 THEN printf('%.1f', round(x, 1)) ELSE printf('%.2f', round(x, 2)) END AS text FROM v",
         thin=True,
     ),
     "history_extent": _f("SELECT min(t_us) AS oldest_us, greatest(30000000 - min(t_us), 0) AS span_us FROM (SELECT *, row_number() OVER (PARTITION BY channel, id, signal ORDER BY seq DESC) AS nth FROM k) WHERE nth <= 4000", thin=True),
