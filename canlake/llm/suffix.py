@@ -17,9 +17,10 @@ from .common import cut, row_key
 #: Strings of LENGTH bytes are looked for. In each, the n-gram of GRAM bytes with the smallest hash is its anchor.
 LENGTH, GRAM = 200, 40
 #: Texts are scanned in stretches of this many bytes; suffix arrays hold about ARRAY bytes of contexts.
-STRETCH, ARRAY = 1 << 22, 1 << 21
-#: Anchors with more different contexts than this are split by the strings themselves instead.
-HOT = 2_000
+STRETCH, ARRAY = 1 << 22, 1 << 20
+#: Contexts of an anchor with more different ones than this are cut into parts of PART strings that meet by what all of
+#: those have in common; parts that are still too many meet by the single strings.
+HOT, PART = 2_000, 20
 
 _rng = np.random.default_rng(20240229)
 _TABLE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -152,11 +153,12 @@ def maximal_repeats(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[
         key = (key << np.uint64(8)) | buf[i : len(buf) - 7 + i]
     ranks = {}
     rank, size = np.unique(key, return_inverse=True)[1].astype(np.int64), 8
-    ranks[8] = rank
+    del key
+    ranks[8] = rank.astype(np.int32)
     while size < 128:
         pair = rank[:-size] * (int(rank.max()) + 1) + rank[size:]
         rank, size = np.unique(pair, return_inverse=True)[1].astype(np.int64), size * 2
-        ranks[size] = rank
+        ranks[size] = rank.astype(np.int32).astype(np.int32)
     starts = np.flatnonzero(left >= length)
     if not len(starts):
         return
@@ -269,9 +271,50 @@ def _array_spans(contexts: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, "h long, c long, lo long, hi long")
 
 
-def _hot_spans(contexts: DataFrame) -> DataFrame:
-    """The same for anchors with very many contexts: each string of LENGTH bytes around the anchor is a key of its own,
-    counted without bringing an anchor's contexts together."""
+def _parts(contexts: DataFrame) -> DataFrame:
+    """h, c, h2, c2, lead, context: contexts cut into parts of PART strings each, keyed by the bytes that these share."""
+
+    def work(batches):
+        names = ["h", "c", "h2", "c2", "lead", "context"]
+        for batch in batches:
+            rows = [[] for _ in names]
+            for h, c, lead, context in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                first, last = -lead, len(context) - LENGTH - lead  # places of the strings, relative to the anchor
+                for low in range(first // PART * PART, last + 1, PART):
+                    a, b = max(low, first), min(low + PART - 1, last)
+                    part = context[a + lead : b + lead + LENGTH]
+                    # All strings that may start at this part's places hold these bytes, so equal strings meet.
+                    shared = context[low + PART - 1 + lead : low + LENGTH + lead]
+                    h2 = xxhash.xxh64_intdigest(shared, (h + low) & 0xFFFFFFFF) - (1 << 63)
+                    c2 = xxhash.xxh64_intdigest(part, (a - low) & 0xFFFFFFFF) - (1 << 63)
+                    for col, v in zip(rows, (h, c, h2, c2, -a, part), strict=True):
+                        col.append(v)
+            kinds = [pa.int64()] * 5 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names=names)
+
+    return contexts.select("h", "c", "lead", "context").mapInArrow(work, "h long, c long, h2 long, c2 long, lead long, context binary")
+
+
+def _hot_spans(contexts: DataFrame, hot: int) -> DataFrame:
+    """h, c, lo, hi as _array_spans gives them, for anchors with very many different contexts, which never meet in one task.
+
+    Strings at the same places share the bytes between the last one's start and the first one's end: parts of contexts
+    meet by those. Equal parts are one row with a count. Parts that meet in bounded numbers go through suffix arrays,
+    the others through the strings themselves, counted as keys.
+    """
+    parts = _parts(contexts)
+    distinct = parts.groupBy("h2", "c2").agg(F.count("*").alias("n"), F.first("lead").alias("lead"), F.first("context").alias("context"))
+    sizes = distinct.groupBy("h2").agg(F.count("*").alias("k")).where("k > 1")
+    met = distinct.join(sizes, "h2").select(F.col("h2").alias("h"), F.col("c2").alias("c"), "lead", "context", "k")
+    whole = distinct.where("n > 1").select(F.col("h2").alias("h"), F.col("c2").alias("c"), (-F.col("lead")).alias("lo"), (F.length("context") - F.col("lead")).cast("long").alias("hi"))
+    spans = whole.unionByName(_array_spans(met.where(F.col("k") <= hot))).unionByName(_string_spans(met.where(F.col("k") > hot)))
+    spans = spans.groupBy("h", "c").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))  # at most PART + 1 for a part
+    back = parts.select("h", "c", "h2", "c2").join(spans.select(F.col("h").alias("h2"), F.col("c").alias("c2"), "spans"), ["h2", "c2"])
+    return back.select("h", "c", F.explode("spans").alias("s")).select("h", "c", "s.lo", "s.hi")
+
+
+def _string_spans(contexts: DataFrame) -> DataFrame:
+    """The same by each string of LENGTH bytes as a key of its own, counted without bringing an anchor's contexts together."""
 
     def work(batches):
         for batch in batches:
@@ -309,7 +352,7 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFram
     fetched = _contexts(docs, wanted)
     # A context that stands more than once is covered whole, and still counts for the others.
     whole = contexts.where("n > 1").select("h", "c", (-F.col("lead")).alias("lo"), F.col("tail").alias("hi"))
-    spans = cut(whole.unionByName(_array_spans(fetched.where("not hot"))).unionByName(_hot_spans(fetched.where("hot"))))
+    spans = cut(whole.unionByName(_array_spans(fetched.where("not hot"))).unionByName(_hot_spans(fetched.where("hot"), hot)))
     partial = contested.join(spans, ["h", "c"]).select("rid", F.greatest(F.col("pos") + F.col("lo"), F.lit(0)).alias("lo"), (F.col("pos") + F.col("hi")).alias("hi"))
     return plain.unionByName(partial).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # one text's own places
 
