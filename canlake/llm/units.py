@@ -23,8 +23,9 @@ def in_blocks(rows: DataFrame, group: str, member: str, block: int) -> DataFrame
 
 
 def by_unit(units: DataFrame, columns: list[str], schema: pa.Schema, solve) -> DataFrame:
-    """Rows of each unit go to one task, in order; solve(rows of the first block, rows of the second or None) gives columns."""
-    ready = units.select("u", "side", *columns).repartition("u").sortWithinPartitions("u", "side")
+    """Rows of each unit go to one task, blocks by the first column; solve(rows of the first block, rows of the second or
+    None) gives columns. With sorted blocks, stars of different units name the same members, and repeated links fold."""
+    ready = units.select("u", "side", *columns).repartition("u").sortWithinPartitions("u", "side", columns[0])
 
     def work(batches):
         current, held = None, ([], [])
