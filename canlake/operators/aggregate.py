@@ -13,13 +13,16 @@ from canlake.schema import KEY, NEW, OLD, TRACE_LIMIT
 BUCKET = 1 << 17
 
 
+def _last():
+    return F.struct("dir", "dlc", "data", F.col("t_us").alias("last_t_us"))
+
+
 def message_agg(frames: DataFrame) -> DataFrame:
     """One row per (run, channel, id): count, extended of its first frame; dir, dlc, data and t_us of its last.
 
     Partially aggregated before its one shuffle, so frequent messages do no harm.
     """
-    last = F.max_by(F.struct("dir", "dlc", "data", F.col("t_us").alias("last_t_us")), "seq")
-    return frames.groupBy(*KEY).agg(F.count("*").alias("count"), F.min_by("extended", "seq").alias("extended"), last.alias("last")).select(*KEY, "count", "extended", "last.*")
+    return frames.groupBy(*KEY).agg(F.count("*").alias("count"), F.min_by("extended", "seq").alias("extended"), F.max_by(_last(), "seq").alias("last")).select(*KEY, "count", "extended", "last.*")
 
 
 def _deltas(frames: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -39,23 +42,37 @@ def _deltas(frames: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return f.withColumn("dt", dt).withColumn("n", F.col("before_n") + F.col("k")).drop("lag_t", "k", "before_t", "before_n")
 
 
-def _bucket_sums(deltas: DataFrame) -> DataFrame:
-    """Per key and bucket: low, high, m (deltas) and s: the smoothed value's share that comes from the bucket, at its end.
+def _bucket_sums(deltas: DataFrame, frames_too: bool = False) -> DataFrame:
+    """Per key and bucket: low, high, m (deltas) and s: the smoothed value's share that comes from the bucket, at its end;
+    with frames_too also count, extended of the first frame and last: dir, dlc, data and last_t_us of the last.
 
     The smoothed value is linear in the deltas: the first has weight 0.9^r, the others 0.1 * 0.9^r, with r deltas after it.
     """
     r = F.row_number().over(W.partitionBy(*KEY, "bucket").orderBy(F.desc("seq"))) - 1
     weight = F.pow(F.lit(OLD), r) * F.when(F.col("n") == 2, 1.0).otherwise(NEW)
+    more = [F.count("*").alias("count"), F.min_by("extended", "seq").alias("extended"), F.max_by(_last(), "seq").alias("last")] if frames_too else []
     d = deltas.withColumn("part", F.when(F.col("dt").isNotNull(), weight * F.col("dt")))
-    return d.groupBy(*KEY, "bucket").agg(F.min("dt").alias("low"), F.max("dt").alias("high"), F.count("dt").alias("m"), F.coalesce(F.sum("part"), F.lit(0.0)).alias("s"))
+    return d.groupBy(*KEY, "bucket").agg(F.min("dt").alias("low"), F.max("dt").alias("high"), F.count("dt").alias("m"), F.coalesce(F.sum("part"), F.lit(0.0)).alias("s"), *more)
 
 
-def cycle_stats(frames: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """run_id, channel, id, cycle_min_ms, cycle_avg_ms (smoothed), cycle_max_ms; 0 for messages with one frame."""
+def _cycles(sums: DataFrame, *more) -> DataFrame:
     after = F.sum("m").over(W.partitionBy(*KEY).orderBy(F.desc("bucket")).rowsBetween(W.unboundedPreceding, -1))
-    sums = _bucket_sums(_deltas(frames, bucket)).withColumn("share", F.col("s") * F.pow(F.lit(OLD), F.coalesce(after, F.lit(0))))
+    sums = sums.withColumn("share", F.col("s") * F.pow(F.lit(OLD), F.coalesce(after, F.lit(0))))
     ms = lambda c: F.coalesce(c, F.lit(0)) / 1000.0
-    return sums.groupBy(*KEY).agg(ms(F.min("low")).alias("cycle_min_ms"), F.round(ms(F.sum("share")), 6).alias("cycle_avg_ms"), ms(F.max("high")).alias("cycle_max_ms"))
+    cycles = ms(F.min("low")).alias("cycle_min_ms"), F.round(ms(F.sum("share")), 6).alias("cycle_avg_ms"), ms(F.max("high")).alias("cycle_max_ms")
+    return sums.groupBy(*KEY).agg(*cycles, *more)
+
+
+def cycle_stats(frames: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """run_id, channel, id, cycle_min_ms, cycle_avg_ms (smoothed), cycle_max_ms; 0 for messages with one frame."""
+    return _cycles(_bucket_sums(_deltas(frames, bucket)))
+
+
+def summary(frames: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """message_agg and cycle_stats of each message in one pass."""
+    more = F.sum("count").alias("count"), F.min_by("extended", "bucket").alias("extended"), F.max_by("last", "bucket").alias("last")
+    out = _cycles(_bucket_sums(_deltas(frames, bucket), frames_too=True), *more)
+    return out.select(*KEY, "count", "extended", "last.*", "cycle_min_ms", "cycle_avg_ms", "cycle_max_ms")
 
 
 def cycle_delta(frames: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -98,11 +115,11 @@ def cycle_running(frames: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 def statistics(frames: DataFrame, messages: DataFrame) -> DataFrame:
     """Per message: name, count, share of the frames in percent, extended, dlc and cycle times. Runs have totals of their own."""
-    agg = message_agg(frames).join(cycle_stats(frames), KEY)
+    agg = summary(frames)
     total = F.sum("count").over(W.partitionBy("run_id"))
     share = F.when(total > 0, F.round(F.col("count") / total * 100, 6)).otherwise(0.0)
-    named = agg.withColumn("share", share).join(F.broadcast(messages.select("channel", "id", "name")) if _small(messages) else messages.select("channel", "id", "name"), ["channel", "id"], "left")
-    return named.select(*KEY, "name", "count", "share", "extended", "dlc", "cycle_min_ms", "cycle_avg_ms", "cycle_max_ms")
+    names = messages.select("channel", "id", "name")
+    return agg.withColumn("share", share).join(names, ["channel", "id"], "left").select(*KEY, "name", "count", "share", "extended", "dlc", "cycle_min_ms", "cycle_avg_ms", "cycle_max_ms")
 
 
 #: Catalogues are broadcast up to this many rows.

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from canlake.functions.codec import render_data
 from canlake.operators import views
-from canlake.operators.aggregate import cycle_stats, message_agg, statistics
+from canlake.operators.aggregate import statistics, summary
 from canlake.operators.series import history, latest, samples
 from canlake.operators.views import View
-from canlake.schema import KEY, TRACE_LIMIT
+from canlake.schema import TRACE_LIMIT
 from canlake.sources.asc import render_line
 
 
@@ -25,7 +25,7 @@ def stats_rows(frames: DataFrame, messages: DataFrame, buses: DataFrame) -> Data
 
 
 def messages_rows(frames: DataFrame, messages: DataFrame, buses: DataFrame, view: View = View()) -> DataFrame:
-    agg = message_agg(frames).join(cycle_stats(frames), KEY)
+    agg = summary(frames)
     rows = bus_name(views.message_rows(agg, messages, view), buses).orderBy("channel", "id")
     return rows.select("bus", "id", "name", "dir", "count", F.col("cycle_avg_ms").alias("cycle_ms"), "dlc", render_data(F.col("data"), F.col("dlc")).alias("data"))
 
