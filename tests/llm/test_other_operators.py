@@ -112,6 +112,8 @@ PAGES = [
     ("<main><ul><li>x<li>y</ul><script>'<p>no</p>'</script><style>p{}</style><form>f</form></main><p>out", "x\ny"),
     ("<p>unclosed <b>tags <!-- note --> stay &lt;here&gt; &quo", "unclosed tags stay <here> &quo"),
     ("<div id=cookie-notice>n</div><div>kept</div><script>never closed <p>x", "kept"),
+    ("<div class='page no-sidebar'><p>main</p><div class='left sidebar'>gone</div></div><div class='nav-wrap'><main>kept</main>x</div>", "kept"),
+    ("<div class='page no-sidebar'><p>main</p><div class='left sidebar'>gone</div></div>", "main"),
     ("plain text only\n\n  spaced", "plain text only spaced"),
     ("", ""),
     (None, ""),
