@@ -53,3 +53,8 @@ def replay_until(frames: DataFrame, cutoff_us: int) -> DataFrame:
     """Each run's frames in arrival order up to the first one later than the cutoff."""
     late = frames.where(F.col("t_us") > cutoff_us).groupBy("run_id").agg(F.min("seq").alias("stop"))
     return frames.join(late, "run_id", "left").where(F.col("stop").isNull() | (F.col("seq") < F.col("stop"))).drop("stop")
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """CSV files with a header each, in the rows' order over the files; values aren't quoted unless they need it."""
+    rows.write.option("header", True).csv(path)

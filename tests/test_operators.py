@@ -140,3 +140,30 @@ def test_rates_fill_gaps_and_start_late(spark):
 def test_sets(spark):
     k = lambda *x: spark.createDataFrame(list(x), "channel int, id long")
     assert sorted(map(tuple, topology.selection_update(k((0, 1), (0, 2)), k((0, 2), (0, 3)), k((0, 1))).collect())) == [(0, 2), (0, 3)]
+
+
+def test_runs_are_kept_apart(spark):
+    rows = [("a", 1, 10, 0, 5), ("a", 2, 30, 0, 5), ("b", 3, 35, 0, 5)]
+    f = spark.createDataFrame([(*r, False, 8, bytes(8), "Rx") for r in rows], schema.FRAMES)
+    got = {r["run_id"]: (r["count"], r["share"], r["cycle_avg_ms"]) for r in aggregate.statistics(f, fx.messages(spark)).collect()}
+    assert got == {"a": (2, 100.0, 0.02), "b": (1, 100.0, 0.0)}
+    assert {r["run_id"] for r in series.thin(f, 50).collect()} == {"a", "b"} and rates.frame_rate(f).count() == 2
+
+
+def test_strict_scan_and_csv(spark, tmp_path):
+    from canlake.operators import export
+
+    lines = spark.createDataFrame([("0.1 1 7 Rx d 8 01",), ("0.1 1 7 Rx 8 01",)], "value string")
+    assert asc.parse_lines(lines).where("valid").count() == 2 and asc.parse_lines(lines, strict=True).where("valid").count() == 1
+    f = frames(spark, [(1, 1, 0, 816, False, 3, bytes([1, 2, 3, 0, 0, 0, 0, 0]), "Rx"), (2, 5, 3, 7)])
+    export.write_csv(export.messages_rows(f, fx.messages(spark), fx.buses(spark)), str(tmp_path / "csv"))
+    got = spark.read.option("header", True).csv(str(tmp_path / "csv")).orderBy("bus").collect()
+    assert [tuple(r) for r in got] == [("CAN1", "816", "StopInfo", "Rx", "1", "0.0", "3", "01 02 03"), ("CAN4", "7", "-", "Rx", "1", "0.0", "8", "00 00 00 00 00 00 00 00")]
+
+
+def test_empty_frames(spark):
+    f = frames(spark, [(1, 1, 0, 1)]).limit(0)
+    m, s = fx.messages(spark), fx.signals(spark)
+    for out in (aggregate.statistics(f, m), aggregate.cycle_running(f), series.samples(f, s), series.latest(f, s), rates.bus_load(f), views.trace(f, m, View(text="a"))):
+        assert out.count() == 0
+    assert {r["active"] for r in topology.node_activity(fx.nodes(spark), m, aggregate.message_agg(f)).collect()} == {False}
