@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, row_key
 from .components import components, stars
 from .units import by_unit, in_blocks
 
@@ -112,29 +112,36 @@ def linked(sets: list[np.ndarray], others: list[np.ndarray], pairs: np.ndarray,
     return out
 
 
+def _class(s: np.ndarray) -> int:
+    """The class of a shingle set."""
+    return xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63)
+
+
 def _classes(docs: DataFrame) -> DataFrame:
-    """docs(key, text) -> key, cls, bands: the class of equal shingle sets (NULL without words) and the set's bands."""
+    """docs(key, row, text) -> key, row, cls, bands: the class of equal shingle sets (NULL without words) and the set's bands."""
 
     def work(batches):
         for batch in batches:
             cls, bands = [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 s = shingles(text.as_py() or "")
-                cls.append(xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
+                cls.append(_class(s) if len(s) else None)
                 bands.append(_bands(minhash(s)) if len(s) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["key", "cls", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cls, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["key", "row", "cls", "bands"])
 
-    return docs.mapInArrow(work, "key long, cls long, bands array<long>")
+    return docs.mapInArrow(work, "key long, row long, cls long, bands array<long>")
 
 
 def _signed(members: DataFrame) -> DataFrame:
-    """members(..., text) -> ..., sig: MinHash values and, packed, the shingle set itself."""
+    """members(cls, ..., text) -> ..., sig, shingles of the rows whose text is of the class: MinHash values and, packed, the shingle set itself."""
     names = [c for c in members.columns if c != "text"]
     kinds = dict(members.dtypes)
 
     def work(batches):
         for batch in batches:
             sets = [shingles(t.as_py() or "") for t in batch.column(len(names))]
+            own = [i for i, cls in enumerate(batch.column(names.index("cls")).to_pylist()) if len(sets[i]) and _class(sets[i]) == cls]
+            batch, sets = batch.take(pa.array(own, pa.int64())), [sets[i] for i in own]
             cols = [pa.array([minhash(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *cols], names=[*names, "sig", "shingles"])
 
@@ -142,16 +149,16 @@ def _signed(members: DataFrame) -> DataFrame:
 
 
 def similar(docs: DataFrame) -> DataFrame:
-    """docs(key, text), one row or more for each key -> key, cls, class_id, component_id, n_links.
+    """docs(key, text), keys NULL or repeated with other texts included -> key, cls, class_id, component_id, n_links.
 
-    Texts with equal sets of shingles form a class; class_id is the class's smallest key. n_links counts the other rows
+    Texts with equal sets of shingles form a class; class_id is the class's smallest key (NULL where all its keys are). n_links counts the other rows
     whose set has a Jaccard similarity of at least 0.8 with the row's. component_id is the smallest key that links
     lead to. Rows without words (NULL, empty or blank texts) have no links and are classes of their own.
     """
-    docs = docs.select("key", "text")
+    docs = docs.select("key", row_key(F.col("key"), F.col("text")).alias("row"), "text")
     rows = cut(_classes(docs))
     worded = rows.where("cls is not null")
-    classes = worded.groupBy("cls").agg(F.min("key").alias("class_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    classes = worded.groupBy("cls").agg(F.min("key").alias("class_id"), F.min("row").alias("row"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     classes = cut(classes)
     bands = classes.select("cls", F.explode("bands").alias("band"))
 
@@ -159,9 +166,9 @@ def similar(docs: DataFrame) -> DataFrame:
     groups = bands.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.xxhash64("cls").cast("decimal(20,0)")).alias("who")).where("n > 1")
     groups = groups.groupBy("n", "who").agg(F.min("band").alias("band")).select("band")
     members = bands.join(groups, "band").select("band", "cls")
-    chosen = members.select("cls").distinct().join(classes.select("cls", "class_id", "copies"), "cls")
+    chosen = members.select("cls").distinct().join(classes.select("cls", "row", "copies"), "cls")
     # One text of each class that has a candidate, with its MinHash values and its shingles.
-    text = docs.join(chosen.withColumnRenamed("class_id", "key"), "key").select("cls", "key", "copies", "text")
+    text = docs.join(chosen, "row").select("cls", "copies", "text")
     signed = cut(_signed(text).dropDuplicates(["cls"]))
 
     def prune(a, b):

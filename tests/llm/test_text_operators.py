@@ -122,6 +122,25 @@ def test_ngram_join_equals_brute_force(spark):
     assert ngramjoin.similar(empty(spark).select(F.col("doc_id").alias("key"), "text")).count() == 0
 
 
+def test_ngram_join_of_null_and_repeated_ids_equals_brute_force(spark):
+    rnd = random.Random(21)
+    rows = []
+    for g in [text_of(rnd, n) for n in (80, 60, 120, 90)]:
+        for k in range(6):
+            w = g.split()
+            w[5 * k + 2] = "changed"
+            # Some classes have NULL ids only; ids 1 to 3 stand on rows of all four groups.
+            rows.append((None if k % 2 else k // 2 + 1, " ".join(w)))
+    rows += rows[:2]
+    docs = spark.createDataFrame(rows, "key long, text string")
+    sets = [set(ngramjoin.shingles(t).tolist()) for _, t in rows]
+    near = [[len(a & b) >= 0.8 * len(a | b) - 1e-9 for b in sets] for a in sets]
+    want = sorted((str(i), sum(n) - 1) for (i, _), n in zip(rows, near, strict=True))
+    assert sum(n for _, n in want) >= 60
+    for shuffled in (docs, docs.repartition(3, "text")):
+        assert sorted((str(r["key"]), r["n_links"]) for r in ngramjoin.similar(shuffled).collect()) == want
+
+
 def test_mixing_meets_targets_and_reruns_agree(spark):
     rnd = random.Random(2)
     rows = [(k, text_of(rnd, rnd.randrange(0, 90)) if k % 11 else None, rnd.choice(["a", "a", "a", "b", "c", None, "é"]), "x") for k in range(400)]
