@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,8 @@ SHARD = 4096
 LINKS, LINKS_0, BUILD_BEAM, BEAM = 12, 24, 48, 64
 #: A search is audited by brute force on so many of its queries, and repeated with twice the beam below this recall.
 AUDITED, RECALL = 64, 0.99
+#: All units together are audited on 1, 8 or all 64 of 64 queries, until these have so many true links.
+SHARES, AUDITED_LINKS = (1, 8, 64), 200
 THRESHOLD = 0.98
 BATCH = 256
 
@@ -123,18 +127,30 @@ class Graph:
         return beam_search(self.vectors, self.layers[0], queries, self._entries(queries, 0), beam)
 
 
+def true_links(unit: np.ndarray, queries: np.ndarray, sample: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """(query, node) pairs of the sampled queries by brute force; where the queries are the unit, none with themselves."""
+    found = [np.empty((0, 2), int)]
+    for start in range(0, len(sample), BATCH):
+        some = sample[start : start + BATCH]
+        i, j = np.nonzero(queries[some] @ unit.T >= threshold)
+        found.append(np.column_stack([some[i], j]))
+    got = np.concatenate(found)
+    return got[got[:, 0] != got[:, 1]] if queries is unit else got
+
+
 def find_links(unit: np.ndarray, queries: np.ndarray, threshold: float = THRESHOLD, beam: int = BEAM, graph: Graph | None = None) -> tuple[np.ndarray, float]:
     """((query, node) pairs with a similarity of the threshold or more, audited recall) of unit vectors in double precision.
 
     A query whose whole beam passes the threshold is searched again with a wider beam, so that no number of links
     is too many. An evenly spread sample of queries is checked by brute force; below RECALL all are searched again
-    with twice the beam, at most until the beam holds a quarter of the nodes and all are compared.
+    with twice the beam, at most until the beam holds a quarter of the nodes and all are compared. A sample without
+    true links (a vector's link with itself is none) says nothing: near_duplicates audits all units together.
     """
-    graph = graph or Graph(unit)
+    graph = graph or (Graph(unit) if beam * 4 < len(unit) else None)
     slack = threshold - 1e-4  # single precision finds, double precision decides
     q32 = np.ascontiguousarray(queries, np.float32)
     sample = np.unique(np.linspace(0, len(queries) - 1, min(AUDITED, len(queries))).astype(int))
-    truth = {(int(sample[i]), int(j)) for i, j in np.argwhere(queries[sample] @ unit.T >= threshold)}
+    truth = set(map(tuple, true_links(unit, queries, sample, threshold).tolist()))
     while True:
         pairs = []
         for start in range(0, len(queries), BATCH):
@@ -158,7 +174,7 @@ def find_links(unit: np.ndarray, queries: np.ndarray, threshold: float = THRESHO
         beam *= 2
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, graph: type = Graph) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors(vec_id, embedding, label).
 
     Rows are compared within equal labels that aren't NULL, by cosine in double precision; vectors that are NULL, empty
@@ -166,6 +182,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     one node with a count, so copies cost nothing. n_links counts the other rows that a row is linked with directly;
     component_id is the smallest vec_id reachable, the row's own included; kept says that it is the row's own. NULL
     vec_ids are never smallest; a row that reaches none has a NULL component and isn't kept.
+
+    Hash-chosen queries are audited by brute force against all shards of their label, as many as it takes to see
+    AUDITED_LINKS true links; below RECALL over all units every unit is searched again with a wider beam. Audited
+    links are in the result, so if it takes all queries, the result is exact and no graph is searched.
     """
     x = F.col("embedding").cast("array<double>")
     sound = F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0), F.lit(False))
@@ -173,17 +193,53 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     nodes = rows.where("sound").groupBy("label", "x").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first"))
     nodes = nodes.withColumn("node", F.xxhash64("label", "x")).withColumn("g", F.struct("label", F.size("x").alias("size")))
 
-    def solve(a, b):
+    blocks = in_blocks(nodes.select("g", "node", "copies", "x"), "g", "node", SHARD)
+    schema = pa.schema([pa.field(c, pa.int64()) for c in ("a", "b", "links")])
+
+    def units(a, b):
+        """The unit vectors that are searched and those that search."""
+
         def unit(rows):
             m = np.array([r[2] for r in rows], np.float64)
             m = m / np.abs(m).max(axis=1, keepdims=True)
             return m / np.linalg.norm(m, axis=1, keepdims=True)
 
-        ua, ub = unit(a), unit(b) if b else None
-        if b is not None and not b:
+        ua = unit(a)
+        return ua, ua if b is None else unit(b)
+
+    def audited(queries, share):
+        return np.flatnonzero(np.array([r[0] for r in queries], np.int64) % 64 < share)
+
+    def count(share):
+        def solve(a, b):
+            if b == [] or len(a) <= 4 * BEAM:
+                return [], [], []
+            ua, q = units(a, b)
+            return [None], [len(true_links(ua, q, audited(b or a, share), threshold))], [0]
+
+        return by_unit(blocks, ["node", "copies", "x"], schema, solve).agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0))).first()
+
+    share = SHARES[0]
+    for share in SHARES[:-1]:
+        searched, true = count(share)
+        if not searched or true >= AUDITED_LINKS:
+            break
+    else:
+        share = SHARES[-1]  # links are so few that only an audit of all queries sees enough
+
+    def solve(a, b, beam):
+        if b == []:
             return [], [], []
         rows = a if b is None else a + b
-        pairs, _ = find_links(ua, ua if b is None else ub, threshold)
+        ua, q = units(a, b)
+        audit = [], [], []
+        if len(a) > 4 * BEAM:
+            truth = true_links(ua, q, audited(b or a, share), threshold)
+            pairs = truth if share == SHARES[-1] else find_links(ua, q, threshold, beam, graph(ua) if beam * 4 < len(ua) else None)[0]
+            audit = [None], [len(truth)], [int(np.isin(truth @ [len(ua), 1], pairs @ [len(ua), 1]).sum())]
+            pairs = np.concatenate([pairs, truth])
+        else:
+            pairs, _ = find_links(ua, q, threshold)
         if b is None:
             pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
         else:
@@ -193,10 +249,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         np.add.at(links, pairs[:, 1], copies[pairs[:, 0]])
         root = dict(stars(len(rows), pairs.tolist()))
         some = np.flatnonzero(links).tolist()
-        return [rows[i][0] for i in some], [rows[root.get(i, i)][0] for i in some], links[some].tolist()
+        return [rows[i][0] for i in some] + audit[0], [rows[root.get(i, i)][0] for i in some] + audit[1], links[some].tolist() + audit[2]
 
-    schema = pa.schema([pa.field(c, pa.int64()) for c in ("a", "b", "links")])
-    found = cut(by_unit(in_blocks(nodes.select("g", "node", "copies", "x"), "g", "node", SHARD), ["node", "copies", "x"], schema, solve))
+    beam = BEAM
+    while True:
+        found = cut(by_unit(blocks, ["node", "copies", "x"], schema, partial(solve, beam=beam)))
+        true, hits = found.where("a is null").agg(F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("links"), F.lit(0))).first()
+        if hits >= RECALL * true or beam >= SHARD:
+            break
+        beam *= 4  # units that a beam holds a quarter of are compared as one product
+    found = found.where("a is not null")
     counts = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     joined = components(found.select("a", "b"))
     known = nodes.select("node", "copies", "first").join(counts, "node", "left").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))

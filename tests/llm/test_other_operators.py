@@ -86,6 +86,34 @@ def test_graph_search_recall():
     assert recall >= 0.98 and found <= want and len(found) >= 0.95 * len(want)
 
 
+def test_sparse_links_that_graphs_miss_are_audited(spark, monkeypatch):
+    class Blind:
+        """Finds each vector itself and nothing else."""
+
+        def __init__(self, vectors):
+            self.vectors = vectors
+
+        def search(self, queries, beam):
+            sims = queries @ self.vectors.T
+            top = np.argmax(sims, axis=1)[:, None]
+            return top, np.take_along_axis(sims, top, 1)
+
+    rnd = np.random.default_rng(6)
+    v = rnd.normal(size=(1200, 24))
+    v = np.concatenate([v, v[:60] + rnd.normal(size=(60, 24)) * 0.02])
+    df = spark.createDataFrame([(k, x.tolist(), 1) for k, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    want = ((v @ v.T >= 0.98).sum(axis=1) - 1).tolist()
+    assert 100 <= sum(want) <= 140
+    monkeypatch.setattr(embdedup, "SHARD", 700)  # so that units are larger than what is compared as one product
+    for graph, enough in ((Blind, 200), (Blind, 5), (embdedup.Graph, 5)):
+        monkeypatch.setattr(embdedup, "AUDITED_LINKS", enough)
+        got = {r["vec_id"]: r["n_links"] for r in embdedup.near_duplicates(df, graph=graph).collect()}
+        recall = sum(got.values()) / sum(want)
+        print(graph.__name__, enough, "recall of links", recall)
+        assert recall >= 0.99 and all(got[i] <= n for i, n in enumerate(want))
+
+
 def test_components_of_random_graphs_and_chains(spark):
     rnd = random.Random(2)
     edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(1000, 1060)] + [(5, 5), (None, 3)]
