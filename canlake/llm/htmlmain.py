@@ -132,38 +132,43 @@ def parse(page: str) -> tuple[list[tuple[str, bool, tuple[int, ...]]], list[tupl
     return blocks, [tuple(n) for n in nodes]
 
 
-def candidates(page: str) -> list[tuple[str, list[int]]]:
-    """(block, hashes of the subtrees around it that may be template) of what is main text or may be.
-
-    Where a page has articles or a main element, what they hold is main text for good and the rest is left out; else
-    every block outside boilerplate elements stays, with the hashes of its subtrees up to the body.
-    """
+def subtrees(page: str) -> list[tuple[str, bool, list[int]]]:
+    """(block, whether inside an article or main element, hashes of the subtrees around it that may be template) of all
+    outside boilerplate elements. What articles hold is no template, nor are subtrees around them, up to the body."""
     blocks, nodes = parse(page)
-    if any(b[1] for b in blocks):
-        return [(b[0], []) for b in blocks if b[1]]
-    hashes = [None if tag in ("html", "body") or first == last else xxhash.xxh64_intdigest(tag + "\0" + "\n".join(b[0] for b in blocks[first:last])) - (1 << 63) for tag, first, last, _ in nodes]
-    return [(text, [hashes[n] for n in around if hashes[n] is not None]) for text, _, around in blocks]
+    hashes = [None if main or tag in ("html", "body") or first == last else xxhash.xxh64_intdigest(tag + "\0" + "\n".join(b[0] for b in blocks[first:last])) - (1 << 63) for tag, first, last, main in nodes]
+    return [(text, main, [] if main else [hashes[n] for n in around if hashes[n] is not None]) for text, main, around in blocks]
+
+
+def candidates(page: str) -> list[tuple[str, list[int]]]:
+    """(block, hashes of the subtrees around it that may be template) of a page's articles or main element, and of every
+    block of a page without them."""
+    found = subtrees(page)
+    inside = any(main for _, main, _ in found)
+    return [(text, hashes) for text, main, hashes in found if main == inside]
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
-    """key, page_id, url, host, blocks, around for each page."""
+    """key, page_id, url, host, blocks, inside, around for each page."""
 
     def work(batches):
         for batch in batches:
-            found = [candidates(h.as_py() or "") for h in batch.column("html")]
+            found = [subtrees(h.as_py() or "") for h in batch.column("html")]
             arrays = [batch.column(c) for c in ("key", "page_id", "url", "host")]
-            arrays.append(pa.array([[b for b, _ in f] for f in found], pa.list_(pa.string())))
-            arrays.append(pa.array([[h for _, h in f] for f in found], pa.list_(pa.list_(pa.int64()))))
-            yield pa.RecordBatch.from_arrays(arrays, names=["key", "page_id", "url", "host", "blocks", "around"])
+            arrays.append(pa.array([[b for b, _, _ in f] for f in found], pa.list_(pa.string())))
+            arrays.append(pa.array([[m for _, m, _ in f] for f in found], pa.list_(pa.bool_())))
+            arrays.append(pa.array([[h for _, _, h in f] for f in found], pa.list_(pa.list_(pa.int64()))))
+            yield pa.RecordBatch.from_arrays(arrays, names=["key", "page_id", "url", "host", "blocks", "inside", "around"])
 
     page_id, url = F.col("page_id").cast("long"), F.col("url")
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[^:]*://([^/?#]*)", 1))
     rows = pages.select(F.xxhash64(page_id.cast("string"), url, "html").alias("key"), page_id.alias("page_id"), url.alias("url"), host.alias("host"), F.col("html").alias("html"))
-    return rows.mapInArrow(work, "key long, page_id long, url string, host string, blocks array<string>, around array<array<long>>")
+    return rows.mapInArrow(work, "key long, page_id long, url string, host string, blocks array<string>, inside array<boolean>, around array<array<long>>")
 
 
 def templates(parsed: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host, h of subtrees on at least min_pages pages of the host and min_share of its pages. Counts cover every page."""
+    """host, h of subtrees on at least min_pages pages of the host and min_share of its pages. Counts cover every page,
+    those with articles by what is outside them."""
     own = parsed.select("host", F.explode(F.array_distinct(F.flatten("around"))).alias("h"))
     counts = own.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     totals = parsed.groupBy("host").agg(F.count("*").alias("total"))
@@ -174,12 +179,19 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     """page_id, url, text, n_chars for each row of pages(page_id, url, html).
 
     Character references are decoded, white space inside a block becomes one space, blocks are joined by line feeds.
-    A NULL or empty html has an empty text; repeated rows count as pages of their own. Pages without a host form one
+    Of a page with an article or main element that alone stays, unless it is shorter than what is left outside it when
+    templates are gone: then that stays too. A NULL or empty html has an empty text; repeated rows count as pages of their own. Pages without a host form one
     host. Unclosed elements end with their parent, unclosed comments and raw text with the page.
     """
     parsed = _parsed(pages)
-    text = lambda b: F.array_join(b, "\n")
-    done = parsed.where(F.size(F.flatten("around")) == 0).select("page_id", "url", text(F.col("blocks")).alias("text"))
+    size = lambda bs: F.aggregate(bs, F.lit(0).cast("long"), lambda n, b: n + F.char_length(b["blocks"]))
+
+    def text(gone):
+        stay = F.filter(F.arrays_zip("blocks", "inside", "around"), lambda b: b["inside"] | ~F.arrays_overlap(b["around"], gone))
+        inside, outside = F.filter(stay, lambda b: b["inside"]), F.filter(stay, lambda b: ~b["inside"])
+        return F.array_join(F.transform(F.when(size(inside) >= size(outside), inside).otherwise(stay), lambda b: b["blocks"]), "\n")
+
+    done = parsed.where(F.size(F.flatten("around")) == 0).select("page_id", "url", text(F.array().cast("array<long>")).alias("text"))
     open_ = parsed.where(F.size(F.flatten("around")) > 0)
     hits = (
         open_.select("key", "host", F.explode(F.array_distinct(F.flatten("around"))).alias("h"))
@@ -188,8 +200,7 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
         .agg(F.collect_set("h").alias("gone"))  # at most one page's subtrees
     )
     left = open_.join(hits, "key", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<long>")))
-    stay = F.filter(F.arrays_zip("blocks", "around"), lambda b: ~F.arrays_overlap(b["around"], F.col("gone")))
-    cleaned = left.select("page_id", "url", text(F.transform(stay, lambda b: b["blocks"])).alias("text"))
+    cleaned = left.select("page_id", "url", text(F.col("gone")).alias("text"))
     return done.unionByName(cleaned).withColumn("n_chars", F.char_length("text").cast("long"))
 
 

@@ -163,3 +163,13 @@ def test_templates_go_per_host(spark):
     by = {r["page_id"]: r["text"] for r in got}
     assert by[0] == "own 0\nrare" and by[5] == "own 5" and by[51] == "same top" and by[60] == "" and by[None] == ""
     assert all(r["n_chars"] == len(r["text"]) for r in got) and htmlmain.main_text(pages.limit(0)).count() == 0
+
+
+def test_templates_are_counted_on_pages_with_articles(spark):
+    menu = "<div><p>same menu</p></div>"
+    rows = [(k, f"http://h.x/{k}", f"<body>{menu}<article><p>own article {k}</p></article></body>") for k in range(17)]
+    rows += [(17 + k, f"http://h.x/{17 + k}", f"<body>{menu}<div><p>own page {k}</p></div></body>") for k in range(3)]
+    rows += [(20, "http://h.x/20", f"<body>{menu}<article><p>small</p></article><div><p>the longer text of the page</p></div></body>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    by = {r["page_id"]: r["text"] for r in htmlmain.main_text(pages).collect()}
+    assert by == {k: f"own article {k}" for k in range(17)} | {17 + k: f"own page {k}" for k in range(3)} | {20: "small\nthe longer text of the page"}
