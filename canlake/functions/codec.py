@@ -57,39 +57,70 @@ def to_physical(raw: str = "raw", size: str = "size", signed: str = "signed", fa
     return F.expr(f"(CASE WHEN {signed} AND {size} BETWEEN 1 AND 64 THEN cast({extended} as double) ELSE {unsigned} END) * {factor} + {offset}")
 
 
+def _quotient(phys: str, factor: str, offset: str) -> str:
+    """(phys - offset) / factor; 0 where that is no number, infinite where only the factor is 0."""
+    d = f"({phys} - {offset})"
+    return f"nanvl(CASE WHEN {factor} <> 0 THEN {d} / nullif({factor}, 0D) WHEN {d} = 0 THEN 0D ELSE {d} * double('Infinity') END, 0D)"
+
+
+def _raw(q: str, size: str, signed: str) -> str:
+    near = f"rint({q})"
+    rounded = f"(CASE WHEN abs({q} - {near}) = 0.5D THEN {q} + signum({q}) * 0.5D ELSE {near} END)"
+    v = f"(CASE WHEN {q} >= 9223372036854775807D THEN 9223372036854775807L WHEN {q} <= -9223372036854775808D THEN -9223372036854775807L - 1L ELSE cast({rounded} as bigint) END)"
+    half = f"shiftleft(1L, {size} - 1)"
+    clamped = f"CASE WHEN {signed} THEN greatest(-{half}, least({half} - 1L, {v})) ELSE greatest(0L, least({_mask(size)}, {v})) END"
+    return f"CASE WHEN {size} BETWEEN 1 AND 63 THEN ({clamped}) & {_mask(size)} ELSE {v} END"
+
+
 def from_physical(phys: str = "phys", size: str = "size", signed: str = "signed", factor: str = "factor", offset: str = "offset") -> Column:
     """round((phys - offset) / factor), half away from zero, clamped to the field's range where it has 1 to 63 bits and
-    masked to them; saturating at 64 bits otherwise. NaN gives 0."""
-    d = f"({phys} - {offset})"
-    q = f"(CASE WHEN {factor} <> 0 THEN {d} / nullif({factor}, 0D) WHEN {d} > 0 THEN double('Infinity') WHEN {d} < 0 THEN double('-Infinity') ELSE double('NaN') END)"
-    v = (
-        f"(CASE WHEN {q} IS NULL THEN NULL WHEN isnan({q}) THEN 0L WHEN {q} >= 9223372036854775807D THEN 9223372036854775807L "
-        f"WHEN {q} <= -9223372036854775808D THEN -9223372036854775807L - 1L WHEN abs({q}) < 4503599627370496D THEN cast(round({q}) as bigint) ELSE cast({q} as bigint) END)"
-    )
-    top = f"(CASE WHEN NOT {signed} THEN shiftrightunsigned(-1L, 64 - {size}) WHEN {size} = 1 THEN 0L ELSE shiftrightunsigned(-1L, 65 - {size}) END)"
-    low = f"(CASE WHEN {signed} THEN -{top} - 1L ELSE 0L END)"
-    return F.expr(f"CASE WHEN {size} BETWEEN 1 AND 63 THEN greatest({low}, least({top}, {v})) & {_mask(size)} ELSE {v} END")
+    masked to them; saturating at 64 bits otherwise. NaN gives 0. with_raw() computes the same step by step."""
+    return F.expr(_raw(f"({_quotient(phys, factor, offset)})", size, signed))
+
+
+def with_raw(rows: DataFrame) -> DataFrame:
+    """rows(phys and the signal's columns) with raw: step by step, so that each step is computed once."""
+    return rows.withColumn("q", F.expr(_quotient("phys", "factor", "offset"))).withColumn("raw", F.expr(_raw("q", "size", "signed"))).drop("q")
 
 
-def _reversed(word: str) -> str:
-    h = f"lpad(hex({word}), 16, '0')"
-    r = "concat(" + ", ".join(f"substring({h}, {15 - 2 * i}, 2)" for i in range(8)) + ")"
-    return f"(shiftleft(cast(conv(substring({r}, 1, 8), 16, 10) as bigint), 32) | cast(conv(substring({r}, 9, 8), 16, 10) as bigint))"
+def _swapped(x: str) -> str:
+    """The 8 bytes of x in the other order."""
+    moved = [f"shiftleft({x} & {0xFF << 8 * i}L, {56 - 16 * i})" for i in range(4)]
+    moved += [f"(shiftrightunsigned({x}, {16 * i - 56}) & {0xFF << (56 - 8 * i)}L)" for i in range(4, 8)]
+    return "(" + " | ".join(moved) + ")"
+
+
+def _placed(x: str, start: str = "start_bit", size: str = "size", big_endian: str = "big_endian") -> str:
+    """The field's bits x at their place in the payload's 64-bit number, first byte highest for big-endian fields, first
+    byte lowest for others. Bits past the payload are dropped; sizes other than 1 to 64 give 0."""
+    p = f"cast({_place(start)} as int)"
+    little = f"CASE WHEN {start} >= 64 THEN 0L ELSE shiftleft({x}, cast({start} as int)) END"
+    big = (
+        f"CASE WHEN {p} >= 64 THEN 0L WHEN {p} + {size} <= 64 THEN shiftleft({x}, 64 - {p} - {size}) "
+        f"WHEN {p} + {size} >= 128 THEN 0L ELSE shiftrightunsigned({x}, {p} + {size} - 64) END"
+    )
+    return f"(CASE WHEN {size} NOT BETWEEN 1 AND 64 THEN 0L WHEN {big_endian} THEN {big} ELSE {little} END)"
 
 
 def field_bits(raw: str = "raw", start: str = "start_bit", size: str = "size", big_endian: str = "big_endian") -> tuple[Column, Column]:
-    """(mask, bits) of the field in the payload's 64-bit number, first byte highest. Bits past the payload are dropped."""
-    m, p = _mask(size), f"cast({_place(start)} as int)"
+    """(mask, bits) of the field in the payload's 64-bit number, first byte highest. Bits past the payload are dropped.
+    with_masks() and with_bits() compute the same step by step."""
+
+    def ordered(x: str) -> Column:
+        x = _placed(x, start, size, big_endian)
+        return F.expr(f"CASE WHEN {big_endian} THEN {x} ELSE {_swapped(x)} END")
+
+    return ordered(_mask(size)), ordered(f"({raw} & {_mask(size)})")
+
+
+def with_masks(signals: DataFrame) -> DataFrame:
+    """signals with mask: the field's bits in the payload's 64-bit number, first byte highest. It depends on the catalogue only."""
+    return signals.withColumn("_m", F.expr(_placed(_mask("size")))).withColumn("mask", F.expr(f"CASE WHEN big_endian THEN _m ELSE {_swapped('_m')} END")).drop("_m")
 
-    def placed(x: str) -> str:
-        little = _reversed(f"(CASE WHEN {start} >= 64 THEN 0L ELSE shiftleft({x}, cast({start} as int)) END)")
-        big = (
-            f"CASE WHEN {p} >= 64 THEN 0L WHEN {p} + {size} <= 64 THEN shiftleft({x}, 64 - {p} - {size}) "
-            f"WHEN {p} + {size} >= 128 THEN 0L ELSE shiftrightunsigned({x}, {p} + {size} - 64) END"
-        )
-        return f"CASE WHEN {size} NOT BETWEEN 1 AND 64 THEN 0L WHEN {big_endian} THEN {big} ELSE {little} END"
 
-    return F.expr(placed(m)), F.expr(placed(f"({raw} & {m})"))
+def with_bits(rows: DataFrame) -> DataFrame:
+    """rows(raw and the signal's columns) with bits: the raw value at the field's place, first byte highest."""
+    return rows.withColumn("_x", F.expr(_placed(f"(raw & {_mask('size')})"))).withColumn("bits", F.expr(f"CASE WHEN big_endian THEN _x ELSE {_swapped('_x')} END")).drop("_x")
 
 
 def word_to_data(word: Column) -> Column:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canlake.functions.codec import be64, field_bits, from_physical, word_to_data
+from canlake.functions.codec import be64, with_bits, with_masks, with_raw, word_to_data
+from canlake.operators.aggregate import broadcast_if_small
+
+FRAME = ["frame", "channel", "id"]
 
 
 def encode_batch(writes: DataFrame, signals: DataFrame, messages: DataFrame, base: DataFrame | None = None) -> DataFrame:
@@ -13,19 +16,30 @@ def encode_batch(writes: DataFrame, signals: DataFrame, messages: DataFrame, bas
 
     The writes of a frame take effect in the order of ord; overlapping fields end as the last one leaves them. base(frame,
     data) gives payloads to start from, else zeros. Signals that the catalogue doesn't know are left out (rejected()).
+
+    Masks come from the catalogue. Fields that share no bit with another of their message are joined by OR, the last
+    write of each signal counting; only messages with overlapping fields keep their writes as lists.
     """
-    rows = writes.withColumnRenamed("ord", "nth").join(signals.drop("ord"), ["channel", "id", "signal"]).withColumn("raw", from_physical())
-    mask, bits = field_bits()
-    packed = rows.groupBy("frame", "channel", "id").agg(F.array_sort(F.collect_list(F.struct(F.col("nth"), mask.alias("mask"), bits.alias("bits")))).alias("w"))
+    fields = with_masks(signals).drop("ord")
+    bits = fields.groupBy("channel", "id").agg((F.sum(F.bit_count("mask")) > F.bit_count(F.bit_or("mask"))).alias("overlap"))
+    fields = broadcast_if_small(fields.join(bits, ["channel", "id"]))
+    rows = with_bits(with_raw(writes.withColumnRenamed("ord", "nth").join(fields, ["channel", "id", "signal"]))).select(*FRAME, "nth", "signal", "overlap", "mask", "bits")
+    plain = rows.where("not overlap").repartition(*FRAME)
+    plain = plain.groupBy(*FRAME, "signal").agg(F.max_by("bits", "nth").alias("bits"), F.max("mask").alias("mask")).groupBy(*FRAME).agg(F.bit_or("mask").alias("mask"), F.bit_or("bits").alias("bits"))
+    packed = plain
+    if bits.where("overlap").limit(1).count():
+        listed = rows.where("overlap").groupBy(*FRAME).agg(F.array_sort(F.collect_list(F.struct("nth", "mask", "bits"))).alias("w"))
+        # A later write takes the places of earlier ones.
+        over = F.aggregate("w", F.struct(F.lit(0).cast("long").alias("mask"), F.lit(0).cast("long").alias("bits")), lambda a, x: F.struct(a["mask"].bitwiseOR(x["mask"]).alias("mask"), a["bits"].bitwiseAND(F.bitwise_not(x["mask"])).bitwiseOR(x["bits"]).alias("bits")))
+        packed = plain.unionByName(listed.withColumn("o", over).select(*FRAME, "o.mask", "o.bits"))
+    word = F.col("bits")
     if base is not None:
         packed = packed.join(base.select("frame", be64(F.col("data")).alias("word")), "frame", "left")
-    else:
-        packed = packed.withColumn("word", F.lit(None).cast("long"))
-    word = F.aggregate("w", F.coalesce("word", F.lit(0).cast("long")), lambda a, x: a.bitwiseAND(F.bitwise_not(x["mask"])).bitwiseOR(x["bits"]))
-    known = messages.select("channel", "id", F.col("dlc").alias("known_dlc"), F.col("extended").alias("known_ext"))
+        word = F.coalesce(F.col("word").bitwiseAND(F.bitwise_not("mask")), F.lit(0).cast("long")).bitwiseOR(F.col("bits"))
+    known = broadcast_if_small(messages.select("channel", "id", F.col("dlc").alias("known_dlc"), F.col("extended").alias("known_ext")))
     out = packed.withColumn("data", word_to_data(word)).join(known, ["channel", "id"], "left")
-    return out.select("frame", "channel", "id", F.coalesce("known_ext", F.col("id") > 0x7FF).alias("extended"), F.coalesce(F.least("known_dlc", F.lit(8)), F.lit(8)).alias("dlc"), "data")
+    return out.select(*FRAME, F.coalesce("known_ext", F.col("id") > 0x7FF).alias("extended"), F.coalesce(F.least("known_dlc", F.lit(8)), F.lit(8)).alias("dlc"), "data")
 
 
 def rejected(writes: DataFrame, signals: DataFrame) -> DataFrame:
-    return writes.join(signals, ["channel", "id", "signal"], "left_anti")
+    return writes.join(broadcast_if_small(signals), ["channel", "id", "signal"], "left_anti")
