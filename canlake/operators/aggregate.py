@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,9 +31,9 @@ def _deltas(frames: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """frames with bucket, n (place within the key, from 1), dt (NULL on a key's first frame, else not below 0).
 
     Deltas and places are taken inside (key, bucket); the previous bucket's last time and the rows before come from a
-    small table with one row per key and bucket.
+    small table with one row per key and bucket. Both read the same shuffle by key and bucket.
     """
-    f = frames.withColumn("bucket", F.expr(f"seq div {bucket}"))
+    f = frames.withColumn("bucket", F.expr(f"seq div {bucket}")).repartition(*KEY, "bucket")
     heads = f.groupBy(*KEY, "bucket").agg(F.max_by("t_us", "seq").alias("end_t"), F.count("*").alias("rows"))
     w = W.partitionBy(*KEY).orderBy("bucket")
     heads = heads.select(*KEY, "bucket", F.lag("end_t").over(w).alias("before_t"), (F.sum("rows").over(w) - F.col("rows")).alias("before_n"))
@@ -93,32 +95,69 @@ def cycle_running(frames: DataFrame, bucket: int = BUCKET) -> DataFrame:
     start = _bucket_sums(deltas).select(*KEY, "bucket", carried.alias("ewma0"), F.sum("m").over(so_far).alias("m0"), F.min("low").over(so_far).alias("low0"), F.max("high").over(so_far).alias("high0"))
     rows = deltas.join(start, [*KEY, "bucket"]).select(*KEY, "bucket", "seq", "n", "dt", "ewma0", F.coalesce("m0", F.lit(0)).alias("m0"), "low0", "high0")
 
+    none = 1 << 62
+
     def fold(batches):
-        key = value = low = high = None
-        some = False
+        key, state = None, None
         for batch in batches:
-            out = []
-            for run, ch, i, b, _, _, dt, e0, m0, l0, h0 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (run, ch, i, b) != key:
-                    key, value, low, high, some = (run, ch, i, b), e0, l0, h0, m0 > 0
-                if dt is not None:
-                    value = OLD * value + NEW * dt if some else float(dt)
-                    low, high, some = dt if low is None else min(low, dt), dt if high is None else max(high, dt), True
-                out.append((value if some else None, low, high))
-            cols = [batch.column(k) for k in (0, 1, 2, 4, 5)]
-            cols += [pa.array([o[0] for o in out], pa.float64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64())]
+            keys = batch.select(["run_id", "channel", "id", "bucket"])
+            cut = np.zeros(max(batch.num_rows - 1, 0), bool)
+            for c in keys.columns:
+                cut |= pc.fill_null(pc.not_equal(c.slice(1), c.slice(0, max(len(c) - 1, 0))), True).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(cut) + 1).tolist(), batch.num_rows]
+            dts = pc.fill_null(batch.column("dt"), -1).to_numpy(zero_copy_only=False)
+            value, low, high = np.full(len(dts), np.nan), np.full(len(dts), none), np.full(len(dts), -1)
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a == b:
+                    continue
+                this = tuple(c[a].as_py() for c in keys.columns)
+                if this != key:
+                    first = {c: batch.column(c)[a].as_py() for c in ("ewma0", "m0", "low0", "high0")}
+                    key, state = this, (first["ewma0"] if first["m0"] > 0 else None, none if first["low0"] is None else first["low0"], -1 if first["high0"] is None else first["high0"])
+                v, lo, hi = state
+                d = dts[a:b]
+                low[a:b] = np.minimum(np.minimum.accumulate(np.where(d < 0, none, d)), lo)
+                high[a:b] = np.maximum(np.maximum.accumulate(d), hi)
+                value[a:b] = smoothed(d, v)
+                last = value[b - 1]
+                state = (None if np.isnan(last) else float(last), int(low[b - 1]), int(high[b - 1]))
+            cols = [batch.column(c) for c in (*KEY, "seq", "n")]
+            cols += [pa.array(value, pa.float64(), mask=np.isnan(value)), pa.array(low, pa.int64(), mask=low == none), pa.array(high, pa.int64(), mask=high < 0)]
             yield pa.RecordBatch.from_arrays(cols, names=[*KEY, "seq", "count", "ewma_us", "min_us", "max_us"])
 
     dealt = rows.repartition(*KEY, "bucket").sortWithinPartitions(*KEY, "bucket", "seq")
     return dealt.mapInArrow(fold, "run_id string, channel int, id long, seq long, count long, ewma_us double, min_us long, max_us long")
 
 
+def smoothed(deltas: np.ndarray, value: float | None, step: int = 256) -> np.ndarray:
+    """The smoothed value after each delta (negative: none yet), from the value before; NaN before the first delta.
+
+    In runs of `step` deltas it is a running sum: what a delta adds fades by OLD with each later one.
+    """
+    out, at = np.full(len(deltas), np.nan), 0
+    if value is None:
+        some = np.flatnonzero(deltas >= 0)
+        if not len(some):
+            return out
+        at = int(some[0])
+        value = float(deltas[at])
+        out[at] = value
+        at += 1
+    fade = OLD ** np.arange(1, step + 1)
+    for start in range(at, len(deltas), step):
+        d = deltas[start : start + step]
+        f = fade[: len(d)]
+        out[start : start + step] = f * (value + np.cumsum(NEW * d / f))
+        value = out[start + len(d) - 1]
+    return out
+
+
 def statistics(frames: DataFrame, messages: DataFrame) -> DataFrame:
     """Per message: name, count, share of the frames in percent, extended, dlc and cycle times. Runs have totals of their own."""
     agg = summary(frames)
     total = F.sum("count").over(W.partitionBy("run_id"))
     share = F.when(total > 0, F.round(F.col("count") / total * 100, 6)).otherwise(0.0)
-    names = messages.select("channel", "id", "name")
+    names = broadcast_if_small(messages.select("channel", "id", "name"))
     return agg.withColumn("share", share).join(names, ["channel", "id"], "left").select(*KEY, "name", "count", "share", "extended", "dlc", "cycle_min_ms", "cycle_avg_ms", "cycle_max_ms")
 
 
@@ -126,13 +165,16 @@ def statistics(frames: DataFrame, messages: DataFrame) -> DataFrame:
 BROADCAST_ROWS = 100_000
 
 
-def _small(catalogue: DataFrame) -> bool:
-    return catalogue.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+#: What was counted, by the plan's hash: a catalogue is counted once however many operators it meets.
+_SMALL: dict[int, bool] = {}
 
 
 def broadcast_if_small(catalogue: DataFrame) -> DataFrame:
     """A catalogue with a broadcast hint if its counted rows allow it; Spark shuffles larger ones."""
-    return F.broadcast(catalogue) if _small(catalogue) else catalogue
+    plan = catalogue.semanticHash()
+    if plan not in _SMALL:
+        _SMALL[plan] = catalogue.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return F.broadcast(catalogue) if _SMALL[plan] else catalogue
 
 
 def bus_share(frames: DataFrame) -> DataFrame:
@@ -141,12 +183,12 @@ def bus_share(frames: DataFrame) -> DataFrame:
     return c.withColumn("share", F.round(F.col("count") / F.sum("count").over(W.partitionBy("run_id")) * 100, 6))
 
 
-def run_summary(frames: DataFrame, signals: DataFrame) -> DataFrame:
+def run_summary(frames: DataFrame, signals: DataFrame, limit: int = TRACE_LIMIT) -> DataFrame:
     """Frames, frames in the trace and signals that were seen, per run."""
     n = frames.groupBy("run_id").agg(F.count("*").alias("frames"))
     seen = frames.select(*KEY).distinct().join(broadcast_if_small(signals.select("channel", "id", "signal")), ["channel", "id"])
     s = seen.groupBy("run_id").agg(F.countDistinct("channel", "id", "signal").alias("signals"))
-    return n.join(s, "run_id", "left").select("run_id", "frames", F.least("frames", F.lit(TRACE_LIMIT)).alias("trace"), F.coalesce("signals", F.lit(0)).alias("signals"))
+    return n.join(s, "run_id", "left").select("run_id", "frames", F.least("frames", F.lit(limit)).alias("trace"), F.coalesce("signals", F.lit(0)).alias("signals"))
 
 
 def selection_counts(signals: DataFrame, selection: DataFrame) -> DataFrame:

@@ -9,14 +9,22 @@ from pyspark.sql import functions as F
 from canlake.functions.codec import frame_bits
 from canlake.schema import BIT_RATE, NEW, OLD
 
+#: Windows are made and smoothed in spans of this many, each in one task.
+SPAN = 1024
 
-def windows(frames: DataFrame, width_us: int = 1_000_000, by_channel: bool = False) -> DataFrame:
-    """run_id[, channel], w, frames, bits for each window from 0 to the run's last; windows without frames hold 0."""
+
+def windows(frames: DataFrame, width_us: int = 1_000_000, by_channel: bool = False, from_zero: bool = False) -> DataFrame:
+    """run_id[, channel], w, frames, bits for each window from the run's first, or from 0, to its last; windows without
+    frames hold 0.
+
+    Windows are made span by span, so that neither times far from zero nor long gaps make large arrays or tasks.
+    """
     keys = ["run_id", "channel"] if by_channel else ["run_id"]
     counted = frames.withColumn("w", F.expr(f"t_us div {width_us}")).groupBy(*keys, "w").agg(F.count("*").alias("frames"), F.sum(frame_bits(F.col("extended"), F.col("dlc"))).alias("bits"))
-    ends = counted.groupBy("run_id").agg(F.max("w").alias("end"))
+    ends = counted.groupBy("run_id").agg((F.lit(0).cast("long") if from_zero else F.min("w")).alias("first"), F.max("w").alias("end"))
     each = counted.select(*keys).distinct().join(ends, "run_id")
-    spine = each.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("end"))).alias("w"))
+    spans = each.select(*keys, "first", "end", F.explode(F.sequence(F.expr(f"first div {SPAN}"), F.expr(f"end div {SPAN}"))).alias("b")).repartition(*keys, "b")
+    spine = spans.select(*keys, F.explode(F.sequence(F.greatest("first", F.col("b") * SPAN), F.least("end", F.col("b") * SPAN + SPAN - 1))).alias("w"))
     zero = F.lit(0).cast("long")
     return spine.join(counted, [*keys, "w"], "left").select(*keys, "w", F.coalesce("frames", zero).alias("frames"), F.coalesce("bits", zero).alias("bits"))
 
@@ -24,24 +32,26 @@ def windows(frames: DataFrame, width_us: int = 1_000_000, by_channel: bool = Fal
 def smoothed(dense: DataFrame, value: str, keys: list[str], out: str) -> DataFrame:
     """The value smoothed after each window: 0.9 old + 0.1 new, started by the first value that isn't 0.
 
-    Weights under 1e-18 are left out, so each window needs the 400 before it only.
+    Linear in the values, so a span starts from what the one before leaves at its end; what is older than a whole span
+    has weights under 1e-46 and is left out.
     """
-    order = W.partitionBy(*keys).orderBy("w")
-    started = F.min(F.when(F.col(value) > 0, F.col("w"))).over(order.rowsBetween(W.unboundedPreceding, 0))
-    recent = F.collect_list(F.struct("w", value)).over(order.rowsBetween(-400, 0))
-    rows = dense.withColumn("_start", started).withColumn("_recent", recent)
-    since = F.filter("_recent", lambda x: x["w"] >= F.col("_start"))
-    fold = F.aggregate(since, F.lit(-1.0), lambda acc, x: F.when(acc < 0, x[value].cast("double")).otherwise(acc * OLD + x[value] * NEW))
-    return rows.withColumn(out, F.when(F.col("_start").isNull(), 0.0).otherwise(fold)).drop("_start", "_recent")
-
-
-def frame_rate(frames: DataFrame, width_us: int = 1_000_000) -> DataFrame:
-    dense = windows(frames, width_us).withColumn("per_s", F.col("frames") / (width_us / 1e6))
+    started = dense.where(F.col(value) > 0).groupBy(*keys).agg(F.min("w").alias("_start"))
+    weight = F.when(F.col("w") > F.col("_start"), NEW).when(F.col("w") == F.col("_start"), 1.0).otherwise(0.0)
+    rows = dense.join(started, keys, "left").withColumn("_v", weight * F.col(value)).withColumn("_b", F.expr(f"w div {SPAN}")).withColumn("_k", F.col("w") % SPAN)
+    fade = lambda n: F.pow(F.lit(OLD), n)
+    ends = rows.groupBy(*keys, (F.col("_b") + 1).alias("_b")).agg(F.sum(F.col("_v") * fade(SPAN - 1 - F.col("_k"))).alias("_end"))
+    inside = F.sum(F.col("_v") * fade(-F.col("_k"))).over(W.partitionBy(*keys, "_b").orderBy("w").rowsBetween(W.unboundedPreceding, 0))
+    got = rows.withColumn("_inside", inside).join(ends, [*keys, "_b"], "left")
+    return got.select(*dense.columns, (F.col("_inside") * fade(F.col("_k")) + F.coalesce("_end", F.lit(0.0)) * fade(F.col("_k") + 1)).alias(out))
+
+
+def frame_rate(frames: DataFrame, width_us: int = 1_000_000, from_zero: bool = False) -> DataFrame:
+    dense = windows(frames, width_us, from_zero=from_zero).withColumn("per_s", F.col("frames") / (width_us / 1e6))
     return smoothed(dense, "per_s", ["run_id"], "rate").select("run_id", "w", "frames", F.round("rate", 6).alias("rate"))
 
 
-def bus_load(frames: DataFrame, width_us: int = 1_000_000, bit_rate: int = BIT_RATE, by_channel: bool = False) -> DataFrame:
+def bus_load(frames: DataFrame, width_us: int = 1_000_000, bit_rate: int = BIT_RATE, by_channel: bool = False, from_zero: bool = False) -> DataFrame:
     """Load in percent of the bit rate, over all buses together unless by_channel."""
     keys = ["run_id", "channel"] if by_channel else ["run_id"]
-    dense = windows(frames, width_us, by_channel).withColumn("now", F.col("bits") / (width_us / 1e6) / bit_rate * 100)
+    dense = windows(frames, width_us, by_channel, from_zero).withColumn("now", F.col("bits") / (width_us / 1e6) / bit_rate * 100)
     return smoothed(dense, "now", keys, "load").select(*keys, "w", "bits", F.round("load", 6).alias("load"))

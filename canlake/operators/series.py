@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,28 +29,45 @@ def thin(frames: DataFrame, gap_us: int = SAMPLE_GAP_US) -> DataFrame:
     """The frames of each message that are at least gap_us after the last one kept, in arrival order.
 
     Which frames are kept depends on their times only, so all signals of a message share them: thin first, decode after.
-    A message's rows go by in one task that remembers one number.
+    A message's rows go by in one task that remembers one number and jumps from one kept frame to the next.
     """
-    columns = frames.columns
-    at = [columns.index(c) for c in KEY]
-    t_at = columns.index("t_us")
 
     def work(batches):
         key = kept = None
         for batch in batches:
-            keep = []
-            for *k, t in zip(*(batch.column(i).to_pylist() for i in at), batch.column(t_at).to_pylist(), strict=True):
-                if k != key:
-                    key, kept = k, None
-                good = kept is None or t >= kept + gap_us
-                if good:
-                    kept = t
-                keep.append(good)
+            if not batch.num_rows:
+                continue
+            keys, t = [batch.column(c) for c in KEY], batch.column("t_us").to_numpy()
+            cut = np.zeros(len(t) - 1, bool)
+            for c in keys:
+                cut |= pc.fill_null(pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)), True).to_numpy(zero_copy_only=False)
+            edges, keep = [0, *(np.flatnonzero(cut) + 1).tolist(), len(t)], np.zeros(len(t), bool)
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                this = tuple(c[a].as_py() for c in keys)
+                if this != key:
+                    key, kept, keep[a] = this, int(t[a]), True
+                    a += 1
+                while (a := first_from(t, a, b, kept + gap_us)) < b:
+                    kept, keep[a] = int(t[a]), True
+                    a += 1
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return frames.repartition(*KEY).sortWithinPartitions(*KEY, "seq").mapInArrow(work, frames.schema)
 
 
+def first_from(t: np.ndarray, start: int, end: int, least: int) -> int:
+    """The first place from start on with t >= least, or end; looked for in stretches that double."""
+    size = 16
+    while start < end:
+        stop = min(end, start + size)
+        hit = t[start:stop] >= least
+        i = int(hit.argmax())
+        if hit[i]:
+            return start + i
+        start, size = stop, size * 2
+    return end
+
+
 def samples(frames: DataFrame, signals: DataFrame, selection: DataFrame | None = None, gap_us: int = SAMPLE_GAP_US) -> DataFrame:
     """run_id, channel, id, signal, seq, t_us, value of the kept samples. Frames without signals aren't thinned at all."""
     wanted = signals if selection is None else signals.join(selection.select("channel", "id", "signal").distinct(), ["channel", "id", "signal"], "left_semi")
@@ -76,10 +95,12 @@ def latest(frames: DataFrame, signals: DataFrame) -> DataFrame:
 
 
 def viewport(kept: DataFrame, t_min: int, shared: bool = True) -> DataFrame:
-    """lo and hi of samples from t_min on, over all series of a run or for each; flat ranges are widened by 1."""
+    """lo and hi of samples from t_min on, over all series of a run or for each: 0 and 1 where none is in sight, and
+    lo + 1 as hi where they are less than 1e-9 apart. All kept samples count, those beyond the history's limit too."""
     keys = ["run_id"] if shared else SERIES
-    r = kept.where(F.col("t_us") >= t_min).groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    return r.withColumn("hi", F.when(F.col("lo") == F.col("hi"), F.col("hi") + 1).otherwise(F.col("hi")))
+    shown = F.when(F.col("t_us") >= t_min, F.col("value"))
+    r = kept.groupBy(*keys).agg(F.coalesce(F.min(shown), F.lit(0.0)).alias("lo"), F.coalesce(F.max(shown), F.lit(1.0)).alias("hi"))
+    return r.withColumn("hi", F.when(F.col("hi") - F.col("lo") < 1e-9, F.col("lo") + 1).otherwise(F.col("hi")))
 
 
 def viewport_points(kept: DataFrame, t_min: int, span_us: int, shared: bool = True) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from canlake.operators.aggregate import broadcast_if_small
+
 
 def node_tx(nodes: DataFrame, messages: DataFrame, aggregated: DataFrame) -> DataFrame:
     """Each node's messages with the frames seen (0 if none)."""
@@ -35,7 +37,7 @@ def node_summary(nodes: DataFrame, messages: DataFrame, signals: DataFrame, aggr
 
 
 def unknown_ids(aggregated: DataFrame, messages: DataFrame) -> DataFrame:
-    return aggregated.join(messages, ["channel", "id"], "left_anti")
+    return aggregated.join(broadcast_if_small(messages), ["channel", "id"], "left_anti")
 
 
 def active_signals(selection: DataFrame) -> DataFrame:

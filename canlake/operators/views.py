@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from canlake.operators.aggregate import BUCKET, broadcast_if_small
+from canlake.schema import TRACE_LIMIT, VIEW_LIMIT
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -26,7 +31,7 @@ class View:
 
 def with_names(rows: DataFrame, messages: DataFrame) -> DataFrame:
     """rows with name, NULL where the catalogue doesn't know the id on that bus. The catalogue's keys are unique."""
-    return rows.join(messages.select("channel", "id", "name"), ["channel", "id"], "left")
+    return rows.join(broadcast_if_small(messages.select("channel", "id", "name")), ["channel", "id"], "left")
 
 
 def in_scope(rows: DataFrame, scope) -> DataFrame:
@@ -64,8 +69,26 @@ def message_rows(aggregated: DataFrame, messages: DataFrame, view: View) -> Data
     return rows
 
 
-def newest(frames: DataFrame, n: int) -> DataFrame:
-    return frames.orderBy(F.desc("seq")).limit(n)
+def newest(frames: DataFrame, n: int, bucket: int = BUCKET) -> DataFrame:
+    """The last n frames of each run in arrival order. Counts per bucket say from which bucket on a run's frames are needed,
+    so that only those (n and a bucket's more at most) are ranked."""
+    b = F.expr(f"seq div {bucket}")
+    counts = frames.groupBy("run_id", b.alias("b")).agg(F.count("*").alias("k"))
+    later = F.sum("k").over(W.partitionBy("run_id").orderBy(F.desc("b")).rowsBetween(W.unboundedPreceding, -1))
+    needed = counts.withColumn("later", F.coalesce(later, F.lit(0))).where(F.col("later") < n).groupBy("run_id").agg(F.min("b").alias("_from"))
+    nth = F.row_number().over(W.partitionBy("run_id").orderBy(F.desc("seq")))
+    return frames.join(needed, "run_id").where(b >= F.col("_from")).withColumn("_nth", nth).where(F.col("_nth") <= n).select(frames.columns)
+
+
+def trace_view(frames: DataFrame, messages: DataFrame, view: View, ring: int = TRACE_LIMIT, shown: int = VIEW_LIMIT) -> DataFrame:
+    """What a trace view shows of each run: of the run's last `ring` frames the newest `shown` that pass the view."""
+    return newest(trace(newest(frames, ring), messages, view), shown)
+
+
+def view_counts(aggregated: DataFrame, messages: DataFrame, views: dict[str, View]) -> DataFrame:
+    """view, messages, frames: for each messages view the number of its rows and of their frames, 0 where nothing passes."""
+    one = lambda name, v: message_rows(aggregated, messages, v).agg(F.count("*").alias("messages"), F.coalesce(F.sum("count"), F.lit(0)).alias("frames")).select(F.lit(name).alias("view"), "messages", "frames")
+    return reduce(DataFrame.unionByName, [one(name, v) for name, v in views.items()])
 
 
 def find_messages(messages: DataFrame, signals: DataFrame, text: str, in_signals: bool = True) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,9 @@ from canlake.functions import codec
 from canlake.operators import aggregate, encode, export, rates, series, topology, views
 from canlake.plans import fixtures as fx
 from canlake.plans.sql import SQL
-from canlake.schema import KEY, TRACE_LIMIT, VIEW_LIMIT
+from canlake.schema import KEY, TRACE_LIMIT
 from canlake.sources import asc, catalogue
+from canlake.sources.shared import shared_folder
 
 QUERIES: dict = {}
 
@@ -135,17 +138,18 @@ def bus_catalogue(spark, d):
 
 @query
 def catalogue_search(spark, d):
-    return views.find_messages(*_part_catalogue(spark, d), "1a").select("channel", "id", "name")
+    """Found by id, by name, and by the names of signals alone."""
+    return views.find_messages(*_part_catalogue(spark, d), "ed").select("channel", "id", "name")
 
 
 @query
 def select_matching(spark, d):
-    return views.find_messages(*_part_catalogue(spark, d), "1a", in_signals=False).select("channel", "id")
+    return views.find_messages(*_part_catalogue(spark, d), "ed", in_signals=False).select("channel", "id")
 
 
 @query
 def signal_search(spark, d):
-    return views.find_signals(*_part_catalogue(spark, d), "e1").select("channel", "id", "name", "signal")
+    return views.find_signals(*_part_catalogue(spark, d), "ed").select("channel", "id", "name", "signal")
 
 
 @query
@@ -208,14 +212,14 @@ def _writes(spark, d):
 def from_physical(spark, d):
     """Values scaled by 3 so that some leave their field's range, as raw bits again."""
     rows = _writes(spark, d).join(fx.signals(spark).drop("ord"), ["channel", "id", "signal"]).withColumn("phys", F.col("phys") * 3)
-    return rows.select("frame", "signal", codec.from_physical().alias("raw"))
+    return codec.with_raw(rows).select("frame", "signal", "raw")
 
 
 @query
 def pack_raw(spark, d):
     """Each frame's fields packed one by one into empty payloads."""
-    rows = _writes(spark, d).join(fx.signals(spark).drop("ord"), ["channel", "id", "signal"]).withColumn("raw", codec.from_physical())
-    return rows.select("frame", "signal", F.hex(codec.word_to_data(codec.field_bits()[1])).alias("data"))
+    rows = _writes(spark, d).join(fx.signals(spark).drop("ord"), ["channel", "id", "signal"])
+    return codec.with_bits(codec.with_raw(rows)).select("frame", "signal", F.hex(codec.word_to_data(F.col("bits"))).alias("data"))
 
 
 @query
@@ -344,12 +348,61 @@ def bus_load(spark, d):
     return rates.bus_load(_frames(spark, d)).drop("run_id")
 
 
+@query
+def view_counts(spark, d):
+    """What each messages view says it shows."""
+    return views.view_counts(aggregate.message_agg(_frames(spark, d)), fx.messages(spark), fx.VIEWS)
+
+
+# Several runs: the frames in runs of RUN_FRAMES, in logs of their own
+
+
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    return fx.frames_in_runs(spark, d)
+
+
+def _logs(spark: SparkSession, d: str) -> DataFrame:
+    """The runs written as ASC logs, and scanned again; run_id is the folder's run."""
+    folder = f"{shared_folder(spark)}/logs-{uuid.uuid4().hex}"
+    asc.write_runs(_runs(spark, d), folder, header=True)
+    return asc.scan(spark, folder).withColumn("run_id", F.regexp_extract("run_id", "run_id=([^/]+)", 1))
+
+
+@query
+def scan_statistics(spark, d):
+    rows = aggregate.statistics(_logs(spark, d), fx.messages(spark))
+    return rows.withColumn("name", F.coalesce("name", F.lit("-"))).drop("extended")
+
+
+@query
+def scan_cycle_delta(spark, d):
+    return aggregate.cycle_delta(_logs(spark, d)).select("run_id", "channel", "id", "count", "t_us", F.coalesce("dt", F.lit(-1)).alias("dt"))
+
+
+@query
+def trace_view_runs(spark, d):
+    """The newest 40 of bus 1 among each run's last 150 frames."""
+    rows = views.trace_view(_runs(spark, d), fx.messages(spark), fx.VIEWS["bus1"], ring=150, shown=40)
+    return rows.select("run_id", "seq", "channel", "id", F.coalesce("name", F.lit("-")).alias("name"))
+
+
+@query
+def run_summary_runs(spark, d):
+    return aggregate.run_summary(_runs(spark, d), fx.signals(spark), limit=150)
+
+
+@query
+def bus_load_runs(spark, d):
+    """By run and bus, in windows of 50 ms."""
+    return rates.bus_load(_runs(spark, d), 50_000, by_channel=True)
+
+
 # Newest rows
 
 
 @query
 def trace_newest(spark, d):
-    return _hexed(views.newest(views.trace(_frames(spark, d), fx.messages(spark), fx.VIEWS["bus1"]), VIEW_LIMIT).drop("name"))
+    return _hexed(views.trace_view(_frames(spark, d), fx.messages(spark), fx.VIEWS["bus1"]).drop("name"))
 
 
 @query
@@ -367,7 +420,7 @@ def signal_samples(spark, d):
 
 @query
 def history_ring(spark, d):
-    return series.history(_kept(spark, d), 50).select("channel", "id", "signal", "seq", "t_us", F.round("value", 6).alias("value"))
+    return series.history(_kept(spark, d)).select("channel", "id", "signal", "seq", "t_us", F.round("value", 6).alias("value"))
 
 
 @query
@@ -385,6 +438,14 @@ def viewport(spark, d):
     return series.viewport(_kept(spark, d), 10_000_000, shared=False).select("channel", "id", "signal", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
+@query
+def viewport_overlay(spark, d):
+    """One range over all series of a run; half of the runs show nothing yet."""
+    kept = series.samples(_runs(spark, d), fx.signals(spark))
+    rows = series.viewport(kept, 1_000_000)
+    return rows.select("run_id", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+
+
 @query
 def viewport_points(spark, d):
     rows = series.viewport_points(_kept(spark, d), 10_000_000, 10_000_000, shared=False)

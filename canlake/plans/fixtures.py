@@ -100,3 +100,12 @@ def frames_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("r0").alias("run_id"), ev.alias("seq"), t_us.alias("t_us"), ch.cast("int").alias("channel"), id_.cast("long").alias("id"), (kind == "error").alias("extended"),
         dlc.alias("dlc"), data.alias("data"), F.when(us % 5 == 0, "Tx").otherwise("Rx").alias("dir"),
     )
+
+
+#: Frames of a run in frames_in_runs.
+RUN_FRAMES = 400
+
+
+def frames_in_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same frames in runs of RUN_FRAMES each; a run's times go on from the one before."""
+    return frames_from_events(spark, sf_dir).withColumn("run_id", F.concat(F.lit("run"), F.expr(f"seq div {RUN_FRAMES}").cast("string")))

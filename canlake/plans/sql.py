@@ -63,6 +63,16 @@ SPINE = """q AS (SELECT t_us // 1000000 AS w, count(*)::BIGINT AS frames, sum(CA
 sp AS (SELECT unnest(range(0, (SELECT max(w) + 1 FROM q))) AS w),
 z AS (SELECT w, coalesce(frames, 0) AS frames, coalesce(bits, 0) AS bits, {v} AS v FROM sp LEFT JOIN q USING (w))"""
 
+# Several runs: the same tables by run.
+RUN = "'run' || (seq // 400)"
+RUN_THIN = """fr AS (SELECT *, seq // 400 AS run FROM f),
+nx AS (SELECT seq, run, min(seq) OVER (PARTITION BY run, channel, id ORDER BY t_us RANGE BETWEEN 50000 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt,
+  row_number() OVER (PARTITION BY run, channel, id ORDER BY seq) AS rn FROM fr),
+kept AS (SELECT seq, nxt FROM nx WHERE rn = 1 UNION ALL SELECT nx.seq, nx.nxt FROM kept JOIN nx ON nx.seq = kept.nxt),
+k AS (SELECT dec.*, seq // 400 AS run FROM dec JOIN kept USING (seq))"""
+RUN_CYCLES = """rd AS (SELECT seq // 400 AS run, seq, channel, id, t_us, dlc, CASE WHEN lag(t_us) OVER w IS NULL THEN NULL ELSE greatest(t_us - lag(t_us) OVER w, 0) END AS dt, row_number() OVER w AS k FROM f WINDOW w AS (PARTITION BY seq // 400, channel, id ORDER BY seq)),
+rr AS (SELECT *, row_number() OVER (PARTITION BY run, channel, id ORDER BY seq DESC) - 1 AS r, count(dt) OVER (PARTITION BY run, channel, id) AS c FROM rd)"""
+
 SQL = {
     "asc_scan": _f("SELECT seq, t_us, channel, id, extended, dlc, data, dir FROM f WHERE seq % 7 <> 0"),
     "asc_rejects": _f(f"SELECT seq, {BROKEN} AS value FROM (SELECT seq, {LINE} AS line FROM f WHERE seq % 7 = 0)"),
@@ -75,9 +85,9 @@ SQL = {
     "latest_export": _f(f"SELECT {BUS} AS bus, signal, coalesce(round(value, 6), 0) AS value, coalesce(unit, '') AS unit FROM (VALUES (0, 272, 'Level'), (1, 201, 'Unit'), (1, 99, 'Ghost')) v(channel, id, signal) LEFT JOIN (SELECT channel, id, signal, arg_max(value, seq) AS value, any_value(unit) AS unit FROM dec GROUP BY 1, 2, 3) USING (channel, id, signal)"),
     "catalogue_scan": _p("SELECT 'bus' || channel || '.dbc' AS path, id, extended, name, transmitter, ord, signal, start_bit, size, big_endian, signed, factor, \"offset\", receivers FROM s"),
     "bus_catalogue": _p("SELECT b.channel, bus_name, count(id) AS messages, coalesce(sum(id), 0)::BIGINT AS ids FROM (VALUES (0, 'A'), (1, 'B'), (2, 'C')) b(channel, bus_name) LEFT JOIN p ON p.channel = b.channel GROUP BY 1, 2"),
-    "catalogue_search": _p("SELECT DISTINCT channel, id, name FROM s WHERE printf('%X', id) LIKE '%1A%' OR upper(name) LIKE '%1A%' OR upper(signal) LIKE '%1A%'"),
-    "select_matching": _p("SELECT channel, id FROM p WHERE printf('%X', id) LIKE '%1A%' OR upper(name) LIKE '%1A%'"),
-    "signal_search": _p("SELECT channel, id, name, signal FROM s WHERE upper(name) LIKE '%E1%' OR upper(signal) LIKE '%E1%'"),
+    "catalogue_search": _p("SELECT DISTINCT channel, id, name FROM s WHERE printf('%X', id) LIKE '%ED%' OR upper(name) LIKE '%ED%' OR upper(signal) LIKE '%ED%'"),
+    "select_matching": _p("SELECT channel, id FROM p WHERE printf('%X', id) LIKE '%ED%' OR upper(name) LIKE '%ED%'"),
+    "signal_search": _p("SELECT channel, id, name, signal FROM s WHERE upper(name) LIKE '%ED%' OR upper(signal) LIKE '%ED%'"),
     "signal_ranges": _p("SELECT channel, id, signal, CASE WHEN hi > 0 THEN 0.0 WHEN ord = 0 THEN -1.0 ELSE -pow(2, size - 1) * 2 END::DOUBLE AS low, CASE WHEN hi > 0 THEN hi WHEN ord = 0 THEN (pow(2, size) - 1) * 0.5 - 1 ELSE (pow(2, size - 1) - 1) * 2 END::DOUBLE AS high FROM s"),
     "node_rx": _p("SELECT s.channel, s.brand AS node, s.id, s.name, s.signal, s.transmitter AS sender FROM s JOIN (SELECT DISTINCT channel, transmitter FROM s WHERE transmitter <> '') t ON t.channel = s.channel AND t.transmitter = s.brand WHERE s.ord = 0"),
     "selection_counts": _p("SELECT channel, coalesce(id, -1) AS id, count(*) FILTER (size % 3 = 0) AS selected, count(*) AS total FROM s GROUP BY GROUPING SETS ((channel), (channel, id))"),
@@ -99,7 +109,7 @@ SQL = {
     "unknown_ids": _f("SELECT channel, id, count FROM agg ANTI JOIN m USING (channel, id)"),
     "node_tx": _f("SELECT n.channel, node, m.id, name, coalesce(count, 0) AS count FROM n JOIN m ON m.channel = n.channel AND m.transmitter = n.node LEFT JOIN agg ON agg.channel = m.channel AND agg.id = m.id"),
     "node_activity": _f("SELECT n.channel, node, coalesce(max(count), 0) > 0 AS active FROM n LEFT JOIN m ON m.channel = n.channel AND m.transmitter = n.node LEFT JOIN agg ON agg.channel = m.channel AND agg.id = m.id GROUP BY 1, 2"),
-    "node_summary": _f("SELECT n.channel, node, count(m.id) AS sent, coalesce(sum(count), 0)::BIGINT AS frames, CASE node WHEN 'Panel' THEN (CASE n.channel WHEN 0 THEN 10 ELSE 7 END) WHEN 'Logger' THEN (CASE n.channel WHEN 0 THEN 3 ELSE 2 END) ELSE 0 END AS received FROM n LEFT JOIN m ON m.channel = n.channel AND m.transmitter = n.node LEFT JOIN agg ON agg.channel = m.channel AND agg.id = m.id GROUP BY 1, 2"),
+    "node_summary": _f(", to_node(signal, receiver) AS (VALUES ('Level', 'Panel'), ('Counter', 'Panel'), ('Trim', 'Panel'), ('Trim', 'Logger')) SELECT n.channel, node, count(m.id) AS sent, coalesce(sum(count), 0)::BIGINT AS frames, (SELECT count(*) FROM m x JOIN to_node ON x.dlc = 8 OR to_node.signal = 'Level' WHERE x.channel = n.channel AND to_node.receiver = n.node) AS received FROM n LEFT JOIN m ON m.channel = n.channel AND m.transmitter = n.node LEFT JOIN agg ON agg.channel = m.channel AND agg.id = m.id GROUP BY 1, 2"),
     "message_agg": _f("SELECT channel, id, count, extended, dir, dlc, data, last_t_us FROM agg"),
     "cycle_stats": _f("SELECT * FROM cyc"),
     "bus_share": _f("SELECT channel, count(*) AS count, round(count(*) / sum(count(*)) OVER () * 100, 6) AS share FROM f GROUP BY channel"),
@@ -110,15 +120,22 @@ SQL = {
     "cycle_running": f"WITH RECURSIVE {FRAMES}, e AS (SELECT channel, id, k, seq, CAST(NULL AS DOUBLE) AS v, CAST(NULL AS BIGINT) AS lo, CAST(NULL AS BIGINT) AS hi FROM d WHERE k = 1 UNION ALL SELECT d.channel, d.id, d.k, d.seq, CASE WHEN e.v IS NULL THEN d.dt ELSE 0.9::DOUBLE * e.v + 0.1::DOUBLE * d.dt END, least(coalesce(e.lo, d.dt), d.dt), greatest(coalesce(e.hi, d.dt), d.dt) FROM e JOIN d ON d.channel = e.channel AND d.id = e.id AND d.k = e.k + 1) SELECT seq, k AS count, round(coalesce(v, -1), 3) AS ewma_us, coalesce(lo, -1) AS min_us, coalesce(hi, -1) AS max_us FROM e",
     "frame_rate": _f(", " + SPINE.format(v="coalesce(frames, 0)::DOUBLE") + " " + SMOOTH.format(cols="frames", out="rate")),
     "bus_load": _f(", " + SPINE.format(v="coalesce(bits, 0) / 500000.0::DOUBLE * 100") + " " + SMOOTH.format(cols="bits", out="load")),
-    "trace_newest": _f("SELECT seq, t_us, channel, id, extended, dlc, data, dir FROM f WHERE channel = 1 ORDER BY seq DESC LIMIT 1000"),
+    "trace_newest": _f("SELECT seq, t_us, channel, id, extended, dlc, data, dir FROM (SELECT * FROM f ORDER BY seq DESC LIMIT 50000) WHERE channel = 1 ORDER BY seq DESC LIMIT 1000"),
     "trace_ring": _f("SELECT seq, t_us, channel, id FROM f ORDER BY seq DESC LIMIT 50000"),
+    "view_counts": _f(", rows_ AS (SELECT agg.channel, agg.id, count, coalesce(name, '-') AS name, m.name IS NOT NULL AS known, agg.dir FROM agg LEFT JOIN m USING (channel, id)), v(view) AS (VALUES ('all'), ('bus1'), ('manual'), ('empty'), ('text'), ('hex'), ('dash')) SELECT view, count(id) AS messages, coalesce(sum(count), 0)::BIGINT AS frames FROM v LEFT JOIN rows_ ON CASE view WHEN 'all' THEN true WHEN 'bus1' THEN channel = 1 WHEN 'manual' THEN (channel = 0 AND id = 816) OR (channel = 1 AND id = 200) WHEN 'empty' THEN false WHEN 'text' THEN known AND (lower(name) LIKE '%state%' OR printf('%x', id) LIKE '%state%') WHEN 'hex' THEN lower(name) LIKE '%7a%' OR printf('%x', id) LIKE '%7a%' ELSE name LIKE '%-%' END GROUP BY view"),
+    "scan_statistics": _f(", " + RUN_CYCLES + " SELECT 'run' || run AS run_id, channel, id, coalesce(any_value(name), '-') AS name, count(*) AS count, round(count(*) / sum(count(*)) OVER (PARTITION BY run) * 100, 6) AS share, arg_max(rr.dlc, seq) AS dlc, coalesce(min(dt), 0) / 1000.0::DOUBLE AS cycle_min_ms, round(coalesce(sum(CASE WHEN dt IS NULL THEN 0 WHEN r = c - 1 THEN pow(0.9::DOUBLE, r) * dt ELSE 0.1::DOUBLE * pow(0.9::DOUBLE, r) * dt END), 0) / 1000.0, 6) AS cycle_avg_ms, coalesce(max(dt), 0) / 1000.0::DOUBLE AS cycle_max_ms FROM rr LEFT JOIN (SELECT channel, id, name FROM m) USING (channel, id) GROUP BY run, channel, id"),
+    "scan_cycle_delta": _f(", " + RUN_CYCLES + " SELECT 'run' || run AS run_id, channel, id, k AS count, t_us, coalesce(dt, -1) AS dt FROM rd"),
+    "trace_view_runs": _f(f", ring AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seq // 400 ORDER BY seq DESC) AS nth FROM f) WHERE nth <= 150), shown AS (SELECT *, row_number() OVER (PARTITION BY seq // 400 ORDER BY seq DESC) AS n2 FROM ring WHERE channel = 1) SELECT {RUN} AS run_id, seq, channel, id, coalesce(name, '-') AS name FROM shown LEFT JOIN (SELECT channel, id, name FROM m) USING (channel, id) WHERE n2 <= 40"),
+    "run_summary_runs": _f(f", n_ AS (SELECT {RUN} AS run_id, count(*) AS frames FROM f GROUP BY 1), s_ AS (SELECT {RUN} AS run_id, count(DISTINCT (channel, id, signal)) AS signals FROM dec GROUP BY 1) SELECT run_id, frames, least(frames, 150) AS trace, coalesce(signals, 0) AS signals FROM n_ LEFT JOIN s_ USING (run_id)"),
+    "bus_load_runs": _f(", q AS (SELECT seq // 400 AS run, channel, t_us // 50000 AS w, sum(CASE WHEN extended THEN 67 ELSE 47 END + dlc * 8)::BIGINT AS bits FROM f GROUP BY 1, 2, 3), ends AS (SELECT run, min(w) AS a, max(w) AS b FROM q GROUP BY 1), sp AS (SELECT run, channel, unnest(range(a, b + 1)) AS w FROM (SELECT DISTINCT run, channel FROM q) JOIN ends USING (run)), z AS (SELECT run, channel, w, coalesce(bits, 0) AS bits, coalesce(bits, 0) / 0.05::DOUBLE / 500000 * 100 AS v FROM sp LEFT JOIN q USING (run, channel, w)), x AS (SELECT *, (SELECT min(w) FROM z y WHERE y.run = z.run AND y.channel = z.channel AND y.v > 0) AS i0 FROM z) SELECT 'run' || run AS run_id, channel, w, bits, round(CASE WHEN i0 IS NULL OR w < i0 THEN 0 ELSE (SELECT sum(CASE WHEN y.w = x.i0 THEN pow(0.9::DOUBLE, x.w - y.w) ELSE 0.1::DOUBLE * pow(0.9::DOUBLE, x.w - y.w) END * y.v) FROM z y WHERE y.run = x.run AND y.channel = x.channel AND y.w BETWEEN x.i0 AND x.w) END, 6) AS load FROM x"),
+    "viewport_overlay": f"WITH RECURSIVE {FRAMES}, {RUN_THIN} SELECT 'run' || run AS run_id, round(lo, 6) AS lo, round(CASE WHEN hi - lo < 1e-9 THEN lo + 1 ELSE hi END, 6) AS hi FROM (SELECT run, coalesce(min(value) FILTER (t_us >= 1000000), 0) AS lo, coalesce(max(value) FILTER (t_us >= 1000000), 1) AS hi FROM k GROUP BY 1)",
     "signal_samples": _f("SELECT channel, id, signal, seq, t_us, round(value, 6) AS value FROM k", thin=True),
-    "history_ring": _f("SELECT channel, id, signal, seq, t_us, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY channel, id, signal ORDER BY seq DESC) AS nth FROM k) WHERE nth <= 50", thin=True),
+    "history_ring": _f("SELECT channel, id, signal, seq, t_us, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY channel, id, signal ORDER BY seq DESC) AS nth FROM k) WHERE nth <= 4000", thin=True),
     "signal_minmax": _f("SELECT channel, id, signal, round(min(value), 6) AS low, round(max(value), 6) AS high FROM k GROUP BY 1, 2, 3", thin=True),
     "latest_values": _f("SELECT channel, id, signal, max(t_us) AS t_us, round(arg_max(value, seq), 6) AS value, any_value(unit) AS unit, round(CASE WHEN any_value(hi) > any_value(lo) THEN greatest(least((arg_max(value, seq) - any_value(lo)) / (any_value(hi) - any_value(lo)), 1), 0) ELSE 0 END, 6)::DOUBLE AS gauge FROM dec GROUP BY 1, 2, 3"),
-    "viewport": _f("SELECT channel, id, signal, round(min(value), 6) AS lo, round(CASE WHEN min(value) = max(value) THEN max(value) + 1 ELSE max(value) END, 6) AS hi FROM k WHERE t_us >= 10000000 GROUP BY 1, 2, 3", thin=True),
+    "viewport": _f("SELECT channel, id, signal, round(lo, 6) AS lo, round(CASE WHEN hi - lo < 1e-9 THEN lo + 1 ELSE hi END, 6) AS hi FROM (SELECT channel, id, signal, coalesce(min(value) FILTER (t_us >= 10000000), 0) AS lo, coalesce(max(value) FILTER (t_us >= 10000000), 1) AS hi FROM k GROUP BY 1, 2, 3)", thin=True),
     "viewport_points": _f(
-        "SELECT channel, id, signal, seq, round(least((t_us - 10000000) / 10000000.0::DOUBLE, 1), 7) AS x, round((value - vlo) / (CASE WHEN vlo = vhi THEN 1 ELSE vhi - vlo END), 6) AS y FROM (SELECT *, min(value) OVER w AS vlo, max(value) OVER w AS vhi, count(*) OVER w AS n FROM k WHERE t_us >= 10000000 WINDOW w AS (PARTITION BY channel, id, signal)) WHERE n >= 2",
+        "SELECT channel, id, signal, seq, round(least((t_us - 10000000) / 10000000.0::DOUBLE, 1), 7) AS x, round((value - vlo) / (CASE WHEN vhi - vlo < 1e-9 THEN 1 ELSE vhi - vlo END), 6) AS y FROM (SELECT *, min(value) OVER w AS vlo, max(value) OVER w AS vhi, count(*) OVER w AS n FROM k WHERE t_us >= 10000000 WINDOW w AS (PARTITION BY channel, id, signal)) WHERE n >= 2",
         thin=True,
     ),
     "cursor_values": _f(

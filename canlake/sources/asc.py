@@ -49,12 +49,14 @@ def parse_lines(lines: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, paths) -> DataFrame:
-    """run_id (the file), seq (arrival order: file block, then line), value. The order is taken on the scan itself."""
-    return spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("run_id"),
-        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("seq"),
-        "value",
-    )
+    """run_id (the file), seq (arrival order within it, a long), value, by one narrow expression on the scan itself.
+
+    A row's number in its partition is less than the bytes that the partition reads, and those are at most what lies
+    between the starts of two blocks of a file; so twice the block's start and the row's number go up from line to line
+    and from block to block, whichever tasks read them. Numbers have gaps between blocks.
+    """
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return spark.read.text(paths).select(F.col("_metadata.file_path").alias("run_id"), (F.col("_metadata.file_block_start") * 2 + row).alias("seq"), "value")
 
 
 def scan(spark: SparkSession, paths, strict: bool = False) -> DataFrame:
@@ -77,3 +79,17 @@ def render_line() -> Column:
 def write(frames: DataFrame, path: str) -> None:
     """Text files of ASC lines in arrival order within each file. Files have no header, which the scan doesn't need."""
     frames.select("seq", render_line().alias("value")).sortWithinPartitions("seq").select("value").write.text(path)
+
+
+#: What stands before the frames of a single file that other tools are to read; the scan skips it.
+HEADER = ["date Thu Jan 1 00:00:00 AM 1970", "base hex  timestamps absolute", "internal events logged", "// version 7.0.0"]
+
+
+def write_runs(frames: DataFrame, path: str, header: bool = False) -> None:
+    """One file of ASC lines in arrival order for each run, in a folder run_id=..., with a header if asked for."""
+    lines = frames.select("run_id", F.struct(F.lit(1).alias("part"), "seq").alias("at"), render_line().alias("value"))
+    if header:
+        head = F.posexplode(F.array(*(F.lit(x) for x in HEADER))).alias("seq", "value")
+        heads = frames.select("run_id").distinct().select("run_id", head).select("run_id", F.struct(F.lit(0).alias("part"), F.col("seq").cast("long").alias("seq")).alias("at"), "value")
+        lines = heads.unionByName(lines)
+    lines.repartition("run_id").sortWithinPartitions("run_id", "at").select("run_id", "value").write.partitionBy("run_id").text(path)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from canlake.schema import NO_NODE
 
+#: Lines of a file are looked at in buckets of this many, each in one task.
+LINES = 1 << 13
 NUMBER = r"[-+0-9.eE]+"
 SIGNAL = rf"^\s*SG_\s+(\w+)\s*(?:[mM]\w*\s*)?:\s*(\d+)\|(\d+)@([01])([+-])\s*\(({NUMBER}),({NUMBER})\)\s*\[({NUMBER})\|({NUMBER})\]\s*\"([^\"]*)\"\s*(.*?)\s*$"
 
@@ -40,11 +42,18 @@ def parse(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     )
     m = m.withColumn("extended", F.col("number") >= 1 << 31).withColumn("id", F.when(F.col("extended"), F.col("number").bitwiseAND(F.lit(0x1FFFFFFF))).otherwise(F.col("number")))
     last = m.groupBy("path", "id").agg(F.max_by(F.struct("line", "extended", "name", "dlc", "transmitter"), "line").alias("m")).select("path", "id", "m.*")
-    opened = F.when(value.rlike(r"^BO_\s"), F.col("line"))
+    # A signal belongs to the last message opened before it: within a bucket of lines, or else before the bucket.
+    opened, bucket = F.when(value.rlike(r"^BO_\s"), F.col("line")), F.expr(f"line div {LINES}")
+    heads = lines.groupBy("path", bucket.alias("bucket")).agg(F.max(opened).alias("last"))
+    heads = heads.select("path", "bucket", F.last("last", ignorenulls=True).over(W.partitionBy("path").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)).alias("carried"))
+    here = F.last(opened, ignorenulls=True).over(W.partitionBy("path", "bucket").orderBy("line").rowsBetween(W.unboundedPreceding, 0))
     x = lambda i: F.regexp_extract("value", SIGNAL, i)
     s = (
-        lines.withColumn("of", F.last(opened, ignorenulls=True).over(W.partitionBy("path").orderBy("line").rowsBetween(W.unboundedPreceding, 0)))
+        lines.withColumn("bucket", bucket)
+        .withColumn("here", here)
         .where(value.rlike(SIGNAL))
+        .join(heads, ["path", "bucket"])
+        .withColumn("of", F.coalesce("here", "carried"))
         .select(
             "path", F.col("of"), F.col("line").alias("sg"), x(1).alias("signal"), x(2).cast("int").alias("start_bit"), x(3).cast("int").alias("size"), (x(4) == "0").alias("big_endian"),
             (x(5) == "-").alias("signed"), x(6).cast("double").alias("factor"), x(7).cast("double").alias("offset"), x(8).cast("double").alias("min"), x(9).cast("double").alias("max"), x(10).alias("unit"),

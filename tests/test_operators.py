@@ -133,8 +133,66 @@ def test_as_of(spark):
 
 def test_rates_fill_gaps_and_start_late(spark):
     f = frames(spark, [(1, 1_200_000, 0, 1), (2, 1_300_000, 1, 1), (3, 3_100_000, 0, 1)])
-    assert [(r["w"], r["frames"], r["rate"]) for r in rates.frame_rate(f).orderBy("w").collect()] == [(0, 0, 0.0), (1, 2, 2.0), (2, 0, 1.8), (3, 1, 1.72)]
-    assert [r["bits"] for r in rates.bus_load(f).orderBy("w").collect()] == [0, 222, 0, 111]
+    assert [(r["w"], r["frames"], r["rate"]) for r in rates.frame_rate(f, from_zero=True).orderBy("w").collect()] == [(0, 0, 0.0), (1, 2, 2.0), (2, 0, 1.8), (3, 1, 1.72)]
+    assert [r["bits"] for r in rates.bus_load(f, from_zero=True).orderBy("w").collect()] == [0, 222, 0, 111]
+    assert [(r["w"], r["rate"]) for r in rates.frame_rate(f).orderBy("w").collect()] == [(1, 2.0), (2, 1.8), (3, 1.72)]
+
+
+def test_rates_of_times_since_the_epoch_and_long_gaps(spark):
+    start = 1_700_000_000_000_000
+    f = frames(spark, [(1, start, 0, 1), (2, start + 5_000_000, 1, 1), (3, start + 3_000_000_000, 0, 1)])
+    got = rates.bus_load(f).orderBy("w").collect()
+    value, want = None, []
+    for w in range(3001):
+        v = (111 if w in (0, 5, 3000) else 0) / 500_000 * 100
+        value = v if value is None else 0.9 * value + 0.1 * v
+        want.append((1_700_000_000 + w, round(value, 6)))
+    assert [(r["w"], round(r["load"], 6)) for r in got] == want
+
+
+def test_scanned_logs_feed_every_cycle_operator(spark, tmp_path):
+    rows = random_rows(300)
+    f = frames(spark, rows)
+    asc.write_runs(f, str(tmp_path / "logs"), header=True)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")  # several blocks of a file
+    try:
+        back = asc.scan(spark, str(tmp_path / "logs"))
+        assert back.rdd.getNumPartitions() > 3
+        assert [(r["t_us"], r["channel"], r["id"]) for r in back.orderBy("seq").collect()] == [r[1:4] for r in sorted(rows)]
+        for op in (aggregate.cycle_stats, aggregate.summary):
+            assert sorted(map(tuple, op(back).drop("run_id").collect())) == sorted(map(tuple, op(f).drop("run_id").collect()))
+        assert aggregate.cycle_running(back, 50).count() == aggregate.cycle_delta(back, 50).count() == len(rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_rings_and_views_are_per_run(spark):
+    rows = [("a", s, s, s % 2, 816 if s % 2 == 0 else 7, False, 8, bytes(8), "Rx") for s in range(30)] + [("b", 100 + s, s, s % 2, 200, False, 8, bytes(8), "Rx") for s in range(9)]
+    f = spark.createDataFrame(rows, schema.FRAMES)
+    for bucket in (4, 1 << 17):
+        got = views.newest(f, 10, bucket).groupBy("run_id").agg(F.min("seq").alias("lo"), F.count("*").alias("n")).orderBy("run_id").collect()
+        assert [tuple(r) for r in got] == [("a", 20, 10), ("b", 100, 9)]
+    shown = views.trace_view(f, fx.messages(spark), View(scope=1), ring=10, shown=3).collect()
+    assert sorted(r["seq"] for r in shown) == [25, 27, 29, 103, 105, 107]
+    counts = views.view_counts(aggregate.message_agg(f), fx.messages(spark), fx.VIEWS)
+    assert {r["view"]: (r["messages"], r["frames"]) for r in counts.collect()}["empty"] == (0, 0) and counts.count() == len(fx.VIEWS)
+
+
+def test_viewport_defaults_and_flat_ranges(spark):
+    kept = spark.createDataFrame([("r", 0, 1, s, k, t, v) for k, (s, t, v) in enumerate([("a", 5, 2.0), ("b", 50, 3.0), ("b", 60, 3.0 + 1e-10), ("c", 50, 1.0), ("c", 60, 4.0)])], "run_id string, channel int, id long, signal string, seq long, t_us long, value double")
+    got = {r["signal"]: (r["lo"], r["hi"]) for r in series.viewport(kept, 10, shared=False).collect()}
+    assert got == {"a": (0.0, 1.0), "b": (3.0, 4.0), "c": (1.0, 4.0)}
+    assert [tuple(r) for r in series.viewport(kept, 10).collect()] == [("r", 1.0, 4.0)] and [tuple(r) for r in series.viewport(kept, 99).collect()] == [("r", 0.0, 1.0)]
+
+
+def test_encoding_of_overlapping_fields_and_bases(spark):
+    s = spark.createDataFrame([(0, 1, k, n, a, z, big, False, 1.0, 0.0, 0.0, 0.0, "", []) for k, (n, a, z, big) in enumerate([("A", 0, 8, False), ("B", 4, 8, False), ("C", 23, 12, True)])], schema.SIGNALS)
+    m = spark.createDataFrame([(0, 1, False, "M", 8, "")], schema.MESSAGES)
+    w = spark.createDataFrame([(1, 0, 1, 1, "A", 255.0), (1, 0, 1, 2, "B", 0.0), (2, 0, 1, 2, "A", 255.0), (2, 0, 1, 1, "B", 0.0), (3, 0, 1, 1, "C", 2748.0)], "frame int, channel int, id long, ord int, signal string, phys double")
+    base = spark.createDataFrame([(1, b"\xff" * 8), (3, b"\xff" * 8)], "frame int, data binary")
+    assert {r["frame"]: bytes(r["data"]).hex() for r in encode.encode_batch(w, s, m).collect()} == {1: "0f00" + "00" * 6, 2: "ff00" + "00" * 6, 3: "0000abc0" + "00" * 4}
+    assert {r["frame"]: bytes(r["data"]).hex() for r in encode.encode_batch(w, s, m, base).collect()} == {1: "0ff0" + "ff" * 6, 2: "ff00" + "00" * 6, 3: "ffffabcf" + "ff" * 4}
 
 
 def test_sets(spark):
