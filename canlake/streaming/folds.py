@@ -12,7 +12,7 @@ from pyspark.sql.types import BinaryType, BooleanType, DoubleType, IntegerType,
 
 from canlake.functions.codec import frame_bits
 from canlake.operators.series import decode
-from canlake.schema import KEY, NEW, OLD, SAMPLE_GAP_US
+from canlake.schema import BIT_RATE, KEY, NEW, OLD, SAMPLE_GAP_US
 from canlake.sources.asc import parse_lines, render_line
 
 KEY_FIELDS = [StructField("run_id", StringType()), StructField("channel", IntegerType()), StructField("id", LongType())]
@@ -96,6 +96,48 @@ def rate_stream(frames: DataFrame, width: str = "1 second", late: str = "10 seco
     return timed.groupBy("run_id", F.window("event_time", width)).agg(F.count("*").alias("frames"), F.sum(frame_bits(F.col("extended"), F.col("dlc"))).alias("bits"))
 
 
+class Smoothing(StatefulProcessor):
+    """The windows of a run in order, those without frames included, with frame rate and bus load smoothed after each."""
+
+    def __init__(self, width_us: int, bit_rate: int):
+        self.width_us, self.bit_rate = width_us, bit_rate
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("smoothed", StructType([StructField("w", LongType()), StructField("rate", DoubleType()), StructField("load", DoubleType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values("w")
+        last, rate, load = self.state.get() if self.state.exists() else (None, 0.0, 0.0)
+        per_s, out = 1e6 / self.width_us, []
+        for w, frames, bits in zip(batch["w"], batch["frames"], batch["bits"], strict=True):
+            for at in range(int(w) if last is None else last + 1, int(w) + 1):
+                f, b = (int(frames), int(bits)) if at == w else (0, 0)
+                now, now_load = f * per_s, b * per_s / self.bit_rate * 100
+                rate = now if rate == 0 else OLD * rate + NEW * now
+                load = now_load if load == 0 else OLD * load + NEW * now_load
+                out.append((*key, at, f, b, round(rate, 6), round(load, 6)))
+                if len(out) == 10_000:  # long gaps go out in parts
+                    yield pd.DataFrame(out, columns=SMOOTHED.names)
+                    out = []
+            last = int(w)
+        self.state.update((last, rate, load))
+        yield pd.DataFrame(out, columns=SMOOTHED.names)
+
+    def close(self) -> None:
+        pass
+
+
+SMOOTHED = StructType([StructField("run_id", StringType()), *(StructField(c, LongType()) for c in ("w", "frames", "bits")), StructField("rate", DoubleType()), StructField("load", DoubleType())])
+
+
+def smoothed_rates(frames: DataFrame, width_us: int = 1_000_000, late: str = "10 seconds", bit_rate: int = BIT_RATE) -> DataFrame:
+    """A stream of frames -> run_id, w, frames, bits, rate, load for each window from the run's first on (append mode), as
+    soon as the watermark has passed it; equals the batch's frame_rate and bus_load for those windows."""
+    counted = rate_stream(frames, f"{width_us} microseconds", late)
+    w = F.expr(f"unix_micros(window.start) div {width_us}")
+    return counted.select("run_id", w.alias("w"), "frames", "bits").groupBy("run_id").transformWithStateInPandas(Smoothing(width_us, bit_rate), SMOOTHED, "append", "none")
+
+
 def replay_stream(spark: SparkSession, folder: str) -> DataFrame:
     """ASC files that appear in a folder as a stream of frames; run_id is the file, seq the line's number in it.
 

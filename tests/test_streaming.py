@@ -1,5 +1,5 @@
 from canlake import schema
-from canlake.operators import aggregate, series
+from canlake.operators import aggregate, rates, series
 from canlake.plans import fixtures as fx
 from canlake.sources import asc
 from canlake.streaming import folds
@@ -35,10 +35,23 @@ def test_samples_equal_batch(spark, sf, tmp_path):
     assert sorted(spark.table("samples").collect()) == sorted(want.collect())
 
 
+def test_smoothed_rates_equal_batch(spark, sf, tmp_path):
+    f, stream = parts(spark, sf, str(tmp_path / "in"), 6)
+    run(folds.smoothed_rates(stream, 1_000_000, "1 seconds"), "smooth", "append", tmp_path)
+    got = {r["w"]: (r["frames"], r["bits"], r["rate"], r["load"]) for r in spark.table("smooth").collect()}
+    want = rates.frame_rate(f).join(rates.bus_load(f), ["run_id", "w"]).orderBy("w").collect()
+    assert sorted(got) == [r["w"] for r in want][: len(got)] and len(got) >= 15
+    for r in want[: len(got)]:
+        g = got[r["w"]]
+        assert g[:2] == (r["frames"], r["bits"]) and abs(g[2] - r["rate"]) < 2e-6 and abs(g[3] - r["load"]) < 2e-6
+
+
 def test_rates_and_recording(spark, sf, tmp_path):
     f, stream = parts(spark, sf, str(tmp_path / "in"))
     run(folds.rate_stream(stream), "rates", "append", tmp_path)
     assert 0 < spark.sql("select sum(frames) from rates").first()[0] <= f.count()
+    whole = {r["w"]: (r["frames"], r["bits"]) for r in rates.windows(f).collect()}
+    assert all((r["frames"], r["bits"]) == whole[r["w"]] for r in spark.sql("select unix_micros(window.start) div 1000000 w, frames, bits from rates").collect())
     folds.record(stream, str(tmp_path / "log"), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(240)
     assert asc.scan(spark, str(tmp_path / "log")).count() == f.count()
     replayed = folds.replay_stream(spark, str(tmp_path / "log"))
