@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+import re
 import sys
 import tempfile
 import types
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,10 +30,14 @@ def row_key(doc_id: Column, text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a folder of our own where that is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where that is unset, a local session gets a
+    folder of its own; on a cluster there is nowhere to write, which is an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="canlake-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir is to name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="canlake-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -44,7 +52,26 @@ def tokenizer_path(name: str) -> str:
     return os.path.join(os.environ.get("CANLAKE_TOKENIZERS", "/opt/tokenizers"), name)
 
 
-def worker_store() -> dict:
-    """A dict that lives as long as the Python process, so that a reused worker builds costly objects once."""
+def worker_store(owner: str) -> dict:
+    """A dict that lives as long as the Python process, so that a reused worker builds costly objects once.
+
+    One operator owns it: what another one kept goes first, and the memory of both goes back to the system, since workers
+    outlive the stages that filled them and share their executor's memory.
+    """
     module = sys.modules.setdefault("canlake_worker_store", types.ModuleType("canlake_worker_store"))
-    return module.__dict__
+    kept = module.__dict__.setdefault("kept", {})
+    if kept.get("owner") != owner:
+        kept.clear()
+        kept["owner"] = owner
+        release()
+    return kept
+
+
+def release() -> None:
+    """Hands freed memory back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass

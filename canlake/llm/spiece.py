@@ -136,7 +136,7 @@ class Codec:
             self.known.clear()
             self.lossy.clear()
         known = self.known
-        new = list({w for words in parts for w in words if w not in known})
+        new = list(set().union(*parts).difference(known))
         for start in range(0, len(new), NEW_WORDS):
             some = new[start : start + NEW_WORDS]
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
@@ -168,10 +168,10 @@ class Codec:
 
 def _codec(blob: bytes) -> Codec:
     """The worker's codec, built once in each process."""
-    store, key = worker_store(), hashlib.sha256(blob).hexdigest()
-    if store.get("spiece_key") != key:
-        store["spiece"], store["spiece_key"] = Codec(blob), key
-    return store["spiece"]
+    store, key = worker_store("sentencepiece"), hashlib.sha256(blob).hexdigest()
+    if store.get("key") != key:
+        store["codec"], store["key"] = Codec(blob), key
+    return store["codec"]
 
 
 def verify_parity(blob: bytes, texts: list[str]) -> None:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, row_key
+from .common import cut, row_key, worker_store
 
 #: Strings of LENGTH bytes are looked for. In each, the n-gram of GRAM bytes with the smallest hash is its anchor.
 LENGTH, GRAM = 200, 40
@@ -107,6 +107,7 @@ def _scan(docs: DataFrame) -> DataFrame:
     """docs(rid, text) -> rid, h, c, pos, lead, tail, n, end: contexts of anchors; rows with a NULL h are covered stretches [pos, end)."""
 
     def work(batches):
+        worker_store("suffix")
         names = ["rid", "h", "c", "pos", "lead", "tail", "n", "end"]
         for batch in batches:
             rows, size = [[] for _ in names], 0
@@ -224,27 +225,57 @@ def _merge(spans) -> list[list[int]]:
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """docs(rid, text), wanted(rid, items of (pos, lead, tail, h, c, n, hot)) -> h, c, n, hot, lead, context."""
+    """docs(rid, text), wanted(rid, items of (pos, lead, tail, h, c, hot)) -> h, c, h2, c2, lead, context.
+
+    Contexts of hot anchors come cut into parts of PART strings each, keyed by the bytes that these share (h2) and by
+    themselves (c2); the others whole, with both NULL.
+    """
+    names, kinds = ["h", "c", "h2", "c2", "lead", "context"], [pa.int64()] * 5 + [pa.binary()]
 
     def work(batches):
-        names = ["h", "c", "n", "hot", "lead", "context"]
+        worker_store("suffix")
         for batch in batches:
-            rows = [[] for _ in names]
+            rows, size = [[] for _ in names], 0
+
+            def flush(rows=rows):
+                out = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names=names)
+                for x in rows:
+                    x.clear()
+                return out
+
             for text, items in zip(batch.column(0), batch.column(1), strict=True):
                 data = (text.as_py() or "").encode("utf-8")
                 for x in items.as_py():
-                    for col, v in zip(rows, (x["h"], x["c"], x["n"], x["hot"], x["lead"], data[x["pos"] - x["lead"] : x["pos"] + x["tail"]]), strict=True):
-                        col.append(v)
-            kinds = [pa.int64()] * 3 + [pa.bool_(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names=names)
+                    h, c, lead, context = x["h"], x["c"], x["lead"], data[x["pos"] - x["lead"] : x["pos"] + x["tail"]]
+                    for row in _parts(h, c, lead, context) if x["hot"] else [(h, c, None, None, lead, context)]:
+                        for col, v in zip(rows, row, strict=True):
+                            col.append(v)
+                        size += len(row[-1])
+                    if size > 1 << 23:
+                        yield flush()
+                        size = 0
+            yield flush()
 
-    return docs.join(wanted, "rid").select("text", "items").mapInArrow(work, "h long, c long, n long, hot boolean, lead long, context binary")
+    return docs.join(wanted, "rid").select("text", "items").mapInArrow(work, "h long, c long, h2 long, c2 long, lead long, context binary")
+
+
+def _parts(h: int, c: int, lead: int, context: bytes) -> Iterator[tuple]:
+    """(h, c, h2, c2, lead, part): a context cut into parts of PART strings."""
+    first, last = -lead, len(context) - LENGTH - lead  # places of the strings, relative to the anchor
+    for low in range(first // PART * PART, last + 1, PART):
+        a, b = max(low, first), min(low + PART - 1, last)
+        part = context[a + lead : b + lead + LENGTH]
+        # All strings that may start at this part's places hold these bytes, so equal strings meet.
+        shared = context[low + PART - 1 + lead : low + LENGTH + lead]
+        h2 = xxhash.xxh64_intdigest(shared, (h + low) & 0xFFFFFFFF) - (1 << 63)
+        yield h, c, h2, xxhash.xxh64_intdigest(part, (a - low) & 0xFFFFFFFF) - (1 << 63), -a, part
 
 
 def _array_spans(contexts: DataFrame) -> DataFrame:
     """h, c, lo, hi: covered stretches of contexts, relative to the anchor. Contexts of an anchor meet in one suffix array."""
 
     def work(batches):
+        worker_store("suffix")
         held: list[tuple] = []
         size = 0
 
@@ -271,38 +302,13 @@ def _array_spans(contexts: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, "h long, c long, lo long, hi long")
 
 
-def _parts(contexts: DataFrame) -> DataFrame:
-    """h, c, h2, c2, lead, context: contexts cut into parts of PART strings each, keyed by the bytes that these share."""
-
-    def work(batches):
-        names = ["h", "c", "h2", "c2", "lead", "context"]
-        for batch in batches:
-            rows = [[] for _ in names]
-            for h, c, lead, context in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                first, last = -lead, len(context) - LENGTH - lead  # places of the strings, relative to the anchor
-                for low in range(first // PART * PART, last + 1, PART):
-                    a, b = max(low, first), min(low + PART - 1, last)
-                    part = context[a + lead : b + lead + LENGTH]
-                    # All strings that may start at this part's places hold these bytes, so equal strings meet.
-                    shared = context[low + PART - 1 + lead : low + LENGTH + lead]
-                    h2 = xxhash.xxh64_intdigest(shared, (h + low) & 0xFFFFFFFF) - (1 << 63)
-                    c2 = xxhash.xxh64_intdigest(part, (a - low) & 0xFFFFFFFF) - (1 << 63)
-                    for col, v in zip(rows, (h, c, h2, c2, -a, part), strict=True):
-                        col.append(v)
-            kinds = [pa.int64()] * 5 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names=names)
-
-    return contexts.select("h", "c", "lead", "context").mapInArrow(work, "h long, c long, h2 long, c2 long, lead long, context binary")
-
-
-def _hot_spans(contexts: DataFrame, hot: int) -> DataFrame:
-    """h, c, lo, hi as _array_spans gives them, for anchors with very many different contexts, which never meet in one task.
+def _hot_spans(parts: DataFrame, hot: int) -> DataFrame:
+    """h, c, lo, hi as _array_spans gives them, for parts of contexts of anchors with very many different ones, which never meet in one task.
 
     Strings at the same places share the bytes between the last one's start and the first one's end: parts of contexts
     meet by those. Equal parts are one row with a count. Parts that meet in bounded numbers go through suffix arrays,
     the others through the strings themselves, counted as keys.
     """
-    parts = _parts(contexts)
     distinct = parts.groupBy("h2", "c2").agg(F.count("*").alias("n"), F.first("lead").alias("lead"), F.first("context").alias("context"))
     sizes = distinct.groupBy("h2").agg(F.count("*").alias("k")).where("k > 1")
     met = distinct.join(sizes, "h2").select(F.col("h2").alias("h"), F.col("c2").alias("c"), "lead", "context", "k")
@@ -317,6 +323,7 @@ def _string_spans(contexts: DataFrame) -> DataFrame:
     """The same by each string of LENGTH bytes as a key of its own, counted without bringing an anchor's contexts together."""
 
     def work(batches):
+        worker_store("suffix")
         for batch in batches:
             rows = [[] for _ in range(4)]
             for h, c, lead, context in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
@@ -348,11 +355,11 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFram
     contexts = contested.groupBy("h", "c").agg(F.sum("n").alias("n"), F.min("lead").alias("lead"), F.min("tail").alias("tail"), F.min(F.struct("rid", "pos")).alias("at"))
     many = contexts.groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") > hot).select("h", F.lit(True).alias("hot"))
     contexts = contexts.join(many, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    wanted = contexts.groupBy(F.col("at.rid").alias("rid")).agg(F.collect_list(F.struct(F.col("at.pos").alias("pos"), "lead", "tail", "h", "c", "n", "hot")).alias("items"))
+    wanted = contexts.groupBy(F.col("at.rid").alias("rid")).agg(F.collect_list(F.struct(F.col("at.pos").alias("pos"), "lead", "tail", "h", "c", "hot")).alias("items"))
     fetched = _contexts(docs, wanted)
     # A context that stands more than once is covered whole, and still counts for the others.
     whole = contexts.where("n > 1").select("h", "c", (-F.col("lead")).alias("lo"), F.col("tail").alias("hi"))
-    spans = cut(whole.unionByName(_array_spans(fetched.where("not hot"))).unionByName(_hot_spans(fetched.where("hot"), hot)))
+    spans = cut(whole.unionByName(_array_spans(fetched.where("h2 is null"))).unionByName(_hot_spans(fetched.where("h2 is not null"), hot)))
     partial = contested.join(spans, ["h", "c"]).select("rid", F.greatest(F.col("pos") + F.col("lo"), F.lit(0)).alias("lo"), (F.col("pos") + F.col("hi")).alias("hi"))
     return plain.unionByName(partial).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # one text's own places
 
@@ -372,6 +379,7 @@ def remove_repeats(docs: DataFrame, columns: list[str] | None = None, texts: boo
     schema = keyed.join(covered, "rid", "left").select(*names, "text", "spans")
 
     def work(batches):
+        worker_store("suffix")
         for batch in batches:
             out = [[] for _ in added]
             for text, spans in zip(batch.column(len(names)), batch.column(len(names) + 1), strict=True):
@@ -394,4 +402,7 @@ def remove_repeats(docs: DataFrame, columns: list[str] | None = None, texts: boo
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of `documents`, by the whole text. NULL texts are empty,
+    texts under 200 bytes lose nothing, repeated rows (NULL and equal ids too) are copies of each other and lose all that
+    is long enough; an empty table gives no rows; columns other than doc_id and text are ignored."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), ["doc_id"], texts=False)

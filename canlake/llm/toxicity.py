@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, worker_store
 
 #: The classifier is fitted on at most about this many labelled documents of each label, picked by a hash of their id.
 FIT_TOXIC, FIT_ORDINARY = 1_500, 3_000
@@ -22,6 +22,8 @@ FAST, THOROUGH = 9, 19
 #: Lengths of the n-grams, the space before a word included, that are looked for in toxic words.
 GRAMS = (4, 5, 6, 7)
 N_FEATURES = 7
+#: A task hands on its counts of n-grams when it holds more than this many.
+COUNTED = 50_000
 
 
 def _grams(word: str):
@@ -99,6 +101,7 @@ def _featured(rows: DataFrame, shared, keep: list[str]) -> DataFrame:
     """keep..., f: the features of each row's text."""
 
     def work(batches):
+        worker_store("toxicity")
         c = Compressors(*shared.value)
         for batch in batches:
             f = [c.features(t.as_py() or "") for t in batch.column(len(keep))]
@@ -127,12 +130,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     sample = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id").persist()  # bounded: some thousand ids
 
     def counts(batches):
+        worker_store("toxicity")
         found = [Counter(), Counter()]
+
+        def flush():
+            keys = list(found[0].keys() | found[1].keys())
+            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([found[0][k] for k in keys], pa.int64()), pa.array([found[1][k] for k in keys], pa.int64())], names=["g", "o", "t"])
+            for f in found:
+                f.clear()
+            return out
+
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
                 found[toxic.as_py()].update({g for w in set(text.as_py().lower().split()) for g in _grams(w)})
-        keys = list(found[0].keys() | found[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([found[0][k] for k in keys], pa.int64()), pa.array([found[1][k] for k in keys], pa.int64())], names=["g", "o", "t"])
+                if len(found[0]) + len(found[1]) > COUNTED:
+                    yield flush()
+        yield flush()
 
     try:
         size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -182,6 +195,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     weights = model.weights
 
     def work(batches):
+        worker_store("toxicity")
         c, m = Compressors(*shared.value), Model(b"", b"", weights)
         for batch in batches:
             f = np.array([c.features(t.as_py() or "") for t in batch.column(1)]).reshape(-1, N_FEATURES)
@@ -196,6 +210,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
     shared, weights, at = sc.broadcast((model.ordinary, model.toxic)), model.weights, docs.columns.index("text")
 
     def work(batches):
+        worker_store("toxicity")
         c, m = Compressors(*shared.value), Model(b"", b"", weights)
         for batch in batches:
             f = np.array([c.features(t.as_py() or "") for t in batch.column(at)]).reshape(-1, N_FEATURES)
