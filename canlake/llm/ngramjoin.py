@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, row_key
+from .common import cut, row_key, worker_store
 from .components import components, stars
 from .units import by_unit, in_blocks
 
@@ -21,8 +19,8 @@ N, THRESHOLD = 5, 0.8
 HASHES, ROWS = 100, 4
 #: Values are compared STEP at a time; a pair goes when its similarity reaches the threshold with a probability under TOLERANCE.
 STEP, TOLERANCE = 20, 1e-6
-#: Groups of candidates are compared in blocks of this many sets.
-BLOCK = 512
+#: Groups of candidates are compared in blocks of about this many sets, and of so many bytes of shingles.
+BLOCK, BLOCK_BYTES = 512, 1 << 24
 
 _rng = np.random.default_rng(8)
 _A = _rng.integers(1, 1 << 62, HASHES, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -59,8 +57,7 @@ def _bands(sig: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(sig[i : i + ROWS].tobytes(), i) - (1 << 63) for i in range(0, HASHES, ROWS)]
 
 
-@lru_cache(maxsize=None)
-def fewest_matches(compared: int, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> int:
+def _fewest_matches(compared: int, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> int:
     """The fewest equal values among `compared` with which a pair stays: with fewer, the posterior probability that its
     similarity is the threshold or more, under a uniform prior, is less than the tolerance."""
     grid = (np.arange(20_000) + 0.5) / 20_000
@@ -73,6 +70,10 @@ def fewest_matches(compared: int, threshold: float = THRESHOLD, tolerance: float
     return next((m for m in range(compared + 1) if reach(m) >= tolerance), compared)
 
 
+#: By the number of values compared so far; a plain dict, so that tasks carry it along.
+FEWEST = {compared: _fewest_matches(compared) for compared in range(STEP, HASHES + 1, STEP)}
+
+
 def surviving_pairs(sigs: np.ndarray, others: np.ndarray, same: bool) -> np.ndarray:
     """Index pairs (i, j) of sets that pass every step of the incremental comparison; i < j if both blocks are the same."""
     left = np.argwhere(np.triu(np.ones((len(sigs), len(others)), bool), 1)) if same else np.argwhere(np.ones((len(sigs), len(others)), bool))
@@ -83,7 +84,7 @@ def surviving_pairs(sigs: np.ndarray, others: np.ndarray, same: bool) -> np.ndar
         for part in range(0, len(left), 1 << 17):
             p = left[part : part + (1 << 17)]
             matches[part : part + (1 << 17)] += (sigs[p[:, 0], at : at + STEP] == others[p[:, 1], at : at + STEP]).sum(axis=1, dtype=np.int32)
-        stay = matches >= fewest_matches(at + STEP)
+        stay = matches >= FEWEST[at + STEP]
         left, matches = left[stay], matches[stay]
     return left
 
@@ -121,6 +122,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     """docs(key, row, text) -> key, row, cls, bands: the class of equal shingle sets (NULL without words) and the set's bands."""
 
     def work(batches):
+        worker_store("shingles")
         for batch in batches:
             cls, bands = [], []
             for text in batch.column(2):
@@ -138,6 +140,7 @@ def _signed(members: DataFrame) -> DataFrame:
     kinds = dict(members.dtypes)
 
     def work(batches):
+        worker_store("shingles")
         for batch in batches:
             sets = [shingles(t.as_py() or "") for t in batch.column(len(names))]
             own = [i for i, cls in enumerate(batch.column(names.index("cls")).to_pylist()) if len(sets[i]) and _class(sets[i]) == cls]
@@ -171,13 +174,17 @@ def similar(docs: DataFrame) -> DataFrame:
     text = docs.join(chosen, "row").select("cls", "copies", "text")
     signed = cut(_signed(text).dropDuplicates(["cls"]))
 
-    def prune(a, b):
-        rows = a if b is None else a + b
-        sigs = np.array([np.frombuffer(r[1], np.uint32) for r in rows])
-        n = len(a)
+    def candidates(a, b):
+        """The classes of a unit, and the pairs of them that the pruning leaves."""
+        both, n = a if b is None else pa.concat_tables([a, b]), len(a)
+        sigs = np.array([np.frombuffer(s.as_buffer(), np.uint32) for s in both.column("sig")]).reshape(-1, HASHES)
         pairs = surviving_pairs(sigs, sigs, True) if b is None else surviving_pairs(sigs[:n], sigs[n:], False) + [0, n]
-        got = stars(len(rows), pairs.tolist())
-        return [rows[i][0] for i, _ in got], [rows[r][0] for _, r in got]
+        return both.column("cls").to_pylist(), pairs
+
+    def prune(a, b):
+        cls, pairs = candidates(a, b)
+        got = stars(len(cls), pairs.tolist())
+        return [cls[i] for i, _ in got], [cls[r] for _, r in got]
 
     ab = pa.schema([pa.field("a", pa.int64()), pa.field("b", pa.int64())])
     near = by_unit(in_blocks(members.join(signed.select("cls", "sig"), "cls"), "band", "cls", BLOCK), ["cls", "sig"], ab, prune)
@@ -185,22 +192,20 @@ def similar(docs: DataFrame) -> DataFrame:
     clusters = components(near)
 
     def verify(a, b):
-        rows = a if b is None else a + b
-        sigs = np.array([np.frombuffer(r[2], np.uint32) for r in rows])
-        sets = [np.frombuffer(r[3], np.uint64) for r in rows]
-        n = len(a)
-        pairs = surviving_pairs(sigs, sigs, True) if b is None else surviving_pairs(sigs[:n], sigs[n:], False) + [0, n]
+        cls, pairs = candidates(a, b)
+        both = a if b is None else pa.concat_tables([a, b])
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in both.column("shingles")]
         pairs = pairs[linked(sets, sets, pairs)]
-        links = np.zeros(len(rows), np.int64)
-        np.add.at(links, pairs[:, 0], np.array([r[1] for r in rows], np.int64)[pairs[:, 1]])
-        np.add.at(links, pairs[:, 1], np.array([r[1] for r in rows], np.int64)[pairs[:, 0]])
-        root = dict(stars(len(rows), pairs.tolist()))
-        some = [i for i in range(len(rows)) if links[i]]
-        return [rows[i][0] for i in some], [rows[root.get(i, i)][0] for i in some], links[some].tolist()
+        copies, links = both.column("copies").to_numpy(), np.zeros(len(cls), np.int64)
+        np.add.at(links, pairs[:, 0], copies[pairs[:, 1]])
+        np.add.at(links, pairs[:, 1], copies[pairs[:, 0]])
+        root = dict(stars(len(cls), pairs.tolist()))
+        some = np.flatnonzero(links).tolist()
+        return [cls[i] for i in some], [cls[root.get(i, i)] for i in some], links[some].tolist()
 
     abn = pa.schema([*ab, pa.field("links", pa.int64())])
     inside = clusters.select(F.col("node").alias("cls"), F.col("root").alias("cluster")).join(signed, "cls")
-    found = cut(by_unit(in_blocks(inside, "cluster", "cls", BLOCK), ["cls", "copies", "sig", "shingles"], abn, verify))
+    found = cut(by_unit(in_blocks(inside, "cluster", "cls", BLOCK, F.octet_length("shingles"), BLOCK_BYTES), ["cls", "copies", "sig", "shingles"], abn, verify))
     counts = found.groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
     joined = components(found.select("a", "b"))
 
@@ -212,6 +217,9 @@ def similar(docs: DataFrame) -> DataFrame:
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id, n_links, component_id, kept for each row of `documents`, by the whole text. Texts without words
+    (NULL, empty, blank) have no links; rows with NULL or repeated ids are rows like others; ties of component go to the
+    smallest id; an empty table gives no rows; columns other than doc_id and text are ignored."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("key"), "text")
     got = similar(docs).select(F.col("key").alias("doc_id"), "class_id", "n_links", "component_id")
     return got.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
