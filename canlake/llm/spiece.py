@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import struct
 from array import array
@@ -11,12 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import tokenizer_path, worker_store
+from .common import release, tokenizer_path, worker_store
 
 #: The marker that stands for a space, and the numbers of the format's piece types and model types.
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: The encoder's threads in a task: tasks run side by side already, and each thread keeps memory of its own.
+THREADS = 2
 #: A batch given to the encoder holds at most so many characters, however many rows Spark hands over at a time.
 BATCH_CHARS = 500_000
 #: So many words with their ids are kept by a worker, about 30 MB, and so many new ones go through the library at a time.
@@ -168,6 +171,7 @@ class Codec:
 
 def _codec(blob: bytes) -> Codec:
     """The worker's codec, built once in each process."""
+    os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))  # read when the library starts
     store, key = worker_store("sentencepiece"), hashlib.sha256(blob).hexdigest()
     if store.get("key") != key:
         store["codec"], store["key"] = Codec(blob), key
@@ -219,6 +223,7 @@ def encode(docs: DataFrame, model_file: str | None = None, column: str = "text",
 
         codec, own = _codec(shared.value), sentencepiece.SentencePieceProcessor(model_proto=shared.value)
         for batch in batches:
+            release()
             doc_ids, texts = batch.column(0), batch.column(1)
             start = 0
             while start < len(texts):
@@ -261,4 +266,6 @@ def decode(tokens: DataFrame, model_file: str | None = None) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, round_trip for each row of `documents`, by its whole text. NULL and empty texts have no
+    tokens; repeated rows and NULL ids each get their row; an empty table gives no rows; other columns are ignored."""
     return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), ids=False)
