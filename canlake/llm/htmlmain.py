@@ -1,19 +1,29 @@
-"""Main text of web pages: boilerplate elements go, and so do subtrees that recur over a host's pages."""
+"""Main text of web pages: subtrees that recur over a host's pages go, and so do boilerplate elements."""
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A subtree is template where it stands on this many pages of its host and on this share of them.
-MIN_PAGES, MIN_SHARE = 5, 0.2
+from .common import cut, worker_store
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+#: A subtree is template where it stands on MIN_PAGES different pages of its host, and on MIN_SHARE of them or on MANY_PAGES.
+MIN_PAGES, MIN_SHARE, MANY_PAGES = 5, 0.2, 200
+
+#: An article is small where the rest of its page, without templates and boilerplate, is over this many times as long.
+SMALL = 2
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+#: The rest of a tag, by whether the page has closing double and single quotes from here on: without, they are marks like others.
+REST = {
+    (dq, sq): re.compile("(?:[^>" + '"' * dq + "'" * sq + "]+" + '|"[^"]*"' * dq + "|'[^']*'" * sq + ")*")
+    for dq in (False, True) for sq in (False, True)
+}
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Text inside these is no markup.
@@ -28,6 +38,10 @@ MARKED = re.compile(
 )
 #: Names that say how a page is laid out around its main text, such as no-sidebar.
 LAYOUT = re.compile(r"(?:no|has|with|without|not|is)[-_]", re.I)
+#: Of the rolling hash over a page's texts.
+PRIME, BASE = (1 << 61) - 1, 1_000_003
+#: Elements of running text: those of an article are never taken for template.
+FLOW = frozenset("p h1 h2 h3 h4 h5 h6 hgroup li dt dd blockquote pre tr td th thead tbody tfoot caption figure figcaption details summary".split())
 BLOCK = frozenset(
     "address article blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -44,165 +58,219 @@ def _marked(attributes: str) -> bool:
     return any(MARKED.search(n) and not LAYOUT.match(n) for n in names)
 
 
-def parse(page: str) -> tuple[list[tuple[str, bool, tuple[int, ...]]], list[tuple[str, int, int, bool]]]:
-    """(blocks, nodes) of a page without its boilerplate elements.
+def parse(page: str) -> tuple[list[tuple[str, int, bool, bool]], list[tuple[str, int, int, int, bool, bool]]]:
+    """(blocks, nodes) of a page.
 
-    blocks: (text, whether inside an article or main element, the nodes it lies in) in page order.
-    nodes: (tag, first block, last block + 1, whether inside or around such an element) of block elements.
+    blocks: (text, the innermost node, whether in a boilerplate element, whether inside an article or main element) in
+    page order. nodes: (tag, parent or -1, first block, last block + 1, inside such an element, around one) of block
+    elements in page order. What scripts, styles, buttons and the like hold is in no block. Linear in the page, however
+    deep its elements, and whether or not tags, quotes, comments and raw text are closed.
     """
-    blocks: list[tuple[str, bool, tuple[int, ...]]] = []
+    blocks: list[tuple[str, int, bool, bool]] = []
     nodes: list[list] = []
-    stack: list[tuple[str, int, bool, bool]] = []  # tag, node or -1, dropped, main
+    stack: list[tuple[str, int, int, bool, int]] = []  # tag, node or -1, 0 or 1 (boilerplate) or 2 (no text at all), main, innermost node
+    open_: Counter = Counter()  # how many of a tag are on the stack
     text: list[str] = []
+    quotes = [True, True]
 
     def flush() -> None:
         if text:
             got = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if got:
-                blocks.append((got, bool(stack) and stack[-1][3], tuple(s[1] for s in stack if s[1] >= 0)))
+                top = stack[-1] if stack else ("", -1, 0, False, -1)
+                blocks.append((got, top[4], top[2] > 0, top[3]))
 
     def close(n: int) -> None:
         flush()
         while len(stack) > n:
-            node = stack.pop()[1]
+            tag, node, *_ = stack.pop()
+            open_[tag] -= 1
             if node >= 0:
-                nodes[node][2] = len(blocks)
+                nodes[node][3] = len(blocks)
 
     at, end = 0, len(page)
     while at < end:
-        m = TOKEN.search(page, at)
-        upto = m.start() if m else end
-        dropped = bool(stack) and stack[-1][2]
-        if not dropped and upto > at:
+        lt = page.find("<", at)
+        upto = lt if lt >= 0 else end
+        kind = stack[-1][2] if stack else 0
+        if kind < 2 and upto > at:
             text.append(page[at:upto])
-        if not m:
+        if lt < 0:
             break
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+        if page.startswith("<!--", lt):
+            at = page.find("-->", lt + 4) + 3
+            at = end if at < 3 else at
+            continue
+        m = NAME.match(page, lt + 1)
+        if not m:
+            if page.startswith(("<!", "<?"), lt):
+                at = page.find(">", lt) + 1 or end
+            else:
+                if kind < 2:
+                    text.append("<")
+                at = lt + 1
             continue
+        rest = REST[quotes[0], quotes[1]].match(page, m.end())
+        while rest.end() < end and page[rest.end()] != ">":  # a quote that is never closed: from here on there is none of its kind
+            quotes["\"'".index(page[rest.end()])] = False
+            rest = REST[quotes[0], quotes[1]].match(page, m.end())
+        at, attributes, tag = rest.end() + 1, rest[0], m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    if tag in BLOCK or stack[i][2]:
-                        close(i)
-                    else:
-                        del stack[i]  # inline elements may end in any order
-                    break
+            if open_[tag]:
+                i = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag)
+                if tag in BLOCK or stack[i][2]:
+                    close(i)
+                else:
+                    del stack[i]  # inline elements may end in any order
+                    open_[tag] -= 1
             continue
         if tag in VOID:
-            if not dropped:
+            if kind < 2:
                 if tag == "hr":
                     flush()
                 elif tag == "br":
                     text.append(" ")
             continue
         ends = ENDS.get(tag)
-        if ends:
+        if ends and any(open_[x] for x in ends):
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in ends and not stack[i][2]:
                     close(i)
                 elif stack[i][0] in SCOPES:
                     break
-        drop = (dropped and tag != "main") or tag in DROPPED or (bool(m[3]) and tag not in ("html", "body", "main") and _marked(m[3]))
-        main = (bool(stack) and stack[-1][3]) or tag in ("article", "main")
+        kind, main, inner = (stack[-1][2], stack[-1][3], stack[-1][4]) if stack else (0, False, -1)
+        drop = tag in DROPPED or (bool(attributes) and tag not in ("html", "body", "main") and _marked(attributes))
+        kind = 0 if tag == "main" and kind < 2 else max(kind, drop * (1 if tag in BLOCK else 2))
+        main = main or tag in ("article", "main")
         if tag in RAW:
             found = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
             at = page.find(">", found.start()) + 1 or end if found else end
             if tag in BLOCK:
                 flush()
             continue
-        if m[3].rstrip().endswith("/") and tag not in BLOCK:
+        if attributes.rstrip().endswith("/") and tag not in BLOCK:
             continue
         node = -1
         if tag in BLOCK:
             flush()
-            if not drop:
-                node = len(nodes)
-                nodes.append([tag, len(blocks), len(blocks), main])
-        elif drop and not dropped and tag in DROPPED:
+            node = inner = len(nodes)
+            nodes.append([tag, stack[-1][4] if stack else -1, len(blocks), len(blocks), main, False])
+        elif drop and tag in DROPPED:
             flush()
         if tag in ("article", "main"):
-            for s in stack:
-                if s[1] >= 0:
-                    nodes[s[1]][3] = True
-        stack.append((tag, node, drop, main))
+            up = nodes[node][1]
+            while up >= 0 and not nodes[up][5]:
+                nodes[up][5] = True
+                up = nodes[up][1]
+        stack.append((tag, node, kind, main, inner))
+        open_[tag] += 1
     close(0)
     return blocks, [tuple(n) for n in nodes]
 
 
-def subtrees(page: str) -> list[tuple[str, bool, list[int]]]:
-    """(block, whether inside an article or main element, hashes of the subtrees around it that may be template) of all
-    outside boilerplate elements. What articles hold is no template, nor are subtrees around them, up to the body."""
+def subtree_hashes(blocks: list, nodes: list) -> list[int | None]:
+    """Each node's hash by its tag and the texts in it, or None where it can't be template: it holds no text, is or holds
+    an article or main element or the whole page, or is running text of an article."""
+    sums, powers = [0], [1]
+    for text, *_ in blocks:  # a range's hash from two sums, so that depth costs nothing
+        sums.append((sums[-1] * BASE + xxhash.xxh64_intdigest(text)) % PRIME)
+        powers.append(powers[-1] * BASE % PRIME)
+    out = []
+    for tag, _, first, last, inside, around in nodes:
+        if first == last or around or tag in ("html", "body", "article", "main") or (inside and tag in FLOW):
+            out.append(None)
+        else:
+            within = (sums[last] - sums[first] * powers[last - first]) % PRIME
+            out.append(xxhash.xxh64_intdigest(f"{tag} {last - first} {within}") - (1 << 63))
+    return out
+
+
+def kept_blocks(page: str, gone=frozenset()) -> list[str]:
+    """The blocks of a page's main text: without subtrees whose hash is among `gone`, and without boilerplate elements.
+
+    Of a page with an article or main element that alone stays, unless what is left outside it is over SMALL times as long:
+    then that stays too. Where all of an article, or of a page without one, would be template, it stays.
+    """
     blocks, nodes = parse(page)
-    hashes = [None if main or tag in ("html", "body") or first == last else xxhash.xxh64_intdigest(tag + "\0" + "\n".join(b[0] for b in blocks[first:last])) - (1 << 63) for tag, first, last, main in nodes]
-    return [(text, main, [] if main else [hashes[n] for n in around if hashes[n] is not None]) for text, main, around in blocks]
+    hashes = subtree_hashes(blocks, nodes) if gone else []
+    lost: list[bool] = []
+    for k, h in enumerate(hashes):
+        up = nodes[k][1]
+        lost.append(h in gone or (up >= 0 and lost[up]))
+    own = [(text, main, bool(lost) and node >= 0 and lost[node]) for text, node, dropped, main in blocks if not dropped]
+    inside = [b for b, main, out in own if main and not out] or [b for b, main, _ in own if main]
+    outside = [b for b, main, out in own if not main and not out]
+    if not inside:
+        return outside or [b for b, *_ in own]
+    if sum(map(len, outside)) <= SMALL * sum(map(len, inside)):
+        return inside
+    stay, article = [], any(main and not out for _, main, out in own)
+    for b, main, out in own:
+        if not out or (main and not article):
+            stay.append(b)
+    return stay
 
 
-def candidates(page: str) -> list[tuple[str, list[int]]]:
-    """(block, hashes of the subtrees around it that may be template) of a page's articles or main element, and of every
-    block of a page without them."""
-    found = subtrees(page)
-    inside = any(main for _, main, _ in found)
-    return [(text, hashes) for text, main, hashes in found if main == inside]
+def _keyed(pages: DataFrame) -> DataFrame:
+    """key, page_id, url, host, html of each page; repeated rows share their key."""
+    page_id, url = F.col("page_id").cast("long"), F.col("url")
+    host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[^:]*://([^/?#]*)", 1))
+    return pages.select(F.xxhash64(page_id.cast("string"), url, "html").alias("key"), page_id.alias("page_id"), url.alias("url"), host.alias("host"), F.col("html").alias("html"))
 
 
-def _parsed(pages: DataFrame) -> DataFrame:
-    """key, page_id, url, host, blocks, inside, around for each page."""
+def subtrees(pages: DataFrame) -> DataFrame:
+    """pages(key, host, html) -> key, host, page, h: each subtree of each page that may be template; page is a hash of the
+    page's texts, so that copies of a page count as one."""
 
     def work(batches):
+        worker_store("html")
         for batch in batches:
-            found = [subtrees(h.as_py() or "") for h in batch.column("html")]
-            arrays = [batch.column(c) for c in ("key", "page_id", "url", "host")]
-            arrays.append(pa.array([[b for b, _, _ in f] for f in found], pa.list_(pa.string())))
-            arrays.append(pa.array([[m for _, m, _ in f] for f in found], pa.list_(pa.bool_())))
-            arrays.append(pa.array([[h for _, _, h in f] for f in found], pa.list_(pa.list_(pa.int64()))))
-            yield pa.RecordBatch.from_arrays(arrays, names=["key", "page_id", "url", "host", "blocks", "inside", "around"])
+            rows: list[list] = [[], [], []]
+            for i, text in enumerate(batch.column("html")):
+                blocks, nodes = parse(text.as_py() or "")
+                page = xxhash.xxh64_intdigest("\n".join(b[0] for b in blocks)) - (1 << 63)
+                for h in set(subtree_hashes(blocks, nodes)) - {None}:
+                    for col, v in zip(rows, (i, page, h), strict=True):
+                        col.append(v)
+            at = pa.array(rows[0], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("host").take(at), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64())], names=["key", "host", "page", "h"])
 
-    page_id, url = F.col("page_id").cast("long"), F.col("url")
-    host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[^:]*://([^/?#]*)", 1))
-    rows = pages.select(F.xxhash64(page_id.cast("string"), url, "html").alias("key"), page_id.alias("page_id"), url.alias("url"), host.alias("host"), F.col("html").alias("html"))
-    return rows.mapInArrow(work, "key long, page_id long, url string, host string, blocks array<string>, inside array<boolean>, around array<array<long>>")
+    return pages.select("key", "host", "html").mapInArrow(work, "key long, host string, page long, h long")
 
 
-def templates(parsed: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host, h of subtrees on at least min_pages pages of the host and min_share of its pages. Counts cover every page,
-    those with articles by what is outside them."""
-    own = parsed.select("host", F.explode(F.array_distinct(F.flatten("around"))).alias("h"))
-    counts = own.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    totals = parsed.groupBy("host").agg(F.count("*").alias("total"))
-    return counts.join(totals, "host").where(F.col("n") >= min_share * F.col("total")).select("host", "h")
+def templates(own: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES) -> DataFrame:
+    """own(host, page, h) -> host, h of the subtrees that recur: on at least min_pages different pages of the host, and on
+    min_share of its pages or on many_pages. Partial counts go before each shuffle."""
+    counts = own.select("host", "h", "page").distinct().groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    totals = own.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("total"))
+    return counts.join(totals, "host").where(F.col("n") >= F.least(F.lit(min_share) * F.col("total"), F.lit(many_pages))).select("host", "h")
 
 
-def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """page_id, url, text, n_chars for each row of pages(page_id, url, html).
+def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES) -> DataFrame:
+    """page_id, url, text, n_chars for each row of pages(page_id, url, html), by the whole html.
 
+    Subtrees of all elements of all pages are hashed and counted per host; recurring ones go, menus and footers as well
+    as parts of articles that aren't running text. Boilerplate elements that don't recur go by tag, class, id or role.
     Character references are decoded, white space inside a block becomes one space, blocks are joined by line feeds.
-    Of a page with an article or main element that alone stays, unless it is shorter than what is left outside it when
-    templates are gone: then that stays too. A NULL or empty html has an empty text; repeated rows count as pages of their own. Pages without a host form one
-    host. Unclosed elements end with their parent, unclosed comments and raw text with the page.
+    A NULL or empty html has an empty text; repeated rows and copies of a page count as one page and each get their
+    row; pages without a host form one host. Unclosed elements end with their parent, unclosed comments and raw text
+    with the page. An empty table gives no rows; other columns, of any name, are ignored.
     """
-    parsed = _parsed(pages)
-    size = lambda bs: F.aggregate(bs, F.lit(0).cast("long"), lambda n, b: n + F.char_length(b["blocks"]))
-
-    def text(gone):
-        stay = F.filter(F.arrays_zip("blocks", "inside", "around"), lambda b: b["inside"] | ~F.arrays_overlap(b["around"], gone))
-        inside, outside = F.filter(stay, lambda b: b["inside"]), F.filter(stay, lambda b: ~b["inside"])
-        return F.array_join(F.transform(F.when(size(inside) >= size(outside), inside).otherwise(stay), lambda b: b["blocks"]), "\n")
-
-    done = parsed.where(F.size(F.flatten("around")) == 0).select("page_id", "url", text(F.array().cast("array<long>")).alias("text"))
-    open_ = parsed.where(F.size(F.flatten("around")) > 0)
-    hits = (
-        open_.select("key", "host", F.explode(F.array_distinct(F.flatten("around"))).alias("h"))
-        .join(templates(parsed, min_pages, min_share), ["host", "h"], "left_semi")
-        .groupBy("key")
-        .agg(F.collect_set("h").alias("gone"))  # at most one page's subtrees
-    )
-    left = open_.join(hits, "key", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<long>")))
-    cleaned = left.select("page_id", "url", text(F.col("gone")).alias("text"))
-    return done.unionByName(cleaned).withColumn("n_chars", F.char_length("text").cast("long"))
+    keyed = _keyed(pages)
+    own = cut(subtrees(keyed))  # a few numbers for each page
+    hits = own.join(templates(own, min_pages, min_share, many_pages), ["host", "h"], "left_semi").groupBy("key").agg(F.collect_set("h").alias("gone"))  # at most one page's subtrees
+
+    def work(batches):
+        worker_store("html")
+        for batch in batches:
+            texts = ["\n".join(kept_blocks(h.as_py() or "", frozenset(g.as_py() or ()))) for h, g in zip(batch.column("html"), batch.column("gone"), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    return keyed.join(hits, "key", "left").select("page_id", "url", "html", "gone").mapInArrow(work, "page_id long, url string, text string, n_chars long")
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars for each row of `pages`: the main text of the whole html. NULL and empty html give an
+    empty text; repeated rows each get their row; an empty table gives no rows; other columns are ignored."""
     return main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
