@@ -15,6 +15,8 @@ GOLDEN = 2654435769
 #: Slots are counted in chunks of this many, and a source's documents in this many hash ranges.
 CHUNK = 1 << 14
 RANGES = 4096
+#: The schedule's line is cut into this many cells, by which slots and sources meet.
+CELLS = 4096
 #: The table of sources is broadcast up to this many rows.
 BROADCAST_SOURCES = 10_000
 
@@ -47,62 +49,77 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, repeat: float
     return s.select("source", "source_size", "n", F.least("most", F.coalesce(F.col("at") * F.col("w"), "most")).alias("target")).orderBy("n")
 
 
-def schedule(spark: SparkSession, goals: list[tuple[int, float]], slots: int) -> DataFrame:
-    """goals: (source's number, target) in order -> (n, rank): the source of each of `slots` slots, ranked within it.
+def planned(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, repeat: float = 2.0, max_block: int = 4096) -> DataFrame:
+    """targets() with block, need, c0, c1: a source's words come in blocks of `block` words, so that it needs `need` slots,
+    64 or more where it has as many words; the schedule's line of all needed slots gives it the stretch from c0 to c1.
 
-    Slot i has the point frac(i x golden ratio), in exact integer arithmetic modulo 2^32, and belongs to the source in
-    whose stretch of the cumulative targets that point falls. Ranks come from counts per chunk of slots, so that no
-    source's slots meet in one task.
+    Blocks are a source's own, so that a small source doesn't cut up the large ones. One row per source.
     """
-    total, ends, reached = sum(t for _, t in goals), [], 0.0
-    for _, t in goals[:-1]:
-        reached += t
-        ends.append(F.lit(reached / total))
-    point = F.pmod(F.col("id") * F.lit(GOLDEN), F.lit(1 << 32)) / F.lit(float(1 << 32))
-    nth = F.size(F.filter(F.array(*ends).cast("array<double>"), lambda e: e <= point))
-    pick = F.element_at(F.array(*(F.lit(n) for n, _ in goals)), nth + 1)
-    s = spark.range(slots).select("id", F.expr(f"id div {CHUNK}").alias("chunk"), pick.alias("n"))
+    t = targets(sizes, weights, share, repeat).withColumn("block", F.greatest(F.lit(1), F.least(F.lit(max_block), F.floor(F.col("target") / 64))).cast("long"))
+    t = t.withColumn("need", F.expr("cast((floor(target) + block - 1) div block as bigint)"))
+    return t.withColumn("c1", F.sum("need").over(W.orderBy("n"))).withColumn("c0", F.col("c1") - F.col("need"))
+
+
+def point(i: Column) -> Column:
+    """frac(i x golden ratio) in units of 2^-32, in exact integer arithmetic: by halves, since the product has over 63 bits."""
+    low, high = i.bitwiseAND(F.lit(0xFFFF)), F.shiftrightunsigned(i, 16).bitwiseAND(F.lit(0xFFFF))
+    return (low * F.lit(GOLDEN) + (high * F.lit(GOLDEN)).bitwiseAND(F.lit(0xFFFF)) * F.lit(1 << 16)).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def schedule(goals: DataFrame, slots: int, small: bool = True) -> DataFrame:
+    """goals(n, need, c0, c1) -> (n, rank): the source of each of `slots` (the sum of need) slots, ranked within it.
+
+    Slot i belongs to the source in whose stretch its point falls: points and stretches meet by equality of cells of the
+    line, and then exactly. Ranks come from counts per chunk of slots, so that no source's slots meet in one task. What a
+    source lacks of its need (the sequence is within a few slots of each share) comes after all others. With small, the
+    table of sources is broadcast.
+    """
+    spark = goals.sparkSession
+    hint = F.broadcast if small else lambda df: df
+    cell = lambda c: F.floor(F.col(c) / slots * CELLS)
+    cells = goals.where("need > 0").select("n", "c0", "c1", F.explode(F.sequence(cell("c0"), cell("c1"))).alias("cell"))
+    s = spark.range(slots).select("id", F.expr(f"id div {CHUNK}").alias("chunk"), (point(F.col("id")) / F.lit(float(1 << 32))).alias("x"))
+    s = s.withColumn("cell", F.floor(F.col("x") * CELLS)).join(hint(cells), "cell").where((F.col("x") * slots >= F.col("c0")) & (F.col("x") * slots < F.col("c1"))).select("id", "chunk", "n")
     sums = s.groupBy("n", "chunk").count()
     before = sums.select("n", "chunk", (F.sum("count").over(W.partitionBy("n").orderBy("chunk")) - F.col("count")).alias("before"))
     inside = s.withColumn("r", F.row_number().over(W.partitionBy("chunk", "n").orderBy("id")) - 1)
-    return inside.join(before, ["n", "chunk"]).select("n", (F.col("before") + F.col("r")).alias("rank"))
+    ranked = inside.join(before, ["n", "chunk"]).select("n", (F.col("before") + F.col("r")).alias("rank"))
+    got = goals.select("n", "need").join(sums.groupBy("n").agg(F.sum("count").alias("got")), "n", "left").withColumn("got", F.coalesce("got", F.lit(0)))
+    lacking = got.where("got < need").select("n", F.explode(F.sequence(F.col("got"), F.col("need") - 1)).alias("rank"))
+    return ranked.unionByName(lacking)
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, repeat: float = 2.0, max_block: int = 4096) -> DataFrame:
     """doc_id, size, source_size, target, taken, source for each row of docs(doc_id, text, source).
 
     size counts the text's words (runs of characters other than space and U+0009 to U+000D; NULL: 0). A source's
-    documents are laid out in the order of a hash of their id (ties: id, then a hash of the text; equal rows in any
+    documents are laid out in the order of a hash of id and text (ties: id, then a hash of the text; equal rows in any
     order, which gives them the same total) and cut into blocks of equally many words. Slots of the schedule,
     ranked within their source, take the source's blocks in turn, so that a source's words are all taken once before
     any is taken again; the slot that reaches the target takes only what is missing. `taken` counts the words that the
     slots take from the document, repeats counted: at most `repeat` x size. Sources that hold nothing get nothing.
-    Empty table: no rows. NULL sources form one source of their own; NULL ids are ordinary ids.
+    Empty table: no rows. NULL sources form one source of their own; NULL ids are ordinary ids; other columns are ignored.
     """
-    spark = docs.sparkSession
     doc_id, text = F.col("doc_id"), F.col("text")
-    rows = cut(docs.select("doc_id", "source", n_words(text).alias("size"), F.xxhash64(doc_id).alias("h"), F.xxhash64(text).alias("th")))
+    th = F.xxhash64(text)
+    rows = cut(docs.select("doc_id", "source", n_words(text).alias("size"), F.xxhash64(doc_id, th).alias("h"), th.alias("th")))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    known = targets(sizes, weights, share, repeat).collect()  # one row per source
-    goals = spark.createDataFrame([(r["source"], int(r["source_size"]), int(r["n"]), float(r["target"])) for r in known], "s string, source_size long, n int, target double")
-    goals = F.broadcast(goals) if len(known) <= BROADCAST_SOURCES else goals
-    keyed = rows.join(goals, rows["source"].eqNullSafe(F.col("s"))).drop("s")
-    positive = [r["target"] for r in known if r["target"] >= 1]
-    if not positive:
+    goals = cut(planned(sizes, weights, share, repeat, max_block))  # one row per source
+    n_sources, slots = goals.agg(F.count("*"), F.coalesce(F.sum("need"), F.lit(0))).first()
+    hint = F.broadcast if n_sources <= BROADCAST_SOURCES else lambda df: df
+    columns = ["n", "source_size", "target", "block"]
+    keyed = rows.join(hint(goals.select(F.col("source").alias("s"), *columns)), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    if not slots:
         return keyed.select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), "source")
-    total = sum(positive)
-    block = max(1, min(max_block, int(min(positive) // 64)))
-    # A golden-ratio sequence is within a few slots of each share; the spare slots let every source reach its target.
-    slots = int(total // block) + 16 + int(8 * total / max(min(positive), total / 1000))
 
     # A pass over a source is its line of words; a block is [b * block, (b + 1) * block) of that line, the last one shorter.
-    ranked = schedule(spark, [(int(r["n"]), float(r["target"])) for r in known if r["target"] >= 1], slots)
-    per_pass = F.expr(f"(source_size + {block - 1}) div {block}")
+    per_pass = F.expr("(source_size + block - 1) div block")
     takes = (
-        ranked.join(goals.select("n", "source_size", "target"), "n")
+        schedule(goals, slots, n_sources <= BROADCAST_SOURCES)
+        .join(hint(goals.select(*columns)), "n")
         .withColumn("b", F.col("rank") % per_pass)
-        .withColumn("done", F.floor(F.col("rank") / per_pass) * F.col("source_size") + F.col("b") * block)
-        .withColumn("len", F.least(F.lit(block), F.col("source_size") - F.col("b") * block, F.floor("target") - F.col("done")))
+        .withColumn("done", F.floor(F.col("rank") / per_pass) * F.col("source_size") + F.col("b") * F.col("block"))
+        .withColumn("len", F.least("block", F.col("source_size") - F.col("b") * F.col("block"), F.floor("target") - F.col("done")))
         .where("len > 0")
         .groupBy("n", "b")
         .agg(F.count("*").alias("k"), F.min("len").alias("min_len"), F.max("len").alias("max_len"))
@@ -121,10 +138,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, repeat: float = 2.
         .join(starts, ["n", "range"])
         .withColumn("start", F.col("before") + F.col("inside"))
     )
-    blocks = F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))
+    blocks = F.sequence(F.expr("start div block"), F.expr("(start + size - 1) div block"))
     pieces = placed.withColumn("b", F.explode(F.when(F.col("size") > 0, blocks).otherwise(F.array(F.expr("-1L")))))
-    lo = F.greatest(F.col("start") - F.col("b") * block, F.lit(0))
-    hi = F.least(F.col("start") + F.col("size") - F.col("b") * block, F.lit(block))
+    lo = F.greatest(F.col("start") - F.col("b") * F.col("block"), F.lit(0))
+    hi = F.least(F.col("start") + F.col("size") - F.col("b") * F.col("block"), F.col("block"))
     # All takes of a block but the one that reaches the target have the same length.
     full = F.greatest(F.lit(0), F.least(hi, F.col("max_len")) - lo)
     short = F.greatest(F.lit(0), F.least(hi, F.col("min_len")) - lo)
@@ -139,4 +156,6 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, repeat: float = 2.
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken for each row of `documents`. NULL texts have size 0 and are not taken; NULL
+    sources are one source, the last; NULL and repeated ids are rows like others; an empty table gives no rows."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("source")
