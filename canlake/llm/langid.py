@@ -11,14 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import crc_mod
+from .common import crc_mod, worker_store
 
-#: The model is fitted on about this many labelled documents at most, picked by a hash of their id.
-FIT_DOCS = 6_000
+#: The model is fitted on about this many labelled documents of each language at most, picked by a hash of the row, and on
+#: the most frequent languages, so many at most.
+FIT_DOCS, MOST_LANGS = 1_500, 1_000
 #: A language keeps its most frequent words and n-grams, so many of each at most; rarer than MIN_COUNT ones are left out.
 KEEP_WORDS, KEEP_GRAMS, MIN_COUNT = 15_000, 15_000, 3
 #: Longest n-gram of an unseen word, with marks for its start and end.
 LONGEST = 4
+#: Words are counted in pieces of this many letters.
+PIECE = 100
 LETTERS = r"[^\p{L}]+"
 #: A worker remembers the scores of so many words at most.
 CACHED_WORDS = 200_000
@@ -55,16 +58,21 @@ def _tables(counts: list, langs: list[str]) -> dict[str, np.ndarray]:
 
 
 def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
-    """labelled(doc_id, text, lang) -> Model, from rows with both text and lang.
+    """labelled(doc_id, text, lang) -> Model, from rows with both text and lang; other columns are ignored.
 
-    A bounded sample: documents whose id hash falls under fit_docs / rows. Words and n-grams are counted in Spark; only
-    the most frequent ones of each language come to the driver.
+    A bounded sample for each of the MOST_LANGS most frequent languages: documents whose row's hash falls under
+    fit_docs / rows of the language, so that rare languages are learned from all they have. Words and n-grams are counted
+    in Spark; only the most frequent ones of each language come to the driver. NULL and repeated ids are ordinary rows.
+    Without labelled rows the model has no languages.
     """
-    known = labelled.where("lang is not null and text is not null")
-    n = known.count()
-    top = 1 << 20
-    share = top if n <= fit_docs else max(1, int(top * fit_docs / n))
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(top)) < share)
+    spark = labelled.sparkSession
+    known = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
+    rows = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()
+    langs, top = sorted(r["lang"] for r in rows), 1 << 30
+    if not langs:
+        return Model([], {}, {})
+    shares = F.broadcast(spark.createDataFrame([(r["lang"], min(top, int(top * fit_docs / r["n"]) + 1)) for r in rows], "lang string, share long"))
+    sample = known.join(shares, "lang").where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(top)) < F.col("share"))
     words = (
         sample.select("lang", F.explode(F.split(F.lower("text"), LETTERS)).alias("key"))
         .where("key <> ''")
@@ -72,19 +80,24 @@ def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
         .agg(F.count("*").alias("n"))
         .persist()
     )
+    # Long words are looked at in pieces that overlap by what an n-gram needs, so that each of its places counts once.
     marked = F.concat(F.lit("^"), F.col("key"), F.lit("$"))
-    grams = words.where(F.length("key") <= 100).select(
-        "lang",
-        "n",
-        F.explode(F.flatten(F.array(*(F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - (k - 1), F.lit(1))), lambda i, k=k: F.substring(marked, i, F.lit(k))) for k in range(1, LONGEST + 1))))).alias("key"),
-    ).groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    starts = F.sequence(F.lit(0), F.expr(f"(char_length(key) + 1) div {PIECE}"))
+    pieces = words.select("lang", "n", F.explode(F.transform(starts, lambda i: F.substring(marked, i * PIECE + 1, F.lit(PIECE + LONGEST - 1)))).alias("piece"))
+    size = F.char_length("piece")
+    last = lambda k: F.least(F.lit(PIECE), size - (k - 1))
+    grams = F.flatten(F.array(*(F.when(size >= k, F.transform(F.sequence(F.lit(1), last(k)), lambda i, k=k: F.substring("piece", i, F.lit(k)))).otherwise(F.array().cast("array<string>")) for k in range(1, LONGEST + 1))))
+    grams = pieces.select("lang", "n", F.explode(grams).alias("key")).groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
     def most(df: DataFrame, keep: int) -> list:
-        ranked = df.where(F.col("n") >= MIN_COUNT).withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "key")))
-        return ranked.where(F.col("r") <= keep).select("lang", "key", "n").collect()
+        """The most frequent ones, as many as fit whole: with one that no longer fits go all that are as frequent."""
+        df = df.where(F.col("n") >= MIN_COUNT)
+        sizes = df.groupBy("lang", "n").agg(F.count("*").alias("k"))
+        reached = F.sum("k").over(W.partitionBy("lang").orderBy(F.desc("n")))
+        least = sizes.withColumn("reached", reached).where(F.col("reached") <= keep).groupBy("lang").agg(F.min("n").alias("least"))
+        return df.join(F.broadcast(least), "lang").where("n >= least").select("lang", "key", "n").collect()  # a row of least for each language
 
     w, g = most(words, KEEP_WORDS), most(grams, KEEP_GRAMS)
-    langs = sorted({r["lang"] for r in words.select("lang").distinct().collect()})
     words.unpersist()
     return Model(langs, _tables(w, langs), _tables(g, langs))
 
@@ -94,12 +107,15 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     The language with the highest sum of word scores wins (ties: the first in code-point order); `score` is its share
     of the likelihood per word: softmax of the mean word scores times the square root of the number of words, 20 at
-    most. NULL texts and texts without a letter are `und` with score 0, as is everything under an empty model.
+    most. NULL texts and texts without a letter are `und` with score 0, as is everything under an empty model. Very long
+    texts are read word by word to their end; repeated rows each get their row; other columns, of any name, are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain lists and dicts: a broadcast class would have to be importable on the workers.
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.grams))
 
     def work(batches):
-        m = shared.value
+        worker_store("langid")
+        m = Model(*shared.value)
         split = re.compile(r"[^\W\d_]+").findall
         at: dict[str, int] = {}
         table = np.zeros((CACHED_WORDS, len(m.langs)))
@@ -131,6 +147,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score for each row of `documents`, by its whole text. The model is fitted on a bounded
+    sample of the rows whose crc32 of the id modulo 4 is not 2; a NULL id has no remainder and is neither learned from nor
+    held out. NULL, empty and letterless texts are `und`; an empty table gives no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     model = fit(docs.where(crc_mod(F.col("doc_id"), 4) != 2))
     held_out = F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False))
