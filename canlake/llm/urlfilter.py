@@ -17,8 +17,10 @@ RULES = [
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: The filter has at most this many blocks of 4 x 64 bits, so that its table stays under 3 MB and can be broadcast.
-MAX_BLOCKS = 1 << 16
+#: A filter of up to this many blocks of 4 x 64 bits, under 3 MB, is broadcast; candidates join a larger one by their block.
+BROADCAST_BLOCKS = 1 << 16
+#: Rules' paths of up to so many different lengths are listed; with more, a url's path is tried at every length.
+LISTED_LENGTHS = 1_000
 #: Rule lists up to this many rows are broadcast to the exact join; longer ones are joined by a shuffle.
 BROADCAST_RULES = 100_000
 
@@ -50,8 +52,6 @@ def _words(key: Column) -> list[Column]:
 
 def bloom(listed: DataFrame, n_blocks: int) -> DataFrame:
     """listed(key) -> (block, w0..w3): the filter's blocks, OR-ed together from the keys' bits."""
-    if not 1 <= n_blocks <= MAX_BLOCKS:
-        raise ValueError(f"n_blocks is from 1 to {MAX_BLOCKS}")
     bits = listed.select(_block(F.col("key"), n_blocks).alias("block"), *(w.alias(f"w{i}") for i, w in enumerate(_words(F.col("key")))))
     return bits.groupBy("block").agg(*(F.bit_or(f"w{i}").alias(f"w{i}") for i in range(4)))
 
@@ -65,7 +65,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     form that the rules are listed under. A page's candidates go through the blocked Bloom filter; the few that pass
     are joined by equality with the rules, which removes false positives; of the rules that fit the longest wins (by
     host and path together; equal lengths: the smaller text, then `block` before `allow`). Where none fits, rule is
-    NULL and the verdict is `default`: an unlisted url passes.
+    NULL and the verdict is `default`: an unlisted url passes. The filter grows with the rules, 8 to a block.
     Repeated page rows each get their row; NULL page ids stay NULL; an empty rule list gives `default` everywhere;
     other columns of the input are not used and do no harm.
     """
@@ -73,26 +73,27 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     listed = rules.where("rule_host is not null and rule_path is not null").select(
         "action", F.concat(F.translate("rule_host", UPPER, LOWER), "rule_path").alias("key"), F.length("rule_path").alias("path_len")
     )
-    n_blocks = min(MAX_BLOCKS, max(1, n_rules // 8))
-    lengths = sorted(r[0] for r in listed.select("path_len").distinct().limit(1001).collect())
-    if len(lengths) > 1000:
-        raise ValueError("the rules' paths have over 1,000 different lengths")
+    n_blocks = max(1, n_rules // 8)
+    lengths = sorted(r[0] for r in listed.select("path_len").distinct().limit(LISTED_LENGTHS + 1).collect())
     urls = pages.select(F.col("page_id"), F.col("url")).select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     urls = urls.select("page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"))
     # A host of n labels has n suffixes; rules depend on nothing else, so each distinct (host, path start) is judged once.
-    longest = max(lengths, default=0)
+    longest = listed.agg(F.coalesce(F.max("path_len"), F.lit(0))).first()[0]
     urls = urls.withColumn("start", F.substring("path", 1, longest))
     distinct = urls.select("host", "start").distinct()
     labels = F.split("host", r"\.")
     suffix = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     starts = F.filter(F.array(*(F.lit(n) for n in lengths)).cast("array<int>"), lambda n: n <= F.length("start"))
+    if len(lengths) > LISTED_LENGTHS:
+        starts = F.sequence(F.lit(0), F.length("start"))
     candidates = (
         distinct.select("host", "start", F.explode(suffix).alias("suffix"))
         .select("host", "start", "suffix", F.explode(F.transform(starts, lambda n: F.substring(F.col("start"), F.lit(1), n))).alias("lead"))
         .select("host", "start", F.concat("suffix", "lead").alias("key"))
         .withColumn("block", _block(F.col("key"), n_blocks))
     )
-    possible = candidates.join(F.broadcast(bloom(listed, n_blocks)), "block")
+    filter_ = bloom(listed, n_blocks)
+    possible = candidates.join(F.broadcast(filter_) if n_blocks <= BROADCAST_BLOCKS else filter_, "block")
     for i, w in enumerate(_words(F.col("key"))):
         possible = possible.where(F.col(f"w{i}").bitwiseAND(w) == w)
     exact = F.broadcast(listed) if n_rules <= BROADCAST_RULES else listed
@@ -106,6 +107,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict for each row of `pages`, under RULES. NULL urls and those without `://` have an
+    empty host and path, which no rule fits; repeated rows each get their row; an empty table gives no rows."""
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules_table(spark))
 
 
