@@ -152,11 +152,12 @@ def _signed(members: DataFrame) -> DataFrame:
 
 
 def similar(docs: DataFrame) -> DataFrame:
-    """docs(key, text), keys NULL or repeated with other texts included -> key, cls, class_id, component_id, n_links.
+    """docs(key, text), keys NULL or repeated with other texts included -> key, row, cls, root, class_id, component_id, n_links.
 
-    Texts with equal sets of shingles form a class; class_id is the class's smallest key (NULL where all its keys are). n_links counts the other rows
+    row is the row_key of key and text, root the smallest class of the row's component. Texts with equal sets of shingles form a class; class_id is the class's smallest key (NULL where all its keys are). n_links counts the other rows
     whose set has a Jaccard similarity of at least 0.8 with the row's. component_id is the smallest key that links
-    lead to. Rows without words (NULL, empty or blank texts) have no links and are classes of their own.
+    lead to. Rows without words (NULL, empty or blank texts) have no links, no class and no root. Very long texts count whole;
+    an empty table gives no rows; columns other than key and text are ignored.
     """
     docs = docs.select("key", row_key(F.col("key"), F.col("text")).alias("row"), "text")
     rows = cut(_classes(docs))
@@ -211,9 +212,9 @@ def similar(docs: DataFrame) -> DataFrame:
 
     known = classes.select("cls", "class_id", "copies").join(counts, "cls", "left").join(joined.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     first = known.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    known = known.join(first, "root").select("cls", "class_id", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    known = known.join(first, "root").select("cls", "root", "class_id", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = rows.join(known, "cls", "left")
-    return out.select("key", "cls", F.coalesce("class_id", "key").alias("class_id"), F.coalesce("component_id", "key").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("key", "row", "cls", "root", F.coalesce("class_id", "key").alias("class_id"), F.coalesce("component_id", "key").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,7 @@
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -33,6 +36,19 @@ def test_url_filters_equal_a_plain_loop(spark):
     assert urlfilter.judge(pages.limit(0), urlfilter.rules_table(spark)).count() == 0
 
 
+def test_url_filters_with_many_rules_and_lengths(spark, monkeypatch):
+    monkeypatch.setattr(urlfilter, "BROADCAST_BLOCKS", 4)
+    monkeypatch.setattr(urlfilter, "LISTED_LENGTHS", 10)
+    monkeypatch.setattr(urlfilter, "BROADCAST_RULES", 50)
+    rules = [("block", f"h{k % 40}.x", "/" + "p" * (k % 23)) for k in range(300)]
+    urls = [(k, f"http://s.h{k % 50}.x/" + "p" * (k % 31) + "?q") for k in range(400)]
+    got = {r["page_id"]: r["rule"] for r in urlfilter.judge(spark.createDataFrame(urls, "page_id long, url string"), urlfilter.rules_table(spark, rules)).collect()}
+    for k, u in urls:
+        host, path = u.split("/")[2], "/" + u.split("/", 3)[3].split("?")[0]
+        fit = [h + p for _, h, p in rules if host.endswith("." + h) and path.startswith(p)]
+        assert got[k] == max(fit, key=len, default=None)
+
+
 def brute(rows, threshold=0.98):
     links, parent = {}, {}
 
@@ -144,6 +160,39 @@ def test_a_dense_group_is_counted_whole(spark):
     assert all((r["n_links"], r["component_id"]) == ((399, 0) if r["vec_id"] < 400 else (0, r["vec_id"])) for r in got)
 
 
+SHIPPED = """
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.local.dir", {tmp!r}).config("spark.checkpoint.dir", "file://" + {tmp!r}).getOrCreate()
+from canlake.llm import embdedup, htmlmain, langid, ngramjoin, spiece, suffix, toxicity
+docs = spark.createDataFrame([(k, "some words of text number %d and more of it " % (k % 3) * 9, "en", k % 2) for k in range(8)], "doc_id long, text string, lang string, toxic int")
+assert langid.predict(docs, langid.fit(docs)).count() == 8
+assert toxicity.scores(docs, toxicity.fit(docs, docs)).count() == 8
+assert ngramjoin.similar(docs.select(F.col("doc_id").alias("key"), "text")).where("n_links > 0").count() == 8
+assert suffix.remove_repeats(docs, ["doc_id"]).where("n_removed > 0").count() == 8
+assert spiece.encode(docs).count() == 8
+assert htmlmain.main_text(docs.select(F.col("doc_id").alias("page_id"), F.lit("http://x/").alias("url"), F.col("text").alias("html"))).count() == 8
+vectors = docs.select(F.col("doc_id").alias("vec_id"), F.array(F.lit(1.0), F.col("doc_id") + 0.5).alias("embedding"), F.col("toxic").alias("label"))
+assert embdedup.near_duplicates(vectors).count() == 8
+try:
+    import subprocess
+    assert spark.range(1).mapInArrow(lambda b: (__import__("canlake"), b)[1], "id long").count()
+except Exception as e:
+    assert "No module named" in str(e)
+    print("SHIPPED")
+"""
+
+
+def test_workers_need_no_package(tmp_path):
+    """From a working folder outside the repository, workers can't import the package; all Python operators still run."""
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run([sys.executable, "-c", SHIPPED.format(repo=repo, tmp=str(tmp_path))], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "SHIPPED" in run.stdout, run.stderr[-3000:]
+
+
 def test_components_of_random_graphs_and_chains(spark):
     rnd = random.Random(2)
     edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(1000, 1060)] + [(5, 5), (None, 3)]
@@ -181,7 +230,58 @@ PAGES = [
 
 @pytest.mark.parametrize("page, want", PAGES)
 def test_one_page(page, want):
-    assert "\n".join(b for b, _ in htmlmain.candidates(page or "")) == want
+    assert "\n".join(htmlmain.kept_blocks(page or "")) == want
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    import time
+
+    deep = "<div>" * 30_000 + "inner" + "</div>" * 30_000
+    mixed = "".join(f"<div>t{k}" for k in range(20_000))
+    quotes = "<p title=\"x>never closed " * 20_000 + "<p>end 'x"
+    start = time.time()
+    assert htmlmain.kept_blocks(deep, frozenset({1})) == ["inner"]
+    assert htmlmain.kept_blocks(mixed, frozenset({1})) == [f"t{k}" for k in range(20_000)]
+    assert htmlmain.kept_blocks(quotes)[-1] == "end 'x" and htmlmain.kept_blocks("<" * 50_000) == ["<" * 50_000]
+    assert htmlmain.kept_blocks("</x>" * 20_000 + "<!-- " * 20_000) == []
+    assert time.time() - start < 20
+
+
+def test_host_counts_equal_brute_force(spark):
+    rnd = random.Random(12)
+    rows = []
+    for k in range(160):
+        host = f"h{min(k % 9, 3)}.x"
+        parts = [f"<div><ul><li>menu {rnd.randrange(3)}</li></ul></div>", f"<nav><a>nav of {host}</a></nav>", f"<article><p>own {k}</p><div class=box>box {rnd.randrange(4)}</div><p>same words</p></article>", f"<footer>foot {k % 2}</footer>"]
+        rnd.shuffle(parts)
+        rows.append((k, f"http://{host}/{k}", "<body>" + "".join(parts[: rnd.randrange(1, 5)]) + "</body>"))
+    rows += rows[:30]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    own, hosts, where = {}, {}, {}
+    for _, url, page in rows:
+        host, (blocks, nodes) = url.split("/")[2], htmlmain.parse(page)
+        content = tuple(b[0] for b in blocks)
+        hosts.setdefault(host, set()).add(content)
+        for h in {h for h in htmlmain.subtree_hashes(blocks, nodes) if h is not None}:
+            where.setdefault((host, h), set()).add(content)
+            own.setdefault(page, set()).add(h)
+    for least, share, many in ((5, 0.2, 200), (2, 0.5, 3), (3, 0.5, 10_000)):
+        want = {(host, h) for (host, h), c in where.items() if len(c) >= least and len(c) >= min(share * len(hosts[host]), many)}
+        got = htmlmain.templates(htmlmain.subtrees(htmlmain._keyed(pages)), least, share, many).collect()
+        assert {(r["host"], r["h"]) for r in got} == want and len(got) == len(want) and want
+        texts = {r["page_id"]: r["text"] for r in htmlmain.main_text(pages, least, share, many).collect()}
+        for k, url, page in rows:
+            host = url.split("/")[2]
+            assert texts[k] == "\n".join(htmlmain.kept_blocks(page, frozenset(h for h in own.get(page, ()) if (host, h) in want)))
+
+
+def test_templates_inside_articles_go_and_running_text_stays(spark):
+    box = "<div class='x'>read our guide</div>"
+    rows = [(k, f"http://h.x/{k}", f"<body><article><p>own {k}</p>{box}<p>same words</p></article></body>") for k in range(12)]
+    rows += [(20 + k, f"http://c.x/{k}", "<body><article><div>a copied page</div></article></body>") for k in range(12)]
+    rows += [(40 + k, f"http://a.x/{k}", f"<body><article><div>all is template</div></article><nav>{k}</nav></body>") for k in range(12)]
+    by = {r["page_id"]: r["text"] for r in htmlmain.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert by == {k: f"own {k}\nsame words" for k in range(12)} | {20 + k: "a copied page" for k in range(12)} | {40 + k: "all is template" for k in range(12)}
 
 
 def test_templates_go_per_host(spark):

@@ -171,6 +171,22 @@ def test_mixing_meets_targets_and_reruns_agree(spark):
     assert mixing.mix(nasty(spark)).count() == nasty(spark).count()
 
 
+def test_schedule_beyond_32_bits_and_small_sources(spark):
+    ids = [0, 1, 65_535, 65_536, (1 << 32) - 1, 1 << 32, 3_470_000_000, 5_000_000_001, (1 << 40) + 12_345]
+    got = spark.createDataFrame([(i,) for i in ids], "i long").select("i", mixing.point(F.col("i")).alias("p")).collect()
+    assert {r["i"]: r["p"] for r in got} == {i: i * mixing.GOLDEN % (1 << 32) for i in ids}
+
+    large = [("a", 4_000_000), ("b", 9_000_000), (None, 2_500_000)]
+    slots = lambda rows: mixing.planned(spark.createDataFrame(rows, "source string, source_size long")).agg(F.sum("need")).first()[0]
+    assert 0 < slots([*large, ("tiny", 3)]) - slots(large) < 64
+    goals = mixing.planned(spark.createDataFrame([*large, ("tiny", 3), ("z", 0)], "source string, source_size long"))
+    n = goals.agg(F.sum("need")).first()[0]
+    for small in (True, False):
+        ranks = mixing.schedule(goals, n, small).groupBy("n").agg(F.count("*").alias("k"), F.countDistinct("rank").alias("d"), F.max("rank").alias("top"))
+        by = {r["n"]: r for r in ranks.collect()}
+        assert all(by[r["n"]]["k"] >= r["need"] and by[r["n"]]["k"] == by[r["n"]]["d"] == by[r["n"]]["top"] + 1 for r in goals.where("need > 0").collect())
+
+
 def test_simhash_edits_and_neighbours(spark):
     docs = nasty(spark).where("doc_id is not null").dropDuplicates(["doc_id"])
     rows = sorted(docs.select("doc_id", F.coalesce("text", F.lit(""))).collect(), reverse=True)
@@ -191,6 +207,22 @@ def test_simhash_edits_and_neighbours(spark):
     assert simhash.edited_prints(nasty(spark).limit(1)).first()["near_next"] == 1.0
 
 
+def test_near_rows_equal_brute_force_and_long_texts_dont_overflow(spark, monkeypatch):
+    docs = nasty(spark)
+    prints = {}
+    rows = simhash.edited_prints(docs).collect()
+    monkeypatch.setattr(simhash, "PART", 7)
+    monkeypatch.setattr(simhash, "UNIT", 2)
+    again = {(r["doc_id"], r["n_chars"], r["edited_sha256"]): r for r in simhash.edited_prints(docs).collect()}
+    for r in rows:
+        x = int(r["fingerprint"], 16)
+        assert r["near_rows"] == sum(bin(x ^ int(o["fingerprint"], 16)).count("1") <= simhash.RADIUS for o in rows) - 1
+        prints[r["fingerprint"]] = prints.get(r["fingerprint"], 0) + 1
+        if r["doc_id"] is not None and prints[r["fingerprint"]] == 1:
+            assert again[r["doc_id"], r["n_chars"], r["edited_sha256"]]["fingerprint"] == r["fingerprint"]
+    assert max(prints.values()) >= 4 and sum(r["near_rows"] for r in again.values()) > 0
+
+
 def test_permuted_tables_find_all_pairs(spark):
     rnd = random.Random(6)
     rows = []
@@ -234,6 +266,11 @@ def test_language_id_held_out(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
     odd = {r["doc_id"]: r for r in langid.predict(nasty(spark), langid.fit(train)).where("doc_id is not null").collect()}
     assert [odd[k]["lang_pred"] for k in (0, 1, 2, 3)] == ["und"] * 4 and odd[9]["lang_pred"] in ("en", "fr", "de")
+    assert langid.predict(docs.limit(3).withColumn("lang_pred", F.lit("x")).unionByName(docs.limit(3).withColumn("lang_pred", F.lit("y"))), langid.fit(train)).count() == 6
+    rare = docs.where("doc_id < 200").withColumn("lang", F.when(F.col("doc_id") == 5, "rare").otherwise(F.col("lang")))
+    assert "rare" in langid.fit(rare, fit_docs=20).langs
+    whole = langid.fit(docs.limit(20).withColumn("text", F.lit("ab" * 400)))
+    assert {k: v.shape for k, v in langid.fit(docs.limit(20).withColumn("text", F.lit("ab " * 400))).grams.items() if len(k) == 1}.keys() == {k for k in whole.grams if len(k) == 1}
     nothing = langid.fit(empty(spark))
     assert {r["lang_pred"] for r in langid.predict(docs, nothing).collect()} == {"und"} and langid.predict(empty(spark), nothing).count() == 0
 
