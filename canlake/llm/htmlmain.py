@@ -236,7 +236,7 @@ def subtrees(pages: DataFrame) -> DataFrame:
             at = pa.array(rows[0], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("host").take(at), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64())], names=["key", "host", "page", "h"])
 
-    return pages.select("key", "host", "html").mapInArrow(work, "key long, host string, page long, h long")
+    return pages.select("key", "host", "html").mapInArrow(work, f"key long, host {dict(pages.dtypes)['host']}, page long, h long")
 
 
 def templates(own: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES) -> DataFrame:
@@ -258,7 +258,7 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     with the page. An empty table gives no rows; other columns, of any name, are ignored.
     """
     keyed = _keyed(pages)
-    own = cut(subtrees(keyed))  # a few numbers for each page
+    own = cut(subtrees(keyed.withColumn("host", F.xxhash64("host"))))  # a few numbers for each page
     hits = own.join(templates(own, min_pages, min_share, many_pages), ["host", "h"], "left_semi").groupBy("key").agg(F.collect_set("h").alias("gone"))  # at most one page's subtrees
 
     def work(batches):
