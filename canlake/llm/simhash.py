@@ -126,22 +126,26 @@ def near_counts(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 def _with_next(docs: DataFrame) -> DataFrame:
     """bucket, rn, extra, doc_id, text, next_text: rows in descending doc_id (NULL last, ties by a hash of the text).
 
-    Ids are cut into ranges by quantiles. Each range gets the first row of the next lower range as an extra row, so one
-    shuffle puts every row beside its successor; the lowest range gets the very first row of all.
+    Ids are cut into ranges by quantiles; an id that several quantiles fall on has a range of its own, and such an id's
+    rows and those without an id are cut into 64 by the hash of their text. Each range gets the first row of the next lower
+    range as an extra row, so one shuffle puts every row beside its successor; the lowest one gets the very first row of all.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     n = min(4096, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts))
-    bucket = F.when(F.col("doc_id").isNull(), -1).otherwise(F.size(F.filter(F.lit(cuts).cast("array<long>"), lambda c: c < F.col("doc_id"))))
+    heavy = sorted({a for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a == b})
+    cuts = sorted(set(cuts) | {x - 1 for x in heavy})
+    range_ = F.when(F.col("doc_id").isNull(), -1).otherwise(F.size(F.filter(F.lit(cuts).cast("array<long>"), lambda c: c < F.col("doc_id"))))
+    alone = F.col("doc_id").isNull() | F.array_contains(F.lit(heavy).cast("array<long>"), F.col("doc_id"))
+    bucket = range_ * 64 + F.when(alone, 31 - F.shiftright("th", 58)).otherwise(0).cast("int")
     rows = rows.withColumn("bucket", bucket)
     first = F.min(F.struct((-F.col("doc_id").cast("decimal(20,0)")).alias("d"), "th", "doc_id"))
     tops = sorted((r["bucket"], r["t"]["doc_id"], r["t"]["th"]) for r in rows.groupBy("bucket").agg(first.alias("t")).collect())
     if not tops:
         return rows.select("bucket", F.lit(0).alias("rn"), F.lit(0).alias("extra"), "doc_id", "text", F.col("text").alias("next_text"))
     goes = [(tops[i][1], tops[i][2], tops[(i + 1) % len(tops)][0]) for i in range(len(tops))]
-    to = F.broadcast(spark.createDataFrame(goes, "t_id long, t_th long, t_bucket int"))  # at most 4,097 rows
+    to = F.broadcast(spark.createDataFrame(goes, "t_id long, t_th long, t_bucket int"))  # 64 rows for each of 4,097 ranges at most
     here = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("extra"))
     there = F.struct(F.col("t_bucket").alias("bucket"), F.lit(1).alias("extra"))
     copies = F.when(F.col("t_bucket").isNull(), F.array(here)).otherwise(F.array(here, there))

@@ -117,7 +117,7 @@ def test_ngram_join_equals_brute_force(spark):
         ngramjoin.BLOCK = old
         assert {i: (r["n_links"], r["component_id"]) for i, r in got.items()} == {i: (links[i], find(i)) for i in ids}
     assert sum(links.values()) >= 40
-    twice = ngramjoin.similar(nasty(spark).select(F.col("doc_id").alias("key"), "text")).collect()
+    twice = ngramjoin.similar(nasty(spark).select(F.col("doc_id").alias("key"), "text", *(F.lit("x").alias(c) for c in ("row", "cls", "band", "bands", "root", "sig")))).collect()
     assert len(twice) == nasty(spark).count()
     assert ngramjoin.similar(empty(spark).select(F.col("doc_id").alias("key"), "text")).count() == 0
 
@@ -207,6 +207,19 @@ def test_simhash_edits_and_neighbours(spark):
     assert simhash.edited_prints(nasty(spark).limit(1)).first()["near_next"] == 1.0
 
 
+def test_next_documents_of_null_and_heavy_ids(spark):
+    rnd = random.Random(30)
+    rows = [(rnd.choice([None, None, 7, 7, 7, *range(40)]), text_of(rnd, rnd.randrange(1, 9))) for _ in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("th", F.xxhash64("text"))
+    order = sorted(docs.collect(), key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), r["th"]))
+    want = []
+    for r, nxt in zip(order, order[1:] + order[:1], strict=True):
+        k = len(r["text"]) // 3
+        want.append((str(r["doc_id"]), hashlib.sha256((r["text"][: len(r["text"]) - k] + nxt["text"][:k]).encode()).hexdigest()))
+    got = simhash.edited_prints(docs.repartition(5)).collect()
+    assert sorted((str(r["doc_id"]), r["edited_sha256"]) for r in got) == sorted(want)
+
+
 def test_near_rows_equal_brute_force_and_long_texts_dont_overflow(spark, monkeypatch):
     docs = nasty(spark)
     prints = {}
