@@ -14,6 +14,8 @@ from .common import crc_mod, worker_store
 
 #: The classifier is fitted on at most about this many labelled documents of each label, picked by a hash of their id.
 FIT_TOXIC, FIT_ORDINARY = 1_500, 3_000
+#: Of the sample come at most so many telling n-grams, ordinary words and toxic stretches, the strongest and most frequent ones.
+MOST_GRAMS, MOST_WORDS, MOST_STRETCHES = 5_000, 3_000, 600
 #: Both dictionaries share this many bytes of frequent ordinary words; the toxic one has up to TOXIC_BYTES more.
 SHARED_BYTES, TOXIC_BYTES = 8192, 2048
 #: Windows of so many bytes overlap by OVERLAP; those that the toxic dictionary shortens by SUSPECT bytes are looked at in runs of WORDS words.
@@ -155,9 +157,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         sums = sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(counts, "g string, o long, t long").groupBy("g").agg(F.sum("o").alias("o"), F.sum("t").alias("t"))
         rate_t, rate_o = F.col("t") / n_t, (F.col("o") + 0.5) / n_o
         z = F.log(rate_t / rate_o) / F.sqrt(1 / F.col("t") + 1 / (F.col("o") + 0.5))
-        telling = {r["g"] for r in sums.where((F.col("t") >= 4) & (((rate_t > 20 * rate_o) & (z > 3.0)) | (F.col("g").rlike("^ .{4}") & (rate_t > 4 * rate_o) & (z > 4)))).orderBy(F.desc(z), "g").limit(5_000).collect()}
-        words = sample.select("toxic", F.explode(F.split(F.lower("text"), r"\s+")).alias("w")).where("w <> '' and length(w) <= 200").groupBy("toxic", "w").agg(F.count("*").alias("n"))
-        usual = words.where("toxic = 0").orderBy(F.desc("n"), "w").limit(3_000).collect()
+        telling = {r["g"] for r in sums.where((F.col("t") >= 4) & (((rate_t > 20 * rate_o) & (z > 3.0)) | (F.col("g").rlike("^ .{4}") & (rate_t > 4 * rate_o) & (z > 4)))).orderBy(F.desc(z), "g").limit(MOST_GRAMS).collect()}
+        words = sample.select("toxic", F.explode(F.split(F.lower("text"), r"\s+")).alias("w")).where("w <> ''").groupBy("toxic", "w").agg(F.count("*").alias("n"))
+        usual = words.where("toxic = 0").orderBy(F.desc("n"), "w").limit(MOST_WORDS).collect()
         ordinary = b" ".join(r["w"].encode() for r in usual)[:SHARED_BYTES] or b" "
 
         def stretches(batches):
@@ -174,10 +176,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                     out.update({s: k.as_py() for s in "".join(c if x else "\0" for c, x in zip(w, covered, strict=True)).split("\0") if s})
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], names=["s", "n"])
 
-        spans = words.where("toxic = 1").select("w", "n").mapInArrow(stretches, "s string, n long").groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(600).collect()
+        spans = words.where("toxic = 1").select("w", "n").mapInArrow(stretches, "s string, n long").groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(MOST_STRETCHES).collect()
         toxic = b"".join(r["s"].encode() for r in reversed(spans))[-TOXIC_BYTES:]
         if not toxic:  # nothing tells them apart: toxic text as it is
-            rest = words.where("toxic = 1").orderBy(F.desc("n"), "w").limit(600).collect()
+            rest = words.where("toxic = 1").orderBy(F.desc("n"), "w").limit(MOST_STRETCHES).collect()
             toxic = b" ".join(r["w"].encode() for r in reversed(rest))[-TOXIC_BYTES:]
         shared = sample.sparkSession.sparkContext.broadcast((ordinary, toxic))
         rows = _featured(sample.select("toxic", "doc_id", "text"), shared, ["doc_id", "toxic"]).orderBy("doc_id").select("toxic", "f").collect()
@@ -189,7 +191,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score for each row of docs(doc_id, text), by all windows of the whole text; a NULL text is an empty one."""
+    """doc_id, score for each row of docs(doc_id, text), by all windows of the whole text, however long; a NULL text is an
+    empty one. Repeated rows and NULL ids each get their row, equal texts the same score; an empty table gives no rows;
+    other columns, of any name, are ignored."""
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast((model.ordinary, model.toxic))
     weights = model.weights
@@ -227,6 +231,9 @@ def fit_tables(spark: SparkSession, sf_dir: str) -> Model:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted for each row of `documents`, by its whole text. The model is fitted on a bounded
+    sample of the labelled rows whose crc32 of the id modulo 5 is not 0; a NULL id has no remainder and is not held out.
+    NULL and empty texts score like an empty one; an empty table gives no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held_out = F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False))
     return scores(docs, fit_tables(spark, sf_dir)).select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
