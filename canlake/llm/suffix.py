@@ -19,7 +19,7 @@ LENGTH, GRAM = 200, 40
 #: Texts are scanned in stretches of this many bytes; suffix arrays hold about ARRAY bytes of contexts.
 STRETCH, ARRAY = 1 << 22, 1 << 20
 #: Contexts of an anchor with more different ones than this are cut into parts of PART strings that meet by what all of
-#: those have in common; parts that are still too many meet by the single strings.
+#: those have in common; parts that are still too many are cut into a fourth as many strings each, down to single ones.
 HOT, PART = 2_000, 20
 
 _rng = np.random.default_rng(20240229)
@@ -247,7 +247,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 data = (text.as_py() or "").encode("utf-8")
                 for x in items.as_py():
                     h, c, lead, context = x["h"], x["c"], x["lead"], data[x["pos"] - x["lead"] : x["pos"] + x["tail"]]
-                    for row in _parts(h, c, lead, context) if x["hot"] else [(h, c, None, None, lead, context)]:
+                    for row in _parts(h, c, lead, context, PART) if x["hot"] else [(h, c, None, None, lead, context)]:
                         for col, v in zip(rows, row, strict=True):
                             col.append(v)
                         size += len(row[-1])
@@ -259,16 +259,29 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(wanted, "rid").select("text", "items").mapInArrow(work, "h long, c long, h2 long, c2 long, lead long, context binary")
 
 
-def _parts(h: int, c: int, lead: int, context: bytes) -> Iterator[tuple]:
-    """(h, c, h2, c2, lead, part): a context cut into parts of PART strings."""
+def _parts(h: int, c: int, lead: int, context: bytes, part: int) -> Iterator[tuple]:
+    """(h, c, h2, c2, lead, context): a context cut into parts of `part` strings."""
     first, last = -lead, len(context) - LENGTH - lead  # places of the strings, relative to the anchor
-    for low in range(first // PART * PART, last + 1, PART):
-        a, b = max(low, first), min(low + PART - 1, last)
-        part = context[a + lead : b + lead + LENGTH]
+    for low in range(first // part * part, last + 1, part):
+        a, b = max(low, first), min(low + part - 1, last)
+        strings = context[a + lead : b + lead + LENGTH]
         # All strings that may start at this part's places hold these bytes, so equal strings meet.
-        shared = context[low + PART - 1 + lead : low + LENGTH + lead]
+        shared = context[low + part - 1 + lead : low + LENGTH + lead]
         h2 = xxhash.xxh64_intdigest(shared, (h + low) & 0xFFFFFFFF) - (1 << 63)
-        yield h, c, h2, xxhash.xxh64_intdigest(part, (a - low) & 0xFFFFFFFF) - (1 << 63), -a, part
+        yield h, c, h2, xxhash.xxh64_intdigest(strings, (a - low) & 0xFFFFFFFF) - (1 << 63), -a, strings
+
+
+def _smaller(contexts: DataFrame, part: int) -> DataFrame:
+    """contexts(h, c, lead, context) -> h, c, h2, c2, lead, context: cut into parts of `part` strings."""
+    names, kinds = ["h", "c", "h2", "c2", "lead", "context"], [pa.int64()] * 5 + [pa.binary()]
+
+    def work(batches):
+        worker_store("suffix")
+        for batch in batches:
+            rows = [x for r in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True) for x in _parts(*r, part)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
+    return contexts.select("h", "c", "lead", "context").mapInArrow(work, "h long, c long, h2 long, c2 long, lead long, context binary")
 
 
 def _array_spans(contexts: DataFrame) -> DataFrame:
@@ -302,43 +315,26 @@ def _array_spans(contexts: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, "h long, c long, lo long, hi long")
 
 
-def _hot_spans(parts: DataFrame, hot: int) -> DataFrame:
+def _hot_spans(parts: DataFrame, hot: int, part: int = PART) -> DataFrame:
     """h, c, lo, hi as _array_spans gives them, for parts of contexts of anchors with very many different ones, which never meet in one task.
 
     Strings at the same places share the bytes between the last one's start and the first one's end: parts of contexts
     meet by those. Equal parts are one row with a count. Parts that meet in bounded numbers go through suffix arrays,
-    the others through the strings themselves, counted as keys.
+    the others are cut further; parts of one string meet only if they are equal.
     """
+    parts = cut(parts)
     distinct = parts.groupBy("h2", "c2").agg(F.count("*").alias("n"), F.first("lead").alias("lead"), F.first("context").alias("context"))
     sizes = distinct.groupBy("h2").agg(F.count("*").alias("k")).where("k > 1")
     met = distinct.join(sizes, "h2").select(F.col("h2").alias("h"), F.col("c2").alias("c"), "lead", "context", "k")
     whole = distinct.where("n > 1").select(F.col("h2").alias("h"), F.col("c2").alias("c"), (-F.col("lead")).alias("lo"), (F.length("context") - F.col("lead")).cast("long").alias("hi"))
-    spans = whole.unionByName(_array_spans(met.where(F.col("k") <= hot))).unionByName(_string_spans(met.where(F.col("k") > hot)))
+    spans, many = whole.unionByName(_array_spans(met.where(F.col("k") <= hot))), met.where(F.col("k") > hot)
+    if part > 1 and sizes.where(F.col("k") > hot).limit(1).count():
+        spans = spans.unionByName(_hot_spans(_smaller(many, max(1, part // 4)), hot, max(1, part // 4)))
     spans = spans.groupBy("h", "c").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))  # at most PART + 1 for a part
     back = parts.select("h", "c", "h2", "c2").join(spans.select(F.col("h").alias("h2"), F.col("c").alias("c2"), "spans"), ["h2", "c2"])
     return back.select("h", "c", F.explode("spans").alias("s")).select("h", "c", "s.lo", "s.hi")
 
 
-def _string_spans(contexts: DataFrame) -> DataFrame:
-    """The same by each string of LENGTH bytes as a key of its own, counted without bringing an anchor's contexts together."""
-
-    def work(batches):
-        worker_store("suffix")
-        for batch in batches:
-            rows = [[] for _ in range(4)]
-            for h, c, lead, context in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                for s in range(len(context) - LENGTH + 1):
-                    key = hashlib.blake2b(context[s : s + LENGTH], digest_size=16).digest()
-                    for col, v in zip(rows, (h, c, key, s - lead), strict=True):
-                        col.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names=["h", "c", "key", "lo"])
-
-    strings = contexts.select("h", "c", "lead", "context").mapInArrow(work, "h long, c long, key binary, lo long")
-    shared = strings.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    return strings.join(shared, "key", "left_semi").select("h", "c", "lo", (F.col("lo") + LENGTH).alias("hi"))
-
-
 def repeated_spans(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """docs(text, ...) with a column rid -> (covered, docs): rid, spans of (lo, hi) for texts with repeated strings."""
     docs = docs.select("rid", "text")
@@ -359,7 +355,10 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFram
     fetched = _contexts(docs, wanted)
     # A context that stands more than once is covered whole, and still counts for the others.
     whole = contexts.where("n > 1").select("h", "c", (-F.col("lead")).alias("lo"), F.col("tail").alias("hi"))
-    spans = cut(whole.unionByName(_array_spans(fetched.where("h2 is null"))).unionByName(_hot_spans(fetched.where("h2 is not null"), hot)))
+    spans = whole.unionByName(_array_spans(fetched.where("h2 is null")))
+    if many.limit(1).count():
+        spans = spans.unionByName(_hot_spans(fetched.where("h2 is not null"), hot))
+    spans = cut(spans)
     partial = contested.join(spans, ["h", "c"]).select("rid", F.greatest(F.col("pos") + F.col("lo"), F.lit(0)).alias("lo"), (F.col("pos") + F.col("hi")).alias("hi"))
     return plain.unionByName(partial).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # one text's own places
 
