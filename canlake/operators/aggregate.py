@@ -15,8 +15,14 @@ from canlake.schema import KEY, NEW, OLD, TRACE_LIMIT
 BUCKET = 1 << 17
 
 
-def _last():
-    return F.struct("dir", "dlc", "data", F.col("t_us").alias("last_t_us"))
+#: Of a message's last frame.
+LAST = {"dir": "dir", "dlc": "dlc", "data": "data", "last_t_us": "t_us"}
+
+
+def _counted() -> list:
+    """count, extended of the first frame, and what LAST says of the last one. Each is an aggregate of its own, so that a
+    query which needs numbers only is a hash aggregation."""
+    return [F.count("*").alias("count"), F.min_by("extended", "seq").alias("extended"), *(F.max_by(c, "seq").alias(k) for k, c in LAST.items())]
 
 
 def message_agg(frames: DataFrame) -> DataFrame:
@@ -24,16 +30,16 @@ def message_agg(frames: DataFrame) -> DataFrame:
 
     Partially aggregated before its one shuffle, so frequent messages do no harm.
     """
-    return frames.groupBy(*KEY).agg(F.count("*").alias("count"), F.min_by("extended", "seq").alias("extended"), F.max_by(_last(), "seq").alias("last")).select(*KEY, "count", "extended", "last.*")
+    return frames.groupBy(*KEY).agg(*_counted())
 
 
 def _deltas(frames: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """frames with bucket, n (place within the key, from 1), dt (NULL on a key's first frame, else not below 0).
 
     Deltas and places are taken inside (key, bucket); the previous bucket's last time and the rows before come from a
-    small table with one row per key and bucket. Both read the same shuffle by key and bucket.
+    small table with one row per key and bucket, which is partially aggregated.
     """
-    f = frames.withColumn("bucket", F.expr(f"seq div {bucket}")).repartition(*KEY, "bucket")
+    f = frames.withColumn("bucket", F.expr(f"seq div {bucket}"))
     heads = f.groupBy(*KEY, "bucket").agg(F.max_by("t_us", "seq").alias("end_t"), F.count("*").alias("rows"))
     w = W.partitionBy(*KEY).orderBy("bucket")
     heads = heads.select(*KEY, "bucket", F.lag("end_t").over(w).alias("before_t"), (F.sum("rows").over(w) - F.col("rows")).alias("before_n"))
@@ -46,13 +52,13 @@ def _deltas(frames: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 def _bucket_sums(deltas: DataFrame, frames_too: bool = False) -> DataFrame:
     """Per key and bucket: low, high, m (deltas) and s: the smoothed value's share that comes from the bucket, at its end;
-    with frames_too also count, extended of the first frame and last: dir, dlc, data and last_t_us of the last.
+    with frames_too also count, extended of the first frame and LAST of the last.
 
     The smoothed value is linear in the deltas: the first has weight 0.9^r, the others 0.1 * 0.9^r, with r deltas after it.
     """
     r = F.row_number().over(W.partitionBy(*KEY, "bucket").orderBy(F.desc("seq"))) - 1
     weight = F.pow(F.lit(OLD), r) * F.when(F.col("n") == 2, 1.0).otherwise(NEW)
-    more = [F.count("*").alias("count"), F.min_by("extended", "seq").alias("extended"), F.max_by(_last(), "seq").alias("last")] if frames_too else []
+    more = _counted() if frames_too else []
     d = deltas.withColumn("part", F.when(F.col("dt").isNotNull(), weight * F.col("dt")))
     return d.groupBy(*KEY, "bucket").agg(F.min("dt").alias("low"), F.max("dt").alias("high"), F.count("dt").alias("m"), F.coalesce(F.sum("part"), F.lit(0.0)).alias("s"), *more)
 
@@ -72,9 +78,9 @@ def cycle_stats(frames: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 def summary(frames: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """message_agg and cycle_stats of each message in one pass."""
-    more = F.sum("count").alias("count"), F.min_by("extended", "bucket").alias("extended"), F.max_by("last", "bucket").alias("last")
+    more = F.sum("count").alias("count"), F.min_by("extended", "bucket").alias("extended"), *(F.max_by(k, "bucket").alias(k) for k in LAST)
     out = _cycles(_bucket_sums(_deltas(frames, bucket), frames_too=True), *more)
-    return out.select(*KEY, "count", "extended", "last.*", "cycle_min_ms", "cycle_avg_ms", "cycle_max_ms")
+    return out.select(*KEY, "count", "extended", *LAST, "cycle_min_ms", "cycle_avg_ms", "cycle_max_ms")
 
 
 def cycle_delta(frames: DataFrame, bucket: int = BUCKET) -> DataFrame:

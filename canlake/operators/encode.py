@@ -23,8 +23,10 @@ def encode_batch(writes: DataFrame, signals: DataFrame, messages: DataFrame, bas
     fields = with_masks(signals).drop("ord")
     bits = fields.groupBy("channel", "id").agg((F.sum(F.bit_count("mask")) > F.bit_count(F.bit_or("mask"))).alias("overlap"))
     fields = broadcast_if_small(fields.join(bits, ["channel", "id"]))
-    rows = with_bits(with_raw(writes.withColumnRenamed("ord", "nth").join(fields, ["channel", "id", "signal"]))).select(*FRAME, "nth", "signal", "overlap", "mask", "bits")
-    plain = rows.where("not overlap").repartition(*FRAME)
+    # A frame's writes meet before they are widened by the catalogue; all the rest is done where they are.
+    met = writes.withColumnRenamed("ord", "nth").select(*FRAME, "nth", "signal", "phys").repartition(*FRAME)
+    rows = with_bits(with_raw(met.join(fields, ["channel", "id", "signal"]))).select(*FRAME, "nth", "signal", "overlap", "mask", "bits")
+    plain = rows.where("not overlap")
     plain = plain.groupBy(*FRAME, "signal").agg(F.max_by("bits", "nth").alias("bits"), F.max("mask").alias("mask")).groupBy(*FRAME).agg(F.bit_or("mask").alias("mask"), F.bit_or("bits").alias("bits"))
     packed = plain
     if bits.where("overlap").limit(1).count():
