@@ -56,7 +56,10 @@ def planned(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, repeat: float
     Blocks are a source's own, so that a small source doesn't cut up the large ones. One row per source.
     """
     t = targets(sizes, weights, share, repeat).withColumn("block", F.greatest(F.lit(1), F.least(F.lit(max_block), F.floor(F.col("target") / 64))).cast("long"))
-    t = t.withColumn("need", F.expr("cast((floor(target) + block - 1) div block as bigint)"))
+    # Whole passes over the source, each with a short last block, and blocks for the rest.
+    passes, blocks = "(floor(target) div nullif(source_size, 0))", "((source_size + block - 1) div block)"
+    rest = f"((floor(target) - {passes} * source_size + block - 1) div block)"
+    t = t.withColumn("need", F.expr(f"coalesce(cast({passes} * {blocks} + {rest} as bigint), 0L)"))
     return t.withColumn("c1", F.sum("need").over(W.orderBy("n"))).withColumn("c0", F.col("c1") - F.col("need"))
 
 
