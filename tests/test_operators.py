@@ -131,6 +131,11 @@ def test_as_of(spark):
         assert {r["t_us"]: r["value"] for r in series.as_of(kept, probes, bucket).collect()} == {-1: None, 0: None, 5: 2.0, 29: 2.0, 30: 3.0, 99: 3.0}
 
 
+def test_history_keeps_the_newest_samples(spark):
+    kept = spark.createDataFrame([("r", 0, i, "s", k, k, float(k)) for i in (1, 2) for k in range(5 + i)], "run_id string, channel int, id long, signal string, seq long, t_us long, value double")
+    assert sorted((r["id"], r["seq"]) for r in series.history(kept, 3).collect()) == [(1, 3), (1, 4), (1, 5), (2, 4), (2, 5), (2, 6)]
+
+
 def test_rates_fill_gaps_and_start_late(spark):
     f = frames(spark, [(1, 1_200_000, 0, 1), (2, 1_300_000, 1, 1), (3, 3_100_000, 0, 1)])
     assert [(r["w"], r["frames"], r["rate"]) for r in rates.frame_rate(f, from_zero=True).orderBy("w").collect()] == [(0, 0, 0.0), (1, 2, 2.0), (2, 0, 1.8), (3, 1, 1.72)]
