@@ -19,7 +19,7 @@ LENGTH, GRAM = 200, 40
 #: Texts are scanned in stretches of this many bytes; suffix arrays hold about ARRAY bytes of contexts.
 STRETCH, ARRAY = 1 << 22, 1 << 20
 #: Contexts of an anchor with more different ones than this are cut into parts of PART strings that meet by what all of
-#: those have in common; parts that are still too many are cut into a fourth as many strings each, down to single ones.
+#: those have in common; parts that are still too many are cut into a fifth as many strings each, down to single ones.
 HOT, PART = 2_000, 20
 
 _rng = np.random.default_rng(20240229)
@@ -322,14 +322,13 @@ def _hot_spans(parts: DataFrame, hot: int, part: int = PART) -> DataFrame:
     meet by those. Equal parts are one row with a count. Parts that meet in bounded numbers go through suffix arrays,
     the others are cut further; parts of one string meet only if they are equal.
     """
-    parts = cut(parts)
     distinct = parts.groupBy("h2", "c2").agg(F.count("*").alias("n"), F.first("lead").alias("lead"), F.first("context").alias("context"))
-    sizes = distinct.groupBy("h2").agg(F.count("*").alias("k")).where("k > 1")
-    met = distinct.join(sizes, "h2").select(F.col("h2").alias("h"), F.col("c2").alias("c"), "lead", "context", "k")
-    whole = distinct.where("n > 1").select(F.col("h2").alias("h"), F.col("c2").alias("c"), (-F.col("lead")).alias("lo"), (F.length("context") - F.col("lead")).cast("long").alias("hi"))
-    spans, many = whole.unionByName(_array_spans(met.where(F.col("k") <= hot))), met.where(F.col("k") > hot)
-    if part > 1 and sizes.where(F.col("k") > hot).limit(1).count():
-        spans = spans.unionByName(_hot_spans(_smaller(many, max(1, part // 4)), hot, max(1, part // 4)))
+    spans = distinct.where("n > 1").select(F.col("h2").alias("h"), F.col("c2").alias("c"), (-F.col("lead")).alias("lo"), (F.length("context") - F.col("lead")).cast("long").alias("hi"))
+    if part > 1:
+        sizes = distinct.groupBy("h2").agg(F.count("*").alias("k")).where("k > 1")
+        met = distinct.join(sizes, "h2").select(F.col("h2").alias("h"), F.col("c2").alias("c"), "lead", "context", "k")
+        smaller = max(1, part // 5)
+        spans = spans.unionByName(_array_spans(met.where(F.col("k") <= hot))).unionByName(_hot_spans(_smaller(met.where(F.col("k") > hot), smaller), hot, smaller))
     spans = spans.groupBy("h", "c").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))  # at most PART + 1 for a part
     back = parts.select("h", "c", "h2", "c2").join(spans.select(F.col("h").alias("h2"), F.col("c").alias("c2"), "spans"), ["h2", "c2"])
     return back.select("h", "c", F.explode("spans").alias("s")).select("h", "c", "s.lo", "s.hi")
@@ -355,10 +354,7 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFram
     fetched = _contexts(docs, wanted)
     # A context that stands more than once is covered whole, and still counts for the others.
     whole = contexts.where("n > 1").select("h", "c", (-F.col("lead")).alias("lo"), F.col("tail").alias("hi"))
-    spans = whole.unionByName(_array_spans(fetched.where("h2 is null")))
-    if many.limit(1).count():
-        spans = spans.unionByName(_hot_spans(fetched.where("h2 is not null"), hot))
-    spans = cut(spans)
+    spans = cut(whole.unionByName(_array_spans(fetched.where("h2 is null"))).unionByName(_hot_spans(fetched.where("h2 is not null"), hot)))
     partial = contested.join(spans, ["h", "c"]).select("rid", F.greatest(F.col("pos") + F.col("lo"), F.lit(0)).alias("lo"), (F.col("pos") + F.col("hi")).alias("hi"))
     return plain.unionByName(partial).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # one text's own places
 
