@@ -16,6 +16,8 @@ from .common import cut, worker_store
 #: A subtree is template where it stands on MIN_PAGES different pages of its host, and on MIN_SHARE of them or on MANY_PAGES.
 MIN_PAGES, MIN_SHARE, MANY_PAGES = 5, 0.2, 200
 
+#: The templates that stand on pages are broadcast up to this many hashes, page by page, under 10 MB.
+BROADCAST_HASHES = 500_000
 #: An article is small where the rest of its page, without templates and boilerplate, is over this many times as long.
 SMALL = 2
 NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
@@ -260,6 +262,9 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     keyed = _keyed(pages)
     own = cut(subtrees(keyed.withColumn("host", F.xxhash64("host"))))  # a few numbers for each page
     hits = own.join(templates(own, min_pages, min_share, many_pages), ["host", "h"], "left_semi").groupBy("key").agg(F.collect_set("h").alias("gone"))  # at most one page's subtrees
+    hits = cut(hits)
+    if hits.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0] <= BROADCAST_HASHES:
+        hits = F.broadcast(hits)  # pages stay where they are; with more, pages and their templates meet by a shuffle
 
     def work(batches):
         worker_store("html")
