@@ -19,7 +19,7 @@ LENGTH, GRAM = 200, 40
 #: Texts are scanned in stretches of this many bytes; suffix arrays hold about ARRAY bytes of contexts.
 STRETCH, ARRAY = 1 << 22, 1 << 20
 #: Contexts of an anchor with more different ones than this are cut into parts of PART strings that meet by what all of
-#: those have in common; parts that are still too many are cut into a fifth as many strings each, down to single ones.
+#: those have in common; parts that are still too many are cut into single strings.
 HOT, PART = 2_000, 20
 
 _rng = np.random.default_rng(20240229)
@@ -271,14 +271,14 @@ def _parts(h: int, c: int, lead: int, context: bytes, part: int) -> Iterator[tup
         yield h, c, h2, xxhash.xxh64_intdigest(strings, (a - low) & 0xFFFFFFFF) - (1 << 63), -a, strings
 
 
-def _smaller(contexts: DataFrame, part: int) -> DataFrame:
-    """contexts(h, c, lead, context) -> h, c, h2, c2, lead, context: cut into parts of `part` strings."""
+def _single(contexts: DataFrame) -> DataFrame:
+    """contexts(h, c, lead, context) -> h, c, h2, c2, lead, context: cut into parts of one string."""
     names, kinds = ["h", "c", "h2", "c2", "lead", "context"], [pa.int64()] * 5 + [pa.binary()]
 
     def work(batches):
         worker_store("suffix")
         for batch in batches:
-            rows = [x for r in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True) for x in _parts(*r, part)]
+            rows = [x for r in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True) for x in _parts(*r, 1)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
     return contexts.select("h", "c", "lead", "context").mapInArrow(work, "h long, c long, h2 long, c2 long, lead long, context binary")
@@ -320,15 +320,15 @@ def _hot_spans(parts: DataFrame, hot: int, part: int = PART) -> DataFrame:
 
     Strings at the same places share the bytes between the last one's start and the first one's end: parts of contexts
     meet by those. Equal parts are one row with a count. Parts that meet in bounded numbers go through suffix arrays,
-    the others are cut further; parts of one string meet only if they are equal.
+    the others are cut into parts of one string, which meet only if they are equal.
     """
+    size = (F.length("context") if part > 1 else F.lit(LENGTH)).cast("long")
     distinct = parts.groupBy("h2", "c2").agg(F.count("*").alias("n"), F.first("lead").alias("lead"), F.first("context").alias("context"))
-    spans = distinct.where("n > 1").select(F.col("h2").alias("h"), F.col("c2").alias("c"), (-F.col("lead")).alias("lo"), (F.length("context") - F.col("lead")).cast("long").alias("hi"))
+    spans = distinct.where("n > 1").select(F.col("h2").alias("h"), F.col("c2").alias("c"), (-F.col("lead")).alias("lo"), (size - F.col("lead")).alias("hi"))
     if part > 1:
         sizes = distinct.groupBy("h2").agg(F.count("*").alias("k")).where("k > 1")
         met = distinct.join(sizes, "h2").select(F.col("h2").alias("h"), F.col("c2").alias("c"), "lead", "context", "k")
-        smaller = max(1, part // 5)
-        spans = spans.unionByName(_array_spans(met.where(F.col("k") <= hot))).unionByName(_hot_spans(_smaller(met.where(F.col("k") > hot), smaller), hot, smaller))
+        spans = spans.unionByName(_array_spans(met.where(F.col("k") <= hot))).unionByName(_hot_spans(_single(met.where(F.col("k") > hot)), hot, 1))
     spans = spans.groupBy("h", "c").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))  # at most PART + 1 for a part
     back = parts.select("h", "c", "h2", "c2").join(spans.select(F.col("h").alias("h2"), F.col("c").alias("c2"), "spans"), ["h2", "c2"])
     return back.select("h", "c", F.explode("spans").alias("s")).select("h", "c", "s.lo", "s.hi")
