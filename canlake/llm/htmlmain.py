@@ -16,8 +16,8 @@ from .common import cut, worker_store
 #: A subtree is template where it stands on MIN_PAGES different pages of its host, and on MIN_SHARE of them or on MANY_PAGES.
 MIN_PAGES, MIN_SHARE, MANY_PAGES = 5, 0.2, 200
 
-#: The templates that stand on pages are broadcast up to this many hashes, page by page, under 10 MB.
-BROADCAST_HASHES = 500_000
+#: The templates that stand on pages are broadcast up to this many hashes, page by page; that is some 10 MB.
+BROADCAST_HASHES = 100_000
 #: An article is small where the rest of its page, without templates and boilerplate, is over this many times as long.
 SMALL = 2
 NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
