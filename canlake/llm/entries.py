@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import convrepair, embdedup, htmlmain, langid, mixing, ngramjoin, simhash, spiece, suffix, toxicity, urlfilter
+from . import convrepair, embdedup, htmlmain, langid, mixing, ngramjoin, simhash, spiece, suffix, tokenalign, toxicity, urlfilter
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op7_simhash": simhash.op7_simhash,
         "op8_ngram_jaccard": ngramjoin.op8_ngram_jaccard,
         "op9_url_filters": urlfilter.op9_url_filters,
+        "op11_token_alignment": tokenalign.op11_token_alignment,
         "op12_conversation_repair": convrepair.op12_conversation_repair,
     }
 

@@ -7,7 +7,7 @@ import zlib
 
 import pytest
 
-from canlake.llm import convrepair
+from canlake.llm import common, convrepair, tokenalign
 
 
 def plain_repair(rows):
@@ -113,3 +113,82 @@ def test_block_tables_equal_single_steps():
             vector = convrepair.step(vector, x)
         edges, total = t.back(convrepair.np.array(symbols, int), t.place[convrepair.END])
         assert tuple(c + total for c in t.vectors[edges[-1]]) == vector
+
+
+def plain_alignment(texts):
+    """Rows of the result without doc_id, straight from the two libraries and byte offsets."""
+    from collections import Counter, defaultdict
+
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(common.tokenizer_path("byte_bpe_50k.json"))
+    a.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=common.tokenizer_path("piece_bpe_32k.model"))
+    to_byte = {c: i for c, i in tokenalign.byte_alphabet().items()}
+    rows, held = [], Counter()
+    for text in texts:
+        groups, links = [], Counter()
+        if text:
+            whole = (" " + text).encode()
+            ta = [(i, bytes(to_byte[c] for c in a.id_to_token(i))) for i in a.encode(" " + text, add_special_tokens=False).ids]
+            tb = [(i, bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode()) for i in b.encode(text) for p in [b.id_to_piece(i)]]
+            if b"".join(x for _, x in ta) == whole == b"".join(x for _, x in tb):
+                group_of = []
+                ends = [set(itertools.accumulate(len(x) for _, x in t)) for t in (ta, tb)]
+                both = sorted(ends[0] & ends[1])
+                for t in (ta, tb):
+                    at, g, out = 0, 0, defaultdict(list)
+                    for i, x in t:
+                        out[g].append(i)
+                        at += len(x)
+                        g += at == both[g]
+                    group_of.append(out)
+                groups = [(group_of[0][g], group_of[1][g]) for g in range(len(both))]
+                links = Counter((x, y) for ga, gb in groups for x in ga for y in gb)
+        held.update(links.keys())
+        rows.append((groups, links))
+    best = defaultdict(int)
+    for (x, _), n in held.items():
+        best[x] = max(best[x], n)
+    out = []
+    for groups, links in rows:
+        written = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+        out.append((sum(len(x) for x, _ in groups), sum(len(y) for _, y in groups), len(groups), sum(links.values()), sum(n for p, n in links.items() if held[p] == best[p[0]]), sum(n * held[p] for p, n in links.items()), hashlib.sha256(written.encode()).hexdigest() if groups else ""))
+    return out
+
+
+ODD_TEXTS = [
+    None, "", " ", "  \n\n \t", "a", "don't can'tell 's  they'll", "x\r\ny\r\n\r\n  z \r", "tab\t\ttab \n line\n\n\nnext ", "été 你好世界 \U0001f600\U0001f469‍\U0001f680 ال", "mark ▁ inside",
+    "<|endoftext|> and <s></s><unk><0x41>", "nul \u0000 byte\u0001\x1c \x85 nbsp  　wide", "();\r\n}\r\r\nY ,\r x", "m² x½ ⅠⅡ 3²", "é combining ö ᠎ ​ x​ y", "https://a.b/c?d=e&f=1#g __init__ == != {'k': [1,2]}", "word" * 5000, "aaa bbb " * 400,
+]
+
+
+@pytest.mark.parametrize("bound", [tokenalign.BROADCAST_PAIRS, 300])
+def test_tokens_are_aligned_as_by_the_libraries(spark, sf, monkeypatch, bound):
+    monkeypatch.setattr(tokenalign, "BATCH_CHARS", 5_000)  # long texts in slices
+    real = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
+    texts = [*ODD_TEXTS, *real, real[3]]
+    rows = [(k, t, "x", 1) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, pair string, n int").repartition(3)
+    got = {r["doc_id"]: tuple(r)[1:] for r in tokenalign.align(df, bound=bound).collect()}
+    for k, want in enumerate(plain_alignment(texts)):
+        assert got[k] == want, texts[k] and texts[k][:80]
+
+
+def test_alignment_of_empty_tables_and_registered_query(spark, sf):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert tokenalign.align(empty).count() == 0
+    nulls = spark.createDataFrame([(None, None), (None, "one two"), (None, "one two")], empty.schema)
+    assert sorted(r["n_a"] for r in tokenalign.align(nulls).collect()) == [0, 2, 2]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()
+    want = dict(zip([r["doc_id"] for r in docs], plain_alignment([r["text"] for r in docs]), strict=True))
+    assert {r["doc_id"]: tuple(r)[1:] for r in tokenalign.op11_token_alignment(spark, sf).collect()} == want
+
+
+def test_texts_are_cut_into_units():
+    with open(common.tokenizer_path("byte_bpe_50k.json"), encoding="utf-8") as f, open(common.tokenizer_path("piece_bpe_32k.model"), "rb") as g:
+        t = tokenalign.Aligner(f.read(), g.read())
+    assert t.cuttable and t.split(" end).") == (" end", ").") and t.split(" ;\r\nx") == (" ;\r", "\n", "x")
+    t.verify([x for x in ODD_TEXTS if x])
+    assert t.align("mark ▁ inside") == t.align("") == t.align(None) == (0, 0, 0, 0, "", {})
