@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import json
 import os
 import re
 import uuid
 import zlib
+from array import array
 from collections import Counter
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +22,11 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 from canlake.sources.shared import shared_folder
 
-from .common import cut, release, tokenizer_path, worker_store
-from .spiece import BYTE, MARK, NORMAL, PROBES, THREADS, UNUSED, USER_DEFINED, Codec, verify_parity
+from .common import cut, tokenizer_path, worker_store
+from .spiece import BYTE, MARK, NORMAL, PROBES, UNUSED, USER_DEFINED, parse_model
 
 #: So many parts of words are kept by a worker before the older half goes, and so many characters in them.
-CACHED, CACHED_CHARS = 120_000, 2_000_000
+CACHED, CACHED_CHARS = 250_000, 6_000_000
 #: A batch for the encoders holds at most so many characters beyond its first text; longer texts go by in slices of this size.
 BATCH_CHARS = 500_000
 #: Pairs of ids that ride along by broadcast, the most frequent first; the others meet their links by a shuffle.
@@ -42,32 +45,40 @@ class Aligner:
     """Aligns the tokens of a byte-level BPE (A) and of a sentence-piece model (B) on texts.
 
     A text is cut into units at places that tokens of neither tokenizer cross: A's own pre-tokens end there, and no piece of
-    B has the characters on both sides next to each other. Units repeat, so each is encoded and aligned once and kept.
+    B has the characters on both sides next to each other. Units repeat, so each is encoded and aligned once and kept. A
+    single pre-token of A is encoded by the merge ranks that the vocabulary's order is.
     """
 
     def __init__(self, a: str, b: bytes):
+        import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.a, self.b = Tokenizer.from_str(a), Codec(b)
+        self.a, self.b = Tokenizer.from_str(a), sentencepiece.SentencePieceProcessor(model_proto=b)
         self.a.encode_special_tokens = True
-        alphabet = byte_alphabet()
-        self.a_bytes = {i: bytes(alphabet[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items()}
-        pieces = self.b.model["pieces"]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in pieces]
+        # The same model without the space that it puts before a text: of a repeated field the last value holds.
+        self.b_inside = sentencepiece.SentencePieceProcessor(model_proto=b + b"\x1a\x02\x18\x00")
+        alphabet, vocabulary, spec, model = byte_alphabet(), self.a.get_vocab(with_added_tokens=False), json.loads(a)["model"], parse_model(b)
+        self.a_bytes = {i: bytes(alphabet[c] for c in t) for t, i in vocabulary.items()}
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in model["pieces"]]
+        self.a_text, self.b_text = {i: str(i) for i in self.a_bytes}, [str(i) for i in range(len(self.b_bytes))]
         self.joined = set()
-        for p, _, kind in pieces:
+        for p, _, kind in model["pieces"]:
             if kind in (NORMAL, USER_DEFINED, UNUSED):
                 p = p.replace(MARK, " ")
                 self.joined.update(zip(p, p[1:], strict=False))
-        plain = self.b.model["escape"] and self.b.model["prefix"] and not self.b.model["suffix"] and not self.b.model["strip"] and not self.b.model["charsmap"]
+        plain = model["escape"] and model["prefix"] and not model["suffix"] and not model["strip"] and not model["charsmap"]
         level = self.a.pre_tokenizer
         self.cuttable = plain and type(level).__name__ == "ByteLevel" and level.use_regex and not level.add_prefix_space and self.a.normalizer is None
         self.cuttable = self.cuttable and not any(y in " \n\t" and not x.isspace() for x, y in self.joined)
+        merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in spec.get("merges", [])]
+        ranked = spec["type"] == "BPE" and all(vocabulary.get(m) == k for k, m in enumerate(merged, len(alphabet)))
+        self.ranks = tiktoken.Encoding("ranks", pat_str="(?s:.+)", mergeable_ranks={v: i for i, v in self.a_bytes.items()}, special_tokens={}) if ranked else None
         self.words = re.compile(r"[ \n\t]*[^ \n\t]+|[ \n\t]+").findall
         self.odd = re.compile(rf"[^\S \n\t]|[{ODD}]").search
         self.edge = re.compile(rf"(?<=[^\s{ODD}])(?=[ \n\t])")
         self.letters = re.compile("[ ]?[A-Za-zÀ-ÖØ-öø-ſ]+").fullmatch
-        self.parts, self.older_parts, self.units, self.older_units, self.chars = {}, {}, {}, {}, 0
+        self.parts, self.older_parts, self.units, self.older_units, self.several, self.chars, self.shared = {}, {}, {}, {}, set(), 0, {}
 
     def slices(self, text: str):
         """Words of the text with the white space before them, in slices of bounded size that end between two words."""
@@ -82,105 +93,142 @@ class Aligner:
 
     def split(self, word: str) -> tuple[str, ...]:
         """The word's units: A's pre-tokens, those joined that a piece of B may cross."""
-        if not self.cuttable or self.letters(word):
+        if self.cuttable and self.letters(word):
             return (word,)
-        spans = [s for _, s in self.a.pre_tokenizer.pre_tokenize_str(word)]
-        units = [spans[0]]
-        for start, end in spans[1:]:
-            if (word[start - 1], word[start]) in self.joined:
-                units[-1] = (units[-1][0], end)
-            else:
-                units.append((start, end))
-        for u in units:
-            if u not in spans and [(u[0] + s, u[0] + e) for _, (s, e) in self.a.pre_tokenizer.pre_tokenize_str(word[u[0] : u[1]])] != [s for s in spans if u[0] <= s[0] < u[1]]:
-                return (word,)  # what follows would change how this unit is cut
-        return tuple(word[s:e] for s, e in units)
+        if self.cuttable:
+            spans = [s for _, s in self.a.pre_tokenizer.pre_tokenize_str(word)]
+            units = [spans[0]]
+            for start, end in spans[1:]:
+                if (word[start - 1], word[start]) in self.joined:
+                    units[-1] = (units[-1][0], end)
+                else:
+                    units.append((start, end))
+            alone = lambda s, e: [(s + x, s + y) for _, (x, y) in self.a.pre_tokenizer.pre_tokenize_str(word[s:e])]
+            joined = [] if len(units) == len(spans) else [u for u in units if u not in spans]
+            if all(alone(s, e) == [x for x in spans if s <= x[0] < e] for s, e in joined):
+                self.several.update(word[s:e] for s, e in joined)
+                return tuple([word[s:e] for s, e in units])
+        self.several.add(word)  # what follows would change how a unit is cut
+        return (word,)
 
     def encoded(self, units: list[str]) -> list[tuple[list[int], list[int]]]:
-        a = self.a.encode_batch_fast(units, add_special_tokens=False)
-        b = self.b.tokenizer.encode_batch_fast([u.replace(" ", MARK) if self.b.model["escape"] else u for u in units], add_special_tokens=False)
-        return [(x.ids, y.ids) for x, y in zip(a, b, strict=True)]
+        a = {}
+        slow = [u for u in units if u in self.several or not self.ranks]
+        if slow:
+            a = {u: e.ids for u, e in zip(slow, self.a.encode_batch_fast(slow, add_special_tokens=False), strict=True)}
+        b = self.b_inside.encode(units, num_threads=1) if self.cuttable else self.b.encode([u[1:] for u in units], num_threads=1)
+        return [(a[u] if u in a else self.ranks.encode_ordinary(u), ids) for u, ids in zip(units, b, strict=True)]
 
     def aligned(self, text: str, a: list[int], b: list[int]) -> tuple | None:
-        """(tokens of A, of B, groups, links, the groups written out, how often each pair is linked) or None where the tokens
-        of either don't give the text again. A pair is its id of A times 2^32 plus that of B."""
-        own = text.encode()
-        if b"".join([self.a_bytes[i] for i in a]) != own or b"".join([self.b_bytes[i] for i in b]) != own:
+        """(tokens of A, of B, groups, links), the groups written out, linked pairs and how often each is linked (a pair may
+        stand several times), or None where the tokens of either don't give the text again. Numbers are packed as 64-bit
+        ones; a pair is its id of A times 2^32 plus that of B."""
+        own, of_a, of_b = text.encode(), [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
+        if b"".join(of_a) != own or b"".join(of_b) != own:
             return None
-        ends_a, ends_b, at = {}, {}, 0
-        for k, i in enumerate(a, 1):
-            at += len(self.a_bytes[i])
-            ends_a[at] = k
-        at = 0
-        for k, i in enumerate(b, 1):
-            at += len(self.b_bytes[i])
-            ends_b[at] = k
-        written, times, links, i, j = [], Counter(), 0, 0, 0
-        for end in sorted(ends_a.keys() & ends_b.keys()):
-            of_a, of_b = a[i : ends_a[end]], b[j : ends_b[end]]
-            i, j = ends_a[end], ends_b[end]
-            written.append(",".join(map(str, of_a)) + "|" + ",".join(map(str, of_b)))
-            links += len(of_a) * len(of_b)
-            many = Counter(of_b).items()
-            for x, n in Counter(of_a).items():
-                for y, m in many:
-                    times[x << 32 | y] += n * m
-        return len(a), len(b), len(written), links, ";".join(written), list(times.items())
+        ends_a = dict(zip(accumulate(map(len, of_a)), range(1, len(a) + 1), strict=True))
+        ends_b = dict(zip(accumulate(map(len, of_b)), range(1, len(b) + 1), strict=True))
+        common, pairs, times, written, links, i, j = sorted(ends_a.keys() & ends_b.keys()), [], [], [], 0, 0, 0
+        for end in common:
+            x, y = ends_a[end], ends_b[end]
+            if x - i == 1 == y - j:
+                pairs.append(a[i] << 32 | b[j])
+                written.append(f"{self.a_text[a[i]]}|{self.b_text[b[j]]}")
+                links += 1
+            else:
+                some, others = a[i:x], b[j:y]
+                written.append(",".join([self.a_text[k] for k in some]) + "|" + ",".join([self.b_text[k] for k in others]))
+                links += len(some) * len(others)
+                if len(some) * len(others) <= 64:
+                    pairs += [k << 32 | m for k in some for m in others]
+                else:  # ids of a long group repeat: each pair of different ones once
+                    many = Counter(others).items()
+                    times += [1] * (len(pairs) - len(times))
+                    for k, n in Counter(some).items():
+                        pairs += [k << 32 | m for m, _ in many]
+                        times += [n * c for _, c in many]
+            i, j = x, y
+        times += [1] * (len(pairs) - len(times))
+        counts = (len(a), len(b), len(common), links)
+        return self.packed(counts), ";".join(written), array("q", pairs).tobytes(), self.packed(tuple(times)) if len(times) < 16 else array("q", times).tobytes()
+
+    def packed(self, numbers: tuple) -> bytes:
+        """64-bit numbers; few different ones are asked for, so they are shared."""
+        if numbers not in self.shared:
+            if len(self.shared) > CACHED:
+                self.shared.clear()
+            self.shared[numbers] = array("q", numbers).tobytes()
+        return self.shared[numbers]
 
     def prepare(self, words: set[str]) -> None:
         """Sees to it that the words' units and their alignments are kept."""
         if len(self.units) > CACHED or len(self.parts) > CACHED or self.chars > CACHED_CHARS:
-            self.older_parts, self.older_units, self.parts, self.units, self.chars = self.parts, self.units, {}, {}, 0
+            self.older_parts, self.older_units, self.parts, self.units, self.several, self.chars = self.parts, self.units, {}, {}, set(), 0
+        new = set()
         for w in words.difference(self.parts):
-            self.parts[w] = self.older_parts.get(w) or self.split(w)
+            self.parts[w] = units = self.older_parts.get(w) or self.split(w)
             self.chars += len(w)
-        new = []
-        for u in set(chain.from_iterable(map(self.parts.__getitem__, words))).difference(self.units):
-            if u in self.older_units:
-                self.units[u] = self.older_units[u]
-            else:
-                new.append(u)
-            self.chars += len(u)
+            for u in units:
+                if u not in self.units:
+                    if u in self.older_units:
+                        self.units[u] = self.older_units[u]
+                    else:
+                        new.add(u)
+                    self.chars += len(u)
+        new = list(new)
         for u, (a, b) in zip(new, self.encoded(new), strict=True):
             self.units[u] = self.aligned(u, a, b)
 
-    def align(self, text: str | None) -> tuple[int, int, int, int, str, dict[int, int]]:
-        """Tokens of A, of B, groups, links, SHA-256 of the groups, and how often each pair is linked in the text."""
-        none = (0, 0, 0, 0, "", {})
+    def align(self, text: str | None) -> tuple[np.ndarray, str, np.ndarray, np.ndarray]:
+        """(tokens of A, of B, groups, links), SHA-256 of the groups, linked pairs, and how often each is linked in the text."""
         if not text:
-            return none
-        total, sha, times, first = [0, 0, 0, 0], hashlib.sha256(), {}, True
+            return NOTHING
+        total, sha, found, first = np.zeros(4, np.int64), hashlib.sha256(), [], True
         for words in self.slices(text):
             self.prepare(set(words))
-            units = list(chain.from_iterable(map(self.parts.__getitem__, words)))
-            known = self.units
+            units, known = list(chain.from_iterable(map(self.parts.__getitem__, words))), self.units
             kinds = Counter(units)
-            if any(known[u] is None for u in kinds):
+            of = [known[u] for u in kinds]
+            if None in of:
                 return self.whole(text)
-            for u, n in kinds.items():
-                of = known[u]
-                for k in range(4):
-                    total[k] += n * of[k]
-                for pair, m in of[5]:
-                    times[pair] = times.get(pair, 0) + n * m
-            sha.update(((b"" if first else b";") + ";".join([known[u][4] for u in units]).encode()))
+            n = np.fromiter(kinds.values(), np.int64, len(kinds))
+            counts, _, pairs, times = zip(*of, strict=True)
+            total += n @ np.frombuffer(b"".join(counts), np.int64).reshape(-1, 4)
+            found.append((np.frombuffer(b"".join(pairs), np.int64), np.frombuffer(b"".join(times), np.int64) * np.repeat(n, [len(x) // 8 for x in pairs])))
+            sha.update(((b"" if first else b";") + ";".join([known[u][1] for u in units]).encode()))
             first = False
-        return (*total, sha.hexdigest(), times)
+        return total, sha.hexdigest(), *merged([x for x, _ in found], [x for _, x in found])
 
-    def whole(self, text: str) -> tuple[int, int, int, int, str, dict[int, int]]:
-        """align() without units: the whole text is encoded at once."""
-        got = self.aligned(" " + text, self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode_batch([text])[0])
-        return (0, 0, 0, 0, "", {}) if got is None else (*got[:4], hashlib.sha256(got[4].encode()).hexdigest(), dict(got[5]))
+    def whole(self, text: str) -> tuple[np.ndarray, str, np.ndarray, np.ndarray]:
+        """align() without units: the whole text is encoded at once, by the two libraries."""
+        got = self.aligned(" " + text, self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text))
+        if got is None:
+            return NOTHING
+        counts, written, pairs, times = got
+        return np.frombuffer(counts, np.int64), hashlib.sha256(written.encode()).hexdigest(), *merged([np.frombuffer(pairs, np.int64)], [np.frombuffer(times, np.int64)])
 
     def verify(self, texts: list[str]) -> None:
+        """Raise unless units give what the libraries give for whole texts."""
         for text in texts:
-            if text and self.align(text) != self.whole(text):
-                raise ValueError(f"units of {text[:80]!r} differ from the whole text")
+            if text and not all(map(np.array_equal, self.align(text), self.whole(text))):
+                raise ValueError(f"the alignment of {text[:80]!r} differs from that of the whole text")
+
+
+NOTHING = (np.zeros(4, np.int64), "", np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def merged(pairs: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair once, in order, with its times summed."""
+    pairs, times = np.concatenate(pairs), np.concatenate(times)
+    order = np.argsort(pairs)
+    pairs = pairs[order]
+    starts = np.flatnonzero(np.concatenate([pairs[:1] == pairs[:1], pairs[1:] != pairs[:-1]]))
+    return pairs[starts], np.add.reduceat(times[order], starts) if len(starts) else times
 
 
 def _aligner(a: str, b: bytes) -> Aligner:
     """The worker's aligner, built once in each process."""
-    os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))  # read when the library starts
+    os.environ.setdefault("RAYON_NUM_THREADS", "1")  # read when the library starts; tasks run side by side already
     store, key = worker_store("alignment"), hashlib.sha256(a.encode() + b).hexdigest()
     if store.get("key") != key:
         store["aligner"], store["key"] = Aligner(a, b), key
@@ -189,7 +237,7 @@ def _aligner(a: str, b: bytes) -> Aligner:
 
 ALIGNED = pa.schema(
     [("row", pa.int64()), ("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")), ("groups_sha256", pa.string())]
-    + [("pairs", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))]
+    + [("pairs", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))]
 )
 
 
@@ -205,36 +253,36 @@ def alignments(docs: DataFrame, a_file: str | None = None, b_file: str | None =
         a = f.read()
     with open(b_file or tokenizer_path("piece_bpe_32k.model"), "rb") as f:
         b = f.read()
-    verify_parity(b, PROBES)
     Aligner(a, b).verify(PROBES)
     shared = docs.sparkSession.sparkContext.broadcast((a, b))
 
-    def work(batches):
-        import sentencepiece
+    def rows_of(t: Aligner, texts: pa.Array, start: int):
+        """Alignments of the texts from a place on until they hold BATCH_CHARS characters."""
+        size = 0
+        while start < len(texts) and size < BATCH_CHARS:
+            text = texts[start].as_py()
+            yield t.align(text)
+            if text and zlib.crc32(text[:200].encode()) % audit_every == 0:
+                t.verify([text])
+            size, start = size + len(text or ""), start + 1
 
-        t, own, n = _aligner(*shared.value), sentencepiece.SentencePieceProcessor(model_proto=shared.value[1]), TaskContext.get().partitionId() << 33
-        for batch in batches:
-            release()
-            ids, texts, start = batch.column(0), batch.column(1), 0
-            while start < len(texts):
-                rows, size, end = [], 0, start
-                while end < len(texts) and (not rows or size < BATCH_CHARS):
-                    text = texts[end].as_py()
-                    rows.append(t.align(text))
-                    if text and zlib.crc32(text[:200].encode()) % audit_every == 0:
-                        got = t.aligned(" " + text, t.a.encode(" " + text, add_special_tokens=False).ids, own.encode(text))
-                        if rows[-1][:4] != (got or (0, 0, 0, 0))[:4] or (got and hashlib.sha256(got[4].encode()).hexdigest() != rows[-1][4]):
-                            raise ValueError(f"the alignment of {text[:80]!r} differs")
-                    size += len(text or "")
-                    end += 1
-                *counts, shas, times = zip(*rows, strict=True)
-                offsets = pa.array(np.cumsum([0, *map(len, times)]), pa.int32())
-                flat = lambda kind, x: pa.ListArray.from_arrays(offsets, pa.array(np.fromiter(chain.from_iterable(x), kind)))
-                lists = [flat(np.int64, times), flat(np.int32, (x.values() for x in times))]
-                numbers = pa.array(np.arange(n, n + len(rows)))
-                n += len(rows)
-                yield pa.RecordBatch.from_arrays([numbers, ids.slice(start, end - start), *(pa.array(c, pa.int64()) for c in counts), pa.array(shas, pa.string()), *lists], schema=ALIGNED)
-                start = end
+    def work(batches):
+        t, n = _aligner(*shared.value), TaskContext.get().partitionId() << 33
+        collecting = gc.isenabled()
+        gc.disable()  # what is kept has no cycles, and going through it again and again takes longer than the work
+        try:
+            for batch in batches:
+                start = 0
+                while start < batch.num_rows:
+                    counts, shas, pairs, times = zip(*rows_of(t, batch.column(1), start), strict=True)
+                    k = len(shas)
+                    offsets = pa.array(np.cumsum([0, *map(len, pairs)]), pa.int32())
+                    lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in (pairs, times)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, n + k)), batch.column(0).slice(start, k), *(pa.array(c) for c in np.stack(counts, axis=1)), pa.array(shas, pa.string()), *lists], schema=ALIGNED)
+                    n, start = n + k, start + k
+        finally:
+            if collecting:
+                gc.enable()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).alias("text")).mapInArrow(work, from_arrow_schema(ALIGNED))
 

@@ -5,9 +5,10 @@ import itertools
 import random
 import zlib
 
+import numpy as np
 import pytest
 
-from canlake.llm import common, convrepair, tokenalign
+from canlake.llm import common, convrepair, lshsearch, tokenalign
 
 
 def plain_repair(rows):
@@ -191,4 +192,88 @@ def test_texts_are_cut_into_units():
         t = tokenalign.Aligner(f.read(), g.read())
     assert t.cuttable and t.split(" end).") == (" end", ").") and t.split(" ;\r\nx") == (" ;\r", "\n", "x")
     t.verify([x for x in ODD_TEXTS if x])
-    assert t.align("mark ▁ inside") == t.align("") == t.align(None) == (0, 0, 0, 0, "", {})
+    assert all(x[0].tolist() == [0] * 4 and x[1] == "" and not len(x[2]) for x in (t.align("mark ▁ inside"), t.align(""), t.align(None)))
+
+
+def plain_search(rows, every=20, top=20):
+    """(query, vector) -> ranked (vec_id, score) lists, by comparing all."""
+    good = {(i, tuple(v)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+    out = {}
+    for i, v in good:
+        if i % every == 0:
+            near = [(-float((np.array(v) * np.array(w)).sum()), j) for j, w in good if len(w) == len(v) and (j, w) != (i, v)]
+            out[i, v] = [(j, -s) for s, j in sorted(near)[:top]]
+    return out
+
+
+def vectors_of(n, d, seed, groups):
+    rnd = np.random.default_rng(seed)
+    centers = rnd.normal(size=(groups, d))
+    x = centers[rnd.integers(groups, size=n)] + rnd.normal(size=(n, d)) * 0.7
+    return (x * rnd.uniform(0.5, 2, size=(n, 1))).astype(np.float32).astype(float)
+
+
+@pytest.mark.parametrize(("groups", "points"), [(40, 64), (1, 16)])
+def test_neighbours_against_all_vectors(spark, monkeypatch, groups, points):
+    for name, value in {"POINTS": points, "SAMPLE": 200, "BLOCK": 128, "QUERIES": 16, "PAIRS": 500}.items():
+        monkeypatch.setattr(lshsearch, name, value)
+    rows = [(k, v.tolist()) for k, v in enumerate(vectors_of(3000, 12, groups, groups))]
+    rows += [(5000 + k, rows[7][1]) for k in range(300)] + [(rows[20][0], rows[3][1]), rows[40], rows[40]]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, score string").repartition(5)
+    report = {}
+    got = {}
+    for r in lshsearch.search(df, report=report).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    want = {}
+    for (i, _), near in plain_search(rows).items():
+        want.setdefault(i, []).append(near)
+    assert set(got) == set(want) and report["audited"] > 500 and report["recall"] >= 0.97
+    hits = total = 0
+    for i, lists in want.items():
+        if len(lists) > 1:
+            continue
+        mine = sorted(got[i])
+        assert [r for r, *_ in mine] == list(range(1, len(lists[0]) + 1)) and all(a[2] > b[2] or (a[2] == b[2] and a[1] < b[1]) for a, b in itertools.pairwise(mine))
+        hits += len({(j, s) for _, j, s in mine} & set(lists[0]))
+        total += len(lists[0])
+    print(report, hits / total)
+    assert hits >= 0.93 * total
+
+
+def test_neighbours_of_odd_and_few_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 2.0]), (1, [2.0, 1.0]), (2, [2.0, 1.0]), (20, [-1.0, 0.0]), (40, None), (60, [0.0, 0.0]), (80, [nan, 1.0]), (100, [inf, 1.0]), (3, [None, 1.0]), (120, []), (None, [1.0, 1.0]), (140, [1.0, 1.0, 1.0]), (0, [1.0, 2.0]), (4, [1e300, 1.0]), (160, [1e-300, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in lshsearch.search(df).collect())
+    assert got == sorted((i, k, j, s) for (i, _), near in plain_search(rows).items() for k, (j, s) in enumerate(near, 1)) and got
+    assert lshsearch.search(df.limit(0)).count() == 0 and lshsearch.search(df.where("vec_id = 1")).count() == 0
+
+
+def test_neighbours_without_buckets_are_found_among_all(spark, monkeypatch):
+    monkeypatch.setattr(lshsearch, "PROBES", 1)
+    monkeypatch.setattr(lshsearch, "POINTS", 16)
+    rows = [(k, v.tolist()) for k, v in enumerate(vectors_of(400, 6, 3, 1))]
+    report = {}
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in lshsearch.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), report=report).collect())
+    assert got == sorted((i, k, j, s) for (i, _), near in plain_search(rows).items() for k, (j, s) in enumerate(near, 1)) and report["compared with all"] == 20
+
+
+def test_recall_of_the_registered_search(spark):
+    rows = [(r["vec_id"], list(r["embedding"])) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    want = plain_matrix(rows)
+    got = {}
+    for r in lshsearch.op13_nearest_neighbours(spark, "/root/testdata/sf0.1").collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = sum(len(got[i] & near) for i, near in want.items())
+    print(hits / (20 * len(want)))
+    assert set(got) == set(want) and hits >= 0.9 * 20 * len(want)
+
+
+def plain_matrix(rows, every=20, top=20):
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+    out = {}
+    for k in np.flatnonzero(ids % every == 0):
+        s = x @ x[k]
+        s[k] = -np.inf
+        out[int(ids[k])] = set(ids[np.argsort(-s)[:top]].tolist())
+    return out
