@@ -26,7 +26,7 @@ from .common import cut, tokenizer_path, worker_store
 from .spiece import BYTE, MARK, NORMAL, PROBES, UNUSED, USER_DEFINED, parse_model
 
 #: So many parts of words are kept by a worker before the older half goes, and so many characters in them.
-CACHED, CACHED_CHARS = 250_000, 6_000_000
+CACHED, CACHED_CHARS = 400_000, 12_000_000
 #: A batch for the encoders holds at most so many characters beyond its first text; longer texts go by in slices of this size.
 BATCH_CHARS = 500_000
 #: Pairs of ids that ride along by broadcast, the most frequent first; the others meet their links by a shuffle.
