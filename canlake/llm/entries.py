@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import convrepair, embdedup, htmlmain, langid, mixing, ngramjoin, simhash, spiece, suffix, tokenalign, toxicity, urlfilter
+from . import convrepair, embdedup, htmlmain, langid, lshsearch, mixing, ngramjoin, simhash, spiece, suffix, tokenalign, toxicity, urlfilter
 
 
 def queries():
@@ -19,6 +19,7 @@ def queries():
         "op9_url_filters": urlfilter.op9_url_filters,
         "op11_token_alignment": tokenalign.op11_token_alignment,
         "op12_conversation_repair": convrepair.op12_conversation_repair,
+        "op13_nearest_neighbours": lshsearch.op13_nearest_neighbours,
     }
 
 
