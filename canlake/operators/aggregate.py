@@ -83,6 +83,17 @@ def summary(frames: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return out.select(*KEY, "count", "extended", *LAST, "cycle_min_ms", "cycle_avg_ms", "cycle_max_ms")
 
 
+def fold_state(frames: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """What a stream's message fold holds after these frames: count, extended of the first; dir, dlc, data, t_us of the last;
+    smoothed, least and largest delta in microseconds (NULL for messages with one frame). A stream goes on from it."""
+    sums = _bucket_sums(_deltas(frames, bucket), frames_too=True)
+    after = F.sum("m").over(W.partitionBy(*KEY).orderBy(F.desc("bucket")).rowsBetween(W.unboundedPreceding, -1))
+    share = F.col("s") * F.pow(F.lit(OLD), F.coalesce(after, F.lit(0)))
+    ends = [F.max_by(k, "bucket").alias(k) for k in LAST]
+    out = sums.withColumn("share", share).groupBy(*KEY).agg(F.sum("count").alias("count"), F.when(F.sum("m") > 0, F.sum("share")).alias("ewma_us"), F.min("low").alias("min_us"), F.max("high").alias("max_us"), F.min_by("extended", "bucket").alias("extended"), *ends)
+    return out.select(*KEY, "count", "last_t_us", "ewma_us", "min_us", "max_us", "extended", "dir", "dlc", "data")
+
+
 def cycle_delta(frames: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return _deltas(frames, bucket).select(*KEY, "seq", "t_us", F.col("n").alias("count"), "dt")
 
@@ -171,16 +182,13 @@ def statistics(frames: DataFrame, messages: DataFrame) -> DataFrame:
 BROADCAST_ROWS = 100_000
 
 
-#: What was counted, by the plan's hash: a catalogue is counted once however many operators it meets.
-_SMALL: dict[int, bool] = {}
-
-
 def broadcast_if_small(catalogue: DataFrame) -> DataFrame:
-    """A catalogue with a broadcast hint if its counted rows allow it; Spark shuffles larger ones."""
-    plan = catalogue.semanticHash()
-    if plan not in _SMALL:
-        _SMALL[plan] = catalogue.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return F.broadcast(catalogue) if _SMALL[plan] else catalogue
+    """A catalogue with a broadcast hint if its rows allow it; Spark shuffles larger ones. Rows are counted unless the plan
+    itself bounds them, as that of a table made from rows does; nothing is remembered from one call to the next."""
+    bound = catalogue._jdf.queryExecution().optimizedPlan().maxRows()
+    if bound.isDefined() and bound.get() <= BROADCAST_ROWS or catalogue.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return F.broadcast(catalogue)
+    return catalogue
 
 
 def bus_share(frames: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from canlake.functions.codec import be64, with_bits, with_masks, with_raw, word_to_data
@@ -15,29 +16,23 @@ def encode_batch(writes: DataFrame, signals: DataFrame, messages: DataFrame, bas
     """writes(frame, channel, id, ord, signal, phys) -> frame, channel, id, extended, dlc, data.
 
     The writes of a frame take effect in the order of ord; overlapping fields end as the last one leaves them. base(frame,
-    data) gives payloads to start from, else zeros. Signals that the catalogue doesn't know are left out (rejected()).
+    data) gives payloads to start from, else zeros. Signals that the catalogue doesn't know leave the payload as it is
+    (rejected() lists them); a frame of an unknown id has 8 bytes, and is extended above 0x7FF.
 
-    Masks come from the catalogue. Fields that share no bit with another of their message are joined by OR, the last
-    write of each signal counting; only messages with overlapping fields keep their writes as lists.
+    Masks come from the catalogue. A write keeps the bits that no later write of its frame takes, so that all are joined by OR.
     """
-    fields = with_masks(signals).drop("ord")
-    bits = fields.groupBy("channel", "id").agg((F.sum(F.bit_count("mask")) > F.bit_count(F.bit_or("mask"))).alias("overlap"))
-    fields = broadcast_if_small(fields.join(bits, ["channel", "id"]))
+    fields = broadcast_if_small(with_masks(signals).drop("ord"))
     # A frame's writes meet before they are widened by the catalogue; all the rest is done where they are.
     met = writes.withColumnRenamed("ord", "nth").select(*FRAME, "nth", "signal", "phys").repartition(*FRAME)
-    rows = with_bits(with_raw(met.join(fields, ["channel", "id", "signal"]))).select(*FRAME, "nth", "signal", "overlap", "mask", "bits")
-    plain = rows.where("not overlap")
-    plain = plain.groupBy(*FRAME, "signal").agg(F.max_by("bits", "nth").alias("bits"), F.max("mask").alias("mask")).groupBy(*FRAME).agg(F.bit_or("mask").alias("mask"), F.bit_or("bits").alias("bits"))
-    packed = plain
-    if bits.where("overlap").limit(1).count():
-        listed = rows.where("overlap").groupBy(*FRAME).agg(F.array_sort(F.collect_list(F.struct("nth", "mask", "bits"))).alias("w"))
-        # A later write takes the places of earlier ones.
-        over = F.aggregate("w", F.struct(F.lit(0).cast("long").alias("mask"), F.lit(0).cast("long").alias("bits")), lambda a, x: F.struct(a["mask"].bitwiseOR(x["mask"]).alias("mask"), a["bits"].bitwiseAND(F.bitwise_not(x["mask"])).bitwiseOR(x["bits"]).alias("bits")))
-        packed = plain.unionByName(listed.withColumn("o", over).select(*FRAME, "o.mask", "o.bits"))
+    none = F.lit(0).cast("long")
+    rows = with_bits(with_raw(met.join(fields, ["channel", "id", "signal"], "left"))).select(*FRAME, "nth", F.coalesce("mask", none).alias("mask"), F.coalesce("bits", none).alias("bits"))
+    later = F.bit_or("mask").over(W.partitionBy(*FRAME).orderBy(F.desc("nth"), "mask", "bits").rowsBetween(W.unboundedPreceding, -1))
+    last = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce(later, none)))
+    packed = rows.withColumn("bits", last).groupBy(*FRAME).agg(F.bit_or("mask").alias("mask"), F.bit_or("bits").alias("bits"))
     word = F.col("bits")
     if base is not None:
         packed = packed.join(base.select("frame", be64(F.col("data")).alias("word")), "frame", "left")
-        word = F.coalesce(F.col("word").bitwiseAND(F.bitwise_not("mask")), F.lit(0).cast("long")).bitwiseOR(F.col("bits"))
+        word = F.coalesce(F.col("word").bitwiseAND(F.bitwise_not("mask")), none).bitwiseOR(F.col("bits"))
     known = broadcast_if_small(messages.select("channel", "id", F.col("dlc").alias("known_dlc"), F.col("extended").alias("known_ext")))
     out = packed.withColumn("data", word_to_data(word)).join(known, ["channel", "id"], "left")
     return out.select(*FRAME, F.coalesce("known_ext", F.col("id") > 0x7FF).alias("extended"), F.coalesce(F.least("known_dlc", F.lit(8)), F.lit(8)).alias("dlc"), "data")

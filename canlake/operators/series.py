@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
 
 from canlake.functions.codec import extract_raw, gauge, to_physical, with_words
-from canlake.operators.aggregate import broadcast_if_small, message_agg
+from canlake.operators.aggregate import BUCKET, broadcast_if_small, message_agg
 from canlake.schema import HISTORY_LIMIT, KEY, SAMPLE_GAP_US
 
 SERIES = [*KEY, "signal"]
@@ -25,34 +29,144 @@ def decode(frames: DataFrame, signals: DataFrame, selection: DataFrame | None =
     return rows.withColumn("raw", extract_raw()).withColumn("value", to_physical()).select(*frames.columns, "ord", "signal", "raw", "value", "unit", "min", "max")
 
 
-def thin(frames: DataFrame, gap_us: int = SAMPLE_GAP_US) -> DataFrame:
-    """The frames of each message that are at least gap_us after the last one kept, in arrival order.
+def thin(frames: DataFrame, gap_us: int = SAMPLE_GAP_US, bucket: int = BUCKET, keys: list[str] = KEY, mark: str | None = None) -> DataFrame:
+    """The frames of each message that are at least gap_us after the last one kept, in arrival order; with `mark` all
+    frames, and a column of that name that says which are kept.
 
     Which frames are kept depends on their times only, so all signals of a message share them: thin first, decode after.
-    A message's rows go by in one task that remembers one number and jumps from one kept frame to the next.
+    Buckets of arrival order are thinned independently of each other, each from the time last kept before it. That time comes
+    from jumps(): what a bucket makes of any time that may be the last one kept, one row per bucket.
     """
+    names, at = frames.columns, [*keys, "_bucket"]
+    dealt = frames.withColumn("_bucket", F.expr(f"seq div {bucket}")).repartition(*at)
+    most = dealt.groupBy(*at).agg(F.max("t_us").alias("_most"))
+    before = F.max("_most").over(W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
+    ordered = dealt.join(most.select(*at, before.alias("_before")), at).select(*at, "seq", "t_us", "_before").sortWithinPartitions(*at, "seq")
+    start = kept_before(jumps(ordered, gap_us, keys), gap_us, keys)
+    ready = dealt.join(start, at).select(*names, "_bucket", "_kept").sortWithinPartitions(*at, "seq")
 
     def work(batches):
-        key = kept = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys, t = [batch.column(c) for c in KEY], batch.column("t_us").to_numpy()
-            cut = np.zeros(len(t) - 1, bool)
-            for c in keys:
-                cut |= pc.fill_null(pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)), True).to_numpy(zero_copy_only=False)
-            edges, keep = [0, *(np.flatnonzero(cut) + 1).tolist(), len(t)], np.zeros(len(t), bool)
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                this = tuple(c[a].as_py() for c in keys)
-                if this != key:
-                    key, kept, keep[a] = this, int(t[a]), True
-                    a += 1
+        for batch, parts in _stretches(batches, at):
+            t, starts, keep = batch.column("t_us").to_numpy(), batch.column("_kept"), np.zeros(batch.num_rows, bool)
+            for a, b, new, _ in parts:
+                if new:
+                    kept = starts[a].as_py()
+                if kept is None:
+                    kept, keep[a], a = int(t[a]), True, a + 1
                 while (a := first_from(t, a, b, kept + gap_us)) < b:
-                    kept, keep[a] = int(t[a]), True
-                    a += 1
-            yield batch.filter(pa.array(keep, pa.bool_()))
+                    kept, keep[a], a = int(t[a]), True, a + 1
+            out = batch.select(names)
+            yield out.append_column(mark, pa.array(keep)) if mark else out.filter(pa.array(keep, pa.bool_()))
+
+    return ready.mapInArrow(work, StructType([*frames.schema.fields, StructField(mark, BooleanType())]) if mark else frames.schema)
+
+
+def _stretches(batches, names: list[str]):
+    """Each batch of rows in order of these columns, with its stretches of equal ones: start, end, whether they begin there,
+    and what they are."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(c) for c in names]
+        cut = np.zeros(batch.num_rows - 1, bool)
+        for c in keys:
+            a, b = c.slice(1), c.slice(0, len(c) - 1)
+            cut |= pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.not_equal(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
+        edges, parts = [0, *(np.flatnonzero(cut) + 1).tolist(), batch.num_rows], []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            this = tuple(c[a].as_py() for c in keys)
+            parts.append((a, b, this != last, this))
+            last = this
+        yield batch, parts
+
+
+def following(t: np.ndarray, gap_us: int) -> np.ndarray:
+    """For each place the first later one whose time is at least gap_us above its own, or the end."""
+    n, want = len(t), t + gap_us
+    if (t[1:] >= t[:-1]).all():
+        return np.maximum(np.searchsorted(t, want), np.arange(1, n + 1))
+    most = [t]  # the largest time of 2^k places from each one on
+    while 2 << (len(most) - 1) <= n:
+        half = 1 << (len(most) - 1)
+        most.append(np.maximum(most[-1][:-half], most[-1][half:]))
+    at = np.arange(1, n + 1)
+    for k in reversed(range(len(most))):
+        inside = at + (1 << k) <= n
+        skip = inside & (most[k][np.where(inside, at, 0)] < want)
+        at += skip << k
+    return at
 
-    return frames.repartition(*KEY).sortWithinPartitions(*KEY, "seq").mapInArrow(work, frames.schema)
+
+def jump_map(t: np.ndarray, before: int | None, gap_us: int) -> tuple[list, list]:
+    """(bounds, ends) of a bucket's times: what the time last kept before it leads to, as jumps() says.
+
+    The time last kept is never a whole gap behind the largest time so far: a frame that late after it would have been kept.
+    So a bucket's first kept frame is one that exceeds all before it, up to the first one a whole gap after `before`.
+    """
+    if before is None:
+        starts = [0]
+    else:
+        best = np.maximum(np.maximum.accumulate(t), before)
+        rises = np.flatnonzero(best > np.concatenate([[before], best[:-1]]))
+        starts = rises[: np.searchsorted(best[rises], before + gap_us) + 1].tolist()
+    after, end = following(t, gap_us).tolist(), {}
+    for start in starts:
+        way, i = [], start
+        while i not in end and after[i] < len(t):
+            way.append(i)
+            i = after[i]
+        last = end.get(i, i)
+        end.update(dict.fromkeys([*way, i], last))
+    return t[starts].tolist(), t[[end[s] for s in starts]].tolist()
+
+
+def jumps(ordered: DataFrame, gap_us: int, keys: list[str] = KEY) -> DataFrame:
+    """Rows in order of (keys, _bucket, seq) with _before, the largest time before their bucket -> keys, _bucket, bounds, ends: a
+    time last kept leads to the end of the first bound that is at least a gap above it, and stays where there is none."""
+    at = [*keys, "_bucket"]
+    out = StructType([*(ordered.schema[c] for c in at), *(StructField(c, ArrayType(LongType())) for c in ("bounds", "ends"))])
+    kind = to_arrow_schema(out)
+
+    def work(batches):
+        held = key = most = None
+        made = []
+        for batch, parts in _stretches(batches, at):
+            t, before = batch.column("t_us").to_numpy(), batch.column("_before")
+            for a, b, new, this in parts:
+                if new:
+                    if held is not None:
+                        made.append((*key, *jump_map(np.concatenate(held), most, gap_us)))
+                    key, held, most = this, [], before[a].as_py()
+                held.append(t[a:b])
+            if len(made) >= 256:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), kind, strict=True)], schema=kind)
+                made = []
+        if held is not None:
+            made.append((*key, *jump_map(np.concatenate(held), most, gap_us)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), kind, strict=True)], schema=kind)
+
+    return ordered.mapInArrow(work, out)
+
+
+def kept_before(moves: DataFrame, gap_us: int, keys: list[str] = KEY) -> DataFrame:
+    """jumps() -> keys, _bucket, _kept: the time last kept before each bucket (NULL before the first). A message's buckets go
+    by in order, and one number is remembered."""
+    at = [*keys, "_bucket"]
+
+    def work(batches):
+        last = kept = None
+        for batch in batches:
+            out = []
+            for *key, bounds, ends in zip(*(batch.column(c).to_pylist() for c in (*keys, "bounds", "ends")), strict=True):
+                if key != last:
+                    last, kept = key, None
+                out.append(kept)
+                place = 0 if kept is None else bisect_left(bounds, kept + gap_us)
+                kept = ends[place] if place < len(ends) else kept
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in at), pa.array(out, pa.int64())], names=[*at, "_kept"])
+
+    return moves.repartition(*keys).sortWithinPartitions(*at).mapInArrow(work, StructType([*(moves.schema[c] for c in at), StructField("_kept", LongType())]))
 
 
 def first_from(t: np.ndarray, start: int, end: int, least: int) -> int:
@@ -76,6 +190,20 @@ def samples(frames: DataFrame, signals: DataFrame, selection: DataFrame | None =
     return decode(thin(few, gap_us), wanted).select(*SERIES, "seq", "t_us", "value")
 
 
+def subscribed_samples(frames: DataFrame, signals: DataFrame, subscriptions: DataFrame, gap_us: int = SAMPLE_GAP_US, bucket: int = BUCKET) -> DataFrame:
+    """subscriptions(subscription, channel, id, signal, from_us, to_us) -> subscription, run_id, channel, id, signal, seq, t_us, value:
+    the samples that each got of frames from from_us on and before to_us (NULL: no end), thinned from its own first frame.
+
+    Subscriptions of a message that begin and end together share their frames; frames meet the others' spans by message.
+    """
+    span, wanted = [*KEY, "from_us", "to_us"], subscriptions.withColumn("to_us", F.coalesce("to_us", F.lit((1 << 63) - 1)))
+    spans = wanted.select("channel", "id", "from_us", "to_us").join(signals.select("channel", "id").distinct(), ["channel", "id"], "left_semi").distinct()
+    inside = (F.col("t_us") >= F.col("from_us")) & (F.col("t_us") < F.col("to_us"))
+    few = frames.select(*KEY, "seq", "t_us", "data").join(broadcast_if_small(spans), ["channel", "id"]).where(inside).select(*span, "seq", "t_us", "data")
+    kept = decode(thin(few, gap_us, bucket, span), signals)
+    return kept.join(broadcast_if_small(wanted), ["channel", "id", "signal", "from_us", "to_us"]).select("subscription", *KEY, "signal", "seq", "t_us", "value")
+
+
 def history(kept: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame:
     """The newest `limit` samples of each series."""
     n = F.row_number().over(W.partitionBy(*SERIES).orderBy(F.desc("seq")))
@@ -108,10 +236,10 @@ def viewport_points(kept: DataFrame, t_min: int, span_us: int, shared: bool = Tr
     fewer than two points are left out."""
     keys = ["run_id"] if shared else SERIES
     rows = kept.where(F.col("t_us") >= t_min).join(viewport(kept, t_min, shared), keys)
-    n = F.count("*").over(W.partitionBy(*SERIES))
+    points = rows.groupBy(*SERIES).agg(F.count("*").alias("points")).where("points >= 2")
     clamp = lambda c: F.greatest(F.least(c, F.lit(1.0)), F.lit(0.0))
     x, y = (F.col("t_us") - t_min) / float(span_us), (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo"))
-    return rows.withColumn("points", n).where("points >= 2").select(*SERIES, "seq", clamp(x).alias("x"), clamp(y).alias("y"))
+    return rows.join(points, SERIES).select(*SERIES, "seq", clamp(x).alias("x"), clamp(y).alias("y"))
 
 
 def as_of(kept: DataFrame, probes: DataFrame, bucket_us: int = 60_000_000) -> DataFrame:

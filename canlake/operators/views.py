@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -40,33 +39,44 @@ def in_scope(rows: DataFrame, scope) -> DataFrame:
     if isinstance(scope, int):
         return rows.where(F.col("channel") == scope)
     keys = rows.sparkSession.createDataFrame(list(scope), "channel int, id long")
-    return rows.join(keys, ["channel", "id"], "left_semi")
+    return rows.join(broadcast_if_small(keys), ["channel", "id"], "left_semi")
 
 
-def trace(frames: DataFrame, messages: DataFrame, view: View) -> DataFrame:
-    """Frames that pass a trace view, with name. Text is matched ignoring ASCII case against the unpadded hex id and the
+def _scoped(view: View):
+    if isinstance(view.scope, int):
+        return F.col("channel") == view.scope
+    return F.lit(True) if view.scope is None else F.concat_ws(":", "channel", "id").isin([f"{c}:{i}" for c, i in view.scope])
+
+
+def trace_passes(view: View):
+    """Whether a frame with name passes a trace view. Text is matched ignoring ASCII case against the unpadded hex id and the
     name; an unknown name matches nothing."""
-    rows = in_scope(frames, view.scope)
+    keep = _scoped(view)
     if view.direction:
-        rows = rows.where(F.col("dir") == view.direction)
-    rows = with_names(rows, messages)
+        keep = keep & (F.col("dir") == view.direction)
     if view.known_only:
-        rows = rows.where("name is not null")
+        keep = keep & F.col("name").isNotNull()
     q = view.text.strip().translate(str.maketrans(LOWER, UPPER))
-    if q:
-        rows = rows.where(F.hex("id").contains(q) | F.coalesce(ascii_upper("name").contains(q), F.lit(False)))
-    return rows
+    return keep & (F.hex("id").contains(q) | F.coalesce(ascii_upper("name").contains(q), F.lit(False))) if q else keep
 
 
-def message_rows(aggregated: DataFrame, messages: DataFrame, view: View) -> DataFrame:
-    """Aggregated rows that pass a messages view. Unknown names are `-` before the text is looked for, in lower case."""
-    rows = with_names(in_scope(aggregated, view.scope), messages).withColumn("name", F.coalesce("name", F.lit("-")))
+def trace(frames: DataFrame, messages: DataFrame, view: View) -> DataFrame:
+    """Frames that pass a trace view, with name."""
+    return with_names(frames, messages).where(trace_passes(view))
+
+
+def passes(view: View):
+    """Whether an aggregated row with name (`-` where unknown) passes a messages view; text is looked for in lower case."""
+    keep = _scoped(view)
     if view.known_only:
-        rows = rows.where("name <> '-'")
+        keep = keep & (F.col("name") != "-")
     q = view.text.strip().lower()
-    if q:
-        rows = rows.where(F.lower("name").contains(q) | F.lower(F.hex("id")).contains(q))
-    return rows
+    return keep & (F.lower("name").contains(q) | F.lower(F.hex("id")).contains(q)) if q else keep
+
+
+def message_rows(aggregated: DataFrame, messages: DataFrame, view: View) -> DataFrame:
+    """Aggregated rows that pass a messages view. Unknown names are `-` before the text is looked for."""
+    return with_names(aggregated, messages).withColumn("name", F.coalesce("name", F.lit("-"))).where(passes(view))
 
 
 def newest(frames: DataFrame, n: int, bucket: int = BUCKET) -> DataFrame:
@@ -86,9 +96,15 @@ def trace_view(frames: DataFrame, messages: DataFrame, view: View, ring: int = T
 
 
 def view_counts(aggregated: DataFrame, messages: DataFrame, views: dict[str, View]) -> DataFrame:
-    """view, messages, frames: for each messages view the number of its rows and of their frames, 0 where nothing passes."""
-    one = lambda name, v: message_rows(aggregated, messages, v).agg(F.count("*").alias("messages"), F.coalesce(F.sum("count"), F.lit(0)).alias("frames")).select(F.lit(name).alias("view"), "messages", "frames")
-    return reduce(DataFrame.unionByName, [one(name, v) for name, v in views.items()])
+    """view, messages, frames: for each messages view the number of its rows and of their frames, 0 where nothing passes. Names
+    are looked up once, and all views are counted by one aggregate."""
+    rows = with_names(aggregated.select("channel", "id", "count"), messages).withColumn("name", F.coalesce("name", F.lit("-")))
+    shown = [F.coalesce(F.when(passes(v), F.lit(1)), F.lit(0)) for v in views.values()]
+    sums = [F.struct(F.coalesce(F.sum(p), F.lit(0)).alias("messages"), F.coalesce(F.sum(p * F.col("count")), F.lit(0)).alias("frames")).alias(f"v{k}") for k, p in enumerate(shown)]
+    if not sums:
+        return rows.sparkSession.createDataFrame([], "view string, messages long, frames long")
+    named = F.array(*(F.struct(F.lit(name).alias("view"), F.col(f"v{k}.messages").alias("messages"), F.col(f"v{k}.frames").alias("frames")) for k, name in enumerate(views)))
+    return rows.agg(*sums).select(F.inline(named))
 
 
 def find_messages(messages: DataFrame, signals: DataFrame, text: str, in_signals: bool = True) -> DataFrame:
@@ -122,3 +138,11 @@ def scope_after_drop(scope, channel: int):
     if scope is None:
         return None
     return tuple((c - (c > channel), i) for c, i in scope if c != channel)
+
+
+def drop_bus_everywhere(tables: dict[str, DataFrame], views: dict[str, View], channel: int) -> tuple[dict[str, DataFrame], dict[str, View]]:
+    """All tables and views once a bus is gone, later buses renumbered. tables: `buses` and any others with a channel (frames,
+    messages, signals, nodes, selections). The last bus stays: its removal is a ValueError."""
+    if tables["buses"].where(F.col("channel") != channel).limit(1).count() == 0:
+        raise ValueError("the last bus can't be removed")
+    return {k: drop_bus(t, channel) for k, t in tables.items()}, {k: replace(v, scope=scope_after_drop(v.scope, channel)) for k, v in views.items()}

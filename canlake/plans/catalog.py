@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,6 +130,41 @@ def catalogue_scan(spark, d):
     return rows.select("path", "id", "extended", "name", "transmitter", "ord", "signal", "start_bit", "size", "big_endian", "signed", "factor", "offset", F.array_join("receivers", ",").alias("receivers"))
 
 
+def _wrapped_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The same catalogue with signals and node lists over two lines, and comments whose strings hold lines like statements."""
+    rows = _catalogue_lines(spark, d).withColumn("line", F.col("line") * 8)
+    p = spark.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("bus"), (F.col("p_partkey") % 2).cast("string"), F.lit(".dbc")).alias("path"), (F.col("p_partkey") * 32 + 25).alias("line"), "p_brand", "p_type")
+    ident = lambda c: F.regexp_replace(c, "[^A-Za-z0-9]", "_")
+    more = F.array(F.lit('CM_ BO_ 7 "first line,'), F.lit("BO_ 77 Ghost: 8 A"), F.lit("BU_: Nobody"), F.lit(' end";'), F.concat(F.lit("BU_: "), ident("p_brand")), F.concat(F.lit("    "), ident("p_type")))
+    comments = p.select("path", "line", F.posexplode(more).alias("k", "value")).select("path", (F.col("line") + F.col("k")).alias("line"), "value")
+    parts = F.when(F.col("value").rlike("^ SG_"), F.array(F.regexp_replace("value", ' "(cm)?" .*', ""), F.regexp_replace("value", '^.*( "(cm)?" .*)$', "  $1"))).otherwise(F.array("value"))
+    return rows.select("path", "line", F.posexplode(parts).alias("k", "value")).select("path", (F.col("line") + F.col("k")).alias("line"), "value").unionByName(comments)
+
+
+@query
+def catalogue_wrapped(spark, d):
+    messages, signals, _ = catalogue.parse(_wrapped_lines(spark, d))
+    rows = messages.join(signals, ["path", "id"], "left")
+    return rows.select("path", "id", "extended", "name", "transmitter", "ord", "signal", "start_bit", "size", "big_endian", "signed", "factor", "offset", F.array_join("receivers", ",").alias("receivers"))
+
+
+@query
+def catalogue_nodes(spark, d):
+    return catalogue.parse(_wrapped_lines(spark, d))[2].groupBy("path", "node").agg(F.count("*").alias("n"))
+
+
+@query
+def bus_report(spark, d):
+    """How loading went: two catalogues, some of whose messages are broken, and one each that is missing, empty and no text."""
+    broken = spark.read.parquet(f"{d}/part.parquet").where("p_size % 9 = 0").select(F.concat(F.lit("bus"), (F.col("p_partkey") % 2).cast("string"), F.lit(".dbc")).alias("path"), (F.col("p_partkey") * 4 + 3).alias("line"), F.lit("BO_ oops").alias("value"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "value"))), lambda x: x["value"]), "\n")
+    files = _catalogue_lines(spark, d).unionByName(broken).groupBy("path").agg(F.encode(text, "utf-8").alias("content"))
+    more = spark.createDataFrame([("empty.dbc", b""), ("image.dbc", b"\xff\xfeBO_")], "path string, content binary")
+    buses = spark.createDataFrame([(0, "A", "bus0.dbc"), (1, "B", " bus1.dbc"), (2, "C", "none.dbc"), (3, "D", "empty.dbc"), (4, "E", "image.dbc"), (5, "F", None)], "channel int, bus_name string, dbc_path string")
+    found = files.unionByName(more).withColumn("bytes", F.octet_length("content").cast("long"))
+    return catalogue.report(buses, found).select("channel", "bus_name", "status", "messages", "signals", "rejects")
+
+
 @query
 def bus_catalogue(spark, d):
     buses = spark.createDataFrame([(0, "A", "bus0.dbc"), (1, "B", "bus1.dbc"), (2, "C", "none.dbc")], "channel int, bus_name string, dbc_path string")
@@ -227,6 +263,13 @@ def encode_batch(spark, d):
     return encode.encode_batch(_writes(spark, d), fx.signals(spark), fx.messages(spark)).withColumn("data", F.hex("data"))
 
 
+@query
+def encode_unknown(spark, d):
+    """Every third frame has an id that the catalogue doesn't know."""
+    writes = _writes(spark, d).withColumn("id", F.when(F.col("frame") % 3 == 0, F.col("id") + 1000).otherwise(F.col("id")))
+    return encode.encode_batch(writes, fx.signals(spark), fx.messages(spark)).withColumn("data", F.hex("data"))
+
+
 # Filters and joins
 
 
@@ -256,6 +299,15 @@ def drop_bus(spark, d):
     return views.drop_bus(_frames(spark, d), 0).select("seq", "channel", "id")
 
 
+@query
+def bus_removed(spark, d):
+    """Rows per bus of every table once the first bus is gone."""
+    tables = {"frames": _frames(spark, d), "buses": fx.buses(spark), "messages": fx.messages(spark), "signals": fx.signals(spark), "nodes": fx.nodes(spark), "selections": fx.selection(spark)}
+    left, _ = views.drop_bus_everywhere(tables, fx.VIEWS, 0)
+    counts = [t.groupBy("channel").agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "channel", "n") for name, t in left.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
 @query
 def trace_named(spark, d):
     rows = views.with_names(_frames(spark, d), fx.messages(spark))
@@ -374,6 +426,20 @@ def scan_statistics(spark, d):
     return rows.withColumn("name", F.coalesce("name", F.lit("-"))).drop("extended")
 
 
+@query
+def scan_message_agg(spark, d):
+    return aggregate.message_agg(_logs(spark, d)).withColumn("data", F.hex("data"))
+
+
+@query
+def frame_rate_wild(spark, d):
+    """Logs with times that are none, and one frame of the first run a thousand million seconds late."""
+    late = F.when(F.col("seq") == 399, F.col("t_us") + 1_000_000_000_000_000).otherwise(F.col("t_us"))
+    lines = asc.render(_runs(spark, d).withColumn("t_us", late), "line")
+    lines = lines.select("run_id", "seq", F.when(F.col("seq") % 97 == 0, F.regexp_replace("line", r"^\S+", "1e30")).otherwise(F.col("line")).alias("value"))
+    return rates.frame_rate(asc.parse_lines(lines).where("valid"), quiet=50)
+
+
 @query
 def scan_cycle_delta(spark, d):
     return aggregate.cycle_delta(_logs(spark, d)).select("run_id", "channel", "id", "count", "t_us", F.coalesce("dt", F.lit(-1)).alias("dt"))
@@ -423,6 +489,29 @@ def history_ring(spark, d):
     return series.history(_kept(spark, d)).select("channel", "id", "signal", "seq", "t_us", F.round("value", 6).alias("value"))
 
 
+@query
+def history_full(spark, d):
+    """All frames of eight bytes as one message without a gap: more samples than a history holds."""
+    f = _frames(spark, d).where("dlc = 8").withColumn("channel", F.lit(0)).withColumn("id", F.lit(272).cast("long"))
+    return series.history(series.samples(f, fx.signals(spark), gap_us=0)).select("signal", "seq", "t_us", F.round("value", 6).alias("value"))
+
+
+@query
+def samples_hot(spark, d):
+    """Thinning where one message has nine tenths of all frames, in small buckets."""
+    own = F.col("seq") % 10 == 0
+    f = _frames(spark, d).select("run_id", "seq", "t_us", F.when(own, F.col("channel")).otherwise(0).alias("channel"), F.when(own, F.col("id")).otherwise(272).alias("id"))
+    return series.thin(f, bucket=512).select("seq", "t_us", "channel", "id")
+
+
+@query
+def subscribed_samples(spark, d):
+    """Subscriptions that begin and end in the middle of a run."""
+    rows = [("a", 0, 272, "Level", 5_000_000, 15_000_000), ("b", 0, 272, "Trim", 5_000_000, 15_000_000), ("c", 0, 272, "Level", 7_013_000, None), ("d", 1, 200, "Counter", 0, 20_000_000), ("e", 1, 99, "Ghost", 0, None)]
+    wanted = spark.createDataFrame(rows, "subscription string, channel int, id long, signal string, from_us long, to_us long")
+    return series.subscribed_samples(_frames(spark, d), fx.signals(spark), wanted).select("subscription", "channel", "id", "signal", "seq", "t_us", F.round("value", 6).alias("value"))
+
+
 @query
 def signal_minmax(spark, d):
     return series.minmax(_kept(spark, d)).select("channel", "id", "signal", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))

@@ -33,6 +33,8 @@ THIN = """nx AS (SELECT seq, t_us, channel, id, min(seq) OVER (PARTITION BY chan
 kept AS (SELECT seq, nxt FROM nx WHERE rn = 1 UNION ALL SELECT nx.seq, nx.nxt FROM kept JOIN nx ON nx.seq = kept.nxt),
 k AS (SELECT dec.* FROM dec JOIN kept USING (seq))"""
 
+THIN_HOT = THIN[: THIN.index("k AS (SELECT dec")].rstrip(",\n ").replace("FROM f)", "FROM fh)")
+
 PARTS = """p AS (
   SELECT p_partkey % 2 AS channel, p_partkey AS id, p_partkey % 7 = 0 AS extended, regexp_replace(p_name, '[^A-Za-z0-9]', '_', 'g') AS name,
          regexp_replace(p_brand, '[^A-Za-z0-9]', '_', 'g') AS brand, regexp_replace(p_type, '[^A-Za-z0-9]', '_', 'g') AS kind, p_size, p_size % 10 = 0 AS nobody FROM part),
@@ -84,6 +86,11 @@ SQL = {
     "history_export": _f(f"SELECT t_us AS time_us, {BUS} AS bus, signal, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY channel, id, signal ORDER BY seq DESC) AS nth FROM k) WHERE nth <= 4000 AND channel = 0 AND id = 272 AND signal IN ('Level', 'Trim')", thin=True),
     "latest_export": _f(f"SELECT {BUS} AS bus, signal, coalesce(round(value, 6), 0) AS value, coalesce(unit, '') AS unit FROM (VALUES (0, 272, 'Level'), (1, 201, 'Unit'), (1, 99, 'Ghost')) v(channel, id, signal) LEFT JOIN (SELECT channel, id, signal, arg_max(value, seq) AS value, any_value(unit) AS unit FROM dec GROUP BY 1, 2, 3) USING (channel, id, signal)"),
     "catalogue_scan": _p("SELECT 'bus' || channel || '.dbc' AS path, id, extended, name, transmitter, ord, signal, start_bit, size, big_endian, signed, factor, \"offset\", receivers FROM s"),
+    "catalogue_wrapped": _p("SELECT 'bus' || channel || '.dbc' AS path, id, extended, name, transmitter, ord, signal, start_bit, size, big_endian, signed, factor, \"offset\", receivers FROM s"),
+    "catalogue_nodes": _p("SELECT 'bus' || channel || '.dbc' AS path, node, count(*) AS n FROM (SELECT channel, brand AS node FROM p UNION ALL SELECT channel, kind FROM p) GROUP BY 1, 2"),
+    "bus_report": _p(
+        "SELECT b.channel, bus_name, status, coalesce(messages, 0) AS messages, 2 * coalesce(messages, 0) AS signals, coalesce(rejects, 0) AS rejects FROM (VALUES (0, 'A', 'loaded'), (1, 'B', 'loaded'), (2, 'C', 'missing'), (3, 'D', 'no messages'), (4, 'E', 'not text'), (5, 'F', 'no path')) b(channel, bus_name, status) LEFT JOIN (SELECT channel, count(*) AS messages, count(*) FILTER (p_size % 9 = 0) AS rejects FROM p GROUP BY 1) USING (channel)"
+    ),
     "bus_catalogue": _p("SELECT b.channel, bus_name, count(id) AS messages, coalesce(sum(id), 0)::BIGINT AS ids FROM (VALUES (0, 'A'), (1, 'B'), (2, 'C')) b(channel, bus_name) LEFT JOIN p ON p.channel = b.channel GROUP BY 1, 2"),
     "catalogue_search": _p("SELECT DISTINCT channel, id, name FROM s WHERE printf('%X', id) LIKE '%ED%' OR upper(name) LIKE '%ED%' OR upper(signal) LIKE '%ED%'"),
     "select_matching": _p("SELECT channel, id FROM p WHERE printf('%X', id) LIKE '%ED%' OR upper(name) LIKE '%ED%'"),
@@ -98,11 +105,15 @@ SQL = {
     "from_physical": _f("SELECT seq AS frame, signal, CASE ord WHEN 0 THEN least(w0 * 3, 65535) WHEN 1 THEN least(greatest((u % 256 - 40) * 3 + 40, 0), 255) WHEN 2 THEN least((seq % 65536) * 3, 65535) WHEN 3 THEN (least(greatest(CAST(value * 6 AS BIGINT), -128), 127) + 256) % 256 WHEN 4 THEN least((seq % 8) * 3, 7) ELSE least((u % 32) * 3, 31) END AS raw FROM dec"),
     "pack_raw": _f("SELECT seq AS frame, signal, CASE ord WHEN 0 THEN printf('%02X%02X000000000000', w0 % 256, w0 // 256) WHEN 1 THEN printf('0000%02X0000000000', u % 256) WHEN 2 THEN printf('000000%02X%02X000000', (seq % 65536) // 256, seq % 256) WHEN 3 THEN printf('0000000000%02X0000', raw) WHEN 4 THEN printf('000000000000%02X00', seq % 8) ELSE printf('000000000000%02X00', 8 * (u % 32)) END AS data FROM dec"),
     "encode_batch": _f("SELECT seq AS frame, channel, id, f.extended, f.dlc, data FROM f JOIN (SELECT channel, id FROM m) USING (channel, id)"),
+    "encode_unknown": _f("SELECT seq AS frame, channel, CASE WHEN seq % 3 = 0 THEN id + 1000 ELSE id END AS id, CASE WHEN seq % 3 = 0 THEN id + 1000 > 2047 ELSE f.extended END AS extended, CASE WHEN seq % 3 = 0 THEN 8 ELSE f.dlc END AS dlc, CASE WHEN seq % 3 = 0 THEN '0000000000000000' ELSE data END AS data FROM f JOIN (SELECT channel, id FROM m) USING (channel, id)"),
     "scope_bus": _f("SELECT seq, t_us, channel, id, extended, dlc, data, dir FROM f WHERE channel = 1"),
     "scope_manual": _f("SELECT seq, t_us, channel, id, extended, dlc, data, dir FROM f WHERE (channel = 0 AND id = 816) OR (channel = 1 AND id = 200)"),
     "trace_filter": _f("SELECT seq, channel, id, name, dir FROM f JOIN (SELECT channel, id, name FROM m) USING (channel, id) WHERE dir = 'Rx' AND (upper(name) LIKE '%STATE%' OR printf('%X', id) LIKE '%STATE%')"),
     "messages_filter": _f("SELECT channel, id, '-' AS name, count FROM agg ANTI JOIN m USING (channel, id)"),
     "drop_bus": _f("SELECT seq, channel - 1 AS channel, id FROM f WHERE channel > 0"),
+    "bus_removed": _f(
+        ", t(name, channel) AS (SELECT 'frames', channel FROM f UNION ALL SELECT 'buses', c FROM (VALUES (0), (1), (2)) x(c) UNION ALL SELECT 'messages', channel FROM m UNION ALL SELECT 'signals', channel FROM m, range(6) r(k) WHERE m.dlc = 8 OR k < 2 UNION ALL SELECT 'nodes', channel FROM n UNION ALL SELECT 'selections', c FROM (VALUES (0), (0), (1), (0), (1), (1)) x(c)) SELECT name, channel - 1 AS channel, count(*) AS n FROM t WHERE channel > 0 GROUP BY 1, 2"
+    ),
     "trace_named": _f(f"SELECT seq, CASE WHEN extended THEN printf('%08X', id) || 'x' ELSE printf('%03X', id) END AS id_text, coalesce(name, '-') AS name, {BYTES} AS data FROM f LEFT JOIN (SELECT channel, id, name FROM m) USING (channel, id)"),
     "decode_signals": _f("SELECT seq, channel, id, signal, round(value, 6) AS value, unit FROM dec"),
     "decode_subscribed": _f("SELECT seq, channel, id, signal, round(value, 6) AS value FROM dec WHERE (channel = 0 AND id = 272 AND signal IN ('Level', 'Trim')) OR (channel = 1 AND id = 200 AND signal = 'Counter')"),
@@ -124,6 +135,10 @@ SQL = {
     "trace_ring": _f("SELECT seq, t_us, channel, id FROM f ORDER BY seq DESC LIMIT 50000"),
     "view_counts": _f(", rows_ AS (SELECT agg.channel, agg.id, count, coalesce(name, '-') AS name, m.name IS NOT NULL AS known, agg.dir FROM agg LEFT JOIN m USING (channel, id)), v(view) AS (VALUES ('all'), ('bus1'), ('manual'), ('empty'), ('text'), ('hex'), ('dash')) SELECT view, count(id) AS messages, coalesce(sum(count), 0)::BIGINT AS frames FROM v LEFT JOIN rows_ ON CASE view WHEN 'all' THEN true WHEN 'bus1' THEN channel = 1 WHEN 'manual' THEN (channel = 0 AND id = 816) OR (channel = 1 AND id = 200) WHEN 'empty' THEN false WHEN 'text' THEN known AND (lower(name) LIKE '%state%' OR printf('%x', id) LIKE '%state%') WHEN 'hex' THEN lower(name) LIKE '%7a%' OR printf('%x', id) LIKE '%7a%' ELSE name LIKE '%-%' END GROUP BY view"),
     "scan_statistics": _f(", " + RUN_CYCLES + " SELECT 'run' || run AS run_id, channel, id, coalesce(any_value(name), '-') AS name, count(*) AS count, round(count(*) / sum(count(*)) OVER (PARTITION BY run) * 100, 6) AS share, arg_max(rr.dlc, seq) AS dlc, coalesce(min(dt), 0) / 1000.0::DOUBLE AS cycle_min_ms, round(coalesce(sum(CASE WHEN dt IS NULL THEN 0 WHEN r = c - 1 THEN pow(0.9::DOUBLE, r) * dt ELSE 0.1::DOUBLE * pow(0.9::DOUBLE, r) * dt END), 0) / 1000.0, 6) AS cycle_avg_ms, coalesce(max(dt), 0) / 1000.0::DOUBLE AS cycle_max_ms FROM rr LEFT JOIN (SELECT channel, id, name FROM m) USING (channel, id) GROUP BY run, channel, id"),
+    "scan_message_agg": _f(f"SELECT {RUN} AS run_id, channel, id, count(*) AS count, arg_min(extended, seq) AS extended, arg_max(dir, seq) AS dir, arg_max(dlc, seq) AS dlc, arg_max(data, seq) AS data, arg_max(t_us, seq) AS last_t_us FROM f GROUP BY 1, 2, 3"),
+    "frame_rate_wild": _f(
+        ", q AS (SELECT seq // 400 AS run, (t_us + CASE WHEN seq = 399 THEN 1000000000000000 ELSE 0 END) // 1000000 AS w, count(*)::BIGINT AS frames FROM f WHERE seq % 97 <> 0 GROUP BY 1, 2), g AS (SELECT *, lag(w) OVER r AS w0, lead(w) OVER r AS w1 FROM q WINDOW r AS (PARTITION BY run ORDER BY w)), i AS (SELECT *, sum(CASE WHEN w0 IS NULL OR w - w0 > 8192 THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY w) AS island, w0 IS NULL OR w - w0 > 8192 AS first FROM g), x AS (SELECT run, island, w AS own, frames, unnest(range(w, CASE WHEN w1 IS NULL THEN w + 1 ELSE least(w1, w + 51) END)) AS w FROM i) SELECT 'run' || run AS run_id, w, CASE WHEN w = own THEN frames ELSE 0 END AS frames, round((SELECT sum(CASE WHEN y.first THEN 1 ELSE 0.1::DOUBLE END * pow(0.9::DOUBLE, x.w - y.w) * y.frames) FROM i y WHERE y.run = x.run AND y.island = x.island AND y.w <= x.w), 6) AS rate FROM x"
+    ),
     "scan_cycle_delta": _f(", " + RUN_CYCLES + " SELECT 'run' || run AS run_id, channel, id, k AS count, t_us, coalesce(dt, -1) AS dt FROM rd"),
     "trace_view_runs": _f(f", ring AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seq // 400 ORDER BY seq DESC) AS nth FROM f) WHERE nth <= 150), shown AS (SELECT *, row_number() OVER (PARTITION BY seq // 400 ORDER BY seq DESC) AS n2 FROM ring WHERE channel = 1) SELECT {RUN} AS run_id, seq, channel, id, coalesce(name, '-') AS name FROM shown LEFT JOIN (SELECT channel, id, name FROM m) USING (channel, id) WHERE n2 <= 40"),
     "run_summary_runs": _f(f", n_ AS (SELECT {RUN} AS run_id, count(*) AS frames FROM f GROUP BY 1), s_ AS (SELECT {RUN} AS run_id, count(DISTINCT (channel, id, signal)) AS signals FROM dec GROUP BY 1) SELECT run_id, frames, least(frames, 150) AS trace, coalesce(signals, 0) AS signals FROM n_ LEFT JOIN s_ USING (run_id)"),
@@ -131,6 +146,11 @@ SQL = {
     "viewport_overlay": f"WITH RECURSIVE {FRAMES}, {RUN_THIN} SELECT 'run' || run AS run_id, round(lo, 6) AS lo, round(CASE WHEN hi - lo < 1e-9 THEN lo + 1 ELSE hi END, 6) AS hi FROM (SELECT run, coalesce(min(value) FILTER (t_us >= 1000000), 0) AS lo, coalesce(max(value) FILTER (t_us >= 1000000), 1) AS hi FROM k GROUP BY 1)",
     "signal_samples": _f("SELECT channel, id, signal, seq, t_us, round(value, 6) AS value FROM k", thin=True),
     "history_ring": _f("SELECT channel, id, signal, seq, t_us, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY channel, id, signal ORDER BY seq DESC) AS nth FROM k) WHERE nth <= 4000", thin=True),
+    "history_full": _f(
+        "SELECT signal, seq, t_us, round(CASE s.ord WHEN 0 THEN w0 * 0.01::DOUBLE WHEN 1 THEN u % 256 - 40 WHEN 2 THEN seq % 65536 WHEN 3 THEN (CASE WHEN (u * 7 + seq) % 256 >= 128 THEN (u * 7 + seq) % 256 - 256 ELSE (u * 7 + seq) % 256 END) * 0.5::DOUBLE WHEN 4 THEN seq % 8 ELSE u % 32 END::DOUBLE, 6) AS value FROM (SELECT * FROM f WHERE dlc = 8 ORDER BY seq DESC LIMIT 4000), (VALUES ('Level', 0), ('Unit', 1), ('Counter', 2), ('Trim', 3), ('Phase', 4), ('Slot', 5)) s(signal, ord)"
+    ),
+    "samples_hot": f"WITH RECURSIVE {FRAMES}, fh AS (SELECT seq, t_us, CASE WHEN seq % 10 = 0 THEN channel ELSE 0 END AS channel, CASE WHEN seq % 10 = 0 THEN id ELSE 272 END AS id FROM f), {THIN_HOT} SELECT seq, t_us, channel, id FROM fh JOIN kept USING (seq)",
+    "subscribed_samples": f"WITH RECURSIVE {FRAMES}, sub(subscription, channel, id, signal, a, b) AS (VALUES ('a', 0, 272, 'Level', 5000000, 15000000), ('b', 0, 272, 'Trim', 5000000, 15000000), ('c', 0, 272, 'Level', 7013000, NULL), ('d', 1, 200, 'Counter', 0, 20000000), ('e', 1, 99, 'Ghost', 0, NULL)), fs AS (SELECT f.seq, f.t_us, sub.* FROM f JOIN sub ON f.channel = sub.channel AND f.id = sub.id AND t_us >= a AND (b IS NULL OR t_us < b)), nx AS (SELECT subscription, seq, min(seq) OVER (PARTITION BY subscription ORDER BY t_us RANGE BETWEEN 50000 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt, row_number() OVER (PARTITION BY subscription ORDER BY seq) AS rn FROM fs), kept AS (SELECT subscription, seq, nxt FROM nx WHERE rn = 1 UNION ALL SELECT nx.subscription, nx.seq, nx.nxt FROM kept JOIN nx ON nx.subscription = kept.subscription AND nx.seq = kept.nxt) SELECT kept.subscription, dec.channel, dec.id, dec.signal, seq, t_us, round(value, 6) AS value FROM kept JOIN sub ON sub.subscription = kept.subscription JOIN dec USING (seq) WHERE dec.signal = sub.signal",
     "signal_minmax": _f("SELECT channel, id, signal, round(min(value), 6) AS low, round(max(value), 6) AS high FROM k GROUP BY 1, 2, 3", thin=True),
     "latest_values": _f("SELECT channel, id, signal, max(t_us) AS t_us, round(arg_max(value, seq), 6) AS value, any_value(unit) AS unit, round(CASE WHEN any_value(hi) > any_value(lo) THEN greatest(least((arg_max(value, seq) - any_value(lo)) / (any_value(hi) - any_value(lo)), 1), 0) ELSE 0 END, 6)::DOUBLE AS gauge FROM dec GROUP BY 1, 2, 3"),
     "viewport": _f("SELECT channel, id, signal, round(lo, 6) AS lo, round(CASE WHEN hi - lo < 1e-9 THEN lo + 1 ELSE hi END, 6) AS hi FROM (SELECT channel, id, signal, coalesce(min(value) FILTER (t_us >= 10000000), 0) AS lo, coalesce(max(value) FILTER (t_us >= 10000000), 1) AS hi FROM k GROUP BY 1, 2, 3)", thin=True),

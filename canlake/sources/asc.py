@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from canlake.functions.codec import parse_hex_bytes
 
 
+#: Times from here on, in seconds, are no times (three thousand years).
+LAST_S = 1e11
+
+
 def parse_lines(lines: DataFrame, strict: bool = False) -> DataFrame:
     """lines(value, ...) -> the same columns with valid and the frame's columns (NULL where valid is false).
 
     A frame has at least five tokens: time in seconds, bus (from 1), hexadecimal id with an `x` if extended, Tx or Rx,
     hexadecimal dlc, then up to eight hexadecimal bytes; more tokens are ignored. The bus is counted from 0 and wraps
-    at 256. With strict, lines that have `d` or `r` in the dlc's place are invalid too.
+    at 256. Lines with times from LAST_S on are invalid; with strict, those that have `d` or `r` in the dlc's place too.
     """
     t = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
     tok = lambda i: F.try_element_at(t, F.lit(i + 1))
@@ -23,6 +27,7 @@ def parse_lines(lines: DataFrame, strict: bool = False) -> DataFrame:
     good = (
         (F.size(t) >= 5)
         & tok(0).rlike(number)
+        & (tok(0).try_cast("double") < LAST_S)
         & tok(1).rlike(r"^\d{1,10}$")
         & (F.try_to_number(tok(1), F.lit("9999999999")) <= 4294967295)
         & hexid.rlike("^0*[0-9A-Fa-f]{1,8}$")
@@ -37,7 +42,7 @@ def parse_lines(lines: DataFrame, strict: bool = False) -> DataFrame:
     us = F.greatest(F.round(tok(0).cast("double") * 1e6), F.lit(0.0))
     data = F.when(F.size(t) == 5, F.unhex(F.lit("0" * 16))).otherwise(parse_hex_bytes(F.array_join(F.transform(bytes_, lambda b: F.regexp_replace(b, "^0+(?=..)", "")), " ")))
     made = {
-        "t_us": F.when(us >= 9.2e18, F.lit((1 << 63) - 1)).otherwise(us.cast("bigint")),
+        "t_us": us.cast("bigint"),
         "channel": (F.greatest(tok(1).cast("bigint") - 1, F.lit(0)) % 256).cast("int"),
         "id": hexed(hexid),
         "extended": tok(2).rlike("[xX]$"),
@@ -63,6 +68,17 @@ def scan(spark: SparkSession, paths, strict: bool = False) -> DataFrame:
     return parse_lines(read_lines(spark, paths), strict).where("valid").drop("valid", "value")
 
 
+def scan_recorded(spark: SparkSession, folder: str, strict: bool = False) -> DataFrame:
+    """Frames of what folds.record() wrote: run_id as it was, seq in the order of batches and of lines in them.
+
+    A batch's lines of a run are one file, so a line's place is its batch and its place in the file, which has 42 bits.
+    """
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    lines = spark.read.schema("value string, batch long, run_id string").text(folder)
+    seq = F.shiftleft("batch", 42) + F.col("_metadata.file_block_start") * 2 + row
+    return parse_lines(lines.select("run_id", seq.alias("seq"), "value"), strict).where("valid").drop("valid", "value")
+
+
 def render(frames: DataFrame, value: str = "value") -> DataFrame:
     """frames with their ASC line: time with six decimals, bus from 1, id, direction, dlc and at most eight bytes."""
     return frames.withColumn(value, render_line())
@@ -77,7 +93,8 @@ def render_line() -> Column:
 
 
 def write(frames: DataFrame, path: str) -> None:
-    """Text files of ASC lines in arrival order within each file. Files have no header, which the scan doesn't need."""
+    """Text files of ASC lines of one run, in arrival order within each file; write_runs() keeps several apart. Files have no
+    header, which the scan doesn't need."""
     frames.select("seq", render_line().alias("value")).sortWithinPartitions("seq").select("value").write.text(path)
 
 
