@@ -546,7 +546,8 @@ def cursor_values(spark, d):
     """Each series at -1, 0 and every second up to 30 s."""
     kept = _kept(spark, d)
     times = F.concat(F.array(F.lit(-1).cast("long")), F.transform(F.sequence(F.lit(0), F.lit(30)), lambda k: k.cast("long") * 1_000_000))
-    probes = kept.select(*KEY, "signal").distinct().withColumn("t_us", F.explode(times))
+    # A message that has a frame has a sample of each of its signals.
+    probes = _frames(spark, d).select(*KEY).distinct().join(fx.signals(spark).select("channel", "id", "signal"), ["channel", "id"]).withColumn("t_us", F.explode(times))
     rows = series.as_of(kept, probes, bucket_us=4_000_000)
     return rows.select("channel", "id", "signal", "t_us", F.coalesce(codec.format_value(F.round("value", 6)), F.lit("-")).alias("text"))
 
