@@ -86,7 +86,12 @@ def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
     pieces = words.select("lang", "n", F.explode(F.transform(starts, lambda i: F.substring(marked, i * PIECE + 1, F.lit(PIECE + LONGEST - 1)))).alias("piece"))
     size = F.char_length("piece")
     last = lambda k: F.least(F.lit(PIECE), size - (k - 1))
-    grams = F.flatten(F.array(*(F.when(size >= k, F.transform(F.sequence(F.lit(1), last(k)), lambda i, k=k: F.substring("piece", i, F.lit(k)))).otherwise(F.array().cast("array<string>")) for k in range(1, LONGEST + 1))))
+
+    def of(k: int):
+        """The piece's n-grams of k characters. (transform() would take a lambda's second argument for an element's place.)"""
+        return F.when(size >= k, F.transform(F.sequence(F.lit(1), last(k)), lambda i: F.substring("piece", i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+
+    grams = F.flatten(F.array(*(of(k) for k in range(1, LONGEST + 1))))
     grams = pieces.select("lang", "n", F.explode(grams).alias("key")).groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
     def most(df: DataFrame, keep: int) -> list:

@@ -61,4 +61,4 @@ def test_run_over_the_tables(spark, sf):
 def test_registered():
     entry = importlib.import_module("__spark_entry__")
     names = set(entry.queries())
-    assert {n.split("_")[0] for n in entries.queries()} == {f"op{k}" for k in range(1, 11)} and set(entries.queries()) | {"pipeline"} <= names
+    assert {n.split("_")[0] for n in entries.queries()} == {f"op{k}" for k in range(1, 14)} and set(entries.queries()) | {"pipeline"} <= names

@@ -288,6 +288,65 @@ def test_language_id_held_out(spark):
     assert {r["lang_pred"] for r in langid.predict(docs, nothing).collect()} == {"und"} and langid.predict(empty(spark), nothing).count() == 0
 
 
+def plain_languages(rows, texts):
+    """(words, grams, predictions) by counting and adding in plain Python, over all rows(text, lang)."""
+    import math
+    from collections import Counter
+
+    import regex
+
+    langs = sorted({x for _, x in rows})
+    words, grams = Counter(), Counter()
+    for text, lang in rows:
+        for w in regex.findall(r"\p{L}+", text.lower()):
+            words[lang, w] += 1
+            marked = f"^{w}$"
+            for n in range(1, langid.LONGEST + 1):
+                for i in range(len(marked) - n + 1):
+                    grams[lang, marked[i : i + n]] += 1
+
+    def table(counts):
+        counts = {k: n for k, n in counts.items() if n >= langid.MIN_COUNT}
+        keys = {k for _, k in counts}
+        totals = {x: 1 + sum(n for (lang, _), n in counts.items() if lang == x) + 0.5 * len(keys) for x in langs}
+        logs = {k: [math.log((counts.get((x, k), 0) + 0.5) / totals[x]) for x in langs] for k in keys}
+        return {k: [v - max(row) for v in row] for k, row in logs.items()}
+
+    w_table, g_table = table(words), table(grams)
+
+    def score(word):
+        if word in w_table:
+            return w_table[word]
+        marked = f"^{word}$"
+        for n in range(min(langid.LONGEST, len(marked)), 0, -1):
+            some = [g_table[marked[i : i + n]] for i in range(len(marked) - n + 1) if marked[i : i + n] in g_table]
+            if some:
+                return [sum(c) / len(some) for c in zip(*some, strict=True)]
+        return [0.0] * len(langs)
+
+    out = []
+    for text in texts:
+        found = regex.findall(r"\p{L}+", text.lower())
+        sums = [sum(c) for c in zip(*map(score, found), strict=True)]
+        best = max(range(len(langs)), key=lambda k: (sums[k], -k))
+        scale = min(20.0, math.sqrt(len(found))) / len(found)
+        out.append((langs[best], 1 / sum(math.exp((v - sums[best]) * scale) for v in sums)))
+    return w_table, g_table, out
+
+
+def test_language_scores_equal_plain_counting(spark):
+    docs = labelled(spark, 120)
+    rows = [(r["text"], r["lang"]) for r in docs.orderBy("doc_id").collect()]
+    unseen = ["heothing anerou", "zzz eaule schxx", "q", "thhe " * 50]
+    words, grams, want = plain_languages(rows, [t for t, _ in rows] + unseen)
+    model = langid.fit(docs)
+    for mine, plain in ((model.words, words), (model.grams, grams)):
+        assert mine.keys() == plain.keys() and all(abs(a - b) < 1e-9 for k in plain for a, b in zip(mine[k], plain[k], strict=True))
+    asked = spark.createDataFrame(list(enumerate([t for t, _ in rows] + unseen)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(asked, model).collect()}
+    assert all(got[k][0] == p and abs(got[k][1] - s) < 1e-9 for k, (p, s) in enumerate(want))
+
+
 def test_toxicity_held_out(spark):
     docs = labelled(spark)
     learn = zlib.crc32
@@ -306,6 +365,46 @@ def test_toxicity_held_out(spark):
     assert {r["score"] < 0.5 for r in toxicity.scores(docs, constant).collect()} == {True} and toxicity.scores(empty(spark), constant).count() == 0
 
 
+def plain_toxicity(model, text):
+    """The score of a text by a plain loop over windows, each compressed by fresh dictionaries."""
+    import math
+
+    import zstandard
+
+    def size(content, data, level):
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(model.ordinary[:24] + data))
+
+    def gain(data, level):
+        return size(model.ordinary, data, level) - size(model.toxic + model.ordinary, data, level)
+
+    data = b"".join(b" " + w for w in text.lower().encode().split()) or b" "
+    starts = [i for i in range(len(data)) if i % (toxicity.WINDOW - toxicity.OVERLAP) == 0 and (i == 0 or i < len(data) - toxicity.OVERLAP)]
+    gains = {i: gain(data[i : i + toxicity.WINDOW], toxicity.FAST) for i in starts}
+    runs = {}
+    for i in (i for i in starts if gains[i] >= toxicity.SUSPECT):
+        left = max(data[: i + 1].rfind(b" "), i - 24, 0)
+        right = data.find(b" ", i + toxicity.WINDOW)
+        words = data[left : min(len(data) if right < 0 else right, i + toxicity.WINDOW + 24)].split()
+        for k in range(0, len(words), toxicity.WORDS):
+            run = b"".join(b" " + w for w in words[k : k + toxicity.WORDS])
+            runs[run] = min(gain(run, level) for level in (toxicity.FAST, toxicity.THOROUGH))
+    n, two, four = len(starts), sum(g >= 2 for g in runs.values()), sum(g >= 4 for g in runs.values())
+    features = [min(max([0, *gains.values()]), 12), min(max(runs.values(), default=0), 12), math.log1p(two), math.log1p(four), min(1, 10 * two / n), min(1, 10 * four / n), min(1, 3 * sum(g >= toxicity.SUSPECT for g in gains.values()) / n)]
+    z = model.weights[0] + sum(w * f for w, f in zip(model.weights[1:], features, strict=True))
+    return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+
+def test_toxicity_scores_equal_a_plain_loop(spark):
+    docs = labelled(spark, 160)
+    model = toxicity.fit(docs, docs.select("doc_id", "toxic"))
+    texts = [r["text"] for r in docs.orderBy("doc_id").limit(60).collect()]
+    texts += ["", "   ", "x" * 300, " ".join(texts[:20]), "grubbish", "VILESTUFF grubbish " * 9]
+    asked = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.scores(asked, model).collect()}
+    assert all(abs(got[k] - plain_toxicity(model, t)) < 1e-9 for k, t in enumerate(texts)) and len({round(x, 6) for x in got.values()}) > 5
+
+
 def test_sentencepiece_parity_and_round_trip(spark):
     import sentencepiece
 
