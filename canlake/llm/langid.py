@@ -23,8 +23,8 @@ LONGEST = 4
 #: Words are counted in pieces of this many letters.
 PIECE = 100
 LETTERS = r"[^\p{L}]+"
-#: A worker remembers the scores of so many words at most.
-CACHED_WORDS = 200_000
+#: A worker remembers the scores of so many words at most, in a table of so many bytes.
+CACHED_WORDS, CACHED_BYTES = 200_000, 64 << 20
 
 
 class Model:
@@ -100,7 +100,11 @@ def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
         sizes = df.groupBy("lang", "n").agg(F.count("*").alias("k"))
         reached = F.sum("k").over(W.partitionBy("lang").orderBy(F.desc("n")))
         least = sizes.withColumn("reached", reached).where(F.col("reached") <= keep).groupBy("lang").agg(F.min("n").alias("least"))
-        return df.join(F.broadcast(least), "lang").where("n >= least").select("lang", "key", "n").collect()  # a row of least for each language
+        got = df.join(F.broadcast(least), "lang").where("n >= least").select("lang", "key", "n").collect()  # a row of least for each language
+        # Where already the most frequent ones are too many, the first of them are taken, so that no language is lost.
+        for r in sizes.select("lang").distinct().join(least, "lang", "left_anti").collect():
+            got += df.where(F.col("lang") == r["lang"]).orderBy(F.desc("n"), "key").limit(keep).select("lang", "key", "n").collect()
+        return got
 
     w, g = most(words, KEEP_WORDS), most(grams, KEEP_GRAMS)
     words.unpersist()
@@ -123,7 +127,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         m = Model(*shared.value)
         split = re.compile(r"[^\W\d_]+").findall
         at: dict[str, int] = {}
-        table = np.zeros((CACHED_WORDS, len(m.langs)))
+        kept = max(1024, min(CACHED_WORDS, CACHED_BYTES // (8 * max(len(m.langs), 1))))
+        table = np.zeros((kept, len(m.langs)))
         for batch in batches:
             preds, scores = [], []
             for text in batch.column(1):
@@ -133,9 +138,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     scores.append(0.0)
                     continue
                 total = np.zeros(len(m.langs))
-                for start in range(0, len(words), CACHED_WORDS // 2):
-                    part = words[start : start + CACHED_WORDS // 2]
-                    if len(at) + len(part) > CACHED_WORDS:
+                for start in range(0, len(words), kept // 2):
+                    part = words[start : start + kept // 2]
+                    if len(at) + len(part) > kept:
                         at.clear()
                     for w in part:
                         if w not in at:

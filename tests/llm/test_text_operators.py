@@ -365,6 +365,20 @@ def test_toxicity_held_out(spark):
     assert {r["score"] < 0.5 for r in toxicity.scores(docs, constant).collect()} == {True} and toxicity.scores(empty(spark), constant).count() == 0
 
 
+def test_many_languages_and_equally_frequent_words(spark, monkeypatch):
+    monkeypatch.setattr(langid, "KEEP_WORDS", 5)
+    monkeypatch.setattr(langid, "CACHED_BYTES", 1)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(k, " ".join(f"{letters[k % 26]}{letters[k // 26]}{x}" for x in "pqrstuvw") + " ", f"l{k:03d}") for k in range(120)]
+    docs = spark.createDataFrame([(i, t * 3, lang) for i, t, lang in rows], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert len(model.langs) == 120 and len(model.words) == 600
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, model).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+    long_ = spark.createDataFrame([(1, " ".join(f"{letters[k % 26]}a{letters[k % 17]}{letters[k % 23]}" for k in range(6000)))], "doc_id long, text string")
+    assert langid.predict(long_, model).count() == 1
+
+
 def plain_toxicity(model, text):
     """The score of a text by a plain loop over windows, each compressed by fresh dictionaries."""
     import math
