@@ -39,11 +39,15 @@ def thin(frames: DataFrame, gap_us: int = SAMPLE_GAP_US, bucket: int = BUCKET, k
     """
     names, at = frames.columns, [*keys, "_bucket"]
     dealt = frames.withColumn("_bucket", F.expr(f"seq div {bucket}")).repartition(*at)
+    order = W.partitionBy(*keys).orderBy("_bucket")
     most = dealt.groupBy(*at).agg(F.max("t_us").alias("_most"))
-    before = F.max("_most").over(W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
-    ordered = dealt.join(most.select(*at, before.alias("_before")), at).select(*at, "seq", "t_us", "_before").sortWithinPartitions(*at, "seq")
-    start = kept_before(jumps(ordered, gap_us, keys), gap_us, keys)
-    ready = dealt.join(start, at).select(*names, "_bucket", "_kept").sortWithinPartitions(*at, "seq")
+    most = most.select(*at, F.max("_most").over(order.rowsBetween(W.unboundedPreceding, -1)).alias("_before"), F.lead("_bucket").over(order).isNotNull().alias("_more"))
+    # What a message's last bucket does to the time last kept is of no use, so a message of one bucket isn't looked at here.
+    ordered = dealt.join(most.where("_more"), at).select(*at, "seq", "t_us", "_before").sortWithinPartitions(*at, "seq")
+    none = F.lit(None).cast("array<long>")
+    last = most.where("not _more and _before is not null").select(*at, none.alias("bounds"), none.alias("ends"))
+    start = kept_before(jumps(ordered, gap_us, keys).unionByName(last), gap_us, keys)
+    ready = dealt.join(start, at, "left").select(*names, "_bucket", "_kept").sortWithinPartitions(*at, "seq")
 
     def work(batches):
         for batch, parts in _stretches(batches, at):
@@ -162,8 +166,9 @@ def kept_before(moves: DataFrame, gap_us: int, keys: list[str] = KEY) -> DataFra
                 if key != last:
                     last, kept = key, None
                 out.append(kept)
-                place = 0 if kept is None else bisect_left(bounds, kept + gap_us)
-                kept = ends[place] if place < len(ends) else kept
+                if bounds is not None:
+                    place = 0 if kept is None else bisect_left(bounds, kept + gap_us)
+                    kept = ends[place] if place < len(ends) else kept
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in at), pa.array(out, pa.int64())], names=[*at, "_kept"])
 
     return moves.repartition(*keys).sortWithinPartitions(*at).mapInArrow(work, StructType([*(moves.schema[c] for c in at), StructField("_kept", LongType())]))
