@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, row_key, worker_store
 from .components import components, stars
-from .units import by_unit, in_blocks
+from .units import by_unit, in_blocks, in_linked_blocks
 
 #: Shingles of N words; sets as similar as THRESHOLD are linked.
 N, THRESHOLD = 5, 0.8
@@ -169,7 +169,7 @@ def similar(docs: DataFrame) -> DataFrame:
     # Bands with the same members are one group of candidates.
     groups = bands.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.xxhash64("cls").cast("decimal(20,0)")).alias("who")).where("n > 1")
     groups = groups.groupBy("n", "who").agg(F.min("band").alias("band")).select("band")
-    members = bands.join(groups, "band").select("band", "cls")
+    members = cut(bands.join(groups, "band").select("band", "cls"))
     chosen = members.select("cls").distinct().join(classes.select("cls", "row", "copies"), "cls")
     # One text of each class that has a candidate, with its MinHash values and its shingles.
     text = docs.join(chosen, "row").select("cls", "copies", "text")
@@ -189,7 +189,8 @@ def similar(docs: DataFrame) -> DataFrame:
 
     ab = pa.schema([pa.field("a", pa.int64()), pa.field("b", pa.int64())])
     near = by_unit(in_blocks(members.join(signed.select("cls", "sig"), "cls"), "band", "cls", BLOCK), ["cls", "sig"], ab, prune)
-    # What passes hangs together in clusters; links can only be inside one, so each set is sent to its cluster once.
+    # What passes hangs together in clusters; links can only be inside one. A cluster of one block gets each set once; in a
+    # larger one a set goes only to the blocks that hold a candidate of it.
     clusters = components(near)
 
     def verify(a, b):
@@ -205,8 +206,9 @@ def similar(docs: DataFrame) -> DataFrame:
         return [cls[i] for i in some], [cls[root.get(i, i)] for i in some], links[some].tolist()
 
     abn = pa.schema([*ab, pa.field("links", pa.int64())])
-    inside = clusters.select(F.col("node").alias("cls"), F.col("root").alias("cluster")).join(signed, "cls")
-    found = cut(by_unit(in_blocks(inside, "cluster", "cls", BLOCK, F.octet_length("shingles"), BLOCK_BYTES), ["cls", "copies", "sig", "shingles"], abn, verify))
+    inside = clusters.select(F.col("node").alias("cls"), F.col("root").alias("cluster")).join(signed.select("cls", F.octet_length("shingles").alias("bytes")), "cls")
+    units = in_linked_blocks(inside, "cluster", "cls", members, "band", BLOCK, F.col("bytes"), BLOCK_BYTES)
+    found = cut(by_unit(units.join(signed, "cls"), ["cls", "copies", "sig", "shingles"], abn, verify))
     counts = found.groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
     joined = components(found.select("a", "b"))
 

@@ -5,7 +5,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from canlake.llm import langid, mixing, ngramjoin, simhash, spiece, suffix, toxicity
+from canlake.llm import langid, mixing, ngramjoin, simhash, spiece, suffix, toxicity, units
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rid string, size string, key string, bucket string"
 WORDS = "alpha beta gamma delta omega sigma kappa theta lambda epsilon zeta iota".split()
@@ -141,6 +141,48 @@ def test_ngram_join_of_null_and_repeated_ids_equals_brute_force(spark):
         assert sorted((str(r["key"]), r["n_links"]) for r in ngramjoin.similar(shuffled).collect()) == want
 
 
+def test_a_loose_cluster_goes_to_blocks_with_candidates_only(spark, monkeypatch):
+    rnd = random.Random(31)
+    words = text_of(rnd, 60 * 4 + 120).split()
+    texts = [" ".join(words[4 * k : 4 * k + 100]) for k in range(60)]  # a chain: each is like the next ones only
+    sets = [set(ngramjoin.shingles(t).tolist()) for t in texts]
+    want = {i: sum(len(a & b) >= 0.8 * len(a | b) - 1e-9 for b in sets) - 1 for i, a in enumerate(sets)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    sent = {}
+
+    def counted(units, *rest):
+        sent[len(sent)] = units
+        return units_by(units, *rest)
+
+    units_by = ngramjoin.by_unit
+    monkeypatch.setattr(ngramjoin, "by_unit", counted)
+    monkeypatch.setattr(ngramjoin, "BLOCK", 2)
+    got = ngramjoin.similar(docs).collect()
+    assert {r["key"]: r["n_links"] for r in got} == want and {r["component_id"] for r in got} == {0}
+    bands = [set(ngramjoin._bands(ngramjoin.minhash(ngramjoin.shingles(t)))) for t in texts]
+    candidates = sum(bool(bands[i] & bands[j]) for i in range(60) for j in range(i))
+    assert sent[1].count() <= 60 + 2 * candidates < 60 * 30  # all pairs of its 30 blocks would take 60 x 30 rows
+
+
+def test_linked_blocks_equal_brute_force(spark):
+    rnd = random.Random(32)
+    rows = [(k % 2 if k < 80 else 2 + k // 3, k, rnd.randrange(5)) for k in range(110)]
+    near = [(band, rnd.randrange(120)) for band in range(40) for _ in range(rnd.randrange(2, 6))] + [(99, k) for k in range(0, 80, 2)]
+    groups, bands = spark.createDataFrame(rows, "g long, m long, w int"), spark.createDataFrame(near, "band long, m long").distinct()
+    deal = {(r["m"], r["u"][1], r["u"][2]) for r in units.in_blocks(groups, "g", "m", 8).collect()}
+    of = {m: next(x for k, x, y in deal if k == m and x == y) for _, m, _ in rows}
+    group = {m: g for g, m, _ in rows}
+    want = {(m, group[m], b, b) for m, b in of.items()}
+    for band, m in set(near):
+        for other, n in set(near):
+            if band == other and m in of and n in of and group[m] == group[n]:
+                want.add((m, group[m], *sorted((of[m], of[n]))))
+    got = units.in_linked_blocks(groups, "g", "m", bands, "band", 8).collect()
+    assert {(r["m"], *r["u"]) for r in got} == want and len(got) == len(want)
+    assert all(r["same"] == (r["u"][1] == r["u"][2]) and of[r["m"]] == r["u"][1 + r["side"]] for r in got)
+    assert units.in_linked_blocks(groups.limit(0), "g", "m", bands.limit(0), "band", 8).count() == 0
+
+
 def test_mixing_meets_targets_and_reruns_agree(spark):
     rnd = random.Random(2)
     rows = [(k, text_of(rnd, rnd.randrange(0, 90)) if k % 11 else None, rnd.choice(["a", "a", "a", "b", "c", None, "é"]), "x") for k in range(400)]
