@@ -1,4 +1,4 @@
-"""Main text of web pages: subtrees that recur over a host's pages go, and so do boilerplate elements."""
+"""Main text of web pages: subtrees that recur over a host's pages, as they are or by their shape, go, and so do boilerplate elements."""
 
 from __future__ import annotations
 
@@ -16,10 +16,10 @@ from .common import cut, worker_store
 #: A subtree is template where it stands on MIN_PAGES different pages of its host, and on MIN_SHARE of them or on MANY_PAGES.
 MIN_PAGES, MIN_SHARE, MANY_PAGES = 5, 0.2, 200
 
-#: The templates that stand on pages are broadcast up to this many hashes, page by page; that is some 10 MB.
-BROADCAST_HASHES = 100_000
-#: An article is small where the rest of its page, without templates and boilerplate, is over this many times as long.
-SMALL = 2
+#: A subtree is a menu where it holds at least so many blocks and all its words stand in links.
+MENU_BLOCKS = 3
+#: Templates go to pages by their host, broadcast, up to this many hashes (some 10 MB) and so many of one host; else page by page.
+BROADCAST_HASHES, HOST_HASHES = 100_000, 1_000
 NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 #: The rest of a tag, by whether the page has closing double and single quotes from here on: without, they are marks like others.
 REST = {
@@ -51,6 +51,9 @@ BLOCK = frozenset(
 ENDS = {k: frozenset({"p"}) for k in BLOCK - {"body", "html"}} | {
     "li": frozenset({"li", "p"}), "dt": frozenset({"dt", "dd", "p"}), "dd": frozenset({"dt", "dd", "p"}), "tr": frozenset({"tr", "td", "th", "p"}), "td": frozenset({"td", "th", "p"}), "th": frozenset({"td", "th", "p"}),
 }
+#: A bit for each block element, for the kinds that stand in a subtree.
+BIT = {tag: 1 << k for k, tag in enumerate(sorted(BLOCK))}
+WORD, DIGITS = re.compile(r"\w"), re.compile(r"\d+")
 SCOPES = frozenset({"ul", "ol", "dl", "table", "article", "main", "div", "section", "body", "html", "blockquote"})
 
 
@@ -60,20 +63,26 @@ def _marked(attributes: str) -> bool:
     return any(MARKED.search(n) and not LAYOUT.match(n) for n in names)
 
 
-def parse(page: str) -> tuple[list[tuple[str, int, bool, bool]], list[tuple[str, int, int, int, bool, bool]]]:
+def _names(attributes: str) -> str:
+    """The names in class, id and role, in a fixed order and without numbers."""
+    return " ".join(sorted({DIGITS.sub("", n) for a in ATTRIBUTE.finditer(attributes) for n in (a[2] or a[3] or a[4] or "").split()}))
+
+
+def parse(page: str) -> tuple[list[tuple[str, int, bool, bool, bool]], list[tuple[str, int, int, int, bool, bool, str]]]:
     """(blocks, nodes) of a page.
 
-    blocks: (text, the innermost node, whether in a boilerplate element, whether inside an article or main element) in
-    page order. nodes: (tag, parent or -1, first block, last block + 1, inside such an element, around one) of block
-    elements in page order. What scripts, styles, buttons and the like hold is in no block. Linear in the page, however
+    blocks: (text, the innermost node, whether in a boilerplate element, whether inside an article or main element,
+    whether all words stand in links) in page order. nodes: (tag, parent or -1, first block, last block + 1, inside such an
+    element, around one, names) of block elements in page order. What scripts, styles, buttons and the like hold is in no block. Linear in the page, however
     deep its elements, and whether or not tags, quotes, comments and raw text are closed.
     """
-    blocks: list[tuple[str, int, bool, bool]] = []
+    blocks: list[tuple[str, int, bool, bool, bool]] = []
     nodes: list[list] = []
     stack: list[tuple[str, int, int, bool, int]] = []  # tag, node or -1, 0 or 1 (boilerplate) or 2 (no text at all), main, innermost node
     open_: Counter = Counter()  # how many of a tag are on the stack
     text: list[str] = []
     quotes = [True, True]
+    plain = [False]  # whether the text so far has words outside links
 
     def flush() -> None:
         if text:
@@ -81,7 +90,8 @@ def parse(page: str) -> tuple[list[tuple[str, int, bool, bool]], list[tuple[str,
             text.clear()
             if got:
                 top = stack[-1] if stack else ("", -1, 0, False, -1)
-                blocks.append((got, top[4], top[2] > 0, top[3]))
+                blocks.append((got, top[4], top[2] > 0, top[3], not plain[0]))
+            plain[0] = False
 
     def close(n: int) -> None:
         flush()
@@ -98,6 +108,8 @@ def parse(page: str) -> tuple[list[tuple[str, int, bool, bool]], list[tuple[str,
         kind = stack[-1][2] if stack else 0
         if kind < 2 and upto > at:
             text.append(page[at:upto])
+            if not plain[0] and not open_["a"]:
+                plain[0] = WORD.search(page, at, upto) is not None
         if lt < 0:
             break
         if page.startswith("<!--", lt):
@@ -157,7 +169,7 @@ def parse(page: str) -> tuple[list[tuple[str, int, bool, bool]], list[tuple[str,
         if tag in BLOCK:
             flush()
             node = inner = len(nodes)
-            nodes.append([tag, stack[-1][4] if stack else -1, len(blocks), len(blocks), main, False])
+            nodes.append([tag, stack[-1][4] if stack else -1, len(blocks), len(blocks), main, False, _names(attributes) if attributes else ""])
         elif drop and tag in DROPPED:
             flush()
         if tag in ("article", "main"):
@@ -179,7 +191,7 @@ def subtree_hashes(blocks: list, nodes: list) -> list[int | None]:
         sums.append((sums[-1] * BASE + xxhash.xxh64_intdigest(text)) % PRIME)
         powers.append(powers[-1] * BASE % PRIME)
     out = []
-    for tag, _, first, last, inside, around in nodes:
+    for tag, _, first, last, inside, around, _ in nodes:
         if first == last or around or tag in ("html", "body", "article", "main") or (inside and tag in FLOW):
             out.append(None)
         else:
@@ -188,30 +200,42 @@ def subtree_hashes(blocks: list, nodes: list) -> list[int | None]:
     return out
 
 
-def kept_blocks(page: str, gone=frozenset()) -> list[str]:
-    """The blocks of a page's main text: without subtrees whose hash is among `gone`, and without boilerplate elements.
+def shape_hashes(blocks: list, nodes: list) -> list[tuple[int | None, bool]]:
+    """Each node's (shape, whether it is a menu). The shape is a hash of its tag, its names, the kinds of elements in it
+    and whether it is a menu, without the text; None inside articles, and where subtree_hashes has None."""
+    links, kinds = [0], [BIT[n[0]] for n in nodes]
+    for *_, linked in blocks:
+        links.append(links[-1] + linked)
+    for k in range(len(nodes) - 1, -1, -1):  # parents stand before what they hold
+        if nodes[k][1] >= 0:
+            kinds[nodes[k][1]] |= kinds[k]
+    out = []
+    for (tag, _, first, last, inside, around, names), held in zip(nodes, kinds, strict=True):
+        menu = last - first >= MENU_BLOCKS and links[last] - links[first] == last - first
+        if first == last or inside or around or tag in ("html", "body", "article", "main"):
+            out.append((None, False))
+        else:
+            out.append((xxhash.xxh64_intdigest(f"{tag}|{names}|{held}|{menu}") - (1 << 63), menu))
+    return out
+
+
+def kept_blocks(page: str, gone=frozenset(), lists: bool = True, articles: bool = True) -> list[str]:
+    """The blocks of a page's main text: without subtrees whose hash or shape is among `gone`, and without boilerplate
+    elements (unless `lists` is false).
 
-    Of a page with an article or main element that alone stays, unless what is left outside it is over SMALL times as long:
-    then that stays too. Where all of an article, or of a page without one, would be template, it stays.
+    Of a page with an article or main element that alone stays (unless `articles` is false). Where all of an article, or
+    of a page without one, would be template, it stays.
     """
     blocks, nodes = parse(page)
-    hashes = subtree_hashes(blocks, nodes) if gone else []
     lost: list[bool] = []
-    for k, h in enumerate(hashes):
-        up = nodes[k][1]
-        lost.append(h in gone or (up >= 0 and lost[up]))
-    own = [(text, main, bool(lost) and node >= 0 and lost[node]) for text, node, dropped, main in blocks if not dropped]
-    inside = [b for b, main, out in own if main and not out] or [b for b, main, _ in own if main]
-    outside = [b for b, main, out in own if not main and not out]
-    if not inside:
-        return outside or [b for b, *_ in own]
-    if sum(map(len, outside)) <= SMALL * sum(map(len, inside)):
-        return inside
-    stay, article = [], any(main and not out for _, main, out in own)
-    for b, main, out in own:
-        if not out or (main and not article):
-            stay.append(b)
-    return stay
+    if gone:
+        for k, (h, (shape, _)) in enumerate(zip(subtree_hashes(blocks, nodes), shape_hashes(blocks, nodes), strict=True)):
+            up = nodes[k][1]
+            lost.append(h in gone or shape in gone or (up >= 0 and lost[up]))
+    own = [(text, main, bool(lost) and node >= 0 and lost[node]) for text, node, dropped, main, _ in blocks if not (lists and dropped)]
+    if articles and any(main for _, main, _ in own):
+        own = [b for b in own if b[1]]
+    return [text for text, _, out in own if not out] or [text for text, *_ in own]
 
 
 def _keyed(pages: DataFrame) -> DataFrame:
@@ -222,23 +246,28 @@ def _keyed(pages: DataFrame) -> DataFrame:
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """pages(key, host, html) -> key, host, page, h: each subtree of each page that may be template; page is a hash of the
-    page's texts, so that copies of a page count as one."""
+    """pages(key, host, html) -> key, host, page, h, s, menu, first: each different subtree of each page that may be
+    template, its shape or NULL, whether that is a menu, and whether the row is the page's first of the shape; page is a
+    hash of the page's texts, so that copies of a page count as one."""
+    schema = pa.schema([("page", pa.int64()), ("h", pa.int64()), ("s", pa.int64()), ("menu", pa.bool_()), ("first", pa.bool_())])
 
     def work(batches):
         worker_store("html")
         for batch in batches:
-            rows: list[list] = [[], [], []]
+            at, rows = [], []
             for i, text in enumerate(batch.column("html")):
                 blocks, nodes = parse(text.as_py() or "")
                 page = xxhash.xxh64_intdigest("\n".join(b[0] for b in blocks)) - (1 << 63)
-                for h in set(subtree_hashes(blocks, nodes)) - {None}:
-                    for col, v in zip(rows, (i, page, h), strict=True):
-                        col.append(v)
-            at = pa.array(rows[0], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("host").take(at), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64())], names=["key", "host", "page", "h"])
+                pairs, met = dict.fromkeys((h, *s) for h, s in zip(subtree_hashes(blocks, nodes), shape_hashes(blocks, nodes), strict=True) if h is not None), set()
+                for h, s, menu in pairs:
+                    at.append(i)
+                    rows.append((page, h, s, menu, s not in met))
+                    met.add(s)
+            columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+            taken = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(taken), batch.column("host").take(taken), *(pa.array(c, f.type) for c, f in zip(columns, schema, strict=True))], names=["key", "host", *schema.names])
 
-    return pages.select("key", "host", "html").mapInArrow(work, f"key long, host {dict(pages.dtypes)['host']}, page long, h long")
+    return pages.select("key", "host", "html").mapInArrow(work, f"key long, host {dict(pages.dtypes)['host']}, page long, h long, s long, menu boolean, first boolean")
 
 
 def templates(own: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES) -> DataFrame:
@@ -249,30 +278,49 @@ def templates(own: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     return counts.join(totals, "host").where(F.col("n") >= F.least(F.lit(min_share) * F.col("total"), F.lit(many_pages))).select("host", "h")
 
 
-def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES) -> DataFrame:
+def shapes(own: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES) -> DataFrame:
+    """own(host, page, h, s, menu, first) -> host, s of the shapes outside articles that are template: they recur as
+    templates() asks of a subtree, and they are menus or show little variety, which means that at least half of their
+    different subtrees stand on min_pages different pages. What an author writes fills the same shape on many pages, but
+    with a text of its own on each."""
+    texts = own.where("s is not null").select("host", "s", "h", "page", "menu", "first").distinct()
+    texts = texts.groupBy("host", "s", "h").agg(F.count("*").alias("n"), F.count_if("first").alias("pages"), F.max("menu").alias("menu"))
+    found = texts.groupBy("host", "s").agg(F.sum("pages").alias("pages"), F.max("menu").alias("menu"), F.count("*").alias("texts"), F.count_if(F.col("n") >= min_pages).alias("again"))
+    totals = own.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("total"))
+    recurs = (F.col("pages") >= min_pages) & (F.col("pages") >= F.least(F.lit(min_share) * F.col("total"), F.lit(many_pages)))
+    return found.join(totals, "host").where(recurs & (F.col("menu") | (2 * F.col("again") >= F.col("texts")))).select("host", "s")
+
+
+def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES, lists: bool = True, articles: bool = True) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages(page_id, url, html), by the whole html.
 
-    Subtrees of all elements of all pages are hashed and counted per host; recurring ones go, menus and footers as well
-    as parts of articles that aren't running text. Boilerplate elements that don't recur go by tag, class, id or role.
+    Subtrees of all elements of all pages are hashed, with their text and by their shape, and counted per host; recurring
+    ones go: menus and shapes of little variety outside articles, and equal subtrees also inside them where they aren't
+    running text. Boilerplate elements that don't recur go by tag, class, id or role, unless `lists` is false; of a page
+    with an article that alone stays, unless `articles` is false.
     Character references are decoded, white space inside a block becomes one space, blocks are joined by line feeds.
     A NULL or empty html has an empty text; repeated rows and copies of a page count as one page and each get their
     row; pages without a host form one host. Unclosed elements end with their parent, unclosed comments and raw text
     with the page. An empty table gives no rows; other columns, of any name, are ignored.
     """
-    keyed = _keyed(pages)
-    own = cut(subtrees(keyed.withColumn("host", F.xxhash64("host"))))  # a few numbers for each page
-    hits = own.join(templates(own, min_pages, min_share, many_pages), ["host", "h"], "left_semi").groupBy("key").agg(F.collect_set("h").alias("gone"))  # at most one page's subtrees
-    hits = cut(hits)
-    if hits.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0] <= BROADCAST_HASHES:
-        hits = F.broadcast(hits)  # pages stay where they are; with more, pages and their templates meet by a shuffle
+    keyed = _keyed(pages).withColumn("host", F.xxhash64("host"))
+    own = cut(subtrees(keyed))  # a few numbers for each page
+    equal = templates(own, min_pages, min_share, many_pages).withColumnRenamed("h", "code")
+    codes = cut(equal.unionByName(shapes(own, min_pages, min_share, many_pages).withColumnRenamed("s", "code")))
+    total, most = codes.groupBy("host").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
+    if total <= BROADCAST_HASHES and most <= HOST_HASHES:
+        hits, by = F.broadcast(codes.groupBy("host").agg(F.collect_set("code").alias("gone"))), "host"  # pages stay where they are
+    else:
+        each = own.select("key", "host", F.explode(F.array("h", "s")).alias("code"))
+        hits, by = each.join(codes, ["host", "code"], "left_semi").groupBy("key").agg(F.collect_set("code").alias("gone")), "key"  # at most one page's subtrees
 
     def work(batches):
         worker_store("html")
         for batch in batches:
-            texts = ["\n".join(kept_blocks(h.as_py() or "", frozenset(g.as_py() or ()))) for h, g in zip(batch.column("html"), batch.column("gone"), strict=True)]
+            texts = ["\n".join(kept_blocks(h.as_py() or "", frozenset(g.as_py() or ()), lists, articles)) for h, g in zip(batch.column("html"), batch.column("gone"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return keyed.join(hits, "key", "left").select("page_id", "url", "html", "gone").mapInArrow(work, "page_id long, url string, text string, n_chars long")
+    return keyed.join(hits, by, "left").select("page_id", "url", "html", "gone").mapInArrow(work, "page_id long, url string, text string, n_chars long")
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

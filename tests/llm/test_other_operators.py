@@ -257,23 +257,52 @@ def test_host_counts_equal_brute_force(spark, monkeypatch):
         rows.append((k, f"http://{host}/{k}", "<body>" + "".join(parts[: rnd.randrange(1, 5)]) + "</body>"))
     rows += rows[:30]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    own, hosts, where = {}, {}, {}
+    own, hosts, where, shaped = {}, {}, {}, {}
     for _, url, page in rows:
         host, (blocks, nodes) = url.split("/")[2], htmlmain.parse(page)
         content = tuple(b[0] for b in blocks)
         hosts.setdefault(host, set()).add(content)
-        for h in {h for h in htmlmain.subtree_hashes(blocks, nodes) if h is not None}:
+        hashes = htmlmain.subtree_hashes(blocks, nodes)
+        for h in {h for h in hashes if h is not None}:
             where.setdefault((host, h), set()).add(content)
             own.setdefault(page, set()).add(h)
+        for h, (s, menu) in zip(hashes, htmlmain.shape_hashes(blocks, nodes), strict=True):
+            if s is not None:
+                shaped.setdefault((host, s, menu), {}).setdefault(h, set()).add(content)
+                own.setdefault(page, set()).add(s)
     for least, share, many in ((5, 0.2, 200), (2, 0.5, 3), (3, 0.5, 10_000)):
         want = {(host, h) for (host, h), c in where.items() if len(c) >= least and len(c) >= min(share * len(hosts[host]), many)}
-        got = htmlmain.templates(htmlmain.subtrees(htmlmain._keyed(pages)), least, share, many).collect()
+        own_rows = htmlmain.subtrees(htmlmain._keyed(pages))
+        got = htmlmain.templates(own_rows, least, share, many).collect()
         assert {(r["host"], r["h"]) for r in got} == want and len(got) == len(want) and want
+        forms = set()
+        for (host, s, menu), texts in shaped.items():
+            on = len(set().union(*texts.values()))
+            if on >= least and on >= min(share * len(hosts[host]), many) and (menu or 2 * sum(len(c) >= least for c in texts.values()) >= len(texts)):
+                forms.add((host, s))
+        got = htmlmain.shapes(own_rows, least, share, many).collect()
+        assert {(r["host"], r["s"]) for r in got} == forms and len(got) == len(forms) and forms
         monkeypatch.setattr(htmlmain, "BROADCAST_HASHES", 0 if least == 2 else 500_000)
         texts = {r["page_id"]: r["text"] for r in htmlmain.main_text(pages, least, share, many).collect()}
         for k, url, page in rows:
             host = url.split("/")[2]
-            assert texts[k] == "\n".join(htmlmain.kept_blocks(page, frozenset(h for h in own.get(page, ()) if (host, h) in want)))
+            assert texts[k] == "\n".join(htmlmain.kept_blocks(page, frozenset(h for h in own.get(page, ()) if (host, h) in want | forms)))
+
+
+def test_shapes_tell_boilerplate_without_articles_and_lists(spark):
+    """Menus whose entries differ from page to page and slogans out of a few go by their shape, with neither articles nor
+    lists of tags and classes to go by; what is written for a page stays, also where pages come twice."""
+    rnd = random.Random(14)
+    rows = []
+    for k in range(40):
+        menu = "".join(f"<li><a href=/{rnd.random()}>entry {rnd.randrange(10**6)}</a></li>" for _ in range(4))
+        slogan = f"<div class='x{k}'>slogan {k % 4}</div>"
+        text = f"<div class=c><h1>Head {k // 2}</h1><p>written for {k // 2} <a href=/l>with a link</a></p><p>second {k // 2}</p></div>"
+        rows.append((k, f"http://h.x/{k}", f"<body><div><ul>{menu}</ul></div>{text}{slogan}</body>"))
+    got = htmlmain.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), lists=False, articles=False).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {k: f"Head {k // 2}\nwritten for {k // 2} with a link\nsecond {k // 2}" for k in range(40)}
+    few = htmlmain.main_text(spark.createDataFrame(rows[:4], "page_id long, url string, html string"), lists=False, articles=False).collect()
+    assert all("entry" in r["text"] and "slogan" in r["text"] for r in few)  # too few pages to tell
 
 
 def test_templates_inside_articles_go_and_running_text_stays(spark):
@@ -303,4 +332,4 @@ def test_templates_are_counted_on_pages_with_articles(spark):
     rows += [(20, "http://h.x/20", f"<body>{menu}<article><p>small</p></article><div><p>the longer text of the page</p></div></body>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     by = {r["page_id"]: r["text"] for r in htmlmain.main_text(pages).collect()}
-    assert by == {k: f"own article {k}" for k in range(17)} | {17 + k: f"own page {k}" for k in range(3)} | {20: "small\nthe longer text of the page"}
+    assert by == {k: f"own article {k}" for k in range(17)} | {17 + k: f"own page {k}" for k in range(3)} | {20: "small"}
