@@ -28,6 +28,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY channel, id ORDER BY seq DESC) -
 cyc AS (SELECT channel, id, coalesce(min(dt), 0) / 1000.0::DOUBLE AS cycle_min_ms,
   round(coalesce(sum(CASE WHEN dt IS NULL THEN 0 WHEN r = c - 1 THEN pow(0.9::DOUBLE, r) * dt ELSE 0.1::DOUBLE * pow(0.9::DOUBLE, r) * dt END), 0) / 1000.0, 6) AS cycle_avg_ms, coalesce(max(dt), 0) / 1000.0::DOUBLE AS cycle_max_ms FROM r GROUP BY channel, id)"""
 
+# Values from 655.36 on leave the 16 bits of w0, of which a payload holds the low ones.
+FRAMES_16 = FRAMES.replace("CAST(round(value * 100) AS BIGINT) AS w0", "CAST(round(value * 100) AS BIGINT) % 65536 AS w0")
+
 THIN = """nx AS (SELECT seq, t_us, channel, id, min(seq) OVER (PARTITION BY channel, id ORDER BY t_us RANGE BETWEEN 50000 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt,
   row_number() OVER (PARTITION BY channel, id ORDER BY seq) AS rn FROM f),
 kept AS (SELECT seq, nxt FROM nx WHERE rn = 1 UNION ALL SELECT nx.seq, nx.nxt FROM kept JOIN nx ON nx.seq = kept.nxt),
@@ -49,6 +52,10 @@ def _f(body: str, thin: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if thin else ''}{FRAMES}{', ' + THIN if thin else ''} {body}"
 
 
+def _g(body: str) -> str:
+    return f"WITH {FRAMES_16} {body}"
+
+
 def _p(body: str) -> str:
     return f"WITH {PARTS} {body}"
 
@@ -78,7 +85,7 @@ rr AS (SELECT *, row_number() OVER (PARTITION BY run, channel, id ORDER BY seq D
 SQL = {
     "asc_scan": _f("SELECT seq, t_us, channel, id, extended, dlc, data, dir FROM f WHERE seq % 7 <> 0"),
     "asc_rejects": _f(f"SELECT seq, {BROKEN} AS value FROM (SELECT seq, {LINE} AS line FROM f WHERE seq % 7 = 0)"),
-    "asc_render": _f(f"SELECT seq, {LINE} AS line FROM f"),
+    "asc_render": _g(f"SELECT seq, {LINE} AS line FROM f"),
     "replay_until": _f("SELECT seq, t_us, channel, id FROM f WHERE seq < coalesce((SELECT min(seq) FROM f WHERE t_us > 10000000), 9223372036854775807)"),
     "trace_export": _f(f"SELECT seq, {LINE} AS line FROM (SELECT * FROM f ORDER BY seq DESC LIMIT 50000) f JOIN (SELECT channel, id, name FROM m) USING (channel, id) WHERE dir = 'Rx' AND (upper(name) LIKE '%STATE%' OR printf('%X', id) LIKE '%STATE%')"),
     "stats_export": _f(f"SELECT {BUS} AS bus, id, coalesce(name, '-') AS name, count, cycle_min_ms, cycle_avg_ms, cycle_max_ms, agg.dlc FROM agg JOIN cyc USING (channel, id) LEFT JOIN (SELECT channel, id, name FROM m) USING (channel, id)"),
