@@ -83,7 +83,7 @@ RUN_CYCLES = """rd AS (SELECT seq // 400 AS run, seq, channel, id, t_us, dlc, CA
 rr AS (SELECT *, row_number() OVER (PARTITION BY run, channel, id ORDER BY seq DESC) - 1 AS r, count(dt) OVER (PARTITION BY run, channel, id) AS c FROM rd)"""
 
 SQL = {
-    "asc_scan": _f("SELECT seq, t_us, channel, id, extended, dlc, data, dir FROM f WHERE seq % 7 <> 0"),
+    "asc_scan": _g("SELECT seq, t_us, channel, id, extended, dlc, data, dir FROM f WHERE seq % 7 <> 0"),
     "asc_rejects": _f(f"SELECT seq, {BROKEN} AS value FROM (SELECT seq, {LINE} AS line FROM f WHERE seq % 7 = 0)"),
     "asc_render": _g(f"SELECT seq, {LINE} AS line FROM f"),
     "replay_until": _f("SELECT seq, t_us, channel, id FROM f WHERE seq < coalesce((SELECT min(seq) FROM f WHERE t_us > 10000000), 9223372036854775807)"),

@@ -9,6 +9,7 @@ from test_queries import values
 
 NAMED = """
 asc_render
+asc_scan
 """.split()
 
 
