@@ -123,7 +123,7 @@ SQL = {
     ),
     "trace_named": _f(f"SELECT seq, CASE WHEN extended THEN printf('%08X', id) || 'x' ELSE printf('%03X', id) END AS id_text, coalesce(name, '-') AS name, {BYTES} AS data FROM f LEFT JOIN (SELECT channel, id, name FROM m) USING (channel, id)"),
     "decode_signals": _f("SELECT seq, channel, id, signal, round(value, 6) AS value, unit FROM dec"),
-    "decode_subscribed": _f("SELECT seq, channel, id, signal, round(value, 6) AS value FROM dec WHERE (channel = 0 AND id = 272 AND signal IN ('Level', 'Trim')) OR (channel = 1 AND id = 200 AND signal = 'Counter')"),
+    "decode_subscribed": _g("SELECT seq, channel, id, signal, round(value, 6) AS value FROM dec WHERE (channel = 0 AND id = 272 AND signal IN ('Level', 'Trim')) OR (channel = 1 AND id = 200 AND signal = 'Counter')"),
     "unknown_ids": _f("SELECT channel, id, count FROM agg ANTI JOIN m USING (channel, id)"),
     "node_tx": _f("SELECT n.channel, node, m.id, name, coalesce(count, 0) AS count FROM n JOIN m ON m.channel = n.channel AND m.transmitter = n.node LEFT JOIN agg ON agg.channel = m.channel AND agg.id = m.id"),
     "node_activity": _f("SELECT n.channel, node, coalesce(max(count), 0) > 0 AS active FROM n LEFT JOIN m ON m.channel = n.channel AND m.transmitter = n.node LEFT JOIN agg ON agg.channel = m.channel AND agg.id = m.id GROUP BY 1, 2"),

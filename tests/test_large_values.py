@@ -10,6 +10,7 @@ from test_queries import values
 NAMED = """
 asc_render
 asc_scan
+decode_subscribed
 """.split()
 
 
