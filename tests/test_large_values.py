@@ -11,6 +11,7 @@ NAMED = """
 asc_render
 asc_scan
 decode_subscribed
+encode_batch
 """.split()
 
 
