@@ -12,6 +12,7 @@ asc_render
 asc_scan
 decode_subscribed
 encode_batch
+encode_unknown
 """.split()
 
 
