@@ -107,7 +107,7 @@ SQL = {
     "selection_counts": _p("SELECT channel, coalesce(id, -1) AS id, count(*) FILTER (size % 3 = 0) AS selected, count(*) AS total FROM s GROUP BY GROUPING SETS ((channel), (channel, id))"),
     "active_signals": _p("SELECT DISTINCT channel, id, signal FROM s WHERE size % 3 = 0 OR size % 2 = 0"),
     "selection_update": _p("SELECT DISTINCT channel, id FROM s WHERE (size % 3 = 0 OR size % 2 = 0) AND (channel, id) NOT IN (SELECT (channel, id) FROM s WHERE size > 9 AND (size % 3 = 0 OR size % 2 = 0))"),
-    "extract_raw": _f("SELECT seq, signal, raw FROM dec"),
+    "extract_raw": _g("SELECT seq, signal, raw FROM dec"),
     "to_physical": _f("SELECT channel, id, signal, count(*) AS n, round(sum(value), 3) AS total, round(min(value), 6) AS low, round(max(value), 6) AS high FROM dec GROUP BY 1, 2, 3"),
     "from_physical": _f("SELECT seq AS frame, signal, CASE ord WHEN 0 THEN least(w0 * 3, 65535) WHEN 1 THEN least(greatest((u % 256 - 40) * 3 + 40, 0), 255) WHEN 2 THEN least((seq % 65536) * 3, 65535) WHEN 3 THEN (least(greatest(CAST(value * 6 AS BIGINT), -128), 127) + 256) % 256 WHEN 4 THEN least((seq % 8) * 3, 7) ELSE least((u % 32) * 3, 31) END AS raw FROM dec"),
     "pack_raw": _f("SELECT seq AS frame, signal, CASE ord WHEN 0 THEN printf('%02X%02X000000000000', w0 % 256, w0 // 256) WHEN 1 THEN printf('0000%02X0000000000', u % 256) WHEN 2 THEN printf('000000%02X%02X000000', (seq % 65536) // 256, seq % 256) WHEN 3 THEN printf('0000000000%02X0000', raw) WHEN 4 THEN printf('000000000000%02X00', seq % 8) ELSE printf('000000000000%02X00', 8 * (u % 32)) END AS data FROM dec"),

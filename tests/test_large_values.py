@@ -13,6 +13,7 @@ asc_scan
 decode_subscribed
 encode_batch
 encode_unknown
+extract_raw
 """.split()
 
 
