@@ -14,6 +14,7 @@ decode_subscribed
 encode_batch
 encode_unknown
 extract_raw
+from_physical
 """.split()
 
 
