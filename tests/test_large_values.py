@@ -15,6 +15,7 @@ encode_batch
 encode_unknown
 extract_raw
 from_physical
+to_physical
 """.split()
 
 
