@@ -121,7 +121,7 @@ SQL = {
     "bus_removed": _f(
         ", t(name, channel) AS (SELECT 'frames', channel FROM f UNION ALL SELECT 'buses', c FROM (VALUES (0), (1), (2)) x(c) UNION ALL SELECT 'messages', channel FROM m UNION ALL SELECT 'signals', channel FROM m, range(6) r(k) WHERE m.dlc = 8 OR k < 2 UNION ALL SELECT 'nodes', channel FROM n UNION ALL SELECT 'selections', c FROM (VALUES (0), (0), (1), (0), (1), (1)) x(c)) SELECT name, channel - 1 AS channel, count(*) AS n FROM t WHERE channel > 0 GROUP BY 1, 2"
     ),
-    "trace_named": _f(f"SELECT seq, CASE WHEN extended THEN printf('%08X', id) || 'x' ELSE printf('%03X', id) END AS id_text, coalesce(name, '-') AS name, {BYTES} AS data FROM f LEFT JOIN (SELECT channel, id, name FROM m) USING (channel, id)"),
+    "trace_named": _g(f"SELECT seq, CASE WHEN extended THEN printf('%08X', id) || 'x' ELSE printf('%03X', id) END AS id_text, coalesce(name, '-') AS name, {BYTES} AS data FROM f LEFT JOIN (SELECT channel, id, name FROM m) USING (channel, id)"),
     "decode_signals": _f("SELECT seq, channel, id, signal, round(value, 6) AS value, unit FROM dec"),
     "decode_subscribed": _g("SELECT seq, channel, id, signal, round(value, 6) AS value FROM dec WHERE (channel = 0 AND id = 272 AND signal IN ('Level', 'Trim')) OR (channel = 1 AND id = 200 AND signal = 'Counter')"),
     "unknown_ids": _f("SELECT channel, id, count FROM agg ANTI JOIN m USING (channel, id)"),

@@ -16,6 +16,7 @@ encode_unknown
 extract_raw
 from_physical
 to_physical
+trace_named
 """.split()
 
 
