@@ -110,7 +110,7 @@ SQL = {
     "extract_raw": _g("SELECT seq, signal, raw FROM dec"),
     "to_physical": _g("SELECT channel, id, signal, count(*) AS n, round(sum(value), 3) AS total, round(min(value), 6) AS low, round(max(value), 6) AS high FROM dec GROUP BY 1, 2, 3"),
     "from_physical": _g("SELECT seq AS frame, signal, CASE ord WHEN 0 THEN least(w0 * 3, 65535) WHEN 1 THEN least(greatest((u % 256 - 40) * 3 + 40, 0), 255) WHEN 2 THEN least((seq % 65536) * 3, 65535) WHEN 3 THEN (least(greatest(CAST(value * 6 AS BIGINT), -128), 127) + 256) % 256 WHEN 4 THEN least((seq % 8) * 3, 7) ELSE least((u % 32) * 3, 31) END AS raw FROM dec"),
-    "pack_raw": _f("SELECT seq AS frame, signal, CASE ord WHEN 0 THEN printf('%02X%02X000000000000', w0 % 256, w0 // 256) WHEN 1 THEN printf('0000%02X0000000000', u % 256) WHEN 2 THEN printf('000000%02X%02X000000', (seq % 65536) // 256, seq % 256) WHEN 3 THEN printf('0000000000%02X0000', raw) WHEN 4 THEN printf('000000000000%02X00', seq % 8) ELSE printf('000000000000%02X00', 8 * (u % 32)) END AS data FROM dec"),
+    "pack_raw": _g("SELECT seq AS frame, signal, CASE ord WHEN 0 THEN printf('%02X%02X000000000000', w0 % 256, w0 // 256) WHEN 1 THEN printf('0000%02X0000000000', u % 256) WHEN 2 THEN printf('000000%02X%02X000000', (seq % 65536) // 256, seq % 256) WHEN 3 THEN printf('0000000000%02X0000', raw) WHEN 4 THEN printf('000000000000%02X00', seq % 8) ELSE printf('000000000000%02X00', 8 * (u % 32)) END AS data FROM dec"),
     "encode_batch": _g("SELECT seq AS frame, channel, id, f.extended, f.dlc, data FROM f JOIN (SELECT channel, id FROM m) USING (channel, id)"),
     "encode_unknown": _g("SELECT seq AS frame, channel, CASE WHEN seq % 3 = 0 THEN id + 1000 ELSE id END AS id, CASE WHEN seq % 3 = 0 THEN id + 1000 > 2047 ELSE f.extended END AS extended, CASE WHEN seq % 3 = 0 THEN 8 ELSE f.dlc END AS dlc, CASE WHEN seq % 3 = 0 THEN '0000000000000000' ELSE data END AS data FROM f JOIN (SELECT channel, id FROM m) USING (channel, id)"),
     "scope_bus": _f("SELECT seq, t_us, channel, id, extended, dlc, data, dir FROM f WHERE channel = 1"),

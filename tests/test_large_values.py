@@ -17,6 +17,7 @@ extract_raw
 from_physical
 to_physical
 trace_named
+pack_raw
 """.split()
 
 
