@@ -18,6 +18,7 @@ from_physical
 to_physical
 trace_named
 pack_raw
+scope_bus
 """.split()
 
 
