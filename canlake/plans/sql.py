@@ -114,7 +114,7 @@ SQL = {
     "encode_batch": _g("SELECT seq AS frame, channel, id, f.extended, f.dlc, data FROM f JOIN (SELECT channel, id FROM m) USING (channel, id)"),
     "encode_unknown": _g("SELECT seq AS frame, channel, CASE WHEN seq % 3 = 0 THEN id + 1000 ELSE id END AS id, CASE WHEN seq % 3 = 0 THEN id + 1000 > 2047 ELSE f.extended END AS extended, CASE WHEN seq % 3 = 0 THEN 8 ELSE f.dlc END AS dlc, CASE WHEN seq % 3 = 0 THEN '0000000000000000' ELSE data END AS data FROM f JOIN (SELECT channel, id FROM m) USING (channel, id)"),
     "scope_bus": _g("SELECT seq, t_us, channel, id, extended, dlc, data, dir FROM f WHERE channel = 1"),
-    "scope_manual": _f("SELECT seq, t_us, channel, id, extended, dlc, data, dir FROM f WHERE (channel = 0 AND id = 816) OR (channel = 1 AND id = 200)"),
+    "scope_manual": _g("SELECT seq, t_us, channel, id, extended, dlc, data, dir FROM f WHERE (channel = 0 AND id = 816) OR (channel = 1 AND id = 200)"),
     "trace_filter": _f("SELECT seq, channel, id, name, dir FROM f JOIN (SELECT channel, id, name FROM m) USING (channel, id) WHERE dir = 'Rx' AND (upper(name) LIKE '%STATE%' OR printf('%X', id) LIKE '%STATE%')"),
     "messages_filter": _f("SELECT channel, id, '-' AS name, count FROM agg ANTI JOIN m USING (channel, id)"),
     "drop_bus": _f("SELECT seq, channel - 1 AS channel, id FROM f WHERE channel > 0"),

@@ -19,6 +19,7 @@ to_physical
 trace_named
 pack_raw
 scope_bus
+scope_manual
 """.split()
 
 
