@@ -19,6 +19,11 @@ def test_a_line_is_cut_and_judged_once(spark):
     assert frames.select("seq", "t_us", "channel", "id", "dlc", F.hex("data"), "dir").collect() == [(1, 500000, 0, 272, 2, "5A00000000000000", "Rx")]
 
 
+def test_scanned_logs_are_cut_once_for_each_read(spark, sf):
+    for name, reads in (("scan_cycle_delta", 2),):
+        assert plan(catalog.QUERIES[name](spark, sf)).count("split(") <= reads, name
+
+
 def test_rates_read_frames_four_times_at_most(spark, sf):
     assert plan(rates.frame_rate(fx.frames_from_events(spark, sf))).count("Relation [") <= 4
     assert plan(catalog.frame_rate_wild(spark, sf)).count("split(") <= 4
