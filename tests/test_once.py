@@ -20,7 +20,7 @@ def test_a_line_is_cut_and_judged_once(spark):
 
 
 def test_scanned_logs_are_cut_once_for_each_read(spark, sf):
-    for name, reads in (("scan_cycle_delta", 2), ("scan_statistics", 2)):
+    for name, reads in (("scan_cycle_delta", 2), ("scan_statistics", 2), ("scan_message_agg", 1)):
         assert plan(catalog.QUERIES[name](spark, sf)).count("split(") <= reads, name
 
 
