@@ -65,7 +65,7 @@ def test_odd_bytes_are_judged_as_before(spark):
 
 
 #: Queries on scanned logs.
-SCANS = ["scan_cycle_delta", "scan_statistics"]
+SCANS = ["scan_cycle_delta", "scan_statistics", "scan_message_agg"]
 
 
 @pytest.mark.parametrize("name", SCANS)
