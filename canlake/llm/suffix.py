@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +15,8 @@ from .common import cut, row_key, worker_store
 
 #: Strings of LENGTH bytes are looked for. In each, the n-gram of GRAM bytes with the smallest hash is its anchor.
 LENGTH, GRAM = 200, 40
-#: Texts are scanned in stretches of this many bytes; suffix arrays hold about ARRAY bytes of contexts.
-STRETCH, ARRAY = 1 << 22, 1 << 20
+#: Texts are scanned in stretches of this many bytes, short ones BLOCK bytes at a time; suffix arrays hold about ARRAY bytes of contexts.
+STRETCH, BLOCK, ARRAY = 1 << 22, 1 << 17, 1 << 20
 #: Contexts of an anchor with more different ones than this are cut into parts of PART strings that meet by what all of
 #: those have in common; parts that are still too many are cut into single strings.
 HOT, PART = 2_000, 20
@@ -49,58 +48,78 @@ def _sliding(f, x: np.ndarray, width: int) -> np.ndarray:
     return f(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
 
 
-def anchors(data: bytes) -> list[tuple[int, int, int, int]]:
-    """(hash, position, first, last): the n-grams that are the smallest of some string of LENGTH bytes (of equal ones the
-    first), with the places where those strings start.
+def _blocks(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
+    """[(text, start, bytes)]: texts that have strings of LENGTH bytes, in stretches, with BLOCK bytes of short ones together."""
+    held, size = [], 0
+    for k, data in enumerate(texts):
+        for start in range(0, len(data) - LENGTH + 1, STRETCH):
+            part = data[start : start + STRETCH + LENGTH - 1]
+            if held and size + len(part) > BLOCK:
+                yield held
+                held, size = [], 0
+            held.append((k, start, part))
+            size += len(part)
+    if held:
+        yield held
+
+
+def anchors(parts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """part, hash, position, first, last: the n-grams that are the smallest of some string of LENGTH bytes (of equal ones the
+    first), with the places where those strings start. Every part has LENGTH bytes at least.
 
     The choice depends on a string's bytes only, so equal strings have their anchor at the same place. Each string of
-    the text belongs to exactly one row.
+    a part belongs to exactly one row.
     """
-    out = []
-    buf = np.frombuffer(data, np.uint8)
+    sizes = np.array([len(x) for x in parts], np.int64)
+    begin = np.cumsum(sizes) - sizes
+    final = begin + sizes - LENGTH  # later strings go over a part's end
     width = LENGTH - GRAM + 1
-    for start in range(0, max(1, len(buf) - LENGTH + 1), STRETCH):
-        part = buf[start : start + STRETCH + LENGTH - 1]
-        if len(part) < LENGTH:
-            break
-        h = _gram_hashes(part)
-        low = _sliding(np.minimum, h, width)
-        edge = np.zeros(width - 1, np.uint64)
-        best = _sliding(np.maximum, np.concatenate([edge, low, edge]), width)
-        places: dict[int, list[int]] = {}
-        p = np.flatnonzero(best == h)
-        for at, x in zip(p.tolist(), h[p].view(np.int64).tolist(), strict=True):
-            places.setdefault(x, []).append(at)
-        first = np.concatenate([[0], np.flatnonzero(low[1:] != low[:-1]) + 1])
-        last = np.concatenate([first[1:] - 1, [len(low) - 1]])
-        for s, e, x in zip(first.tolist(), last.tolist(), low[first].view(np.int64).tolist(), strict=True):
-            at = places[x]
-            for q in at[bisect_left(at, s) :]:
-                out.append((x, start + q, start + s, start + min(q, e)))
-                s = q + 1
-                if s > e:
-                    break
-    return out
-
-
-def _anchor_rows(data: bytes) -> tuple[list, list]:
-    """((hash, context hash, position, lead, tail, times), (start, end)): each different context once, and the stretches
-    covered by contexts that stand several times in this text.
-
-    A context is the bytes of an anchor's strings, `lead` before its position and `tail` from there on.
+    h = _gram_hashes(np.frombuffer(b"".join(parts), np.uint8))
+    low = _sliding(np.minimum, h, width)
+    # An anchor's strings end where another value is the smallest, and where it is their first n-gram itself.
+    new = np.empty(len(low), bool)
+    new[1:] = (low[1:] != low[:-1]) | (h[: len(low) - 1] == low[:-1])
+    new[begin] = True
+    first = np.flatnonzero(new)
+    part = np.searchsorted(begin, first, "right") - 1
+    inside = first <= final[part]
+    first, part = first[inside], part[inside]
+    last = np.minimum(np.append(first[1:], len(low)) - 1, final[part])
+    strings = np.lib.stride_tricks.sliding_window_view(h, width)
+    place = first.copy()
+    for at in range(0, len(first), 1024):
+        place[at : at + 1024] += strings[first[at : at + 1024]].argmin(axis=1)
+    return part, low[first].view(np.int64), *(x - begin[part] for x in (place, first, last))
+
+
+def _anchor_rows(texts: list[bytes]) -> Iterator[tuple[list[np.ndarray], list[tuple[int, list]]]]:
+    """([text, hash, context hash, position, lead, tail, times], [(text, [(start, end)])]) for each block: each different context
+    of a text once, and the stretches covered by contexts that stand several times in it.
+
+    A context is the bytes of an anchor's strings, `lead` before its position and `tail` from there on. Contexts that recur
+    in a later stretch of a long text have a row there too.
     """
     digest = xxhash.xxh64_intdigest
-    seen: dict[int, list] = {}
-    again: dict[int, list] = {}
-    for h, p, s, e in anchors(data):
-        c = digest(data[s : e + LENGTH], p - s) - (1 << 63)
-        row = seen.get(c)
-        if row is None:
-            seen[c] = [h, c, p, p - s, e + LENGTH - p, 1]
-        else:
-            row[5] += 1
-            again.setdefault(c, [(row[2] - row[3], row[2] + row[4])]).append((s, e + LENGTH))
-    return list(seen.values()), _merge(x for spans in again.values() for x in spans)
+    for block in _blocks(texts):
+        parts = [x for _, _, x in block]
+        part, h, p, s, e = anchors(parts)
+        lead, tail, end = p - s, e + LENGTH - p, e + LENGTH
+        c = np.array([digest(parts[k][a:b], x) for k, a, b, x in zip(part.tolist(), s.tolist(), end.tolist(), lead.tolist(), strict=True)], np.uint64)
+        c = (c ^ np.uint64(1 << 63)).view(np.int64)
+        text, start = (np.array([x[i] for x in block], np.int64)[part] for i in (0, 1))
+        times, kept = np.ones(len(c), np.int64), np.ones(len(c), bool)
+        order = np.argsort(c)
+        same = np.flatnonzero(c[order][1:] == c[order][:-1])
+        seen: dict[tuple[int, int], int] = {}
+        again: dict[int, list] = {}
+        for i in np.union1d(order[same], order[same + 1]).tolist():  # few: what isn't alone in the block
+            k = seen.setdefault((int(text[i]), int(c[i])), i)
+            if k != i:
+                times[k] += 1
+                kept[i] = False
+                spans = again.setdefault(int(text[i]), [])
+                spans.extend((int(start[x] + s[x]), int(start[x] + end[x])) for x in ((k, i) if times[k] == 2 else (i,)))
+        yield [x[kept] for x in (text, h, c, start + p, lead, tail, times)], [(k, _merge(x)) for k, x in again.items()]
 
 
 def _scan(docs: DataFrame) -> DataFrame:
@@ -109,26 +128,26 @@ def _scan(docs: DataFrame) -> DataFrame:
     def work(batches):
         worker_store("suffix")
         names = ["rid", "h", "c", "pos", "lead", "tail", "n", "end"]
-        for batch in batches:
-            rows, size = [[] for _ in names], 0
 
-            def flush(rows=rows):
-                out = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], names=names)
-                for x in rows:
-                    x.clear()
-                return out
+        def rows(rids, texts):
+            for (text, *cols), again in _anchor_rows(texts):
+                none = pa.nulls(len(text), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(rids[text]), *(pa.array(x) for x in cols), none], names=names)
+                spans = [(rids[k], a, b) for k, merged in again for a, b in merged]
+                if spans:
+                    rid, a, b = (pa.array([x[i] for x in spans], pa.int64()) for i in range(3))
+                    none = pa.nulls(len(spans), pa.int64())
+                    yield pa.RecordBatch.from_arrays([rid, none, none, a, none, none, none, b], names=names)
 
-            for rid, text in zip(batch.column(0), batch.column(1), strict=True):
-                got, spans = _anchor_rows((text.as_py() or "").encode("utf-8"))
-                for r in got:
-                    for col, v in zip(rows, (rid.as_py(), *r, None), strict=True):
-                        col.append(v)
-                for a, b in spans:
-                    for col, v in zip(rows, (rid.as_py(), None, None, a, None, None, None, b), strict=True):
-                        col.append(v)
-                if len(rows[0]) > 50_000:
-                    yield flush()
-            yield flush()
+        for batch in batches:
+            rids, held, size, at = batch.column(0).to_numpy(), [], 0, 0
+            for text in batch.column(1).cast(pa.binary()):
+                held.append(text.as_py() or b"")
+                size += len(held[-1])
+                if size >= BLOCK * 4:
+                    yield from rows(rids[at:], held)
+                    at, held, size = at + len(held), [], 0
+            yield from rows(rids[at:], held)
 
     return docs.mapInArrow(work, "rid long, h long, c long, pos long, lead long, tail long, n long, end long")
 

@@ -76,6 +76,30 @@ def test_suffix_array_equals_brute_force(spark, hot):
     assert suffix.remove_repeats(empty(spark)).count() == 0
 
 
+def test_short_texts_are_scanned_together(monkeypatch):
+    rnd = random.Random(4)
+    texts = [text_of(rnd, rnd.randrange(1, 90)).encode() for _ in range(300)]
+    texts += [b"", b"q" * 199, b"q" * 200, b"q" * 700, b"ab" * 300, b"xyz" * 80 + texts[0] * 3, text_of(rnd, 500).encode()]
+    calls, hashes = [], suffix._gram_hashes
+    monkeypatch.setattr(suffix, "_gram_hashes", lambda data: calls.append(len(data)) or hashes(data))
+    monkeypatch.setattr(suffix, "STRETCH", 1 << 11)
+    got, again = [], {}
+    for cols, spans in suffix._anchor_rows(texts):
+        got += zip(*(x.tolist() for x in cols), strict=True)
+        for k, merged in spans:
+            again[k] = again.get(k, 0) + sum(b - a for a, b in merged)
+    assert len(calls) <= sum(map(len, texts)) // suffix.BLOCK + 1  # numpy's calls cost more than the work on one short text
+    for k, t in enumerate(texts):
+        want, grams = {}, hashes(suffix.np.frombuffer(t, suffix.np.uint8)).view(suffix.np.uint64).tolist() if len(t) >= 200 else []
+        for i in range(len(t) - 199):
+            window = grams[i : i + 161]
+            want.setdefault((i >> 11, i + window.index(min(window))), []).append(i)
+        places = {(p - lead, p, p + tail) for text, _, _, p, lead, tail, _ in got if text == k}
+        assert places <= {(x[0], p, x[-1] + 200) for (_, p), x in want.items()}
+        assert sum(r[-1] for r in got if r[0] == k) == len(want)
+    assert again[303] == 700 and 304 in again and all(k >= 303 for k in again)
+
+
 def test_maximal_repeats_have_all_occurrences():
     rnd = random.Random(1)
     shared = bytes(rnd.randrange(97, 105) for _ in range(300))
