@@ -50,17 +50,29 @@ def _deltas(frames: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return f.withColumn("dt", dt).withColumn("n", F.col("before_n") + F.col("k")).drop("lag_t", "k", "before_t", "before_n")
 
 
-def _bucket_sums(deltas: DataFrame, frames_too: bool = False) -> DataFrame:
+def _bucket_sums(frames: DataFrame, bucket: int = BUCKET, frames_too: bool = False) -> DataFrame:
     """Per key and bucket: low, high, m (deltas) and s: the smoothed value's share that comes from the bucket, at its end;
     with frames_too also count, extended of the first frame and LAST of the last.
 
     The smoothed value is linear in the deltas: the first has weight 0.9^r, the others 0.1 * 0.9^r, with r deltas after it.
+    The frames are read and shuffled once: only a bucket's first delta, and whether it or the next is the key's first,
+    depend on earlier buckets, so both are added when each bucket is one row.
     """
-    r = F.row_number().over(W.partitionBy(*KEY, "bucket").orderBy(F.desc("seq"))) - 1
-    weight = F.pow(F.lit(OLD), r) * F.when(F.col("n") == 2, 1.0).otherwise(NEW)
-    more = _counted() if frames_too else []
-    d = deltas.withColumn("part", F.when(F.col("dt").isNotNull(), weight * F.col("dt")))
-    return d.groupBy(*KEY, "bucket").agg(F.min("dt").alias("low"), F.max("dt").alias("high"), F.count("dt").alias("m"), F.coalesce(F.sum("part"), F.lit(0.0)).alias("s"), *more)
+    inside = W.partitionBy(*KEY, "bucket")
+    lag = F.lag("t_us").over(inside.orderBy("seq"))
+    f = frames.withColumn("bucket", F.expr(f"seq div {bucket}"))
+    f = f.withColumn("d", F.when(lag.isNotNull(), F.greatest(F.col("t_us") - lag, F.lit(0)))).withColumn("k", F.row_number().over(inside.orderBy("seq"))).withColumn("rows", F.count("*").over(inside))
+    weight = lambda r: F.pow(F.lit(OLD), r)
+    at = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
+    own = F.count("*").alias("rows"), at(1, "t_us").alias("start_t"), at(F.col("rows"), "t_us").alias("end_t"), at(2, "d").alias("second"), F.sum(F.when(F.col("k") > 2, weight(F.col("rows") - F.col("k")) * NEW * F.col("d"))).alias("rest")
+    sums = f.groupBy(*KEY, "bucket").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.count("d").alias("m"), *own, *(_counted() if frames_too else []))
+    w = W.partitionBy(*KEY).orderBy("bucket")
+    sums = sums.withColumn("before_t", F.lag("end_t").over(w)).withColumn("before_n", F.sum("rows").over(w) - F.col("rows"))
+    sums = sums.withColumn("dt", F.when(F.col("before_t").isNotNull(), F.greatest(F.col("start_t") - F.col("before_t"), F.lit(0))))
+    part = lambda c, k: F.coalesce(weight(F.col("rows") - k) * F.when(F.col("before_n") + k == 2, 1.0).otherwise(NEW) * F.col(c), F.lit(0.0))
+    s = part("dt", 1) + part("second", 2) + F.coalesce("rest", F.lit(0.0))
+    made = F.least("low", "dt").alias("low"), F.greatest("high", "dt").alias("high"), (F.col("m") + F.col("dt").isNotNull().cast("long")).alias("m"), s.alias("s")
+    return sums.select(*KEY, "bucket", *made, *(["count", "extended", *LAST] if frames_too else []))
 
 
 def _cycles(sums: DataFrame, *more) -> DataFrame:
@@ -73,20 +85,20 @@ def _cycles(sums: DataFrame, *more) -> DataFrame:
 
 def cycle_stats(frames: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """run_id, channel, id, cycle_min_ms, cycle_avg_ms (smoothed), cycle_max_ms; 0 for messages with one frame."""
-    return _cycles(_bucket_sums(_deltas(frames, bucket)))
+    return _cycles(_bucket_sums(frames, bucket))
 
 
 def summary(frames: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """message_agg and cycle_stats of each message in one pass."""
     more = F.sum("count").alias("count"), F.min_by("extended", "bucket").alias("extended"), *(F.max_by(k, "bucket").alias(k) for k in LAST)
-    out = _cycles(_bucket_sums(_deltas(frames, bucket), frames_too=True), *more)
+    out = _cycles(_bucket_sums(frames, bucket, frames_too=True), *more)
     return out.select(*KEY, "count", "extended", *LAST, "cycle_min_ms", "cycle_avg_ms", "cycle_max_ms")
 
 
 def fold_state(frames: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """What a stream's message fold holds after these frames: count, extended of the first; dir, dlc, data, t_us of the last;
     smoothed, least and largest delta in microseconds (NULL for messages with one frame). A stream goes on from it."""
-    sums = _bucket_sums(_deltas(frames, bucket), frames_too=True)
+    sums = _bucket_sums(frames, bucket, frames_too=True)
     after = F.sum("m").over(W.partitionBy(*KEY).orderBy(F.desc("bucket")).rowsBetween(W.unboundedPreceding, -1))
     share = F.col("s") * F.pow(F.lit(OLD), F.coalesce(after, F.lit(0)))
     ends = [F.max_by(k, "bucket").alias(k) for k in LAST]
@@ -109,7 +121,7 @@ def cycle_running(frames: DataFrame, bucket: int = BUCKET) -> DataFrame:
     before = F.collect_list(F.struct("m", "s")).over(w.rowsBetween(-400, -1))
     carried = F.aggregate(before, F.lit(0.0), lambda acc, b: acc * F.pow(F.lit(OLD), b["m"]) + b["s"])
     so_far = w.rowsBetween(W.unboundedPreceding, -1)
-    start = _bucket_sums(deltas).select(*KEY, "bucket", carried.alias("ewma0"), F.sum("m").over(so_far).alias("m0"), F.min("low").over(so_far).alias("low0"), F.max("high").over(so_far).alias("high0"))
+    start = _bucket_sums(frames, bucket).select(*KEY, "bucket", carried.alias("ewma0"), F.sum("m").over(so_far).alias("m0"), F.min("low").over(so_far).alias("low0"), F.max("high").over(so_far).alias("high0"))
     rows = deltas.join(start, [*KEY, "bucket"]).select(*KEY, "bucket", "seq", "n", "dt", "ewma0", F.coalesce("m0", F.lit(0)).alias("m0"), "low0", "high0")
 
     none = 1 << 62

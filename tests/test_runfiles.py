@@ -78,3 +78,8 @@ def test_scan_queries_take_the_short_way(spark, sf, name):
     (made,) = logs() - before
     assert len(glob.glob(f"{made}/run_id=*/part-*")) == 3 and not glob.glob(f"{made}/run_id=*/.*.crc")
     assert "Repartition" in plan and "forall" not in plan
+
+
+def test_statistics_read_the_logs_once(spark, sf):
+    plan = catalog.QUERIES["scan_statistics"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan text") == 1
