@@ -83,3 +83,15 @@ def test_scan_queries_take_the_short_way(spark, sf, name):
 def test_statistics_read_the_logs_once(spark, sf):
     plan = catalog.QUERIES["scan_statistics"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("FileScan text") == 1
+
+
+def test_usual_lines_are_told_by_one_pattern(spark):
+    made = asc.render(runs(spark, ["a", "b"])).select("value")
+    lines = made.unionByName(spark.createDataFrame([("9999999999.999999  256  1FFFFFFFx  Tx  0",), ("0.000000 1 7 Rx 8 00 11 22 33 44 55 66 77",)], "value string"))
+    assert lines.where(F.col("value").rlike(asc.USUAL)).count() == 6 == asc.parse_lines(lines, strict=True).where("valid").count()
+    odd = ["99999999999.999999  1  7  Rx  0", "0.5  1  7  Rx  0", "0.000000  1  7  Rx  9", "0.000000  1  7  Rx  d", "0.000000  1  7  Rx  1  5", "0.000000\t1  7  Rx  0", "0.000000  1  7  Rx  0\n"]
+    odd = spark.createDataFrame([(k, v) for k, v in enumerate(odd)], "k int, value string")
+    assert not odd.where(F.col("value").rlike(asc.USUAL)).count()
+    assert [r["valid"] for r in asc.parse_lines(odd).orderBy("k").collect()] == [False] + [True] * 6
+    plan = asc.parse_lines(lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace(value" not in plan and plan.count(asc.USUAL) == 1
